@@ -97,12 +97,12 @@ def _separators() -> np.ndarray:
 SEPARATOR = _separators()
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``; words do not cross rows."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word, by default ``[^\\x20\\x09-\\x0D]+``; words do not cross rows."""
     n = len(data)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(SEPARATOR[data], out=inside[1:-1])
+    np.logical_not(separator[data], out=inside[1:-1])
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
