@@ -89,7 +89,7 @@ def root_paths(nodes: DataFrame, branches: int | None) -> DataFrame:
     paths = leaves.select("tree", "conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
     for k in reversed(range(len(steps))):
         higher = paths.join(steps[k], ["tree", "node"]).select("tree", "conv_id", "leaf", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
-        paths = paths.union(higher)
+        paths = cut(paths.union(higher))  # uncut, the plan would double with each round
     scored = cut(paths.join(known.select("tree", "node", "score"), ["tree", "node"]))
     ranks = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
     ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf")))
