@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import logfreq, packing, pii, quality, reply_trees, simhash, substring_index, suffix_dedup, tiling
+from ledgerline.llm import licenses, logfreq, packing, pii, quality, reply_trees, simhash, substring_index, suffix_dedup, tiling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logfreq.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/language/id; short notices (under 60 words) stand for licence files."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    short = F.size(F.split(F.trim("text"), r"\s+")) < 60
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), short)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_tiling": op9_tiling,
