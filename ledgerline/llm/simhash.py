@@ -167,3 +167,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, tree_
         names = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
         of_fp = cut(of_fp.join(names, "root").select("fp", "component_id"))
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The documents, all columns, less those that are near another one with a smaller id; of rows with one id, one stays.
+
+    Rows without an id are told apart by their text and come after all others.
+    """
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    surrogate = F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(3 << 61)
+    named = docs.withColumn("__row", F.coalesce(F.col(id_column).cast("long"), surrogate))
+    found = near_duplicates(named, id_column="__row", text_column=text_column, **options)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    return named.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
