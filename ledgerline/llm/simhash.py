@@ -30,6 +30,8 @@ from ledgerline.llm.common import cut, text_slices, tidy_shuffles
 from ledgerline.llm.components import connected_components
 
 TREE_SIZE = 4096
+#: Fingerprints are signed longs in tables; their differing bits are those of the 64-bit patterns.
+MASK = (1 << 64) - 1
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -78,14 +80,14 @@ class BKTree:
         self.children.append({})
         at = 0
         while at != new:
-            at = self.children[at].setdefault((value ^ self.values[at]).bit_count(), new)
+            at = self.children[at].setdefault(((value ^ self.values[at]) & MASK).bit_count(), new)
 
     def within(self, value: int, radius: int) -> Iterator[int]:
         """Indices of the values within the radius."""
         stack = [0] if self.values else []
         while stack:
             at = stack.pop()
-            d = (value ^ self.values[at]).bit_count()
+            d = ((value ^ self.values[at]) & MASK).bit_count()
             if d <= radius:
                 yield at
             edges = self.children[at]
