@@ -17,7 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: Rows and bytes of an Arrow batch on its way to a Python worker: texts are long, so the defaults would be tens of megabytes a task.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -31,6 +33,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, where it has larger ones."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).lower().rstrip("b")
+        if not now.isdigit() or int(now) == 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -77,6 +87,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, used + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker lives on, idle, beside the next stage's
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -204,36 +204,43 @@ def _read(written: str) -> list[Span]:
 BASE, ADDED = "__pii_base", "__pii_added"
 
 
-def with_spans(docs: DataFrame, text_column: str = "text", **options) -> DataFrame:
-    """All columns, the base spans and the added ones (as ``kind:start:end``, comma-joined)."""
+Finish = Callable[[pa.RecordBatch, list[list[Span]], list[list[Span]]], pa.RecordBatch]
+
+
+def with_spans(docs: DataFrame, finish: Finish, schema: str | T.StructType, text_column: str = "text", **options) -> DataFrame:
+    """What ``finish`` makes of each slice of rows with its base spans and its added ones.
+
+    One block of patterns is one pass. Further blocks pass the rows on with the spans found so far.
+    """
     spark = docs.sparkSession
     with tidy_shuffles(spark):
         accepted = learn_patterns(docs, text_column=text_column, **options)
         handles = [spark.sparkContext.broadcast(block) for block in _blocks(accepted)]
+    carried = T.StructType([*docs.schema.fields, T.StructField(BASE, T.StringType()), T.StructField(ADDED, T.StringType())])
+    width = len(docs.columns)
 
-    def first(text: str) -> tuple[str, str]:
-        base = base_spans(text)
-        return _written(base), _written(added_spans(text, base, handles[0].value))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_column):
-            found = [first(text or "") for text in batch.column(text_column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in zip(*found, strict=True))], [*batch.schema.names, BASE, ADDED])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(BASE, T.StringType()), T.StructField(ADDED, T.StringType())])
-    out = docs.mapInArrow(work, schema)
-    for handle in handles[1:]:
-
-        def more(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
+    def passed(handle, first: bool, last: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_slices(batches, text_column):
+                texts = [t or "" for t in batch.column(text_column).to_pylist()]
+                before = [[] for _ in texts] if first else list(map(_read, batch.column(ADDED).to_pylist()))
+                base = list(map(base_spans, texts)) if first else list(map(_read, batch.column(BASE).to_pylist()))
                 added = []
-                for text, base, before in zip(*(batch.column(c).to_pylist() for c in (text_column, BASE, ADDED)), strict=True):
-                    spans = _read(before)
-                    taken = {s[1] for s in spans}
-                    added.append(_written(spans + [s for s in added_spans(text or "", _read(base), handle.value) if s[1] not in taken]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(added, pa.string())], batch.schema.names)
-
-        out = out.mapInArrow(more, schema)
+                for text, own, old in zip(texts, base, before, strict=True):
+                    taken = {s[1] for s in old}
+                    added.append(old + [s for s in added_spans(text, own, handle.value) if s[1] not in taken])
+                rows = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
+                if last:
+                    yield finish(rows, base, added)
+                else:
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(map(_written, x), pa.string()) for x in (base, added))], carried.names)
+
+        return work
+
+    out = docs
+    for k, handle in enumerate(handles):
+        last = k == len(handles) - 1
+        out = out.mapInArrow(passed(handle, k == 0, last), schema if last else carried)
     return out
 
 
@@ -244,18 +251,14 @@ FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_s
 def find(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """Per document: the counts and digest of its base spans, and all spans."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for written, added in zip(batch.column(BASE).to_pylist(), batch.column(ADDED).to_pylist(), strict=True):
-                base = _read(written)
-                spans = sorted(base + _read(added), key=lambda s: (_ORDER[s[0]], s[1]))
-                rows.append((*[sum(k == kind for k, _, _ in base) for kind in KINDS], hashlib.sha256(written.encode()).hexdigest(), _written(spans)))
-            columns = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+    def finish(batch: pa.RecordBatch, base: list[list[Span]], added: list[list[Span]]) -> pa.RecordBatch:
+        counts = [pa.array([sum(k == kind for k, _, _ in spans) for spans in base], pa.int64()) for kind in KINDS]
+        digests = pa.array([hashlib.sha256(_written(spans).encode()).hexdigest() for spans in base], pa.string())
+        spans = pa.array([_written(sorted(x + y, key=lambda s: (_ORDER[s[0]], s[1]))) for x, y in zip(base, added, strict=True)], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, spans], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return with_spans(plain, **options).select("doc_id", BASE, ADDED).mapInArrow(work, FOUND)
+    return with_spans(plain, finish, FOUND, **options)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -270,16 +273,13 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def mask(docs: DataFrame, *, text_column: str = "text", **options) -> DataFrame:
     """The documents, all columns, with every span in the text replaced by its kind."""
-    place = docs.columns.index(text_column)
-    names = docs.columns
+    place, names = docs.columns.index(text_column), docs.columns
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == text_column else f for f in docs.schema.fields])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_column):
-            found = zip(*(batch.column(c).to_pylist() for c in (text_column, BASE, ADDED)), strict=True)
-            texts = [masked(text, _read(base) + _read(added)) if base or added else text for text, base, added in found]
-            columns = list(batch.columns[: len(names)])
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return with_spans(docs, text_column, **options).mapInArrow(work, schema)
+    def finish(batch: pa.RecordBatch, base: list[list[Span]], added: list[list[Span]]) -> pa.RecordBatch:
+        texts = [masked(t, x + y) if x or y else t for t, x, y in zip(batch.column(place).to_pylist(), base, added, strict=True)]
+        columns = list(batch.columns)
+        columns[place] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return with_spans(docs, finish, schema, text_column, **options)
