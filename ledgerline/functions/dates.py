@@ -29,5 +29,5 @@ def parse_date(cell: Column) -> Column:
     serial = F.when(whole, F.date_add(F.lit("1899-12-30").cast("date"), number.cast("int")))
     plain = F.when(text.contains("T"), F.substring_index(text, "T", 1))
     timed = F.when(F.size(F.split(text, " ")) > 3, F.substring_index(text, " ", 1))
-    tried = [_one(source, form) for source in (plain, text, timed) for form in FORMATS]
-    return F.coalesce(serial, *tried)
+    tried = F.transform(F.array_compact(F.array(plain, text, timed)), lambda t: F.coalesce(*[_one(t, form) for form in FORMATS]))
+    return F.coalesce(serial, F.get(F.filter(tried, lambda d: d.isNotNull()), F.lit(0)))
