@@ -17,14 +17,11 @@ def parse_amount(cell: Column) -> Column:
     body = F.when(enclosed, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
     body = F.regexp_replace(F.regexp_replace(F.trim(body), SIDE, ""), CURRENCY, "")
     body = F.regexp_replace(body, r"[, ]", "")
-    trailing = body.endswith("-")
-    body = F.regexp_replace(body, r"-$", "")
-    leading = body.rlike(r"^\+?-")
-    body = F.regexp_replace(body, r"^\+?-?", "")
+    negative = enclosed | body.rlike(r"^\+?-|-$")
+    digits = F.regexp_extract(body, r"^\+?-?((?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)-?$", 1)
     # Rounded before the cast, which would round half up.
-    number = F.bround(F.when(body.rlike(r"^(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), body).try_cast("decimal(30,10)"), 2).try_cast("decimal(14,2)")
-    signed = F.when(enclosed | trailing | leading, -number).otherwise(number)
-    return F.when(~text.isin(*BLANK), signed).cast("decimal(14,2)")
+    number = F.bround(digits.try_cast("decimal(30,10)"), 2).try_cast("decimal(14,2)")
+    return F.when(~text.isin(*BLANK), number * F.when(negative, -1).otherwise(1)).cast("decimal(14,2)")
 
 
 def amount_side(cell: Column) -> Column:

@@ -134,16 +134,17 @@ def typed_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     df = df.withColumns({"_text_date": parse_date(F.col("_text")), "_ref_date": parse_date(F.col("_ref"))})
     swap = F.coalesce(F.col("_text_date").isNotNull() & F.col("_ref_date").isNull() & (F.length("_ref") > 3), F.lit(False))
     df = df.withColumns({"value_date": F.when(swap, F.coalesce("_value", "_text_date")).otherwise(F.col("_value")), "description": F.when(swap, F.col("_ref")).otherwise(F.col("_text")), "reference": F.when(~swap, F.col("_ref"))})
-    amount = parse_amount(cell("amount"))
+    df = df.withColumns({f"_{f}": parse_amount(cell(f)) for f in ("amount", "debit", "credit", "balance")})
+    amount = F.col("_amount")
     mark, upper = F.lower(cell("side")), F.upper(F.coalesce("description", F.lit("")))
     told = F.when(mark.rlike("^[dw]"), "DEBIT").when(mark.rlike("^[cr]"), "CREDIT")
     narrated = F.when(upper.rlike("WDL|WITHDRAWAL|DR/|DEBIT|PAID TO|TRANSFER TO"), "DEBIT").when(upper.rlike("DEP|CR/|CREDIT|RECEIVED FROM"), "CREDIT")
     side = F.coalesce(told, amount_side(cell("amount")), narrated, F.when(amount < 0, "SIGNED").otherwise("CREDIT"))
     df = df.withColumns(
         {
-            "debit": F.when(amount.isNotNull() & (side == "DEBIT"), amount).when(amount.isNotNull() & (side == "SIGNED"), -amount).otherwise(parse_amount(cell("debit"))),
-            "credit": F.when(amount.isNotNull() & (side == "CREDIT"), amount).otherwise(parse_amount(cell("credit"))),
-            "balance": parse_amount(cell("balance")),
+            "debit": F.when(amount.isNotNull() & (side == "DEBIT"), amount).when(amount.isNotNull() & (side == "SIGNED"), -amount).otherwise(F.col("_debit")),
+            "credit": F.when(amount.isNotNull() & (side == "CREDIT"), amount).otherwise(F.col("_credit")),
+            "balance": F.col("_balance"),
             "raw_text": F.array_join(F.filter(F.transform("cells", F.trim), lambda c: c != ""), " | "),
         }
     )
