@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.steps import computed
 from ledgerline.functions.text import search_tokens
 from ledgerline.operators import aggregates, filters, vectors
 from ledgerline.operators.filters import METHOD_FAMILY, TransactionFilter
@@ -59,20 +60,22 @@ def profiles(questions: DataFrame, as_of: datetime.date, column: str = "question
     text = F.coalesce(F.col(column), F.lit(""))
     has_phrase = lambda p: F.lower(text).rlike(rf"\b{p}\b")
     phrase = F.coalesce(*[F.when(has_phrase(p), F.lit(p)) for p, _ in METHOD_PHRASES])
-    df = questions.withColumn("_p", phrase)
+    df = computed(questions, {"_p": phrase})
     methods = F.create_map(*[F.lit(x) for pair in METHOD_PHRASES for x in pair])
-    df = df.withColumns(
+    df = computed(
+        df,
         {
             "payment_method": F.try_element_at(methods, "_p"),
             "_low": F.when(F.col("_p").isNull(), F.lower(text)).otherwise(F.replace(F.lower(text), F.col("_p"), F.lit(" "))),
             "_text": F.when(F.col("_p").isNull(), text).otherwise(F.regexp_replace(text, F.concat(F.lit(r"(?i)\b"), F.col("_p"), F.lit(r"\b")), F.lit(" "))),
-        }
+        },
     )
     back = F.regexp_extract("_low", RELATIVE, 1) != "this"
     span = F.regexp_extract("_low", RELATIVE, 2)
     day = F.lit(as_of)
     at = F.when(back, F.add_months(day, -1)).otherwise(day)
-    df = df.withColumns(
+    df = computed(
+        df,
         {
             "_year": F.when(span == "month", F.year(at)).when(span == "year", F.year(day) - back.cast("int")),
             "_month": F.when(span == "month", F.month(at)),
@@ -80,7 +83,7 @@ def profiles(questions: DataFrame, as_of: datetime.date, column: str = "question
             "date_to": F.when(span == "week", day),
             "_low": F.regexp_replace("_low", RELATIVE, " "),
             "_text": F.regexp_replace("_text", "(?i)" + RELATIVE, " "),
-        }
+        },
     )
     names = _month_names()
     pattern = r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")(?:\s+(\d{4}))?\b"
@@ -88,9 +91,10 @@ def profiles(questions: DataFrame, as_of: datetime.date, column: str = "question
     named = F.try_element_at(numbers, F.regexp_extract("_low", pattern, 1))
     stated = F.nullif(F.regexp_extract("_low", pattern, 2), F.lit("")).try_cast("int")
     bare = F.when(F.col("_year").isNull(), F.nullif(F.regexp_extract("_low", YEAR, 1), F.lit("")).try_cast("int"))
-    df = df.withColumns({"_named": named, "_stated": stated, "_bare": F.when(named.isNull(), bare)})
+    df = computed(df, {"_named": named, "_stated": stated, "_bare": F.when(named.isNull(), bare)})
     strip = lambda c, case: F.when(F.col("_named").isNotNull(), F.regexp_replace(c, case + pattern, " ")).when(F.col("_bare").isNotNull(), F.regexp_replace(c, YEAR, " ")).otherwise(F.col(c))
-    df = df.withColumns(
+    df = computed(
+        df,
         {"month": F.coalesce("_named", "_month"), "year": F.coalesce(F.when(F.col("_named").isNotNull(), F.coalesce("_stated", "_year")), "_year", "_bare"), "_low": strip("_low", ""), "_text": strip("_text", "(?i)")}
     )
     said = lambda p: F.col("_low").rlike(p)
@@ -98,7 +102,7 @@ def profiles(questions: DataFrame, as_of: datetime.date, column: str = "question
         F.when(said(COUNT), "count").when(said(TOP), "top_counterparty").when(said(BALANCE), "balance").when(said(SENT) & said(RECEIVED), "overall_totals").when(said(LARGEST), "largest")
         .when(said(SENT), "total_sent").when(said(RECEIVED), "total_received").when(said(r"\b(who|whom)\b"), "counterparties").otherwise("list")
     )
-    df = df.withColumn("intent", intent)
+    df = computed(df, {"intent": intent})
     direction = F.when(F.col("intent").isin("largest", "total_sent"), "DEBIT").when(F.col("intent") == "total_received", "CREDIT")
     direction = direction.when(F.col("intent") == "top_counterparty", F.when(said(RECEIVED), "CREDIT").otherwise("DEBIT"))
     quoted = F.trim(F.regexp_extract("_text", "[\"']([^\"']+)[\"']", 1))
@@ -106,8 +110,8 @@ def profiles(questions: DataFrame, as_of: datetime.date, column: str = "question
     never = F.array(*map(F.lit, [*STOPWORDS, *names, *[p for p, _ in METHOD_PHRASES]]))
     kept = F.array_join(F.filter(words, lambda w: (w != "") & ~F.array_contains(never, F.lower(w))), " ")
     person = F.nullif(F.lower(F.when(quoted != "", quoted).otherwise(kept)), F.lit(""))
-    df = df.withColumns({"direction": direction, "person_text": person})
-    df = df.withColumn("tokens", search_tokens(F.coalesce("person_text", F.lit(""))))
+    df = computed(df, {"direction": direction, "person_text": person})
+    df = computed(df, {"tokens": search_tokens(F.coalesce("person_text", F.lit("")))})
     return df.select(*questions.columns, "payment_method", "month", "year", "date_from", "date_to", "intent", "direction", "person_text", "tokens")
 
 
