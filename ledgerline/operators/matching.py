@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import normalize_name, title
+from ledgerline.plans.session import checkpointed
 
 STRONG, MEDIUM = 0.8, 0.55
 CANDIDATES = 8
@@ -188,24 +189,24 @@ def resolve(narrations: DataFrame, people: DataFrame, identifiers: DataFrame, *,
     All narrations of a round see the same people, so the work is joins at any size; a narration never depends on its
     neighbours' order within a round.
     """
-    narrations = narrations.checkpoint()
-    people, identifiers = people.checkpoint(), identifiers.select("person_id", "id_type", "normalized_value").checkpoint()
+    narrations = checkpointed(narrations)
+    people, identifiers = checkpointed(people), checkpointed(identifiers.select("person_id", "id_type", "normalized_value"))
     methods = narrations.sparkSession.createDataFrame([], "person_id long, methods array<string>")
     for _ in range(rounds):
-        scored = evidence(narrations, candidates(narrations, people, identifiers, limit), people, identifiers, methods).checkpoint()
-        decisions = decide(narrations, scored).checkpoint()
+        scored = checkpointed(evidence(narrations, candidates(narrations, people, identifiers, limit), people, identifiers, methods))
+        decisions = checkpointed(decide(narrations, scored))
         met = decisions.filter("person_id is not null").select("id", "person_id").join(narrations, "id")
-        methods = met.filter("payment_method is not null").groupBy("person_id").agg(F.collect_set("payment_method").alias("methods")).checkpoint()
+        methods = checkpointed(met.filter("payment_method is not null").groupBy("person_id").agg(F.collect_set("payment_method").alias("methods")))
         before = people.count()
         people, grown = mint(narrations, decisions, scored, people, identifiers)
-        people = people.checkpoint()
+        people = checkpointed(people)
         # What matched rows show becomes known, unless somebody owns it; aliases belong to each person.
         shown = F.array(*[F.struct(F.lit(k).alias("id_type"), F.col(c).alias("normalized_value")) for k, c in (("UPI", "normalized_upi_id"), ("ACCOUNT", "account_identifier"), ("PHONE", "phone"), ("EMAIL", "email"), ("REFERENCE", "reference"))])
         seen = met.select("person_id", "statement_id", "row_no", F.explode(shown).alias("i")).select("person_id", "statement_id", "row_no", "i.*").filter("normalized_value is not null")
         first = seen.groupBy("id_type", "normalized_value").agg(F.min_by("person_id", F.struct("statement_id", "row_no")).alias("person_id"))
         fresh = first.join(grown, ["id_type", "normalized_value"], "left_anti").select("person_id", "id_type", "normalized_value")
         aliases = met.filter("normalized_name is not null").select("person_id", F.lit("NAME").alias("id_type"), F.col("normalized_name").alias("normalized_value"))
-        identifiers = grown.union(fresh).union(aliases).distinct().checkpoint()
+        identifiers = checkpointed(grown.union(fresh).union(aliases).distinct())
         if people.count() == before:
             break
     return decisions, people, identifiers
