@@ -78,5 +78,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM texts WHERE len(ws) >= 50),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS body FROM starts),
+first AS (SELECT body, min(doc_id) AS least FROM windows GROUP BY body),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM windows JOIN first USING (body) WHERE doc_id > least),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM texts),
+kept AS (SELECT w.doc_id, count(g.place) AS n_removed, string_agg(word, ' ' ORDER BY w.place) FILTER (g.place IS NULL) AS body
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.place = w.place GROUP BY w.doc_id)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""",
+    "op2_reply_trees": r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(23 + length(replace(replace(role, '<\', '<\\'), '<|', '<\|')) + length(replace(replace(text, '<\', '<\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
+}
