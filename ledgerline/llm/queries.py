@@ -99,4 +99,18 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(23 + length(replace(replace(role, '<\', '<\\'), '<|', '<\|')) + length(replace(replace(text, '<\', '<\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    "op3_suffix_dedup": """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+places AS (SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 99)) AS i FROM texts WHERE length(hx) >= 200),
+windows AS (SELECT doc_id, i, substr(hx, 2 * i + 1, 200) AS body FROM places),
+first AS (SELECT body, min({'d': doc_id, 'i': i}) AS least FROM windows GROUP BY body HAVING count(*) > 1),
+again AS (SELECT doc_id, i FROM windows JOIN first USING (body) WHERE {'d': doc_id, 'i': i} > least),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS opens FROM again),
+runs AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT p.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(hx), 2 * max(b) + 1) AS body
+  FROM pieces p JOIN texts t ON t.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT t.doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(body, hx))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""",
 }
