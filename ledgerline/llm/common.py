@@ -8,9 +8,12 @@ A single text longer than the limit is one slice of its own.
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session, where it has larger ones."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Workers import this package: it is sent to them once, unless their search path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    near = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(Path(p).resolve() == root for p in near):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "ledgerline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted((root / "ledgerline").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the workers, and bounds the Arrow batches of this session where it has larger ones."""
+    ship_package(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = str(spark.conf.get(key)).lower().rstrip("b")
         if not now.isdigit() or int(now) == 0 or int(now) > most:

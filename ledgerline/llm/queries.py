@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import licenses, logfreq, packing, pii, quality, reply_trees, simhash, substring_index, suffix_dedup, tiling
-from ledgerline.llm.common import small_batches
+from ledgerline.llm.common import prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
