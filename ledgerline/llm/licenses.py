@@ -1,8 +1,10 @@
 """Operator 6, license scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame functions only.
 
-Every line of a text with an informative word (one that few texts of the table have) is a possible header. Its vector has a weight for each distinct word: the word's inverse document frequency over
+Every line of a text is a possible header. Its vector has a weight for each distinct word: the word's inverse document frequency over
 the whole table, or, for a word that no template has, the largest possible one. The templates' words are a fixed small vocabulary, so the
-inverted lists (word, template, weight) are small; lines without an informative word of the vocabulary drop out before
+inverted lists (word, template, weight) are small. A cosine is at most the root of the share of the template's squared weights that
+the line holds; of each template, the lightest words that together stay under the share needed cannot make a match alone, so only
+texts, and then lines, with one of the other words (however common it is) go on to
 the join of line words with these lists, whose grouped sums are the dot products. A text's own license is that of the best
 template with a cosine of at least ``THRESHOLD`` over its lines.
 
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import cut, tidy_shuffles
 
 THRESHOLD = 0.6
-#: A word is informative if at most this share of the texts has it.
-INFORMATIVE = 0.05
 #: Common licence notices, by their customary names.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -51,12 +51,25 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.array_distinct(_split(text)), "")
 
 
-def _lists(docs: DataFrame, total: int) -> tuple[DataFrame, dict[str, float], float]:
-    """The inverted lists, the vocabulary's weights, and the weight of all other words."""
+def _bearing(weights: dict[str, float], templates: list[list[str]]) -> list[str]:
+    """Words of which any line within ``THRESHOLD`` of a template has at least one, whatever else it holds."""
+    found = set()
+    for words in templates:
+        rest = (THRESHOLD**2 - 1e-9) * sum(weights[w] ** 2 for w in words)
+        for w in sorted(words, key=lambda w: (weights[w], w)):
+            rest -= weights[w] ** 2
+            if rest <= 0:
+                found.add(w)
+    return sorted(found)
+
+
+def _lists(docs: DataFrame, total: int) -> tuple[DataFrame, dict[str, float], list[str], float]:
+    """The inverted lists, the vocabulary's weights, its bearing words, and the weight of all other words."""
     spark = docs.sparkSession
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, body string")
     listed = templates.select("template", "license", F.explode(_words(F.col("body"))).alias("word"))
-    vocabulary = sorted({r.word for r in listed.select("word").distinct().collect()})  # the templates' words only
+    rows = listed.groupBy("template").agg(F.collect_list("word").alias("words")).collect()  # the templates' words only
+    vocabulary = sorted({w for r in rows for w in r.words})
     held = F.array_intersect(_split(F.col("text")), F.array(*map(F.lit, vocabulary)))  # distinct by itself
     seen = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     most = math.log(1.0 + total)
@@ -64,20 +77,20 @@ def _lists(docs: DataFrame, total: int) -> tuple[DataFrame, dict[str, float], fl
     weighed = spark.createDataFrame(list(weights.items()), "word string, weight double")
     lists = listed.join(weighed, "word")
     norms = lists.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    return lists.join(norms, "template"), weights, most
+    return lists.join(norms, "template"), weights, _bearing(weights, [r.words for r in rows]), most
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
     """``key, license, score`` for each text (``key, text``) with a header."""
     total = files.count()
-    lists, weights, other = _lists(files, total)
+    lists, weights, bearing, other = _lists(files, total)
     vocabulary = F.array(*map(F.lit, sorted(weights)))
-    rare = F.array(*map(F.lit, sorted(w for w, x in weights.items() if x >= math.log(1 / INFORMATIVE)) or [""]))
-    # Texts without an informative word end here; only the others are looked at line by line.
-    likely = files.filter(F.arrays_overlap(F.array_intersect(_split(F.col("text")), vocabulary), rare))
+    needed = F.array(*map(F.lit, bearing))
+    # Texts without a bearing word end here; only the others are looked at line by line.
+    likely = files.filter(F.arrays_overlap(_split(F.col("text")), needed))
     lines = likely.select("key", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     words = lines.select("key", "line", _words(F.col("body")).alias("words"))
-    held = words.withColumn("held", F.array_intersect("words", vocabulary)).filter(F.arrays_overlap("held", rare))
+    held = words.withColumn("held", F.array_intersect("words", vocabulary)).filter(F.arrays_overlap("held", needed))
     # The line's length: its vocabulary words' weights, and the full weight for each other word.
     others = (F.size("words") - F.size("held")) * (other**2)
     spread = cut(held.select("key", "line", others.alias("others"), F.explode("held").alias("word")))

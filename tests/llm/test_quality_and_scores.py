@@ -141,3 +141,11 @@ def test_licenses(spark):
         7: (None, None, None), 8: ("MIT", "inherited", "a/b"),
     }
     assert licenses.scan(files.limit(0), F.lit(True)).count() == 0
+
+
+def test_common_notices_and_small_tables_have_licenses(spark):
+    notice = "Released under the MIT License."
+    for n in (3, 60):
+        rows = [(i, f"p/d{i}/f", f"alpha{i} the words of beta\n" + (notice if i % 3 == 0 else "gamma")) for i in range(n)]
+        got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.lit(False)).collect()}
+        assert got == {i: ("MIT", "own") if i % 3 == 0 else (None, None) for i in range(n)}
