@@ -1,11 +1,14 @@
 """Operator 6, license scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame functions only.
 
-Every line of a text is a possible header. Its vector has a weight for each distinct word: the word's inverse document frequency over
-the whole table, or, for a word that no template has, the largest possible one. The templates' words are a fixed small vocabulary, so the
-inverted lists (word, template, weight) are small. A cosine is at most the root of the share of the template's squared weights that
+Every line of a text is a possible header. Its vector has a weight for each distinct word, the word's inverse document frequency over
+the whole table; equal lines are one. The templates' words are a fixed small vocabulary, so the inverted lists (word, template, weight)
+are small. A cosine is at most the root of the share of the template's squared weights that
 the line holds; of each template, the lightest words that together stay under the share needed cannot make a match alone, so only
 texts, and then lines, with one of the other words (however common it is) go on to
-the join of line words with these lists, whose grouped sums are the dot products. A text's own license is that of the best
+the join of line words with these lists, whose grouped sums are the dot products. Lines that would reach the threshold if they had no
+further words then get the weights of these: those of common words by broadcast (at most ``COMMON`` times the mean number of distinct
+words of a text), those of the others by shuffle.
+A text's own license is that of the best
 template with a cosine of at least ``THRESHOLD`` over its lines.
 
 A licence file (given by a condition) lends its license to its directory. Directories, not files, look for the nearest
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import cut, tidy_shuffles
 
 THRESHOLD = 0.6
+#: A word that more than one text in so many has is common.
+COMMON = 1000
 #: Common licence notices, by their customary names.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -63,42 +68,51 @@ def _bearing(weights: dict[str, float], templates: list[list[str]]) -> list[str]
     return sorted(found)
 
 
-def _lists(docs: DataFrame, total: int) -> tuple[DataFrame, dict[str, float], list[str], float]:
-    """The inverted lists, the vocabulary's weights, its bearing words, and the weight of all other words."""
-    spark = docs.sparkSession
+def _lists(counts: DataFrame, total: int) -> tuple[DataFrame, dict[str, float], list[str]]:
+    """The inverted lists, the vocabulary's weights and its bearing words."""
+    spark = counts.sparkSession
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, body string")
     listed = templates.select("template", "license", F.explode(_words(F.col("body"))).alias("word"))
     rows = listed.groupBy("template").agg(F.collect_list("word").alias("words")).collect()  # the templates' words only
     vocabulary = sorted({w for r in rows for w in r.words})
-    held = F.array_intersect(_split(F.col("text")), F.array(*map(F.lit, vocabulary)))  # distinct by itself
-    seen = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    most = math.log(1.0 + total)
-    weights = {w: most for w in vocabulary} | {r.word: math.log((1.0 + total) / r.n) for r in seen.collect()}  # a row per vocabulary word
+    weights = dict.fromkeys(vocabulary, math.log(1.0 + total))
+    weights |= {r.word: math.log((1.0 + total) / r.n) for r in counts.filter(F.col("word").isin(vocabulary)).collect()}  # a row per vocabulary word
     weighed = spark.createDataFrame(list(weights.items()), "word string, weight double")
-    lists = listed.join(weighed, "word")
+    lists = listed.join(F.broadcast(weighed), "word")
     norms = lists.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    return lists.join(norms, "template"), weights, _bearing(weights, [r.words for r in rows]), most
+    return cut(lists.join(norms, "template")), weights, _bearing(weights, [r.words for r in rows])
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
     """``key, license, score`` for each text (``key, text``) with a header."""
     total = files.count()
-    lists, weights, bearing, other = _lists(files, total)
+    counts = cut(files.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    lists, weights, bearing = _lists(counts, total)
     vocabulary = F.array(*map(F.lit, sorted(weights)))
+    squares = F.create_map(*[F.lit(x) for w, weight in weights.items() for x in (w, weight**2)])
     needed = F.array(*map(F.lit, bearing))
     # Texts without a bearing word end here; only the others are looked at line by line.
     likely = files.filter(F.arrays_overlap(_split(F.col("text")), needed))
-    lines = likely.select("key", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    words = lines.select("key", "line", _words(F.col("body")).alias("words"))
-    held = words.withColumn("held", F.array_intersect("words", vocabulary)).filter(F.arrays_overlap("held", needed))
-    # The line's length: its vocabulary words' weights, and the full weight for each other word.
-    others = (F.size("words") - F.size("held")) * (other**2)
-    spread = cut(held.select("key", "line", others.alias("others"), F.explode("held").alias("word")))
-    weighed = spread.join(lists.select("word", "weight").distinct(), "word")
-    norms = weighed.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("weight") ** 2) + F.first("others")).alias("line_norm"))
-    dots = spread.join(lists, "word").groupBy("key", "line", "template", "license", "norm").agg(F.sum(F.col("weight") ** 2).alias("dot"))
-    scored = dots.join(norms, ["key", "line"]).select("key", "license", (F.col("dot") / (F.col("norm") * F.col("line_norm"))).alias("score"))
-    best = scored.filter(F.col("score") >= THRESHOLD - 1e-12).groupBy("key").agg(F.min(F.struct((-F.round("score", 9)).alias("less"), "license")).alias("best"))
+    lines = likely.select("key", F.explode(F.split("text", "\n")).alias("body")).filter(F.arrays_overlap(_split(F.col("body")), needed))
+    words = lines.select("key", F.sort_array(_words(F.col("body"))).alias("words"))
+    held = cut(words.select("key", F.sha2(F.array_join("words", " "), 256).alias("line"), "words", F.array_intersect("words", vocabulary).alias("held")))
+    # Each distinct line's parts of its squared length: of the vocabulary's words, and of the others.
+    distinct = held.groupBy("line").agg(F.first("words").alias("words"), F.first("held").alias("held"))
+    distinct = distinct.withColumn("own", F.aggregate("held", F.lit(0.0), lambda x, w: x + F.try_element_at(squares, w)))
+    spread = distinct.select("line", "own", F.explode("held").alias("word"))
+    dots = spread.join(F.broadcast(lists), "word").groupBy("line", "own", "template", "license", "norm").agg(F.sum(F.col("weight") ** 2).alias("dot"))
+    cosine = lambda other: F.col("dot") / (F.col("norm") * F.sqrt(F.col("own") + other))
+    dots = cut(dots.filter(cosine(F.lit(0.0)) >= THRESHOLD - 1e-9))
+    rest = distinct.join(dots.select("line").distinct(), "line", "left_semi").select("line", F.explode(F.array_except("words", vocabulary)).alias("word"))
+    rest = cut(rest)
+    square = F.log((1.0 + total) / F.col("n")) ** 2
+    often = F.col("n") > total / COMMON
+    marked = rest.join(F.broadcast(counts.filter(often).select("word", square.alias("square"))), "word", "left")
+    seldom = marked.filter("square is null").select("line", "word").join(counts.filter(~often).select("word", square.alias("square")), "word")
+    others = marked.filter("square is not null").select("line", "square").union(seldom.select("line", "square")).groupBy("line").agg(F.sum("square").alias("others"))
+    scored = dots.join(others, "line", "left").select("line", "license", cosine(F.coalesce("others", F.lit(0.0))).alias("score"))
+    best = scored.filter(F.col("score") >= THRESHOLD - 1e-12).groupBy("line").agg(F.min(F.struct((-F.round("score", 9)).alias("less"), "license")).alias("best"))
+    best = held.select("line", "key").join(cut(best), "line").groupBy("key").agg(F.min("best").alias("best"))
     return best.select("key", "best.license", (-F.col("best.less")).alias("score"))
 
 

@@ -149,3 +149,21 @@ def test_common_notices_and_small_tables_have_licenses(spark):
         rows = [(i, f"p/d{i}/f", f"alpha{i} the words of beta\n" + (notice if i % 3 == 0 else "gamma")) for i in range(n)]
         got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.lit(False)).collect()}
         assert got == {i: ("MIT", "own") if i % 3 == 0 else (None, None) for i in range(n)}
+
+
+def test_license_scores_match_brute_force(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    own = {0: notice + " alpha beta gamma", 1: "beta " + notice, 2: notice + " alpha\nReleased under the MIT License. delta", 3: notice + "".join(f" solitary{k}" for k in range(12)), 4: notice + " " + notice}
+    rows = [(i, "x", own.get(i, "alpha beta gamma delta the under " + f"other{i % 50}")) for i in range(3000)] + [(0, "x", own[0])]
+    words = lambda text: set(re.split("[^a-z0-9]+", text.lower())) - {""}
+    n = collections.Counter(w for r in rows for w in words(r[2]))
+    square = lambda ws: sum(math.log((1 + len(rows)) / (n[w] or 1)) ** 2 for w in ws)
+    want = {}
+    for i, text in own.items():
+        found = [(-round(square(words(x) & words(t)) / math.sqrt(square(words(x)) * square(words(t))), 9), name) for x in text.split("\n") for name, t in licenses.TEMPLATES]
+        want[i] = min(f for f in found if -f[0] >= licenses.THRESHOLD) if min(found)[0] <= -licenses.THRESHOLD else None
+    assert want[0] and want[1] and want[2] and not want[3]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.lit(False)).filter("license is not null").collect()
+    assert len(got) == 1 + sum(w is not None for w in want.values())
+    for r in got:
+        assert r.license == want[r.doc_id][1] and math.isclose(r.score, -want[r.doc_id][0], abs_tol=1e-8)
