@@ -1,8 +1,7 @@
 """Operator 5, LM scoring: a log-frequency Bloom filter of quantised n-gram counts.
 
 Counting. Training texts give unigram and bigram hashes; tasks combine them over about a million tokens at a time and
-Spark sums them. A count c has the level 1 + floor(log(c / least) / log(BASE)); bigrams seen once are left to the
-unigrams (a count cutoff of two), every unigram is kept.
+Spark sums them. A count c has the level 1 + floor(log(c) / log(BASE)); every unigram and every bigram is kept.
 
 Filter. An n-gram of level q is inserted q times, as (n-gram, 1) ... (n-gram, q). The filter consists of fixed segments; an
 n-gram's bits all lie in the segment that its hash names, so segments are built where the n-grams are and travel as
@@ -42,7 +41,6 @@ BASE, WEIGHT = 1.5, 0.3
 BITS, PROBES, SEGMENT = 12, 6, 1 << 17
 SHARD_BYTES = 128 << 20
 COMBINED = 1_000_000
-LEAST_BIGRAM = 2
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +171,9 @@ class Shard:
         return np.where(self.words[place] == keys, self.counts[place], 0).astype(np.int64)
 
 
-def level_value(levels: np.ndarray, least: int) -> np.ndarray:
+def level_value(levels: np.ndarray) -> np.ndarray:
     """The count that stands for a level: the middle of its range, on the log scale."""
-    return np.where(levels > 0, np.maximum(least, least * BASE ** (levels.astype(np.float64) - 0.5)), 0.0)
+    return np.where(levels > 0, BASE ** (levels.astype(np.float64) - 0.5), 0.0)
 
 
 # --- scoring ------------------------------------------------------------------------------------------------------
@@ -189,9 +187,8 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     held = F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_column).cast("string").alias("text"))
     with tidy_shuffles(spark):
-        counts = cut(count_ngrams(rows.filter("not held_out")).filter(f"not bigram or n >= {LEAST_BIGRAM}"))
-        least = F.when(F.col("bigram"), LEAST_BIGRAM).otherwise(1)
-        level = (F.floor(F.log(F.col("n") / least) / math.log(BASE) + 1e-9) + 1).cast("long")
+        counts = cut(count_ngrams(rows.filter("not held_out")))
+        level = (F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1).cast("long")
         counts = counts.withColumn("level", F.least(level, F.lit(255)))
         sums = counts.agg(F.sum("level"), F.sum(F.when(~F.col("bigram"), F.col("n"))), F.sum(F.when(~F.col("bigram"), 1))).first()
         inserted, total, distinct = (int(x or 0) for x in sums)
@@ -239,7 +236,7 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
                     levels = [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([*ids, batch.column("text"), pa.array(known), pa.array(base), pa.array(levels, pa.binary())], ["doc_id", "held_out", "text", "n_known", "base", "levels"])
                     continue
-                one, two = level_value(own[:, 0], 1), level_value(own[:, 1], LEAST_BIGRAM)
+                one, two = level_value(own[:, 0]), level_value(own[:, 1])
                 before = np.r_[0.0, one[:-1]]
                 before[bounds[:-1]] = starts
                 smooth = (one + 0.5) / whole

@@ -126,6 +126,15 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert r.model > r.base
 
 
+def test_bigrams_seen_once_count(spark):
+    by_part = sorted(range(100), key=lambda i: zlib.crc32(str(i).encode()) % 5 == 1)
+    training, held = by_part[0], by_part[-2:]
+    words = [f"word{k}" for k in range(40)]
+    rows = [(training, " ".join(words)), (held[0], " ".join(words)), (held[1], " ".join(words[::2] + words[1::2]))]
+    got = {r.doc_id: r.score for r in logfreq.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 5
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/b/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", "some words"), (3, "a/y.txt", "text\nLicensed under the Apache License, Version 2.0.\nmore"),
