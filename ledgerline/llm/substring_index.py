@@ -2,7 +2,7 @@
 
 A window is ``WINDOW`` consecutive words. Of the grams (``GRAM`` words) inside it, the one with the smallest hash names the window:
 equal windows have equal names, and neighbouring windows mostly share one, so an index entry stands for about a dozen windows. An
-entry is the gram's hash, the hash of its whole context (all words that windows around it can hold) and a 40-bit digest,
+entry is the gram's hash, the hash of its whole context (all words that windows around it can hold) and a 64-bit digest,
 by an independent hash, of each window that the gram names.
 
 Batches arrive in the order of ids. A batch's entries are sorted by gram and written as one immutable run, a table bucketed and
@@ -53,7 +53,7 @@ from ledgerline.llm.common import (
 from ledgerline.llm.contexts import FULL, ONLY, judge_stream
 
 WINDOW, GRAM = 50, 25
-DIGEST = 5
+DIGEST = 8
 GROUP = 50_000
 FANOUT = 2
 POLY_A, POLY_B = Polynomial(0x9E3779B97F4A7C15), Polynomial(0xD6E8FEB86659FD93)

@@ -115,3 +115,23 @@ def test_repeated_windows_by_hand():
         for o in range(window - gram + 1):
             own = parts[i][5 - o : 5 - o + window]
             assert found[i, o] == any(parts[j][5 - o : 5 - o + window] == own for j in range(i // 20 * 20, i))
+
+
+def test_windows_that_agree_in_part_of_their_digest_differ(spark):
+    # Windows that differ in their last word only: of two million, some agree in 40 bits of the digest.
+    n, fixed = 2_000_000, [f"w{i}" for i in range(49)]
+    ends = [f"x{i}" for i in range(n)]
+    data = np.frombuffer(" ".join(fixed + ends).encode(), np.uint8)
+    starts, stops, _ = substring_index.word_spans(data, np.array([0, len(data)]))
+    hashes = substring_index.word_hashes(data, starts, stops, substring_index.POLY_B, substring_index.TABLE_B)
+    power = lambda k: pow(substring_index.POLY_B.base, k, 1 << 64)
+    head = sum(int(h) * power(k) for k, h in enumerate(hashes[:49])) % (1 << 64)
+    digests = substring_index.mix(np.uint64(head) + hashes[49:] * np.uint64(power(49))) & np.uint64((1 << 40) - 1)
+    order = np.argsort(digests)
+    same = np.flatnonzero(digests[order][1:] == digests[order][:-1])
+    assert len(same)
+    rows = []
+    for k in same.tolist():
+        rows += [(len(rows) + j, " ".join([*fixed, ends[order[k + j]]])) for j in (0, 1)]
+    got = {r[0]: tuple(r)[1:4] for r in substring_index.remove_repeats(table(spark, rows), batches=1).collect()}
+    assert got == brute_words(rows)
