@@ -194,27 +194,29 @@ def ask(ledger: Ledger, user_id: int, question: str, as_of: datetime.date, state
             return out
     owned = ledger.owned(user_id)
     wanted = TransactionFilter(statement_ids=statement_ids, payment_method=profile.payment_method, direction=profile.direction, **_period(profile, owned))
-    extra, label = None, profile.person_text
+    extra, label, meant = None, profile.person_text, owned
     if profile.person_text:
-        found = resolve_people(ledger, user_id, profile.person_text, profile.tokens).orderBy("id").limit(PEOPLE_SHOWN + 1).collect()
-        out.people = [f"{p.canonical_name} ({p.code})" for p in found]
-        names = {(p.normalized_name or p.canonical_name or "").strip().lower() for p in found}
-        if len(found) > 1 and len(names) > 1:
-            held = spark.createDataFrame([(p.id,) for p in found], "id long")
-            if shared_handle(ledger, held, profile.person_text).isEmpty():
+        people = resolve_people(ledger, user_id, profile.person_text, profile.tokens)
+        # All of them count; only the names shown are capped.
+        shown = people.orderBy("id").limit(PEOPLE_SHOWN + 1).collect()
+        out.people = [f"{p.canonical_name} ({p.code})" for p in shown]
+        name = F.coalesce(F.nullif("normalized_name", F.lit("")), "canonical_name", F.lit(""))
+        names = people.agg(F.countDistinct(F.lower(F.regexp_replace(name, r"^\s+|\s+$", "")))).first()[0] if len(shown) > 1 else len(shown)
+        if names > 1:
+            if shared_handle(ledger, people, profile.person_text).isEmpty():
                 out.notes.append("MULTIPLE_PERSON_MATCHES")
                 out.resolution, out.text = "ambiguous", f"{AMBIGUOUS} Candidates: {', '.join(out.people)}."
                 return out
             out.notes.append("SAME_UPI_RECORDS_MERGED")
-        elif len(found) > 1:
+        elif len(shown) > 1:
             out.notes.append("SAME_NAME_RECORDS_MERGED")
-        if found:
+        if shown:
             out.resolution, label = "resolved", out.people[0]
-            wanted = replace(wanted, person_ids=[p.id for p in found])
+            meant = owned.join(people.select(F.col("id").alias("counterparty_id")), "counterparty_id", "left_semi").select(owned.columns)
         else:
             parts = [F.col(c).contains(t) for t in profile.tokens if len(t) >= 3 for c in ("normalized_counterparty_name", "normalized_upi_id")]
             extra = reduce(lambda a, b: a | b, parts, F.lit(False))
-    rows, wanted = _widened(owned, wanted, out.notes, extra)
+    rows, wanted = _widened(meant, wanted, out.notes, extra)
     if extra is not None and not rows.isEmpty():
         kinds = rows.agg(F.count("counterparty_id").alias("matched"), F.countDistinct("normalized_counterparty_name").alias("names")).first()
         if not kinds.matched and kinds.names > 1:
@@ -236,7 +238,7 @@ def ask(ledger: Ledger, user_id: int, question: str, as_of: datetime.date, state
 
 def _related(owned: DataFrame, wanted: TransactionFilter, question: str, k: int, floor: float) -> DataFrame:
     """Rows in the filter whose search documents are nearest to the question."""
-    rows = filters.apply(owned, replace(wanted, person_ids=None))
+    rows = filters.apply(owned, wanted)
     documents = vectors.sparse_embedding(vectors.document_content(rows), "id", "content")
     asked = vectors.sparse_embedding(owned.sparkSession.createDataFrame([(0, question)], "id long, content string"), "id", "content")
     return rows.join(vectors.sparse_search(documents, asked, k, floor).select("id"), "id", "left_semi")

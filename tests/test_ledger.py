@@ -196,6 +196,17 @@ def test_scope_and_ambiguity(spark):
     assert got.resolution in ("ambiguous", "resolved") and got.people
 
 
+def test_all_records_of_a_name_count(spark):
+    ledger = small_ledger(spark)
+    first = ledger.transactions.filter("id = 1")
+    n, spent = 30, first.first().debit_amount
+    txn = first.withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumns({"id": F.col("id").cast("long"), "counterparty_id": F.col("id").cast("long")})
+    people = spark.createDataFrame([(i, f"P{i:03}", "Kalyan", "kalyan") for i in range(1, n + 1)], ledger.people.schema)
+    got = questions.ask(Ledger(txn, ledger.statements, people, ledger.identifiers), 7, "How much did I send Kalyan?", datetime.date(2025, 10, 1))
+    assert got.notes == ["SAME_NAME_RECORDS_MERGED"] and got.rows.count() == got.totals["n"] == n
+    assert spent and got.totals["total_debit"] == n * spent
+
+
 def test_filters_reach_the_scan(spark):
     plan = filters.apply(from_tables(spark, SF).transactions, filters.TransactionFilter(direction="credit"))._jdf.queryExecution().executedPlan().toString()
     assert "o_orderstatus" in plan.split("PushedFilters")[1]
