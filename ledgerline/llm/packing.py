@@ -48,12 +48,15 @@ class Encoder(dict):
     The tokenizer lower-cases, drops white space and never joins over it, so a text's ids are its words' ids one after
     another; ASCII punctuation at a word's end is a token run of its own after a letter or digit, so it is set apart
     first. Words repeat, and each is encoded once. A word of lower-case Latin letters alone is one run for the model,
-    which then needs neither normaliser nor splitter; all others go through the whole tokenizer. Tests hold all this
-    against the tokenizer itself.
+    which then needs neither normaliser nor splitter; all others go through the whole tokenizer. The tokenizer looks for its
+    special tokens before it lower-cases, so words that may hold one keep their case. Tests hold all this against the
+    tokenizer itself.
     """
 
     TAIL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:|$%&*#]+)(?=[\x20\t-\r]|$)")
     LETTERS = re.compile("[a-zß-öø-ÿ]+")
+    WORD = re.compile(rb"[^\x20\t-\r]+")
+    SPECIAL = b"<|"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,6 +64,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        assert all(self.SPECIAL.decode() in t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized)
         self.model = self.tokenizer.model
         # The printable stand-in of each byte, as the tokenizer's own byte-level splitter gives it.
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -83,7 +87,8 @@ class Encoder(dict):
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.__getitem__, self.TAIL.sub(rb" \1 ", text.lower()).split()))
+        lowered = text.lower() if self.SPECIAL not in text else self.WORD.sub(lambda m: m.group() if self.SPECIAL in m.group() else m.group().lower(), text)
+        return b"".join(map(self.__getitem__, self.TAIL.sub(rb" \1 ", lowered).split()))
 
 
 def encoder(path: str) -> Encoder:
