@@ -1,18 +1,21 @@
 """Operator 2, chat formatting: root-to-leaf paths of reply trees.
 
-Nodes point to their parents. Pointer tables for 1, 2, 4, ... steps up come from self-joins, each a join of the last one with
-itself; the deepest path needs log2(depth) of them. From each leaf the same tables, largest step first, give every
-ancestor exactly once with its distance, so the rows made are the paths themselves. A branch's score is the mean of its
-nodes' scores; the ``branches`` best leaves of each tree (all: None) become a conversation each.
+Nodes point to their parents. Pointers are doubled by iterative self-joins: after round k a node points 2**k steps up and knows
+the sum and the number of the scores on the way, until it points beyond a root. The deepest path needs log2(depth) rounds; nodes
+that a round brings no nearer to a root hang on a cycle and are left out. A branch's score is the mean of its nodes' scores; the
+``branches`` best leaves of each tree (all: None; of equals, the smaller leaf) become a conversation each. Only then are paths
+made, and only those of the chosen leaves: the pointer tables, longest steps first, give every ancestor of a leaf exactly once
+with its distance.
 
 Template: each turn is ``<|turn|>role<|text|>text<|end|>``. Inside roles and texts each control string, and the escape mark
 itself, is escaped reversibly: ``<|`` becomes ``<\\|`` and ``<\\`` becomes ``<\\\\``, so no text, whatever it says, can open or close a
 turn. The loss mask is the list of code point spans of the assistants' texts in the formatted string.
 
 Nulls: a null text, role or id of a turn is empty (a null turn sorts first); a null conversation id is a tree of its own; a
-parent that does not exist, or is the node itself, makes the node a root; nodes on a cycle have no leaf and are not
-returned. Repeated rows are turns of their own, in the order of turn, role, text. An empty table gives no rows. Further
-columns are ignored.
+parent that does not exist, or is the node itself, makes the node a root; a null score counts as 0; rows without a node are no
+nodes. Nodes on a cycle, and all that hang on one, reach no root and are not returned. Of rows that repeat a node, the smallest
+by parent and score, and by role and text, counts (repeated turns of linear conversations are nodes of their own, in the order of
+turn, role, text). An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, text_slices, tidy_shuffles
@@ -67,47 +70,62 @@ def chains(turns: DataFrame) -> DataFrame:
     return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
+def _tree() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("tree")
+
+
+def measured(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``tree, conv_id, node, total, depth`` of each node that reaches a root, and the tables ``tree, node, up`` of 1, 2, 4, ... steps."""
+    links = nodes.filter("node is not null").groupBy(_tree(), "conv_id", "node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("own"))
+    known = links.select("tree", "node").alias("p")
+    there = (F.col("l.tree") == F.col("p.tree")) & (F.col("l.own.parent") == F.col("p.node")) & (F.col("l.own.parent") != F.col("l.node"))
+    joined = links.alias("l").join(known, there, "left")
+    state = cut(joined.select("l.tree", "l.conv_id", "l.node", F.col("p.node").alias("up"), F.col("l.own.score").alias("total"), F.lit(1).cast("long").alias("depth")))
+    steps, before = [], -1
+    # A round that ends no path will never end one: the deepest open node has ancestors at every smaller depth.
+    while (left := (open_ := state.filter("up is not null").select("tree", "node", "up")).count()) and left != before:
+        steps.append(open_)
+        before = left
+        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
+        moved = state.join(above, ["tree", "up"], "left")
+        state = cut(
+            moved.select(
+                "tree", "conv_id", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
+            )
+        )
+    return state.filter("up is null"), steps
+
+
 def root_paths(nodes: DataFrame, branches: int | None) -> DataFrame:
-    """``conv_id, leaf, node, distance, rank``: the nodes of the best branches, ``distance`` steps above the leaf."""
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree")
-    links = nodes.select(key, "conv_id", "node", "parent", "score")
-    parents = links.select("tree", F.col("node").alias("up")).distinct().alias("p")
-    there = (F.col("l.tree") == F.col("p.tree")) & (F.col("l.parent") == F.col("p.up")) & (F.col("l.parent") != F.col("l.node"))
-    known = cut(links.alias("l").join(parents, there, "left").select("l.tree", "l.conv_id", "l.node", "p.up", "l.score"))
-    steps = [known.filter("up is not null").select("tree", "node", "up")]
-    # Each round doubles the step; a chain of length 2**k is used up after k rounds, a cycle would never be.
-    rows = steps[0].count()
-    most = known.count().bit_length() + 1
-    while rows and len(steps) < most:
-        last = steps[-1]
-        twice = cut(last.alias("a").join(last.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))).select("a.tree", "a.node", "b.up"))
-        rows = twice.count()
-        if rows:
-            steps.append(twice)
-    inner = known.filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = known.join(inner, ["tree", "node"], "left_anti")
-    paths = leaves.select("tree", "conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
+    """``tree, conv_id, leaf, node, distance, rank``: the nodes of the best branches, ``distance`` steps above the leaf."""
+    rooted, steps = measured(nodes)
+    leaves = rooted.select("tree", "conv_id", F.col("node").alias("leaf"), (F.col("total") / F.col("depth")).alias("mean"))
+    if steps:
+        leaves = leaves.join(steps[0].select("tree", F.col("up").alias("leaf")).distinct(), ["tree", "leaf"], "left_anti")
+    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf")))
+    if branches is not None:
+        ranked = ranked.filter(F.col("rank") <= branches)
+    paths = cut(ranked.select("tree", "conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance"), "rank"))
     for k in reversed(range(len(steps))):
-        higher = paths.join(steps[k], ["tree", "node"]).select("tree", "conv_id", "leaf", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
+        higher = paths.join(steps[k], ["tree", "node"]).select("tree", "conv_id", "leaf", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"), "rank")
         paths = cut(paths.union(higher))  # uncut, the plan would double with each round
-    scored = cut(paths.join(known.select("tree", "node", "score"), ["tree", "node"]))
-    ranks = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
-    ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf")))
-    if branches is not None:
-        ranks = ranks.filter(F.col("rank") <= branches)
-    return scored.join(ranks.select("tree", "leaf", "rank"), ["tree", "leaf"]).select("tree", "conv_id", "leaf", "node", "distance", "rank")
+    return paths
 
 
 def format_trees(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     """``conv_id, rank, leaf, n_turns, formatted, loss_mask`` (an array of start, end) for each chosen branch.
 
-    ``nodes``: ``conv_id, node, parent, role, text, score``; ``node`` is unique in its conversation.
+    ``nodes``: ``conv_id, node, parent, role, text, score``.
     """
     with tidy_shuffles(nodes.sparkSession):
-        paths = cut(root_paths(nodes, branches))
-    keyed = nodes.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), "node", "role", "text")
+        paths = root_paths(nodes, branches)
+    empty = F.lit("")
+    keyed = nodes.select(_tree(), "node", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     turns = paths.join(keyed, ["tree", "node"])
     gathered = turns.groupBy("tree", "conv_id", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("place"), "role", "text"))).alias("turns"))
+    # A node's further rows come right after its first.
+    once = F.expr("filter(turns, (t, i) -> i = 0 or t.place <> turns[i - 1].place)")
+    gathered = gathered.withColumn("turns", once)
     rows = gathered.select("conv_id", "rank", "leaf", F.expr("transform(turns, t -> t.role)").alias("roles"), F.expr("transform(turns, t -> t.text)").alias("texts"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -15,6 +15,7 @@ from ledgerline.llm import packing, reply_trees
 from ledgerline.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
 NODES = "conv_id long, node long, parent long, role string, text string, score double, leaf string, tree int"
 
 
@@ -41,6 +42,40 @@ def test_trees(spark):
     assert reply_trees.format_trees(nodes.limit(0)).count() == 0
 
 
+def test_what_hangs_on_a_cycle_is_left_out(spark):
+    """A leaf under a cycle beside a long chain: rows stay bounded by the nodes kept."""
+    chain = [(1, i, i - 1 if i else None, "user", f"t{i}", 1.0) for i in range(990)]
+    odd = [(2, 1, 2, "user", "a", 1.0), (2, 2, 1, "user", "b", 1.0), (2, 3, 2, "user", "leaf on a cycle", 1.0), (2, 4, None, "user", "fine", None), (2, None, 4, "user", "no node", 1.0)]
+    nodes = spark.createDataFrame([(*r, "x", 0) for r in chain + odd], NODES)
+    paths = reply_trees.root_paths(nodes, None)
+    assert paths.count() == 991
+    made = {r.conv_id: reply_trees.read_turns(r.formatted) for r in reply_trees.format_trees(nodes, None).collect()}
+    assert made == {1: [("user", f"t{i}") for i in range(990)], 2: [("user", "fine")]}
+
+
+def test_branches_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for tree in range(30):
+        n = rng.randint(1, 40)
+        rows += [(tree, i, rng.choice([None, rng.randrange(n), max(0, i - 1)]), rng.choice(["user", "assistant"]), f"{tree}.{i}", rng.choice([0.0, 0.5, 1.0])) for i in range(n)]
+    want = []
+    for tree in range(30):
+        own = {r[1]: r for r in rows if r[0] == tree}
+        parent = {i: None if r[2] == i or r[2] not in own else r[2] for i, r in own.items()}
+        found = []
+        for leaf in own.keys() - set(parent.values()):
+            path = [leaf]
+            while (up := parent[path[-1]]) is not None and len(path) <= len(own):
+                path.append(up)
+            if len(path) <= len(own):
+                found.append((-sum(own[i][5] for i in path) / len(path), leaf, path[::-1]))
+        want += [(tree, k + 1, leaf, [own[i][3:5] for i in path]) for k, (_, leaf, path) in enumerate(sorted(found)[:3])]
+    nodes = spark.createDataFrame([(*r, "x", 0) for r in rows + rows[:50]], NODES)  # some nodes given twice
+    got = sorted((r.conv_id, r["rank"], r.leaf, reply_trees.read_turns(r.formatted)) for r in reply_trees.format_trees(nodes, 3).collect())
+    assert got == want
+
+
 def test_long_chain_and_repeated_turns(spark):
     turns = spark.createDataFrame([(1, i // 2, "user", f"t{i}") for i in range(301)] + [(2, None, None, None)], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: reply_trees.read_turns(r.formatted) for r in reply_trees.format_trees(reply_trees.chains(turns)).collect()}
@@ -71,6 +106,13 @@ def test_encoder_agrees_with_the_tokenizer(spark):
         assert ours.ids(text.encode()) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["<|ENDOFTEXT|>", "<|startOfText|>", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "|", "End", "é", "Ab", " ", "\n", ".", "9", "'S", "<"]), max_size=9))
+def test_special_tokens_of_any_case(parts):
+    text = "".join(parts)
+    assert packing.encoder(PATH).ids(text.encode()) == np.asarray(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_pieces_cover_every_id_once(spark):
     sf, tokenizer = "/root/testdata/sf0.001", Tokenizer.from_file(PATH)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
