@@ -83,16 +83,12 @@ def measured(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     state = cut(joined.select("l.tree", "l.conv_id", "l.node", F.col("p.node").alias("up"), F.col("l.own.score").alias("total"), F.lit(1).cast("long").alias("depth")))
     steps, before = [], -1
     # A round that ends no path will never end one: the deepest open node has ancestors at every smaller depth.
-    while (left := (open_ := state.filter("up is not null").select("tree", "node", "up")).count()) and left != before:
-        steps.append(open_)
+    while (left := (open_ := state.filter("up is not null")).count()) and left != before:
+        steps.append(open_.select("tree", "node", "up"))
         before = left
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
-        moved = state.join(above, ["tree", "up"], "left")
-        state = cut(
-            moved.select(
-                "tree", "conv_id", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
-            )
-        )
+        moved = open_.join(above, ["tree", "up"]).select("tree", "conv_id", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("further")).alias("depth"))
+        state = cut(state.filter("up is null").union(moved))
     return state.filter("up is null"), steps
 
 
@@ -123,21 +119,22 @@ def format_trees(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     keyed = nodes.select(_tree(), "node", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     turns = paths.join(keyed, ["tree", "node"])
     gathered = turns.groupBy("tree", "conv_id", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("place"), "role", "text"))).alias("turns"))
-    # A node's further rows come right after its first.
-    once = F.expr("filter(turns, (t, i) -> i = 0 or t.place <> turns[i - 1].place)")
-    gathered = gathered.withColumn("turns", once)
-    rows = gathered.select("conv_id", "rank", "leaf", F.expr("transform(turns, t -> t.role)").alias("roles"), F.expr("transform(turns, t -> t.text)").alias("texts"))
+    fields = ("place", "role", "text")
+    rows = gathered.select("conv_id", "rank", "leaf", *[F.expr(f"transform(turns, t -> t.{c})").alias(c) for c in fields])
+
+    def turns_of(part: pa.RecordBatch) -> Iterator[list[tuple[str, str]]]:
+        """Of a node's rows, which follow each other, the first one."""
+        for places, roles, texts in zip(*(part.column(c).to_pylist() for c in fields), strict=True):
+            yield [(r, t) for before, place, r, t in zip([None, *places], places, roles, texts) if place != before]  # noqa: B905
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                made = [format_turns(list(zip(r, t, strict=True))) for r, t in zip(part.column("roles").to_pylist(), part.column("texts").to_pylist(), strict=True)]
-                masks = pa.array([[{"start": s, "end": e} for s, e in mask] for _, mask in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("conv_id", "rank", "leaf")), pa.array([len(x) for x in part.column("roles").to_pylist()], pa.int64()), pa.array([f for f, _ in made], pa.string()), masks],
-                    ["conv_id", "rank", "leaf", "n_turns", "formatted", "loss_mask"],
-                )
+                made = [(len(turns), *format_turns(turns)) for turns in turns_of(part)]
+                masks = pa.array([[{"start": s, "end": e} for s, e in mask] for _, _, mask in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                columns = [part.column(c) for c in ("conv_id", "rank", "leaf")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _, _ in made], pa.int64()), pa.array([f for _, f, _ in made], pa.string()), masks], ["conv_id", "rank", "leaf", "n_turns", "formatted", "loss_mask"])
 
     return rows.mapInArrow(work, "conv_id long, rank int, leaf long, n_turns long, formatted string, loss_mask array<struct<start: bigint, end: bigint>>")
 
