@@ -26,11 +26,13 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where the session names none (tests)."""
+    """The folder that all executors share. A folder of this machine's own serves a local session only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="llm-checkpoints-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -112,6 +114,21 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
     pa.default_memory_pool().release_unused()  # the worker lives on, idle, beside the next stage's
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, pa.Table]]:
+    """Each key with its rows, from a stream sorted by the key."""
+    now, held = None, []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        for a, b in zip(*runs_of(values), strict=True):
+            if held and values[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' UTF-8 bytes in one array, and each text's start in it (one entry more than texts); null: empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())

@@ -1,18 +1,23 @@
 """Operator 5, LM scoring: a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting. Training texts give unigram and bigram hashes; tasks combine them over about a million tokens at a time and
-Spark sums them. A count c has the level 1 + floor(log(c) / log(BASE)); every unigram and every bigram is kept.
+Slices. Texts are gathered to slices of about ``SLICE`` bytes, once, in the shared folder; a slice's distinct n-grams travel together.
 
-Filter. An n-gram of level q is inserted q times, as (n-gram, 1) ... (n-gram, q). The filter consists of fixed segments; an
-n-gram's bits all lie in the segment that its hash names, so segments are built where the n-grams are and travel as
-finished bytes. It has ``BITS`` bits for each insertion, so its size follows the corpus.
+Counting. N-grams are dealt out by their hashes to buckets, as many as the corpus needs for buckets of one size. The slices of
+training texts send each bucket its words and bigrams with their counts, a row per slice and bucket. A bucket adds them up; a count c
+has the level 1 + floor(log(c) / log(BASE)). Every word and every bigram is kept.
 
-Probing. A worker probes (n-gram, 1), (n-gram, 2), ... until the first miss; the last hit is the level. The bigram
-estimate is smoothed with the unigram one: p(w | v) = WEIGHT c(v w) / c(v) + (1 - WEIGHT) p(w), p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+Filter. A bucket has a Bloom filter of ``bits`` bits for each insertion: an n-gram of level q is inserted q times, as (n-gram, 1)
+... (n-gram, q). Beside the filter lie the exact counts of the bucket's words, for the base score, and of each word v the mass
+S(v) of its bigrams: the sum of what their levels stand for.
 
-Broadcasts are bounded: the filter and the exact unigram counts (for the base score) are cut into shards of at most
-``SHARD_BYTES`` together. Each pass over the texts broadcasts one shard and notes what it answers; between passes the rows
-lie in the shared folder. One shard is the usual case at gigabytes; the number of passes follows the corpus.
+Probing. Slices ask each bucket about their distinct n-grams; the bucket probes (n-gram, 1), (n-gram, 2), ... until the first miss, and
+the last hit is the level. With q() for what a level stands for, bigrams are smoothed with words, these with one unknown word:
+p(w | v) = WEIGHT q(v w) / S(v) + (1 - WEIGHT) p(w) and p(w) = (q(w) + 0.5) / (sum of q + 0.5 (V + 1)), where p(w | v) = p(w) after an
+unknown v. Numerators and denominators are sums of the same quantised counts, so over all words and the unknown one each of
+them sums to 1, but for the filter's rare false hits.
+
+The filter grows with the corpus, so no broadcast of it has a size bound: its buckets meet the probes by shuffle. Each text is read
+three times (gathered, asked for, scored), whatever the size of the corpus.
 
 Nulls: a null text has no words, only the end token; a null id counts as training. Repeated rows count each. Empty
 tables give no rows. Further columns are ignored.
@@ -20,16 +25,16 @@ tables give no rows. Further columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Polynomial, byte_table, cut, mix, remove_path, shared_path, text_bytes, text_slices, tidy_shuffles, word_hashes, word_spans
+from ledgerline.llm.common import Polynomial, byte_table, cut, key_runs, mix, text_bytes, text_slices, tidy_shuffles, word_hashes, word_spans
 
 POLY = Polynomial(0xA0761D6478BD642F)
 TABLE = byte_table(5)
@@ -37,9 +42,11 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x89ABCDE)
 BASE, WEIGHT = 1.5, 0.3
-#: Bits for each insertion, hash functions, bits of a segment (a power of two).
-BITS, PROBES, SEGMENT = 12, 6, 1 << 17
-SHARD_BYTES = 128 << 20
+#: Bits for each insertion, hash functions.
+BITS, PROBES = 12, 6
+#: Bytes of text of a slice, and for each bucket.
+SLICE, BUCKET = 1 << 20, 8 << 20
+#: Tokens (or sums) that a task combines before it sends them.
 COMBINED = 1_000_000
 
 
@@ -54,211 +61,290 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tokens, bounds
 
 
-def bigrams(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it."""
+def bigrams(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each token with the one before it, and the latter."""
     before = np.r_[BEGIN, tokens[:-1]]
     before[bounds[:-1]] = BEGIN
-    return mix(before * np.uint64(0xE7037ED1A0B428DB) + tokens)
+    return mix(before * np.uint64(0xE7037ED1A0B428DB) + tokens), before
+
+
+# --- slices and buckets -------------------------------------------------------------------------------------------
+
+
+def slices_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out: Column | None = None) -> DataFrame:
+    """``slice, ids, held, ends, body``: texts one after another, compressed, with the place where each ends; written, as slices are named by their task."""
+    held = F.lit(False) if held_out is None else held_out
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_column).cast("string").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in text_slices(batches, limit=SLICE):
+            data, offsets = text_bytes(batch.column("text"))
+            whole = pa.array([0, batch.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(whole, c) for c in (batch.column("id"), batch.column("held"), pa.array(offsets[1:]))]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())], ["slice", "ids", "held", "ends", "body"])
+            number += 1
+
+    return cut(rows.mapInArrow(work, "slice long, ids array<long>, held array<boolean>, ends array<long>, body binary"))
+
+
+def _tokens(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the first row, a slice, and where each text's tokens start."""
+    offsets = np.r_[0, row.column("ends")[0].values.to_numpy()]
+    body = pa.decompress(row.column("body")[0].as_buffer(), int(offsets[-1]), "zstd") if offsets[-1] else b""
+    return token_hashes(np.frombuffer(body, np.uint8), offsets)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys in ascending order have buckets in ascending order."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The values between the cuts, as bytes."""
+    values = np.ascontiguousarray(values)
+    places = (cuts * values.itemsize).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(places), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _values(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), kind)
+
+
+def _dealt(words: np.ndarray, pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of two sorted arrays of keys, and the cuts of each array by these."""
+    of_words, of_pairs = bucket_of(words, buckets), bucket_of(pairs, buckets)
+    there = np.union1d(of_words, of_pairs)
+    return there, np.r_[np.searchsorted(of_words, there), len(words)], np.r_[np.searchsorted(of_pairs, there), len(pairs)]
 
 
 # --- counting -----------------------------------------------------------------------------------------------------
 
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """``bigram, key, n`` over all texts (column ``text``)."""
+def quantised(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(BASE) + 1e-9), 255).astype(np.uint8)
+
+
+def level_value(levels: np.ndarray) -> np.ndarray:
+    """The count that stands for a level: the middle of its range, on the log scale."""
+    return np.where(levels > 0, BASE ** (levels.astype(np.float64) - 0.5), 0.0)
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sums of their values, and a place of each."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) > 0]) if len(keys) else np.empty(0, np.int64)
+    return keys[order[starts]], np.add.reduceat(values[order], starts) if len(keys) else values, order[starts]
 
-    def rows(keys: list[np.ndarray], bigram: bool) -> pa.RecordBatch:
-        found, counts = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bigram)), pa.array(found.view(np.int64)), pa.array(counts)], ["bigram", "key", "n"])
+
+def count_ngrams(slices: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, words, word_counts, pairs, firsts, pair_counts`` of the training texts; a bigram comes with its first word."""
+    names = ["bucket", "words", "word_counts", "pairs", "firsts", "pair_counts"]
+
+    def sent(tokens: list[np.ndarray], twos: list[np.ndarray], before: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate([*tokens, [BEGIN]]), return_counts=True)
+        n[np.searchsorted(words, BEGIN)] -= 1  # no word, but it has bigrams
+        pairs, at, m = np.unique(np.concatenate(twos), return_index=True, return_counts=True)
+        there, a, b = _dealt(words, pairs, buckets)
+        columns = [_blobs(words, a), _blobs(n.astype(np.uint32), a), _blobs(pairs, b), _blobs(np.concatenate(before)[at], b), _blobs(m.astype(np.uint32), b)]
+        return pa.RecordBatch.from_arrays([pa.array(there), *columns], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos, held = [], [], 0
-        for batch in text_slices(batches):
-            tokens, bounds = token_hashes(*text_bytes(batch.column("text")))
-            ones.append(tokens)
-            twos.append(bigrams(tokens, bounds))
-            held += len(tokens)
-            if held >= COMBINED:
-                yield rows(ones, False)
-                yield rows(twos, True)
-                ones, twos, held = [], [], 0
+        parts, held = ([], [], []), 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                tokens, bounds = _tokens(row)
+                training = np.repeat(~row.column("held")[0].values.to_numpy(zero_copy_only=False), np.diff(bounds))
+                for part, values in zip(parts, (tokens, *bigrams(tokens, bounds)), strict=True):
+                    part.append(values[training])
+                held += len(parts[0][-1])
+                if held >= COMBINED:
+                    yield sent(*parts)
+                    parts, held = ([], [], []), 0
         if held:
-            yield rows(ones, False)
-            yield rows(twos, True)
+            yield sent(*parts)
 
-    return texts.select("text").mapInArrow(work, "bigram boolean, key long, n long").groupBy("bigram", "key").agg(F.sum("n").alias("n"))
+    return slices.select("held", "ends", "body").mapInArrow(work, "bucket long, words binary, word_counts binary, pairs binary, firsts binary, pair_counts binary")
 
 
 # --- the filter ---------------------------------------------------------------------------------------------------
 
 
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(segments)).astype(np.int64)
-
-
-def bit_places(keys: np.ndarray, levels) -> Iterator[np.ndarray]:
-    """For each hash function the bits, within their segments, of (key, level)."""
+def bit_places(keys: np.ndarray, levels, n_bits: int) -> Iterator[np.ndarray]:
+    """For each hash function the bit of (key, level)."""
     h = mix(keys + np.asarray(levels).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-    step = (h >> np.uint64(32)) | np.uint64(1)
+    low, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
-        yield ((h + np.uint64(i) * step) & np.uint64(SEGMENT - 1)).astype(np.int64)
+        yield (((low + np.uint64(i) * step & np.uint64(0xFFFFFFFF)) * np.uint64(n_bits)) >> np.uint64(32)).astype(np.int64)
+
+
+def filled(keys: np.ndarray, levels: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter with each key inserted as often as its level says, and its number of bits."""
+    n_bits = max(8, int(levels.sum(dtype=np.int64)) * bits)
+    flags = np.zeros(n_bits, bool)
+    level = 1
+    while len(keys):
+        for place in bit_places(keys, np.uint64(level), n_bits):
+            flags[place] = True
+        more = levels > level
+        keys, levels, level = keys[more], levels[more], level + 1
+    return np.packbits(flags, bitorder="little"), n_bits
+
+
+def probed(keys: np.ndarray, flags: np.ndarray, n_bits: int) -> np.ndarray:
+    """Levels of the keys: of (key, 1), (key, 2), ... the last one before the first miss."""
+    out, alive, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
+    while len(alive) and level < 255:
+        level += 1
+        hit = np.ones(len(alive), bool)
+        for place in bit_places(keys[alive], np.uint64(level), n_bits):
+            hit &= (flags[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        alive = alive[hit]
+        out[alive] = level
+    return out
+
 
+MODEL = "bucket long, of long, tokens long, types long, mass double, n_bits long, bits binary, words binary, counts binary, masses binary"
 
-def build_segments(levels: DataFrame, segments: int) -> DataFrame:
-    """``segment, bits`` from ``key, level``."""
-    width = SEGMENT // 8
+
+def build(counts: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """The model: for each bucket its filter, its words with their counts and the masses of their bigrams."""
+    names = ["bucket", "kind", "tokens", "types", "mass", "n_bits", "bits", "words", "counts", "masses"]
+    types = "bucket long, kind byte, tokens long, types long, mass double, n_bits long, bits binary, words binary, counts binary, masses binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = -1, None
-        for batch in batches:
-            ids = batch.column("segment").to_numpy()
-            keys, level = batch.column("key").to_numpy().view(np.uint64), batch.column("level").to_numpy()
-            cuts = np.r_[np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]), len(ids)] if len(ids) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if ids[a] != now:
-                    if bits is not None:
-                        yield packed(now, bits)
-                    now, bits = int(ids[a]), np.zeros(SEGMENT, bool)
-                n = level[a:b]
-                each = np.repeat(keys[a:b], n)
-                counted = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + 1
-                for place in bit_places(each, counted):
-                    bits[place] = True
-        if bits is not None:
-            yield packed(now, bits)
-
-    def packed(segment: int, bits: np.ndarray) -> pa.RecordBatch:
-        assert len(out := np.packbits(bits, bitorder="little").tobytes()) == width
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([out], pa.binary())], ["segment", "bits"])
-
-    # The segment of segment_of, in Spark's signed arithmetic.
-    placed = levels.withColumn("segment", F.shiftrightunsigned("key", 20) % segments)
-    return placed.select("segment", "key", "level").repartition("segment").sortWithinPartitions("segment").mapInArrow(work, "segment long, bits binary")
-
-
-class Shard:
-    """Every ``of``-th segment and the exact unigram counts whose key leaves the remainder ``k``."""
-
-    def __init__(self, k: int, of: int, segments: int, bits: np.ndarray, words: np.ndarray, counts: np.ndarray):
-        self.k, self.of, self.segments, self.bits, self.words, self.counts = k, of, segments, bits, words, counts
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of sorted distinct keys; 0 for those of other shards."""
-        out = np.zeros(len(keys), np.uint8)
-        if not self.segments:
-            return out
-        segment = segment_of(keys, self.segments)
-        alive = np.flatnonzero(segment % self.of == self.k)
-        start = (segment // self.of) * (SEGMENT // 8)
-        level = 0
-        while len(alive) and level < 255:
-            level += 1
-            alive = alive[self._all(keys[alive], level, start[alive])]
-            out[alive] = level
-        return out
-
-    def _all(self, keys: np.ndarray, level: int, start: np.ndarray) -> np.ndarray:
-        good = np.ones(len(keys), bool)
-        for place in bit_places(keys, np.uint64(level)):
-            good &= ((self.bits[start + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
-        return good
-
-    def exact(self, keys: np.ndarray) -> np.ndarray:
-        """Exact unigram counts of sorted distinct keys; 0 for unknown ones and those of other shards."""
-        if not len(self.words):
-            return np.zeros(len(keys), np.int64)
-        place = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[place] == keys, self.counts[place], 0).astype(np.int64)
+        firsts, masses, held = [], [], 0
+        for bucket, rows in key_runs(batches, "bucket"):
+            words, n, _ = summed(_values(rows.column("words"), np.uint64), _values(rows.column("word_counts"), np.uint32).astype(np.int64))
+            pairs, m, at = summed(_values(rows.column("pairs"), np.uint64), _values(rows.column("pair_counts"), np.uint32).astype(np.int64))
+            known, levels, pair_levels = n > 0, quantised(n), quantised(m)
+            flags, n_bits = filled(np.r_[words[known], pairs], np.r_[levels[known], pair_levels], bits)
+            sums = [[int(n.sum())], [int(known.sum())], [float(level_value(levels[known]).sum())], [n_bits]]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([0], pa.int8()), *map(pa.array, sums), *(pa.array([x.tobytes()], pa.binary()) for x in (flags, words, n)), pa.nulls(1, pa.binary())], names)
+            firsts.append(_values(rows.column("firsts"), np.uint64)[at])
+            masses.append(level_value(pair_levels))
+            if (held := held + len(pairs)) >= COMBINED:
+                yield sent(firsts, masses)
+                firsts, masses, held = [], [], 0
+        if held:
+            yield sent(firsts, masses)
 
+    def sent(firsts: list[np.ndarray], masses: list[np.ndarray]) -> pa.RecordBatch:
+        words, mass, _ = summed(np.concatenate(firsts), np.concatenate(masses))
+        there, a, _ = _dealt(words, words[:0], buckets)
+        n = len(there)
+        empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.ones(n, np.int8)), *empty, _blobs(words, a), pa.nulls(n, pa.binary()), _blobs(mass, a)], names)
 
-def level_value(levels: np.ndarray) -> np.ndarray:
-    """The count that stands for a level: the middle of its range, on the log scale."""
-    return np.where(levels > 0, BASE ** (levels.astype(np.float64) - 0.5), 0.0)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in key_runs(batches, "bucket"):
+            head, rest = rows.slice(0, 1).combine_chunks().to_batches()[0], rows.slice(1)
+            words = _values(head.column("words"), np.uint64)
+            total = np.zeros(len(words))
+            np.add.at(total, np.searchsorted(words, _values(rest.column("words"), np.uint64)), _values(rest.column("masses"), np.float64))
+            own = [head.column(c) for c in ("tokens", "types", "mass", "n_bits", "bits", "words", "counts")]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([buckets]), *own, pa.array([total.tobytes()], pa.binary())], MODEL_NAMES)
+
+    parts = cut(counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, types))
+    return parts.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(joined, MODEL)
+
+
+def train(slices: DataFrame, *, bits: int = BITS, bucket_bytes: int = BUCKET) -> DataFrame:
+    """The model of the slices' texts that are not held out."""
+    size = slices.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+    buckets = max(1, -(-size // bucket_bytes))
+    return cut(build(count_ngrams(slices, buckets), buckets, bits))
 
 
 # --- scoring ------------------------------------------------------------------------------------------------------
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def answers(slices: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
+    """``slice, bucket, word_levels, counts, masses, pair_levels``: what the buckets know of a slice's distinct n-grams, in their order."""
 
-def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per document: tokens, known tokens, the exact unigram base score and the filter model's log10 probability."""
-    spark = docs.sparkSession
-    held = F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    with tidy_shuffles(spark):
-        counts = cut(count_ngrams(rows.filter("not held_out")))
-        level = (F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1).cast("long")
-        counts = counts.withColumn("level", F.least(level, F.lit(255)))
-        sums = counts.agg(F.sum("level"), F.sum(F.when(~F.col("bigram"), F.col("n"))), F.sum(F.when(~F.col("bigram"), 1))).first()
-        inserted, total, distinct = (int(x or 0) for x in sums)
-        starts = rows.filter("not held_out").count()
-        segments = max(1, -(-inserted * BITS // SEGMENT))
-        shards = max(1, -(-(segments * SEGMENT // 8 + 12 * distinct) // shard_bytes))
-        filled = build_segments(counts.select("key", "level"), segments)
-        filled = cut(filled) if shards > 1 else filled
-    words = counts.filter("not bigram").select("key", F.col("n"))
-
-    def shard(k: int):
-        part = filled.filter(F.col("segment") % shards == k).toArrow()
-        bits = np.zeros(-(-segments // shards) * (SEGMENT // 8), np.uint8)
-        for s, b in zip(part.column("segment").to_pylist(), part.column("bits"), strict=True):
-            at = s // shards * (SEGMENT // 8)
-            bits[at : at + SEGMENT // 8] = np.frombuffer(b.as_buffer(), np.uint8)
-        del part
-        known = words.filter(F.pmod("key", F.lit(shards)) == k).toArrow()
-        keys, n = known.column("key").to_numpy().view(np.uint64), known.column("n").to_numpy()
-        order = np.argsort(keys)
-        small = n.max(initial=0) < 1 << 32
-        return spark.sparkContext.broadcast(Shard(k, shards, segments, bits, keys[order], n[order].astype(np.uint32 if small else np.int64)))
-
-    whole = total + 0.5 * (distinct + 1)
-
-    def passed(handle, first: bool, last: bool):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = handle.value
-            for batch in text_slices(batches):
-                tokens, bounds = token_hashes(*text_bytes(batch.column("text")))
-                pairs = bigrams(tokens, bounds)
-                ones, where = np.unique(tokens, return_inverse=True)
-                exact = part.exact(ones)[where]
-                own = np.stack([part.levels(ones)[where], np.zeros(len(tokens), np.uint8)], 1)
-                twos, where = np.unique(pairs, return_inverse=True)
-                own[:, 1] = part.levels(twos)[where]
-                sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else x
-                known = sums((exact > 0).astype(np.int64))
-                base = sums(np.where(exact > 0, np.log10((exact + 0.5) / whole), 0.0))
-                if not first:
-                    known, base = known + batch.column("n_known").to_numpy(), base + batch.column("base").to_numpy()
-                    own |= np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, 2)
-                ids = [batch.column("doc_id"), batch.column("held_out")]
-                if not last:
-                    levels = [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*ids, batch.column("text"), pa.array(known), pa.array(base), pa.array(levels, pa.binary())], ["doc_id", "held_out", "text", "n_known", "base", "levels"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens, bounds = _tokens(batch.slice(i, 1))
+                words, pairs = np.unique(np.r_[tokens, BEGIN]), np.unique(bigrams(tokens, bounds)[0])
+                there, a, b = _dealt(words, pairs, buckets)
+                where = pa.array(np.full(len(there), batch.column("slice")[i].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(there), where, _blobs(words, a), _blobs(pairs, b)], ["bucket", "slice", "words", "pairs"])
+
+    asked = slices.select("slice", "ends", "body").mapInArrow(ask, "bucket long, slice long, words binary, pairs binary")
+    nothing = F.lit(None).cast("binary")
+    known = model.select("bucket", F.lit(-1).cast("long").alias("slice"), "words", nothing.alias("pairs"), "n_bits", "bits", "counts", "masses")
+    asked = asked.select("bucket", "slice", "words", "pairs", F.lit(None).cast("long").alias("n_bits"), *(nothing.alias(c) for c in ("bits", "counts", "masses")))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = -1, (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0), np.zeros(1, np.uint8), 8)
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                bucket, part = batch.column("bucket")[i].as_py(), batch.column("slice")[i].as_py()
+                words = np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64)
+                if part < 0:
+                    own = [np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("counts", np.int64), ("masses", np.float64), ("bits", np.uint8))]
+                    of, table = bucket, (words.copy(), *own, batch.column("n_bits")[i].as_py())
                     continue
-                one, two = level_value(own[:, 0]), level_value(own[:, 1])
-                before = np.r_[0.0, one[:-1]]
-                before[bounds[:-1]] = starts
-                smooth = (one + 0.5) / whole
-                seen = np.minimum(two, before) / np.maximum(before, 1.0)
-                score = sums(np.log10(WEIGHT * seen + (1 - WEIGHT) * smooth))
-                n = np.diff(bounds)
-                base += (n - known) * math.log10(0.5 / whole)
-                columns = [pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays([*ids, *columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        return work
-
-    written = []
-    for k in range(shards):
-        last = k == shards - 1
-        state = "doc_id long, held_out boolean, text string, n_known long, base double, levels binary"
-        rows = rows.mapInArrow(passed(shard(k), k == 0, last), RESULT if last else state)
-        if not last:
-            path = shared_path(spark, "lm-pass")
-            rows.write.parquet(path)
-            rows = spark.read.parquet(path)
-            with contextlib.suppress(IndexError):
-                remove_path(spark, written[-1])
-            written.append(path)
-    return rows
+                known, counts, masses, flags, n_bits = table if of == bucket else (words[:0], np.empty(0, np.int64), np.empty(0), np.zeros(1, np.uint8), 8)
+                place = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+                found = known[place] == words if len(known) else np.zeros(len(words), bool)
+                exact, mass = (np.where(found, x[place], 0).astype(x.dtype) if len(known) else np.zeros(len(words), x.dtype) for x in (counts, masses))
+                levels = [probed(keys, flags, n_bits) for keys in (words, np.frombuffer(batch.column("pairs")[i].as_buffer(), np.uint64))]
+                rows.append((part, bucket, levels[0].tobytes(), exact.tobytes(), mass.tobytes(), levels[1].tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["slice", "bucket", "word_levels", "counts", "masses", "pair_levels"])
+
+    met = known.union(asked).repartition("bucket").sortWithinPartitions("bucket", "slice")
+    return met.mapInArrow(answer, "slice long, bucket long, word_levels binary, counts binary, masses binary, pair_levels binary")
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(slices: DataFrame, model: DataFrame) -> DataFrame:
+    """Per text of the slices: tokens, known tokens, the exact unigram base score and the filter model's log10 probability."""
+    buckets, total, distinct, mass = model.agg(F.max("of"), F.sum("tokens"), F.sum("types"), F.sum("mass")).first()
+    buckets, total, distinct, mass = buckets or 1, total or 0, distinct or 0, mass or 0.0
+    whole, quantised_whole = total + 0.5 * (distinct + 1), mass + 0.5 * (distinct + 1)
+    lists = [f.name for f in slices.schema.fields if f.name != "slice"]
+    replies = ["word_levels", "counts", "masses", "pair_levels"]
+    nothing = F.lit(None).cast("binary")
+    texts = slices.select("slice", F.lit(-1).cast("long").alias("bucket"), *lists, *(nothing.alias(c) for c in replies))
+    said = answers(slices, model, buckets)
+    said = said.select("slice", "bucket", *(F.lit(None).cast(slices.schema[c].dataType).alias(c) for c in lists), *replies)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in key_runs(batches, "slice"):
+            head = rows.slice(0, 1).combine_chunks().to_batches()[0]
+            rest = rows.slice(1)
+            tokens, bounds = _tokens(head)
+            word_levels, counts, masses, pair_levels = (_values(rest.column(c), t) for c, t in zip(replies, (np.uint8, np.int64, np.float64, np.uint8), strict=True))
+            places = np.unique(np.r_[tokens, BEGIN], return_inverse=True)[1]
+            pairs, before = bigrams(tokens, bounds)
+            first = np.r_[places[-1], places[: len(tokens) - 1]]
+            first[bounds[:-1]] = places[-1]
+            places = places[:-1]
+            exact = counts[places]
+            one = (level_value(word_levels)[places] + 0.5) / quantised_whole
+            two, context = level_value(pair_levels)[np.unique(pairs, return_inverse=True)[1]], masses[first]
+            smooth = np.where(context > 0, WEIGHT * np.minimum(two, context) / np.maximum(context, 1.0) + (1 - WEIGHT) * one, one)
+            sums = lambda x: np.add.reduceat(x, bounds[:-1])
+            columns = [np.diff(bounds), sums((exact > 0).astype(np.int64)), np.full(len(bounds) - 1, total), sums(np.log10((exact + 0.5) / whole)), sums(np.log10(smooth))]
+            yield pa.RecordBatch.from_arrays([head.column("ids")[0].values, head.column("held")[0].values, *map(pa.array, columns)], RESULT_NAMES)
+
+    return texts.union(said).repartition("slice").sortWithinPartitions("slice", "bucket").mapInArrow(work, RESULT)
+
+
+MODEL_NAMES, RESULT_NAMES = ([field.split()[0] for field in schema.split(", ")] for schema in (MODEL, RESULT))
+
+
+def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS, bucket_bytes: int = BUCKET) -> DataFrame:
+    """Scores of all documents by the model of those whose CRC-32 of the id leaves another remainder than 1 by 5."""
+    held = F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 1
+    with tidy_shuffles(docs.sparkSession):
+        slices = slices_of(docs, id_column, text_column, held)
+        return score(slices, train(slices, bits=bits, bucket_bytes=bucket_bytes))

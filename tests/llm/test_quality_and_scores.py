@@ -83,41 +83,57 @@ def test_false_rejection_on_unseen_labels(spark):
     assert counts.get((False, False), 0) >= 0.3 * (counts.get((False, True), 0) + counts.get((False, False), 0))
 
 
-def test_base_scores_and_shards(spark):
+def test_scores_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120)
-    docs = docs.union(spark.createDataFrame([(100_001, None), (100_002, ""), (None, "unseen words here"), (100_003, "The THE the")], docs.schema)).checkpoint()
-    counts, rows = collections.Counter(), docs.collect()
+    docs = docs.union(spark.createDataFrame([(100_001, None), (100_002, ""), (None, "unseen words here"), (100_003, "The THE the"), (100_006, "the new words")], docs.schema)).checkpoint()
+    words, pairs, rows = collections.Counter(), collections.Counter(), docs.collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     tokens = lambda t: (t or "").encode().lower().split() + [None]
     for r in rows:
         if not held(r.doc_id):
-            counts.update(tokens(r.text))
-    total, distinct = sum(counts.values()), len(counts)
-    one = {r.doc_id: r for r in logfreq.score_documents(docs).collect()}
-    many = {r.doc_id: r for r in logfreq.score_documents(docs, shard_bytes=30_000).collect()}
-    for r in rows:
-        got, own = one[r.doc_id], tokens(r.text)
-        base = sum(math.log10((counts[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in own)
-        assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens) == (held(r.doc_id), len(own), sum(counts[t] > 0 for t in own), total)
-        assert math.isclose(got.base_score, base, rel_tol=1e-9)
-        assert math.isclose(many[r.doc_id].score, got.score, rel_tol=1e-9) and math.isclose(many[r.doc_id].base_score, base, rel_tol=1e-9)
-        assert got.score < 0
+            own = tokens(r.text)
+            words.update(own)
+            pairs.update(zip(["begin", *own], own))
+    total, distinct = sum(words.values()), len(words)
+    q = lambda n: n and 1.5 ** (math.floor(math.log(n) / math.log(1.5) + 1e-9) + 0.5)
+    mass, whole = collections.Counter(), sum(map(q, words.values())) + 0.5 * (distinct + 1)
+    for (v, _), n in pairs.items():
+        mass[v] += q(n)
+    one = lambda w: (q(words[w]) + 0.5) / whole
+    two = lambda v, w: 0.3 * q(pairs[v, w]) / mass[v] + 0.7 * one(w) if mass[v] else one(w)
+    for v in ("begin", b"the", "never seen"):
+        assert math.isclose(sum(two(v, w) for w in [*words, "never seen"]), 1)
+    # With this many bits, no probe hits by chance.
+    for options in ({"bits": 200}, {"bits": 200, "bucket_bytes": 20_000}):
+        got = {r.doc_id: r for r in logfreq.score_documents(docs, **options).collect()}
+        for r in rows:
+            found, own = got[r.doc_id], tokens(r.text)
+            base = sum(math.log10((words[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in own)
+            assert (found.held_out, found.n_tokens, found.n_known, found.train_tokens) == (held(r.doc_id), len(own), sum(words[t] > 0 for t in own), total)
+            assert math.isclose(found.base_score, base, rel_tol=1e-9)
+            assert math.isclose(found.score, sum(math.log10(two(v, w)) for v, w in zip(["begin", *own], own)), rel_tol=1e-9)
+    usual = {r.doc_id: r.score for r in logfreq.score_documents(docs).collect()}
+    assert all(usual[r.doc_id] >= got[r.doc_id].score - 1e-9 for r in rows)  # the filter only ever errs upwards
+    assert sum(usual.values()) - sum(r.score for r in got.values()) < 0.01 * -sum(usual.values())
     assert logfreq.score_documents(docs.limit(0)).count() == 0
 
 
-def test_filter_never_misses_and_seldom_invents(spark):
+def test_a_model_scores_other_texts(spark):
+    """Trained on one table, asked about another one."""
+    texts = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(40))) for i in range(50)]
+    model = logfreq.train(logfreq.slices_of(spark.createDataFrame(texts, "doc_id long, text string")), bucket_bytes=5000)
+    others = spark.createDataFrame([(1, texts[3][1]), (2, " ".join(sorted(texts[3][1].split()))), (3, "none of these")], "doc_id long, text string")
+    got = {r.doc_id: r for r in logfreq.score(logfreq.slices_of(others), model).collect()}
+    assert got[1].score > got[2].score and got[3].n_known == 1 and model.count() > 1
+
+
+def test_filter_never_misses_and_seldom_invents():
     keys = logfreq.mix(np.arange(1, 20_001, dtype=np.uint64))
-    levels = np.arange(20_000) % 7 + 1
-    rows = spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), levels.tolist())), "key long, level long")
-    segments = max(1, -(-int(levels.sum()) * logfreq.BITS // logfreq.SEGMENT))
-    bits = np.zeros(segments * logfreq.SEGMENT // 8, np.uint8)
-    for r in logfreq.build_segments(rows, segments).collect():
-        at = r.segment * (logfreq.SEGMENT // 8)
-        bits[at : at + logfreq.SEGMENT // 8] = np.frombuffer(bytes(r.bits), np.uint8)
-    shard = logfreq.Shard(0, 1, segments, bits, np.empty(0, np.uint64), np.empty(0, np.uint32))
-    found = shard.levels(keys)
+    levels = (np.arange(20_000) % 7 + 1).astype(np.uint8)
+    flags, n_bits = logfreq.filled(keys, levels, logfreq.BITS)
+    found = logfreq.probed(keys, flags, n_bits)
     assert (found >= levels).all() and (found > levels).mean() < 0.02
-    assert (shard.levels(logfreq.mix(np.arange(50_000, 70_000, dtype=np.uint64))) > 0).mean() < 0.02
+    assert (logfreq.probed(logfreq.mix(np.arange(50_000, 70_000, dtype=np.uint64)), flags, n_bits) > 0).mean() < 0.02
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
