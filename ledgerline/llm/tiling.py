@@ -1,12 +1,17 @@
 """Operator 9, benchmark decontamination: greedy string tiling with running Karp-Rabin hashes.
 
-Words are runs of letters and digits, A-Z lower-cased. Rolling hashes of every ``least`` words of a document are looked up among
-those of the benchmark; a shared seed makes the pair of document and item a candidate. For a candidate, seeds on one diagonal
-extend to maximal matches, and the tiling marks the longest unmarked match again and again (what a mark cuts goes back as
-its unmarked parts, the hash length thus running down to ``least``). Tiles never overlap and may come in any order, so passages
-whose parts were moved are still covered. An item is leaked if tiles cover ``coverage`` of its words.
+Words are runs of letters and digits, A-Z lower-cased. Rolling hashes of every ``least`` words of a document are joined with
+those of the benchmark. An item counts as leaked if tiles cover ``coverage`` of its words, and words are covered by shared seeds
+only; so of each item only its rarest seeds are listed, as many as it takes that the others alone cannot cover enough. A shared
+listed seed makes the pair of document and item a candidate: a phrase that many items share makes none by itself.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text; documents pass each block in the same scan and are never shuffled.
+A candidate's matches are found from their first words on: places with equal seeds but different words before them. So a
+word repeated n times does not make n * n pairs. How far each match goes is a binary search over running Karp-Rabin hashes. The tiling
+marks the longest unmarked match again and again (what a mark cuts goes back as its unmarked parts, down to ``least``). Tiles
+never overlap and may come in any order, so passages whose parts were moved are still covered.
+
+The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text (or one item), one at a time: each block is a pass over the
+documents, which are never shuffled, and is destroyed before the next one is made. One block is the usual case.
 
 Nulls: a null text has no words; a null document id is returned as null. Items with fewer than ``least`` words are never
 reported. Repeated rows are reported each. An empty table on either side gives no rows, or every document kept. ``clean``
@@ -17,13 +22,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Polynomial, byte_table, mix, ranges, text_bytes, text_slices, word_hashes, word_spans
+from ledgerline.llm.common import Polynomial, byte_table, cut, mix, ranges, remove_path, shared_path, text_bytes, text_slices, word_hashes, word_spans
 
 LEAST, COVERAGE = 5, 0.6
 BLOCK_BYTES = 16 << 20
@@ -42,134 +49,200 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends, POLY, TABLE), np.searchsorted(rows, np.arange(len(offsets)))
 
 
-def _seeds(words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _seeds(words: np.ndarray, bounds: np.ndarray, least: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places whose ``least`` words lie in one row, and the rolling hash of these words."""
     if len(words) < least:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at = np.flatnonzero(row[: len(words) - least + 1] == row[least - 1 :])
-    prefix = POLY.prefix(words)
     return at, mix(POLY.spans(prefix, at, at + least))
 
 
-class Block:
-    """Items of the benchmark with their seeds in the order of the hashes."""
+class Texts:
+    """The words of several texts with the seeds of each."""
 
-    def __init__(self, ids: list, texts: list, least: int):
-        self.ids, self.least = ids, least
-        self.words, self.bounds = _tokens(pa.array(texts, pa.string()))
-        at, hashes = _seeds(self.words, self.bounds, least)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.places = hashes[order], at[order]
-        self.item = np.searchsorted(self.bounds, self.places, side="right") - 1
-        self.likely = np.zeros(1 << 20, bool)
-        self.likely[(self.hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
+    def __init__(self, column: pa.Array, least: int):
+        self.least = least
+        self.words, self.bounds = _tokens(column)
+        self.prefix = POLY.prefix(self.words)
+        self.at, self.hashes = _seeds(self.words, self.bounds, least, self.prefix)
+        self.row = np.searchsorted(self.bounds, self.at, side="right") - 1
+        self.first = np.searchsorted(self.row, np.arange(len(self.bounds)))  # of each row's seeds
+
+    def seeds(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and hashes of a row's seeds, and the word before each (0 at the row's start)."""
+        at, hashes = (x[self.first[row] : self.first[row + 1]] for x in (self.at, self.hashes))
+        before = self.words[at - 1]
+        if len(at):
+            before[0] = 0
+        return at, hashes, before
+
+
+class Block(Texts):
+    """Items of the benchmark with their listed seeds in the order of the hashes."""
 
-    def pairs(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def __init__(self, ids: list, texts: list, least: int, coverage: float):
+        super().__init__(pa.array(texts, pa.string()), least)
+        self.ids, self.sizes = ids, np.diff(self.bounds)
+        listed = self._rarest(coverage)
+        pairs = np.unique(np.stack([self.hashes[listed], self.row[listed].astype(np.uint64)], 1), axis=0)
+        self.listed, self.item = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[(self.listed & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def _rarest(self, coverage: float) -> np.ndarray:
+        """Which seeds are listed: those up to a number of items (a power of two), by item the least that leaves too little for the others."""
+        own = np.unique(np.stack([self.hashes, self.row.astype(np.uint64)], 1), axis=0)[:, 0]
+        kinds, count = np.unique(own, return_counts=True)
+        rarity = count[np.searchsorted(kinds, self.hashes)]
+        most = np.full(len(self.ids), np.iinfo(np.int64).max)
+        limit = 1 << int(rarity.max(initial=1) - 1).bit_length()
+        while limit:
+            steps = np.zeros(len(self.words) + 1, np.int64)
+            others = self.at[rarity > limit]
+            np.add.at(steps, others, 1)
+            np.add.at(steps, others + self.least, -1)
+            covered = np.r_[0, np.cumsum(np.cumsum(steps[:-1]) > 0)]
+            enough = covered[self.bounds[1:]] - covered[self.bounds[:-1]] < coverage * self.sizes
+            most[enough] = limit
+            limit >>= 1
+        return rarity <= most[self.row]
+
+    def pairs(self, texts: Texts) -> Iterator[tuple[int, int, int, int]]:
         """Row, item (number), words covered and tiles of each candidate."""
-        if not len(self.hashes):
-            return
-        at, hashes = _seeds(words, bounds, self.least)
-        maybe = np.flatnonzero(self.likely[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
-        at, hashes = at[maybe], hashes[maybe]
-        low, high = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, side="right")
-        there = np.repeat(at, high - low)
-        mine = ranges(low, high - low)
-        if not len(there):
+        maybe = np.flatnonzero(self.likely[(texts.hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+        if not len(maybe) or not len(self.listed):
             return
-        row = np.searchsorted(bounds, there, side="right") - 1
-        item = self.item[mine]
-        order = np.lexsort((there, item, row))
-        row, item, there, here = row[order], item[order], there[order], self.places[mine[order]]
-        cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]), True])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            covered, tiles = tile(self.words, words, here[a:b], there[a:b], self.least)
+        known = np.unique(np.stack([texts.row[maybe].astype(np.uint64), texts.hashes[maybe]], 1), axis=0)
+        low, high = np.searchsorted(self.listed, known[:, 1]), np.searchsorted(self.listed, known[:, 1], side="right")
+        found = np.unique(np.stack([np.repeat(known[:, 0].astype(np.int64), high - low), self.item[ranges(low, high - low)]], 1), axis=0)
+        for row, item in found.tolist():
+            covered, tiles = tile(self, item, texts, row)
             if tiles:
-                yield int(row[a]), int(item[a]), covered, tiles
-
-
-def tile(item: np.ndarray, text: np.ndarray, here: np.ndarray, there: np.ndarray, least: int) -> tuple[int, int]:
-    """Words covered and number of tiles, from seed matches ``item[here] = text[there]`` of ``least`` words each."""
-    order = np.lexsort((here, there - here))
-    here, there = here[order], there[order]
-    cuts = np.flatnonzero(np.r_[True, (np.diff(here) != 1) | (np.diff(there) != 1), True])
-    queue = [(-(here[b - 1] - here[a] + least), here[a], there[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield row, item, covered, tiles
+
+
+def _ordered(places: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return places[order], keys[order]
+
+
+def matches(items: Texts, item: int, texts: Texts, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in the item and in the text and lengths of all matches that cannot be extended to either side."""
+    i, seed_i, before_i = items.seeds(item)
+    j, seed_j, before_j = texts.seeds(row)
+    shared = np.isin(seed_j, seed_i)
+    j, seed_j, before_j = j[shared], seed_j[shared], before_j[shared]
+    kinds, words = np.unique(seed_j), np.unique(np.r_[before_i, before_j])
+    some = np.isin(seed_i, kinds)
+    i, seed_i, before_i = i[some], seed_i[some], before_i[some]
+    key = lambda seed, before: np.searchsorted(kinds, seed) * len(words) + np.searchsorted(words, before)
+    j, keys = _ordered(j, key(seed_j, before_j))
+    group, own = np.searchsorted(kinds, seed_i) * len(words), key(seed_i, before_i)
+    # Of the text's places with the seed, those with another word before it (at a text's start: all).
+    low, high = np.searchsorted(keys, group), np.searchsorted(keys, group + len(words))
+    inner_low, inner_high = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+    free = before_i == 0
+    inner_low, inner_high = np.where(free, low, inner_low), np.where(free, low, inner_high)
+    here = np.r_[np.repeat(i, inner_low - low), np.repeat(i, high - inner_high)]
+    there = np.r_[j[ranges(low, inner_low - low)], j[ranges(inner_high, high - inner_high)]]
+    least, most = np.full(len(here), items.least), np.minimum(items.bounds[item + 1] - here, texts.bounds[row + 1] - there)
+    while (least < most).any():
+        middle = (least + most + 1) >> 1
+        same = POLY.spans(items.prefix, here, here + middle) == POLY.spans(texts.prefix, there, there + middle)
+        least, most = np.where(same, middle, least), np.where(same, most, middle - 1)
+    return here, there, least
+
+
+def tile(items: Texts, item: int, texts: Texts, row: int) -> tuple[int, int]:
+    """Words covered and number of tiles."""
+    least, begin, start = items.least, items.bounds[item], texts.bounds[row]
+    words, text = items.words[begin : items.bounds[item + 1]], texts.words[start : texts.bounds[row + 1]]
+    here, there, lengths = matches(items, item, texts, row)
+    queue = list(zip((-lengths).tolist(), (here - begin).tolist(), (there - start).tolist(), strict=True))
     heapq.heapify(queue)
-    used_item, used_text = set(), set()
+    used_item, used_text = np.zeros(len(words), bool), np.zeros(len(text), bool)
     covered = tiles = 0
-    while queue:
+    while queue and len(words) - covered >= least:
         n, i, j = heapq.heappop(queue)
         n = -n
-        free = [i + k not in used_item and j + k not in used_text for k in range(n)]
-        if all(free):
-            if (item[i : i + n] == text[j : j + n]).all():  # the words themselves, not only their rolling hash
-                used_item.update(range(i, i + n))
-                used_text.update(range(j, j + n))
+        used = used_item[i : i + n] | used_text[j : j + n]
+        if not used.any():
+            if (words[i : i + n] == text[j : j + n]).all():  # the words themselves, not only their rolling hash
+                used_item[i : i + n] = used_text[j : j + n] = True
                 covered, tiles = covered + n, tiles + 1
             continue
-        k = 0
-        while k < n:
-            if not free[k]:
-                k += 1
-                continue
-            begin = k
-            while k < n and free[k]:
-                k += 1
-            if k - begin >= least:
-                heapq.heappush(queue, (begin - k, i + begin, j + begin))
-    return int(covered), tiles
-
-
-def _blocks(benchmark: DataFrame, least: int, id_column: str, text_column: str):
-    """Broadcast blocks of the benchmark, each of bounded size."""
+        edges = np.diff(np.r_[True, used, True].astype(np.int8))
+        for a, b in zip(np.flatnonzero(edges == -1).tolist(), np.flatnonzero(edges == 1).tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(queue, (a - b, i + a, j + a))
+    return covered, tiles
+
+
+def _blocks(benchmark: DataFrame, least: int, coverage: float) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast blocks of the benchmark, each of bounded size and made when the one before it is done with; and whether it is the last."""
     sc = benchmark.sparkSession.sparkContext
     ids, texts, size = [], [], 0
-    for row in benchmark.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         if texts and size + len(row[1] or "") > BLOCK_BYTES:
-            yield sc.broadcast(Block(ids, texts, least))
+            yield sc.broadcast(Block(ids, texts, least, coverage)), False
             ids, texts, size = [], [], 0
         ids.append(row[0])
         texts.append(row[1])
         size += len(row[1] or "")
-    yield sc.broadcast(Block(ids, texts, least))
+    yield sc.broadcast(Block(ids, texts, least, coverage)), True
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, item_id, n_tiles, covered_words, item_words, coverage``: a row per document and leaked item."""
-    handles = list(_blocks(benchmark, least, "item_id", "text"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            words, bounds = _tokens(batch.column("text"))
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for handle in handles:
-                block = handle.value
-                sizes = np.diff(block.bounds)
-                for row, item, covered, tiles in block.pairs(words, bounds):
-                    if covered >= coverage * sizes[item]:
-                        rows.append((ids[row], block.ids[item], tiles, covered, int(sizes[item]), covered / int(sizes[item])))
-            if rows:
-                types = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage"])
-
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return plain.mapInArrow(work, "doc_id long, item_id long, n_tiles long, covered_words long, item_words long, coverage double")
+
+    def found(handle: Broadcast) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = handle.value
+            for batch in text_slices(batches):
+                ids, rows = batch.column("doc_id").to_pylist(), []
+                for row, item, covered, tiles in block.pairs(Texts(batch.column("text"), least)):
+                    if covered >= coverage * (size := int(block.sizes[item])):
+                        rows.append((ids[row], block.ids[item], tiles, covered, size, covered / size))
+                if rows:
+                    types = [pa.int64()] * 5 + [pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "item_id", "n_tiles", "covered_words", "item_words", "coverage"])
+
+        return plain.mapInArrow(work, "doc_id long, item_id long, n_tiles long, covered_words long, item_words long, coverage double")
+
+    parts = []
+    for handle, last in _blocks(benchmark, least, coverage):
+        parts.append(found(handle) if last else cut(found(handle)))
+        if not last:
+            handle.destroy()
+    return reduce(DataFrame.union, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAST, coverage: float = COVERAGE, text_column: str = "text") -> DataFrame:
     """The documents without a leaked item, all columns."""
-    handles = list(_blocks(benchmark, least, "item_id", "text"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text_column):
-            words, bounds = _tokens(batch.column(text_column))
-            keep = np.ones(batch.num_rows, bool)
-            for handle in handles:
-                block = handle.value
-                sizes = np.diff(block.bounds)
-                for row, item, covered, _ in block.pairs(words, bounds):
-                    if covered >= coverage * sizes[item]:
-                        keep[row] = False
-            yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(work, docs.schema)
+    def kept(rows: DataFrame, handle: Broadcast) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = handle.value
+            for batch in text_slices(batches, text_column):
+                keep = np.ones(batch.num_rows, bool)
+                for row, item, covered, _ in block.pairs(Texts(batch.column(text_column), least)):
+                    if covered >= coverage * block.sizes[item]:
+                        keep[row] = False
+                yield batch if keep.all() else batch.filter(pa.array(keep))
+
+        return rows.mapInArrow(work, docs.schema)
+
+    spark, left, before = docs.sparkSession, docs, None
+    for handle, last in _blocks(benchmark, least, coverage):
+        left = kept(left, handle)
+        if not last:
+            path = shared_path(spark, "decontaminated")
+            left.write.parquet(path)
+            left = spark.read.schema(docs.schema).parquet(path)
+            handle.destroy()
+            if before:
+                remove_path(spark, before)
+            before = path
+    return left

@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,16 +76,41 @@ def brute_tiles(item, text, least):
 
 def test_tiling_matches_brute_force(spark):
     rng = random.Random(2)
-    for _ in range(40):
-        words = [f"w{i}" for i in range(25)]
+    for turn in range(120):
+        words = [f"w{i}" for i in range(25)] if turn % 2 else [rng.choice("ab") + "x" for _ in range(25)]
         parts = [words[a : a + rng.randint(2, 9)] for a in (rng.randint(0, 20) for _ in range(4))]
         text = [w for p in parts for w in [*p, "zz"]]
-        block = tiling.Block([1], [" ".join(words)], 3)
-        import pyarrow as pa
-
-        tokens, bounds = tiling._tokens(pa.array([" ".join(text)]))
-        got = {(r, i): c for r, i, c, _ in block.pairs(tokens, bounds)}
-        assert got.get((0, 0), 0) == brute_tiles(words, text, 3)
+        want = brute_tiles(words, text, 3)
+        for coverage in (0.01, 0.6):
+            block = tiling.Block([1], [" ".join(words)], 3, coverage)
+            got = {(r, i): c for r, i, c, _ in block.pairs(tiling.Texts(pa.array([" ".join(text)]), 3))}
+            assert got.get((0, 0), 0) == want or want < coverage * 25 and not got
+
+
+def test_repeated_words_and_shared_phrases_stay_cheap():
+    """An item of equal words against a text of equal words, and a phrase that all items share: neither makes pairs of all places."""
+    began = time.time()
+    block = tiling.Block([1], ["same " * 1000], 5, 0.6)
+    texts = tiling.Texts(pa.array(["same " * 10_000]), 5)
+    assert len(tiling.matches(block, 0, texts, 0)[0]) == 9996 + 996 - 1
+    assert list(block.pairs(texts)) == [(0, 0, 1000, 1)]
+    phrase = " ".join(f"p{i}" for i in range(12))
+    own = [" ".join(f"o{i}.{k}" for k in range(20)) for i in range(2000)]
+    block = tiling.Block(list(range(2000)), [f"{phrase} {x}" for x in own], 5, 0.6)
+    texts = tiling.Texts(pa.array([f"{phrase} and something else entirely " * 20, f"x {own[7]} y {phrase} z"]), 5)
+    assert list(block.pairs(texts)) == [(1, 7, 52, 2)]
+    assert time.time() - began < 20
+
+
+def test_blocks_of_the_benchmark(spark, monkeypatch):
+    """Several blocks, one pass each: the same leaks; repeated rows are each reported."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.union(docs.limit(30))
+    whole = sorted(map(tuple, tiling.leaks(docs, bench).collect()))
+    left = sorted(r.doc_id for r in tiling.clean(docs, bench).collect())
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 1 + bench.selectExpr("sum(length(text))").first()[0] // 3)
+    assert sorted(map(tuple, tiling.leaks(docs, bench).collect())) == whole and len(whole) > 10
+    assert sorted(r.doc_id for r in tiling.clean(docs, bench).collect()) == left
 
 
 def test_leaks(spark):
