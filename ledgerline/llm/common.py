@@ -94,6 +94,14 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name like this one that no column has, so that a caller's columns stay theirs whatever their names."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -56,6 +56,77 @@ def test_patterns_discover_what_the_base_misses(spark):
     assert pii.mask(docs).columns == docs.columns and pii.find(docs.limit(0)).count() == 0
 
 
+def test_candidates():
+    def found(text):
+        return [text[a:b] for a, b in pii.identifiers(text, pii.base_spans(text))]
+
+    assert found("call 020 7946 0123, or (020) 7946-0999. In 2024") == ["020 7946 0123", "020) 7946-0999", "2024"]
+    assert found("key=" + "a1" * 300 + " (plain) user: someone b") == ["a1" * 300, "plain", "someone"]
+    assert pii.patterns("x " * 60 + "w" * 500 + " says: 1234", 120 + 500 + 7)[1] == "w" * 500 + " says: "
+    assert found("one two three") == [] and found("") == []
+
+
+def brute_learn(texts, confidence=0.8):
+    """Patterns accepted by the graph of all texts, with plain dictionaries."""
+    graph = {}
+    for text in texts:
+        base = pii.base_spans(text or "")
+        for kind, a, b in [*base, *((None, a, b) for a, b in pii.identifiers(text or "", base))]:
+            kind = kind or ("secret" if pii._SECRET.fullmatch(text[a:b]) else None)
+            for p in pii.patterns(text, a):
+                graph[p, text[a:b]] = max(graph.get((p, text[a:b])) or "", kind or "") or None
+    known = {}
+    for (_, v), kind in graph.items():
+        if kind:
+            known[v] = max(known.get(v, ""), kind)
+    while True:
+        accepted = {}
+        for p in {p for p, _ in graph}:
+            values = [v for q, v in graph if q == p]
+            count = {k: sum(known.get(v) == k for v in values) for k in pii.LEARNED}
+            if max(count.values()) / (len(values) + 2) >= confidence:
+                accepted[p] = (next(k for k in pii.LEARNED if count[k] == max(count.values())), max(count.values()) / (len(values) + 2))
+        beliefs = {}
+        for p, v in graph:
+            if p in accepted and v not in known:
+                kind, score = accepted[p]
+                beliefs[v, kind] = beliefs.get((v, kind), 1.0) * (1 - min(score, 0.999))
+        new = {}
+        for (v, kind), doubt in beliefs.items():
+            if 1 - doubt >= confidence:
+                new[v] = max(new.get(v, (0, "")), (1 - doubt, kind))
+        if not new:
+            return {p: kind for p, (kind, _) in accepted.items()}
+        known |= {v: kind for v, (_, kind) in new.items()}
+
+
+def test_spans_match_brute_force(spark, monkeypatch):
+    """Chains of contexts that need many rounds, repeated rows, ties of kinds, and patterns in several blocks."""
+    rng = random.Random(6)
+    texts = [f"write to: u{i}@h{i}.example.org or fax: code{i % 11}x now" for i in range(16)]
+    texts += [f"level0 id: 10.0.{i // 250}.{i % 250} end" for i in range(2400)]
+    for k, n in enumerate((560, 128, 29, 5)):  # each context vouches for instances of the next one
+        texts += [f"level{k} id: serial-{k}-{i} end level{k + 1} id: serial-{k}-{i} end" for i in range(n)]
+    texts += [f"tie: a{i}@b.example.org" for i in range(9)] + [f"tie: 10.9.9.{i}" for i in range(9)] + ["tie: 12345678"] * 3
+    texts += [" ".join(rng.choice(["fax:", "to:", "id:", "call", "44 20 7946 0958", "x12345", '"quoted"', "plain"]) for _ in range(30)) for _ in range(40)]
+    texts += texts[:20] + [None, ""]
+    accepted = brute_learn(texts)
+    assert "level3 id: " in accepted
+    want = []
+    for text in texts:
+        base = pii.base_spans(text or "")
+        added = []
+        for a, b in pii.identifiers(text or "", base):
+            kinds = [accepted[p] for p in reversed(pii.patterns(text, a)) if p in accepted]
+            added += [(kinds[0], a, b)] if kinds else []
+        want.append(pii._listed(sorted(base + added, key=lambda s: (pii._ORDER[s[0]], s[1]))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (pii.PATTERN_BLOCK, 5):
+        monkeypatch.setattr(pii, "PATTERN_BLOCK", block)
+        got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def brute_tiles(item, text, least):
     used_i, used_t, covered = set(), set(), 0
     while True:
