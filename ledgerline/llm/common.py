@@ -257,5 +257,17 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before - starts, lengths)
 
 
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether all pairs of spans, from a and from b on, hold the same values; a few million of them at a time."""
+    ends = np.cumsum(lengths)
+    low = 0
+    while low < len(a):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (4 << 20), side="right")))
+        if not (data[ranges(a[low:high], lengths[low:high])] == data[ranges(b[low:high], lengths[low:high])]).all():
+            return False
+        low = high
+    return True
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -35,6 +35,18 @@ def test_features_match_brute_force(spark):
         assert tuple(int(got[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute_features(text), text
 
 
+def test_collisions_are_noticed(monkeypatch):
+    """With hashes that know lengths only, lines, words and windows are still told apart."""
+    from ledgerline.llm import text_features
+
+    monkeypatch.setattr(text_features, "TABLE", np.zeros(256, np.uint64))
+    monkeypatch.setattr(text_features, "WINDOW_POLY", text_features.Polynomial(1))
+    texts = ["ab cd\nef gh\nab cd\n", "a b c d e f g h b a c d e f g h x y", " ".join("abcdefgh" * 3), None, "ab\ncd\nab"]
+    got, _, _ = features(*text_bytes(pa.array(texts, pa.string())))
+    for i, text in enumerate(texts):
+        assert tuple(int(got[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute_features(text)
+
+
 def test_binomial_tail_is_exact():
     for n, p in ((1, 0.3), (40, 0.1), (500, 0.01)):
         for k in range(0, n + 1, max(1, n // 13)):
@@ -69,6 +81,9 @@ def test_verdicts(spark):
     assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept) for r in judged)
     kept = quality.keep(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in judged)
+    odd = docs.withColumns({"__quality": F.lit(1), "cutoffs": F.lit("mine"), "Stratum_": F.col("lang")})
+    kept = quality.keep(odd, labels)
+    assert kept.columns == odd.columns and kept.filter("cutoffs = 'mine' and stratum = 'y' and Stratum_ <=> lang").count() == sum(r.kept for r in judged)
     assert quality.judge(docs.limit(0), labels).count() == 0 and quality.keep(docs, labels.limit(0)).count() == sum(not r.base_failed for r in judged)
 
 
