@@ -4,7 +4,8 @@ Slices. Texts are gathered to slices of about ``SLICE`` bytes, once, in the shar
 
 Counting. N-grams are dealt out by their hashes to buckets, as many as the corpus needs for buckets of one size. The slices of
 training texts send each bucket its words and bigrams with their counts, a row per slice and bucket. A bucket adds them up; a count c
-has the level 1 + floor(log(c) / log(BASE)). Every word and every bigram is kept.
+has the level 1 + floor(log(c) / log(BASE)). Every word and every bigram is kept. Inside a bucket 40 bits name a bigram (a bucket has some
+million of them, so one in a million shares its name, far fewer than the filter's false hits), and 40 bits its first word.
 
 Filter. A bucket has a Bloom filter of ``bits`` bits for each insertion: an n-gram of level q is inserted q times, as (n-gram, 1)
 ... (n-gram, q). Beside the filter lie the exact counts of the bucket's words, for the base score, and of each word v the mass
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Polynomial, byte_table, cut, key_runs, mix, text_bytes, text_slices, tidy_shuffles, word_hashes, word_spans
+from ledgerline.llm.common import Polynomial, byte_table, cut, key_runs, mix, runs_of, text_bytes, text_slices, tidy_shuffles, word_hashes, word_spans
 
 POLY = Polynomial(0xA0761D6478BD642F)
 TABLE = byte_table(5)
@@ -48,6 +49,7 @@ BITS, PROBES = 12, 6
 SLICE, BUCKET = 1 << 20, 8 << 20
 #: Tokens (or sums) that a task combines before it sends them.
 COMBINED = 1_000_000
+CODEC = pa.Codec("zstd", 3)
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,16 +84,20 @@ def slices_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
             data, offsets = text_bytes(batch.column("text"))
             whole = pa.array([0, batch.num_rows], pa.int32())
             lists = [pa.ListArray.from_arrays(whole, c) for c in (batch.column("id"), batch.column("held"), pa.array(offsets[1:]))]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())], ["slice", "ids", "held", "ends", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([_compressed(data)], pa.binary())], ["slice", "ids", "held", "ends", "body"])
             number += 1
 
     return cut(rows.mapInArrow(work, "slice long, ids array<long>, held array<boolean>, ends array<long>, body binary"))
 
 
+def _compressed(data: np.ndarray) -> bytes:
+    return CODEC.compress(data.tobytes(), asbytes=True)
+
+
 def _tokens(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the first row, a slice, and where each text's tokens start."""
     offsets = np.r_[0, row.column("ends")[0].values.to_numpy()]
-    body = pa.decompress(row.column("body")[0].as_buffer(), int(offsets[-1]), "zstd") if offsets[-1] else b""
+    body = CODEC.decompress(row.column("body")[0].as_buffer(), int(offsets[-1])) if offsets[-1] else b""
     return token_hashes(np.frombuffer(body, np.uint8), offsets)
 
 
@@ -107,6 +113,19 @@ def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(places), pa.py_buffer(values)]).cast(pa.binary())
 
 
+def _short(keys: np.ndarray, upper: bool) -> np.ndarray:
+    """The upper or lower 40 bits, five bytes each."""
+    octets = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(octets[:, 3:] if upper else octets[:, :5]).view("V5").ravel()
+
+
+def _long(column: pa.Array) -> np.ndarray:
+    """Numbers of five bytes each."""
+    wide = np.zeros((sum(len(x or b"") for x in column.to_pylist()) // 5, 8), np.uint8)
+    wide[:, :5] = _values(column, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
 def _values(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), kind)
 
@@ -146,7 +165,7 @@ def count_ngrams(slices: DataFrame, buckets: int) -> DataFrame:
         n[np.searchsorted(words, BEGIN)] -= 1  # no word, but it has bigrams
         pairs, at, m = np.unique(np.concatenate(twos), return_index=True, return_counts=True)
         there, a, b = _dealt(words, pairs, buckets)
-        columns = [_blobs(words, a), _blobs(n.astype(np.uint32), a), _blobs(pairs, b), _blobs(np.concatenate(before)[at], b), _blobs(m.astype(np.uint32), b)]
+        columns = [_blobs(words, a), _blobs(n.astype(np.uint32), a), _blobs(_short(pairs, False), b), _blobs(_short(np.concatenate(before)[at], True), b), _blobs(m.astype(np.uint32), b)]
         return pa.RecordBatch.from_arrays([pa.array(there), *columns], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +236,12 @@ def build(counts: DataFrame, buckets: int, bits: int) -> DataFrame:
         firsts, masses, held = [], [], 0
         for bucket, rows in key_runs(batches, "bucket"):
             words, n, _ = summed(_values(rows.column("words"), np.uint64), _values(rows.column("word_counts"), np.uint32).astype(np.int64))
-            pairs, m, at = summed(_values(rows.column("pairs"), np.uint64), _values(rows.column("pair_counts"), np.uint32).astype(np.int64))
+            pairs, m, at = summed(_long(rows.column("pairs")), _values(rows.column("pair_counts"), np.uint32).astype(np.int64))
             known, levels, pair_levels = n > 0, quantised(n), quantised(m)
             flags, n_bits = filled(np.r_[words[known], pairs], np.r_[levels[known], pair_levels], bits)
             sums = [[int(n.sum())], [int(known.sum())], [float(level_value(levels[known]).sum())], [n_bits]]
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([0], pa.int8()), *map(pa.array, sums), *(pa.array([x.tobytes()], pa.binary()) for x in (flags, words, n)), pa.nulls(1, pa.binary())], names)
-            firsts.append(_values(rows.column("firsts"), np.uint64)[at])
+            firsts.append(_long(rows.column("firsts"))[at] << np.uint64(24))
             masses.append(level_value(pair_levels))
             if (held := held + len(pairs)) >= COMBINED:
                 yield sent(firsts, masses)
@@ -242,7 +261,10 @@ def build(counts: DataFrame, buckets: int, bits: int) -> DataFrame:
             head, rest = rows.slice(0, 1).combine_chunks().to_batches()[0], rows.slice(1)
             words = _values(head.column("words"), np.uint64)
             total = np.zeros(len(words))
-            np.add.at(total, np.searchsorted(words, _values(rest.column("words"), np.uint64)), _values(rest.column("masses"), np.float64))
+            named, mass, _ = summed(_values(rest.column("words"), np.uint64), _values(rest.column("masses"), np.float64))
+            if len(named):
+                place = np.minimum(np.searchsorted(named, words & ~np.uint64(0xFFFFFF)), len(named) - 1)
+                total = np.where(named[place] == words & ~np.uint64(0xFFFFFF), mass[place], 0.0)
             own = [head.column(c) for c in ("tokens", "types", "mass", "n_bits", "bits", "words", "counts")]
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([buckets]), *own, pa.array([total.tobytes()], pa.binary())], MODEL_NAMES)
 
@@ -270,33 +292,38 @@ def answers(slices: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
                 words, pairs = np.unique(np.r_[tokens, BEGIN]), np.unique(bigrams(tokens, bounds)[0])
                 there, a, b = _dealt(words, pairs, buckets)
                 where = pa.array(np.full(len(there), batch.column("slice")[i].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(there), where, _blobs(words, a), _blobs(pairs, b)], ["bucket", "slice", "words", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array(there), where, _blobs(words, a), _blobs(_short(pairs, False), b)], ["bucket", "slice", "words", "pairs"])
 
     asked = slices.select("slice", "ends", "body").mapInArrow(ask, "bucket long, slice long, words binary, pairs binary")
     nothing = F.lit(None).cast("binary")
     known = model.select("bucket", F.lit(-1).cast("long").alias("slice"), "words", nothing.alias("pairs"), "n_bits", "bits", "counts", "masses")
     asked = asked.select("bucket", "slice", "words", "pairs", F.lit(None).cast("long").alias("n_bits"), *(nothing.alias(c) for c in ("bits", "counts", "masses")))
 
+    def reply(rows: pa.RecordBatch, table: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """The rows of one bucket."""
+        words, pairs = _values(rows.column("words"), np.uint64), _long(rows.column("pairs"))
+        cuts = [np.r_[0, np.cumsum([len(x) // width for x in rows.column(c).to_pylist()])] for c, width in (("words", 8), ("pairs", 5))]
+        place = np.minimum(np.searchsorted(table["words"], words), len(table["words"]) - 1)
+        found = table["words"][place] == words
+        exact, mass = (np.where(found, table[c][place], 0).astype(table[c].dtype) for c in ("counts", "masses"))
+        levels = [probed(keys, table["bits"], table["n_bits"]) for keys in (words, pairs)]
+        columns = [_blobs(levels[0], cuts[0]), _blobs(exact, cuts[0]), _blobs(mass, cuts[0]), _blobs(levels[1], cuts[1])]
+        return pa.RecordBatch.from_arrays([rows.column("slice"), rows.column("bucket"), *columns], ["slice", "bucket", "word_levels", "counts", "masses", "pair_levels"])
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, table = -1, (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0), np.zeros(1, np.uint8), 8)
+        kinds = {"words": np.uint64, "counts": np.int64, "masses": np.float64, "bits": np.uint8}
+        nobody = {c: np.zeros(1, t) for c, t in kinds.items()} | {"n_bits": 8}
+        of, table = None, nobody
         for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                bucket, part = batch.column("bucket")[i].as_py(), batch.column("slice")[i].as_py()
-                words = np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64)
-                if part < 0:
-                    own = [np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("counts", np.int64), ("masses", np.float64), ("bits", np.uint8))]
-                    of, table = bucket, (words.copy(), *own, batch.column("n_bits")[i].as_py())
-                    continue
-                known, counts, masses, flags, n_bits = table if of == bucket else (words[:0], np.empty(0, np.int64), np.empty(0), np.zeros(1, np.uint8), 8)
-                place = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-                found = known[place] == words if len(known) else np.zeros(len(words), bool)
-                exact, mass = (np.where(found, x[place], 0).astype(x.dtype) if len(known) else np.zeros(len(words), x.dtype) for x in (counts, masses))
-                levels = [probed(keys, flags, n_bits) for keys in (words, np.frombuffer(batch.column("pairs")[i].as_buffer(), np.uint64))]
-                rows.append((part, bucket, levels[0].tobytes(), exact.tobytes(), mass.tobytes(), levels[1].tobytes()))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["slice", "bucket", "word_levels", "counts", "masses", "pair_levels"])
+            buckets_here = batch.column("bucket").to_numpy()
+            for a, b in zip(*runs_of(buckets_here), strict=True):
+                if buckets_here[a] != of:
+                    of, table = buckets_here[a], nobody
+                if batch.column("slice")[a].as_py() < 0:
+                    table = {c: np.frombuffer(batch.column(c)[a].as_py(), t) for c, t in kinds.items()} | {"n_bits": batch.column("n_bits")[a].as_py()}
+                    a += 1
+                if a < b:
+                    yield reply(batch.slice(a, b - a), table)
 
     met = known.union(asked).repartition("bucket").sortWithinPartitions("bucket", "slice")
     return met.mapInArrow(answer, "slice long, bucket long, word_levels binary, counts binary, masses binary, pair_levels binary")
