@@ -3,19 +3,19 @@
 Slices. Texts are gathered to slices of about ``SLICE`` bytes, once, in the shared folder; a slice's distinct n-grams travel together.
 
 Counting. N-grams are dealt out by their hashes to buckets, as many as the corpus needs for buckets of one size. The slices of
-training texts send each bucket its words and bigrams with their counts, a row per slice and bucket. A bucket adds them up; a count c
-has the level 1 + floor(log(c) / log(BASE)). Every word and every bigram is kept. Inside a bucket 40 bits name a bigram (a bucket has some
-million of them, so one in a million shares its name, far fewer than the filter's false hits), and 40 bits its first word.
+training texts send each bucket its words and bigrams with their counts, a row per slice and bucket. A bucket adds them up, and a
+count becomes a level: counts up to ``EXACT`` are their own levels, above that each level's counts begin at ``BASE`` times the last
+one's. Every word and every bigram is kept. Inside a bucket the next 32 bits of its hash name a bigram (a bucket has about a million
+of them, so one in some thousands shares its name, far fewer than the filter's false hits).
 
 Filter. A bucket has a Bloom filter of ``bits`` bits for each insertion: an n-gram of level q is inserted q times, as (n-gram, 1)
-... (n-gram, q). Beside the filter lie the exact counts of the bucket's words, for the base score, and of each word v the mass
-S(v) of its bigrams: the sum of what their levels stand for.
+... (n-gram, q). Beside the filter lie the exact counts of the bucket's words, for the base score and as the counts of contexts.
 
 Probing. Slices ask each bucket about their distinct n-grams; the bucket probes (n-gram, 1), (n-gram, 2), ... until the first miss, and
-the last hit is the level. With q() for what a level stands for, bigrams are smoothed with words, these with one unknown word:
-p(w | v) = WEIGHT q(v w) / S(v) + (1 - WEIGHT) p(w) and p(w) = (q(w) + 0.5) / (sum of q + 0.5 (V + 1)), where p(w | v) = p(w) after an
-unknown v. Numerators and denominators are sums of the same quantised counts, so over all words and the unknown one each of
-them sums to 1, but for the filter's rare false hits.
+the last hit is the level. With q() for the least count of a level, bigrams are smoothed with words, these with one unknown word:
+p(w | v) = WEIGHT q(v w) / c(v) + (1 - WEIGHT) p(w) and p(w) = (q(w) + 0.5) / (N + 0.5 (V + 1)), where p(w | v) = p(w) after an unknown v.
+q() never exceeds the count, so over all words and the unknown one these sum to at most 1; what is missing is what quantising
+takes off, and the model gives it to no word. Only a false hit of the filter can add to it.
 
 The filter grows with the corpus, so no broadcast of it has a size bound: its buckets meet the probes by shuffle. Each text is read
 three times (gathered, asked for, scored), whatever the size of the corpus.
@@ -42,7 +42,9 @@ TABLE = byte_table(5)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x89ABCDE)
-BASE, WEIGHT = 1.5, 0.3
+#: Levels are exact up to the first; later ones begin at multiples by the second.
+EXACT, BASE, WEIGHT = 8, 1.25, 0.3
+LEAST = np.array([*range(1, EXACT + 1), *(math.ceil(EXACT * BASE**k) for k in range(1, 160))], np.int64)
 #: Bits for each insertion, hash functions.
 BITS, PROBES = 12, 6
 #: Bytes of text of a slice, and for each bucket.
@@ -63,11 +65,11 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tokens, bounds
 
 
-def bigrams(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each token with the one before it, and the latter."""
+def bigrams(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The hash of each token with the one before it."""
     before = np.r_[BEGIN, tokens[:-1]]
     before[bounds[:-1]] = BEGIN
-    return mix(before * np.uint64(0xE7037ED1A0B428DB) + tokens), before
+    return mix(before * np.uint64(0xE7037ED1A0B428DB) + tokens)
 
 
 # --- slices and buckets -------------------------------------------------------------------------------------------
@@ -101,9 +103,11 @@ def _tokens(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return token_hashes(np.frombuffer(body, np.uint8), offsets)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Keys in ascending order have buckets in ascending order."""
-    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+def placed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit name of each key; both ascend with the keys."""
+    low, high = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)
+    whole = high * np.uint64(buckets) + (low * np.uint64(buckets) >> np.uint64(32))
+    return (whole >> np.uint64(32)).astype(np.int64), whole.astype(np.uint32)
 
 
 def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -113,78 +117,76 @@ def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(places), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def _short(keys: np.ndarray, upper: bool) -> np.ndarray:
-    """The upper or lower 40 bits, five bytes each."""
-    octets = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(octets[:, 3:] if upper else octets[:, :5]).view("V5").ravel()
+def _names(names: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Ascending names between the cuts: their differences, first all lowest bytes, last all highest ones (mostly zero)."""
+    parts = [np.diff(names[a:b], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.array(parts, pa.binary())
 
 
-def _long(column: pa.Array) -> np.ndarray:
-    """Numbers of five bytes each."""
-    wide = np.zeros((sum(len(x or b"") for x in column.to_pylist()) // 5, 8), np.uint8)
-    wide[:, :5] = _values(column, np.uint8).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
+def _named(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The names of all rows, and their cuts."""
+    parts = [np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32) for x in column.to_pylist() if x is not None]
+    return np.concatenate([np.empty(0, np.uint32), *parts]).astype(np.uint64), np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
 
 
 def _values(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), kind)
 
 
-def _dealt(words: np.ndarray, pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets of two sorted arrays of keys, and the cuts of each array by these."""
-    of_words, of_pairs = bucket_of(words, buckets), bucket_of(pairs, buckets)
+def _dealt(words: np.ndarray, pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The buckets of two sorted arrays of keys, the cuts of each by these, and the names of the second."""
+    of_words, (of_pairs, names) = placed(words, buckets)[0], placed(pairs, buckets)
     there = np.union1d(of_words, of_pairs)
-    return there, np.r_[np.searchsorted(of_words, there), len(words)], np.r_[np.searchsorted(of_pairs, there), len(pairs)]
+    by_pairs = np.r_[np.searchsorted(of_pairs, there), len(pairs)]
+    return there, np.r_[np.searchsorted(of_words, there), len(words)], by_pairs, _names(names, by_pairs)
 
 
 # --- counting -----------------------------------------------------------------------------------------------------
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(BASE) + 1e-9), 255).astype(np.uint8)
+    return np.searchsorted(LEAST, counts, side="right").astype(np.uint8)
 
 
 def level_value(levels: np.ndarray) -> np.ndarray:
-    """The count that stands for a level: the middle of its range, on the log scale."""
-    return np.where(levels > 0, BASE ** (levels.astype(np.float64) - 0.5), 0.0)
+    """The least count of a level; 0 for what the filter does not hold."""
+    return np.r_[0, LEAST][levels].astype(np.float64)
 
 
-def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the sums of their values, and a place of each."""
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their values."""
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) > 0]) if len(keys) else np.empty(0, np.int64)
-    return keys[order[starts]], np.add.reduceat(values[order], starts) if len(keys) else values, order[starts]
+    return keys[order[starts]], np.add.reduceat(values[order], starts) if len(keys) else values
 
 
 def count_ngrams(slices: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, words, word_counts, pairs, firsts, pair_counts`` of the training texts; a bigram comes with its first word."""
-    names = ["bucket", "words", "word_counts", "pairs", "firsts", "pair_counts"]
+    """``bucket, words, word_counts, pairs, pair_counts`` of the training texts."""
 
-    def sent(tokens: list[np.ndarray], twos: list[np.ndarray], before: list[np.ndarray]) -> pa.RecordBatch:
-        words, n = np.unique(np.concatenate([*tokens, [BEGIN]]), return_counts=True)
-        n[np.searchsorted(words, BEGIN)] -= 1  # no word, but it has bigrams
-        pairs, at, m = np.unique(np.concatenate(twos), return_index=True, return_counts=True)
-        there, a, b = _dealt(words, pairs, buckets)
-        columns = [_blobs(words, a), _blobs(n.astype(np.uint32), a), _blobs(_short(pairs, False), b), _blobs(_short(np.concatenate(before)[at], True), b), _blobs(m.astype(np.uint32), b)]
-        return pa.RecordBatch.from_arrays([pa.array(there), *columns], names)
+    def sent(tokens: list[np.ndarray], twos: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(tokens), return_counts=True)
+        pairs, m = np.unique(np.concatenate(twos), return_counts=True)
+        there, a, b, names = _dealt(words, pairs, buckets)
+        columns = [_blobs(words, a), _blobs(n.astype(np.uint32), a), names, _blobs(m.astype(np.uint32), b)]
+        return pa.RecordBatch.from_arrays([pa.array(there), *columns], ["bucket", "words", "word_counts", "pairs", "pair_counts"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = ([], [], []), 0
+        ones, twos, held = [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 tokens, bounds = _tokens(row)
                 training = np.repeat(~row.column("held")[0].values.to_numpy(zero_copy_only=False), np.diff(bounds))
-                for part, values in zip(parts, (tokens, *bigrams(tokens, bounds)), strict=True):
-                    part.append(values[training])
-                held += len(parts[0][-1])
+                ones.append(tokens[training])
+                twos.append(bigrams(tokens, bounds)[training])
+                held += len(ones[-1])
                 if held >= COMBINED:
-                    yield sent(*parts)
-                    parts, held = ([], [], []), 0
+                    yield sent(ones, twos)
+                    ones, twos, held = [], [], 0
         if held:
-            yield sent(*parts)
+            yield sent(ones, twos)
 
-    return slices.select("held", "ends", "body").mapInArrow(work, "bucket long, words binary, word_counts binary, pairs binary, firsts binary, pair_counts binary")
+    return slices.select("held", "ends", "body").mapInArrow(work, "bucket long, words binary, word_counts binary, pairs binary, pair_counts binary")
 
 
 # --- the filter ---------------------------------------------------------------------------------------------------
@@ -224,52 +226,22 @@ def probed(keys: np.ndarray, flags: np.ndarray, n_bits: int) -> np.ndarray:
     return out
 
 
-MODEL = "bucket long, of long, tokens long, types long, mass double, n_bits long, bits binary, words binary, counts binary, masses binary"
+MODEL = "bucket long, of long, tokens long, types long, n_bits long, bits binary, words binary, counts binary"
 
 
 def build(counts: DataFrame, buckets: int, bits: int) -> DataFrame:
-    """The model: for each bucket its filter, its words with their counts and the masses of their bigrams."""
-    names = ["bucket", "kind", "tokens", "types", "mass", "n_bits", "bits", "words", "counts", "masses"]
-    types = "bucket long, kind byte, tokens long, types long, mass double, n_bits long, bits binary, words binary, counts binary, masses binary"
+    """The model: for each bucket its filter and its words with their counts."""
+    names = [field.split()[0] for field in MODEL.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, masses, held = [], [], 0
         for bucket, rows in key_runs(batches, "bucket"):
-            words, n, _ = summed(_values(rows.column("words"), np.uint64), _values(rows.column("word_counts"), np.uint32).astype(np.int64))
-            pairs, m, at = summed(_long(rows.column("pairs")), _values(rows.column("pair_counts"), np.uint32).astype(np.int64))
-            known, levels, pair_levels = n > 0, quantised(n), quantised(m)
-            flags, n_bits = filled(np.r_[words[known], pairs], np.r_[levels[known], pair_levels], bits)
-            sums = [[int(n.sum())], [int(known.sum())], [float(level_value(levels[known]).sum())], [n_bits]]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([0], pa.int8()), *map(pa.array, sums), *(pa.array([x.tobytes()], pa.binary()) for x in (flags, words, n)), pa.nulls(1, pa.binary())], names)
-            firsts.append(_long(rows.column("firsts"))[at] << np.uint64(24))
-            masses.append(level_value(pair_levels))
-            if (held := held + len(pairs)) >= COMBINED:
-                yield sent(firsts, masses)
-                firsts, masses, held = [], [], 0
-        if held:
-            yield sent(firsts, masses)
-
-    def sent(firsts: list[np.ndarray], masses: list[np.ndarray]) -> pa.RecordBatch:
-        words, mass, _ = summed(np.concatenate(firsts), np.concatenate(masses))
-        there, a, _ = _dealt(words, words[:0], buckets)
-        n = len(there)
-        empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.ones(n, np.int8)), *empty, _blobs(words, a), pa.nulls(n, pa.binary()), _blobs(mass, a)], names)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in key_runs(batches, "bucket"):
-            head, rest = rows.slice(0, 1).combine_chunks().to_batches()[0], rows.slice(1)
-            words = _values(head.column("words"), np.uint64)
-            total = np.zeros(len(words))
-            named, mass, _ = summed(_values(rest.column("words"), np.uint64), _values(rest.column("masses"), np.float64))
-            if len(named):
-                place = np.minimum(np.searchsorted(named, words & ~np.uint64(0xFFFFFF)), len(named) - 1)
-                total = np.where(named[place] == words & ~np.uint64(0xFFFFFF), mass[place], 0.0)
-            own = [head.column(c) for c in ("tokens", "types", "mass", "n_bits", "bits", "words", "counts")]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([buckets]), *own, pa.array([total.tobytes()], pa.binary())], MODEL_NAMES)
+            words, n = summed(_values(rows.column("words"), np.uint64), _values(rows.column("word_counts"), np.uint32).astype(np.int64))
+            pairs, m = summed(_named(rows.column("pairs"))[0], _values(rows.column("pair_counts"), np.uint32).astype(np.int64))
+            flags, n_bits = filled(np.r_[words, pairs], np.r_[quantised(n), quantised(m)], bits)
+            sums = [[bucket], [buckets], [int(n.sum())], [len(words)], [n_bits]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in sums), *(pa.array([x.tobytes()], pa.binary()) for x in (flags, words, n))], names)
 
-    parts = cut(counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, types))
-    return parts.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(joined, MODEL)
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, MODEL)
 
 
 def train(slices: DataFrame, *, bits: int = BITS, bucket_bytes: int = BUCKET) -> DataFrame:
@@ -283,42 +255,41 @@ def train(slices: DataFrame, *, bits: int = BITS, bucket_bytes: int = BUCKET) ->
 
 
 def answers(slices: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
-    """``slice, bucket, word_levels, counts, masses, pair_levels``: what the buckets know of a slice's distinct n-grams, in their order."""
+    """``slice, bucket, word_levels, counts, pair_levels``: what the buckets know of a slice's distinct n-grams, in their order."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 tokens, bounds = _tokens(batch.slice(i, 1))
-                words, pairs = np.unique(np.r_[tokens, BEGIN]), np.unique(bigrams(tokens, bounds)[0])
-                there, a, b = _dealt(words, pairs, buckets)
+                words, pairs = np.unique(tokens), np.unique(bigrams(tokens, bounds))
+                there, a, _, names = _dealt(words, pairs, buckets)
                 where = pa.array(np.full(len(there), batch.column("slice")[i].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(there), where, _blobs(words, a), _blobs(_short(pairs, False), b)], ["bucket", "slice", "words", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array(there), where, _blobs(words, a), names], ["bucket", "slice", "words", "pairs"])
 
     asked = slices.select("slice", "ends", "body").mapInArrow(ask, "bucket long, slice long, words binary, pairs binary")
     nothing = F.lit(None).cast("binary")
-    known = model.select("bucket", F.lit(-1).cast("long").alias("slice"), "words", nothing.alias("pairs"), "n_bits", "bits", "counts", "masses")
-    asked = asked.select("bucket", "slice", "words", "pairs", F.lit(None).cast("long").alias("n_bits"), *(nothing.alias(c) for c in ("bits", "counts", "masses")))
+    known = model.select("bucket", F.lit(-1).cast("long").alias("slice"), "words", nothing.alias("pairs"), "n_bits", "bits", "counts")
+    asked = asked.select("bucket", "slice", "words", "pairs", F.lit(None).cast("long").alias("n_bits"), *(nothing.alias(c) for c in ("bits", "counts")))
 
-    def reply(rows: pa.RecordBatch, table: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def reply(rows: pa.RecordBatch, table: dict) -> pa.RecordBatch:
         """The rows of one bucket."""
-        words, pairs = _values(rows.column("words"), np.uint64), _long(rows.column("pairs"))
-        cuts = [np.r_[0, np.cumsum([len(x) // width for x in rows.column(c).to_pylist()])] for c, width in (("words", 8), ("pairs", 5))]
+        words, (pairs, by_pairs) = _values(rows.column("words"), np.uint64), _named(rows.column("pairs"))
+        by_words = np.r_[0, np.cumsum([len(x) // 8 for x in rows.column("words").to_pylist()])]
         place = np.minimum(np.searchsorted(table["words"], words), len(table["words"]) - 1)
-        found = table["words"][place] == words
-        exact, mass = (np.where(found, table[c][place], 0).astype(table[c].dtype) for c in ("counts", "masses"))
+        exact = np.where(table["words"][place] == words, table["counts"][place], 0)
         levels = [probed(keys, table["bits"], table["n_bits"]) for keys in (words, pairs)]
-        columns = [_blobs(levels[0], cuts[0]), _blobs(exact, cuts[0]), _blobs(mass, cuts[0]), _blobs(levels[1], cuts[1])]
-        return pa.RecordBatch.from_arrays([rows.column("slice"), rows.column("bucket"), *columns], ["slice", "bucket", "word_levels", "counts", "masses", "pair_levels"])
+        columns = [_blobs(levels[0], by_words), _blobs(exact, by_words), _blobs(levels[1], by_pairs)]
+        return pa.RecordBatch.from_arrays([rows.column("slice"), rows.column("bucket"), *columns], ["slice", "bucket", "word_levels", "counts", "pair_levels"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"words": np.uint64, "counts": np.int64, "masses": np.float64, "bits": np.uint8}
+        kinds = {"words": np.uint64, "counts": np.int64, "bits": np.uint8}
         nobody = {c: np.zeros(1, t) for c, t in kinds.items()} | {"n_bits": 8}
         of, table = None, nobody
         for batch in batches:
-            buckets_here = batch.column("bucket").to_numpy()
-            for a, b in zip(*runs_of(buckets_here), strict=True):
-                if buckets_here[a] != of:
-                    of, table = buckets_here[a], nobody
+            here = batch.column("bucket").to_numpy()
+            for a, b in zip(*runs_of(here), strict=True):
+                if here[a] != of:
+                    of, table = here[a], nobody
                 if batch.column("slice")[a].as_py() < 0:
                     table = {c: np.frombuffer(batch.column(c)[a].as_py(), t) for c, t in kinds.items()} | {"n_bits": batch.column("n_bits")[a].as_py()}
                     a += 1
@@ -326,39 +297,36 @@ def answers(slices: DataFrame, model: DataFrame, buckets: int) -> DataFrame:
                     yield reply(batch.slice(a, b - a), table)
 
     met = known.union(asked).repartition("bucket").sortWithinPartitions("bucket", "slice")
-    return met.mapInArrow(answer, "slice long, bucket long, word_levels binary, counts binary, masses binary, pair_levels binary")
+    return cut(met.mapInArrow(answer, "slice long, bucket long, word_levels binary, counts binary, pair_levels binary"))
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(slices: DataFrame, model: DataFrame) -> DataFrame:
-    """Per text of the slices: tokens, known tokens, the exact unigram base score and the filter model's log10 probability."""
-    buckets, total, distinct, mass = model.agg(F.max("of"), F.sum("tokens"), F.sum("types"), F.sum("mass")).first()
-    buckets, total, distinct, mass = buckets or 1, total or 0, distinct or 0, mass or 0.0
-    whole, quantised_whole = total + 0.5 * (distinct + 1), mass + 0.5 * (distinct + 1)
-    lists = [f.name for f in slices.schema.fields if f.name != "slice"]
-    replies = ["word_levels", "counts", "masses", "pair_levels"]
-    nothing = F.lit(None).cast("binary")
-    texts = slices.select("slice", F.lit(-1).cast("long").alias("bucket"), *lists, *(nothing.alias(c) for c in replies))
-    said = answers(slices, model, buckets)
+    """Per text of the slices: tokens, known tokens, the exact unigram base score and the filter model's log10 probability.
+
+    The texts of a model are as many as its end tokens.
+    """
+    buckets, total, distinct = (x or 0 for x in model.agg(F.max("of"), F.sum("tokens"), F.sum("types")).first())
+    whole = total + 0.5 * (distinct + 1)
+    lists, replies, nothing = ["ids", "held", "ends", "body"], ["word_levels", "counts", "pair_levels"], F.lit(None).cast("binary")
+    said = answers(slices, model, max(1, buckets))
     said = said.select("slice", "bucket", *(F.lit(None).cast(slices.schema[c].dataType).alias(c) for c in lists), *replies)
+    texts = slices.select("slice", F.lit(-1).cast("long").alias("bucket"), *lists, *(nothing.alias(c) for c in replies))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in key_runs(batches, "slice"):
-            head = rows.slice(0, 1).combine_chunks().to_batches()[0]
-            rest = rows.slice(1)
+            head, rest = rows.slice(0, 1).combine_chunks().to_batches()[0], rows.slice(1)
             tokens, bounds = _tokens(head)
-            word_levels, counts, masses, pair_levels = (_values(rest.column(c), t) for c, t in zip(replies, (np.uint8, np.int64, np.float64, np.uint8), strict=True))
-            places = np.unique(np.r_[tokens, BEGIN], return_inverse=True)[1]
-            pairs, before = bigrams(tokens, bounds)
-            first = np.r_[places[-1], places[: len(tokens) - 1]]
-            first[bounds[:-1]] = places[-1]
-            places = places[:-1]
+            word_levels, counts, pair_levels = (_values(rest.column(c), t) for c, t in zip(replies, (np.uint8, np.int64, np.uint8), strict=True))
+            words, places = np.unique(tokens, return_inverse=True)
             exact = counts[places]
-            one = (level_value(word_levels)[places] + 0.5) / quantised_whole
-            two, context = level_value(pair_levels)[np.unique(pairs, return_inverse=True)[1]], masses[first]
-            smooth = np.where(context > 0, WEIGHT * np.minimum(two, context) / np.maximum(context, 1.0) + (1 - WEIGHT) * one, one)
+            one = (level_value(word_levels)[places] + 0.5) / whole
+            two = level_value(pair_levels)[np.unique(bigrams(tokens, bounds), return_inverse=True)[1]]
+            context = np.r_[0, exact[:-1]]
+            context[bounds[:-1]] = counts[np.searchsorted(words, END)]  # every text has its end token, and its start
+            smooth = np.where(context > 0, WEIGHT * np.minimum(two, context) / np.maximum(context, 1) + (1 - WEIGHT) * one, one)
             sums = lambda x: np.add.reduceat(x, bounds[:-1])
             columns = [np.diff(bounds), sums((exact > 0).astype(np.int64)), np.full(len(bounds) - 1, total), sums(np.log10((exact + 0.5) / whole)), sums(np.log10(smooth))]
             yield pa.RecordBatch.from_arrays([head.column("ids")[0].values, head.column("held")[0].values, *map(pa.array, columns)], RESULT_NAMES)
@@ -366,7 +334,7 @@ def score(slices: DataFrame, model: DataFrame) -> DataFrame:
     return texts.union(said).repartition("slice").sortWithinPartitions("slice", "bucket").mapInArrow(work, RESULT)
 
 
-MODEL_NAMES, RESULT_NAMES = ([field.split()[0] for field in schema.split(", ")] for schema in (MODEL, RESULT))
+RESULT_NAMES = [field.split()[0] for field in RESULT.split(", ")]
 
 
 def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS, bucket_bytes: int = BUCKET) -> DataFrame:
