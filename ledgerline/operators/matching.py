@@ -41,31 +41,49 @@ def _domain(upi: Column) -> Column:
     return F.substring_index(upi, "@", -1)
 
 
+def _first(rows: DataFrame, key: list[str], limit: int | None) -> DataFrame:
+    """Of each key the people with the smallest ids, up to the limit: later ones cannot be among a narration's first candidates."""
+    if limit is None:
+        return rows
+    order = Window.partitionBy(*key).orderBy("person_id")
+    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+
+
+def _prefixes(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    return rows.withColumn("_p", F.explode(F.sequence(F.lit(1), F.length(text)))).withColumn(name, F.left(text, F.col("_p"))).drop("_p")
+
+
 def candidates(narrations: DataFrame, people: DataFrame, identifiers: DataFrame, limit: int | None = CANDIDATES) -> DataFrame:
     """``id, person_id``: the people of the narration's blocks, by id up to the limit."""
-    held = lambda kind: identifiers.filter(F.col("id_type") == kind).select("person_id", F.col("normalized_value").alias("v"))
+    held = lambda kind: identifiers.filter(F.col("id_type") == kind).select("person_id", F.col("normalized_value").alias("v")).distinct()
     asked = narrations.select("id", "normalized_upi_id", "account_identifier", "phone", "email", "normalized_name", "name_tokens")
     upi = asked.filter("normalized_upi_id is not null").select("id", F.col("normalized_upi_id").alias("u"))
     owners = held("UPI")
-    by_domain = upi.withColumn("k", _domain(F.col("u"))).join(owners.withColumn("k", _domain(F.col("v"))), "k").select("id", "person_id")
-    # Handles of which one begins the other share their first two letters at least, or the shorter one is a single letter.
-    begin = lambda c: F.left(_local(F.col(c)), F.lit(1))
-    prefixed = upi.withColumn("k", begin("u")).join(owners.withColumn("k", begin("v")), "k")
+    handles = upi.select("u").distinct().filter(F.length(_local(F.col("u"))) > 0)
+    domains = _first(owners.select("person_id", _domain(F.col("v")).alias("k")).distinct(), ["k"], limit)
+    by_domain = handles.withColumn("k", _domain(F.col("u"))).join(domains, "k").select("u", "person_id")
+    # Handles of which one begins the other: the prefixes of either side are joined with the other side's handles.
     a, b = _local(F.col("u")), _local(F.col("v"))
-    by_handle = prefixed.filter((F.col("v").contains(a)) & (a.startswith(b) | b.startswith(a))).select("id", "person_id")
+    ours, theirs = handles.withColumn("k", a), owners.withColumn("k", b)
+    longer = _first(_prefixes(owners, b, "k").select("person_id", "k").distinct(), ["k"], limit)
+    by_longer = ours.join(longer, "k").select("u", "person_id")
+    by_shorter = _prefixes(handles, a, "k").join(theirs, "k").filter(F.col("v").contains(a)).select("u", "person_id")
+    by_handle = upi.join(_first(by_domain.union(by_longer).union(by_shorter).distinct(), ["u"], limit), "u").select("id", "person_id")
     account = asked.filter("account_identifier is not null").withColumn("k", F.right("account_identifier", F.lit(4)))
-    by_account = account.join(held("ACCOUNT").withColumn("k", F.right("v", F.lit(4))), "k").select("id", "person_id")
+    accounts = _first(held("ACCOUNT").select("person_id", F.right("v", F.lit(4)).alias("k")).distinct(), ["k"], limit)
+    by_account = account.join(accounts, "k").select("id", "person_id")
     contact = asked.select("id", F.explode(F.array_compact(F.array("phone", "email"))).alias("v"))
-    by_contact = contact.join(identifiers.select("person_id", F.col("normalized_value").alias("v")), "v").select("id", "person_id")
+    contacts = _first(identifiers.select("person_id", F.col("normalized_value").alias("v")).distinct(), ["v"], limit)
+    by_contact = contact.join(contacts, "v").select("id", "person_id")
     words = asked.select("id", "normalized_name", F.explode(F.array_distinct(F.transform("name_tokens", F.lower))).alias("w"))
-    named = people.select(F.col("id").alias("person_id"), F.col("normalized_name").alias("person_name"), F.explode(F.split("normalized_name", " ")).alias("w")).filter("w <> ''")
+    named = people.select(F.col("id").alias("person_id"), F.col("normalized_name").alias("person_name"), F.explode(F.array_distinct(F.split("normalized_name", " "))).alias("w")).filter("w <> ''")
     # A shared word of three letters is enough; a shorter one only if the whole of one name lies in the other.
     inside = (F.length("normalized_name") >= 3) & F.col("normalized_name").contains(F.col("person_name"))
-    by_name = words.join(named, "w").filter((F.length("w") >= 3) | inside).select("id", "person_id")
-    found = by_domain.union(by_handle).union(by_account).union(by_contact).union(by_name).distinct()
-    if limit is None:
-        return found
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("person_id"))).filter(F.col("_n") <= limit).drop("_n")
+    long_enough = F.length("w") >= 3
+    by_word = words.filter(long_enough).join(_first(named.filter(long_enough).select("person_id", "w"), ["w"], limit), "w").select("id", "person_id")
+    by_short_word = words.filter(~long_enough).join(named.filter(~long_enough), "w").filter(inside).select("id", "person_id")
+    found = by_handle.union(by_account).union(by_contact).union(by_word).union(by_short_word).distinct()
+    return _first(found, ["id"], limit)
 
 
 def evidence(narrations: DataFrame, pairs: DataFrame, people: DataFrame, identifiers: DataFrame, methods: DataFrame) -> DataFrame:
@@ -163,6 +181,16 @@ def canonical_name() -> Column:
     return F.coalesce("name", F.nullif(words, F.lit("")), F.concat(F.lit("A/C "), "account_identifier"), F.lit("Unknown counterparty"))
 
 
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with their rank ``_n`` by the order, counted from 1: by ranges of it, each by itself, and the sizes of the ranges before."""
+    dealt = checkpointed(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_range", before.alias("_before")))  # a row for each range
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.join(starts, "_range").withColumn("_n", F.col("_before") + rank).drop("_range", "_before")
+
+
 def mint(narrations: DataFrame, decisions: DataFrame, scored: DataFrame, people: DataFrame, identifiers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """People and identifiers with those whose strong identifier nobody owns, one for each identifier, by first appearance."""
     exact = scored.filter(F.exists("codes", lambda c: c.isin(*EXACT))).select("id").distinct()
@@ -173,8 +201,8 @@ def mint(narrations: DataFrame, decisions: DataFrame, scored: DataFrame, people:
     fields = ("name", "normalized_upi_id", "account_identifier", "phone", "email", "transaction_date")
     new = firsts.groupBy("_key").agg(F.min(order).alias("_at"), *[F.min_by(c, order).alias(c) for c in fields])
     base = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-    # Ids follow the first appearance; the rows are as many as new people of one round, and only their order is global.
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("_at"))).crossJoin(F.broadcast(base))  # one row
+    # Ids follow the first appearance.
+    numbered = _numbered(new, "_at").crossJoin(F.broadcast(base))  # one row
     born = numbered.select((F.col("_base") + F.col("_n")).cast("long").alias("id"), canonical_name().alias("canonical_name"), *fields)
     born = born.withColumns({"code": F.format_string("P%03d", F.col("id")), "normalized_name": normalize_name(F.col("canonical_name"))})
     pairs = F.array(*[F.struct(F.lit(k).alias("id_type"), F.col(c).alias("normalized_value")) for k, c in (("UPI", "normalized_upi_id"), ("ACCOUNT", "account_identifier"), ("NAME", "normalized_name"), ("PHONE", "phone"), ("EMAIL", "email"))])
@@ -183,21 +211,21 @@ def mint(narrations: DataFrame, decisions: DataFrame, scored: DataFrame, people:
     return people.select(*columns).unionByName(born.select(*columns)), identifiers.select("person_id", "id_type", "normalized_value").unionByName(owned)
 
 
-def resolve(narrations: DataFrame, people: DataFrame, identifiers: DataFrame, *, rounds: int = 5, limit: int | None = CANDIDATES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Decisions, people and identifiers after rounds of matching and minting, until nobody new appears.
+def resolve(narrations: DataFrame, people: DataFrame, identifiers: DataFrame, *, limit: int | None = CANDIDATES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decisions, people and identifiers after rounds of matching and minting, until a round brings nobody and nothing new.
 
     All narrations of a round see the same people, so the work is joins at any size; a narration never depends on its
-    neighbours' order within a round.
+    neighbours' order within a round. People and identifiers only grow, and no further than the narrations' values, so rounds end.
     """
     narrations = checkpointed(narrations)
     people, identifiers = checkpointed(people), checkpointed(identifiers.select("person_id", "id_type", "normalized_value"))
     methods = narrations.sparkSession.createDataFrame([], "person_id long, methods array<string>")
-    for _ in range(rounds):
+    before = None
+    while True:
         scored = checkpointed(evidence(narrations, candidates(narrations, people, identifiers, limit), people, identifiers, methods))
         decisions = checkpointed(decide(narrations, scored))
         met = decisions.filter("person_id is not null").select("id", "person_id").join(narrations, "id")
         methods = checkpointed(met.filter("payment_method is not null").groupBy("person_id").agg(F.collect_set("payment_method").alias("methods")))
-        before = people.count()
         people, grown = mint(narrations, decisions, scored, people, identifiers)
         people = checkpointed(people)
         # What matched rows show becomes known, unless somebody owns it; aliases belong to each person.
@@ -207,9 +235,16 @@ def resolve(narrations: DataFrame, people: DataFrame, identifiers: DataFrame, *,
         fresh = first.join(grown, ["id_type", "normalized_value"], "left_anti").select("person_id", "id_type", "normalized_value")
         aliases = met.filter("normalized_name is not null").select("person_id", F.lit("NAME").alias("id_type"), F.col("normalized_name").alias("normalized_value"))
         identifiers = checkpointed(grown.union(fresh).union(aliases).distinct())
-        if people.count() == before:
-            break
-    return decisions, people, identifiers
+        now = (people.count(), identifiers.count())
+        if now == before:
+            return decisions, people, identifiers
+        before = now
+
+
+def seen_dates(narrations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``person_id, first_seen, last_seen``: between which dates a person's matched rows lie."""
+    met = decisions.filter("person_id is not null").select("id", "person_id").join(narrations.select("id", "transaction_date"), "id")
+    return met.groupBy("person_id").agg(F.min("transaction_date").alias("first_seen"), F.max("transaction_date").alias("last_seen"))
 
 
 def review_list(transactions: DataFrame, decisions: DataFrame, people: DataFrame) -> DataFrame:
@@ -223,10 +258,26 @@ def overlay(decisions: DataFrame, reviews: DataFrame) -> DataFrame:
     """Manual reviews (``id, confirmed_person_id``; null: rejected) over automatic decisions; the manual one wins."""
     joined = decisions.join(reviews.withColumn("_seen", F.lit(True)), "id", "left")
     seen, person = F.coalesce("_seen", F.lit(False)), F.col("confirmed_person_id")
+    codes = [F.col("reason_codes")] if "reason_codes" in decisions.columns else []
     return joined.select(
         "id",
         F.when(~seen, F.col("status")).when(person.isNull(), "UNKNOWN").otherwise("MATCH").alias("status"),
         F.when(seen, person).otherwise(F.col("person_id")).alias("person_id"),
         F.when(seen, "MANUAL").otherwise("LOCAL_MATCHING").alias("method"),
         F.when(~seen, F.col("confidence")).alias("confidence"),
+        *[F.when(seen, F.array(F.when(person.isNull(), "MANUAL_UNKNOWN").otherwise("MANUAL_CONFIRM"))).otherwise(c).alias("reason_codes") for c in codes],
     )
+
+
+def confirmations(decisions: DataFrame, asked: DataFrame) -> DataFrame:
+    """Reviews for ``overlay`` from what users ask (``id, action, person_id``): a confirmation without a person means the suggestion."""
+    suggested = decisions.select("id", "suggested_person_id")
+    person = F.when(F.col("action") == "confirm", F.coalesce("person_id", "suggested_person_id"))
+    return asked.join(suggested, "id").filter((F.col("action") == "reject") | person.isNotNull()).select("id", person.alias("confirmed_person_id"))
+
+
+def confirmed_aliases(reviews: DataFrame, narrations: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """Identifiers with the names of confirmed rows as aliases of their person."""
+    shown = reviews.filter("confirmed_person_id is not null").join(narrations.select("id", "normalized_name"), "id").filter("normalized_name is not null")
+    aliases = shown.select(F.col("confirmed_person_id").alias("person_id"), F.lit("NAME").alias("id_type"), F.col("normalized_name").alias("normalized_value"))
+    return identifiers.select("person_id", "id_type", "normalized_value").unionByName(aliases).distinct()

@@ -143,7 +143,7 @@ def narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = """, n AS (SELECT id, normalized_upi_id AS u, split_part(normalized_upi_id, '@', 1) AS h, split_part(normalized_upi_id, '@', 2) AS dom,
   CASE WHEN id % 3 = 0 THEN 'supplier#' || lpad(CAST(id % 100 AS VARCHAR), 9, '0') END AS name, CASE WHEN id % 5 = 0 THEN 'XXXX' || lpad(CAST(id % 60 AS VARCHAR), 4, '0') END AS acct FROM txn),
 pu AS (SELECT person_id, lower(value) AS v, split_part(lower(value), '@', 1) AS ph, split_part(lower(value), '@', 2) AS pd FROM identifier WHERE id_type = 'UPI'),
-pa AS (SELECT person_id, lower(value) AS pv FROM identifier WHERE id_type = 'ACCOUNT'),
+pa AS (SELECT person_id, value AS pv FROM identifier WHERE id_type = 'ACCOUNT'),
 c AS (SELECT n.id, p.id AS person_id, n.*  EXCLUDE (id), pu.v, pu.ph, pu.pd, pa.pv, p.normalized_name AS pname FROM n, person p JOIN pu ON pu.person_id = p.id JOIN pa ON pa.person_id = p.id
   WHERE n.dom = pu.pd OR (contains(pu.v, n.h) AND (starts_with(n.h, pu.ph) OR starts_with(pu.ph, n.h))) OR right(n.acct, 4) = right(pa.pv, 4) OR n.name = p.normalized_name),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY person_id) AS k FROM c)"""
@@ -165,18 +165,16 @@ def _scored(spark, sf_dir):
     ledger = from_tables(spark, sf_dir)
     rows = narrations(spark, sf_dir)
     methods = spark.createDataFrame([], "person_id long, methods array<string>")
-    identifiers = ledger.identifiers.withColumn("normalized_value", F.col("normalized_value"))
-    pairs = matching.candidates(rows, ledger.people, identifiers)
-    return rows, matching.evidence(rows, pairs, ledger.people, identifiers, methods)
+    pairs = matching.candidates(rows, ledger.people, ledger.identifiers)
+    return rows, matching.evidence(rows, pairs, ledger.people, ledger.identifiers, methods)
 
 
-@query("evidence_scores", _EVIDENCE.replace("acct = pv", "lower(acct) = pv AND FALSE") + " SELECT id, person_id, score FROM s")
+@query("evidence_scores", _EVIDENCE + " SELECT id, person_id, score FROM s")
 def evidence_scores(spark, sf_dir):
-    """Accounts are stored in lower case in this adapter, so they block but are no exact evidence."""
     return _scored(spark, sf_dir)[1].select("id", "person_id", "score")
 
 
-@query("match_decision", _EVIDENCE.replace("acct = pv", "lower(acct) = pv AND FALSE") + """, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, person_id) AS pos FROM s),
+@query("match_decision", _EVIDENCE + """, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, person_id) AS pos FROM s),
 b AS (SELECT id, max(person_id) FILTER (pos = 1) AS p1, max(score) FILTER (pos = 1) AS s1, max(score) FILTER (pos = 2) AS s2 FROM k GROUP BY 1)
 SELECT t.id, CASE WHEN s1 IS NULL THEN 'UNKNOWN' WHEN s1 >= 0.8::DOUBLE AND s2 >= 0.8::DOUBLE AND s1 - s2 <= 0.05::DOUBLE THEN 'AMBIGUOUS' WHEN s1 >= 0.8::DOUBLE THEN 'MATCH' WHEN s1 >= 0.55::DOUBLE AND s1 - s2 < 0.1::DOUBLE THEN 'AMBIGUOUS' WHEN s1 >= 0.55::DOUBLE THEN 'MATCH' ELSE 'AMBIGUOUS' END AS status,
 p1 AS suggested_person_id, s1 AS confidence FROM txn t LEFT JOIN b ON b.id = t.id""")

@@ -65,7 +65,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Ledger:
     upi = F.concat(F.lit("supplier"), F.col("s_suppkey").cast("string"), F.lit("@ok"), F.col("s_nationkey").cast("string"))
     account = F.concat(F.lit("XXXX"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0"))
     pairs = F.explode(F.array(F.struct(F.lit("UPI").alias("id_type"), upi.alias("value")), F.struct(F.lit("ACCOUNT").alias("id_type"), account.alias("value"))))
-    identifiers = table("supplier").select(F.col("s_suppkey").alias("person_id"), pairs.alias("i")).select("person_id", "i.id_type", "i.value", F.lower("i.value").alias("normalized_value"))
+    identifiers = table("supplier").select(F.col("s_suppkey").alias("person_id"), pairs.alias("i")).select("person_id", "i.id_type", "i.value", F.when(F.col("i.id_type") == "UPI", F.lower("i.value")).otherwise(F.col("i.value")).alias("normalized_value"))
     return Ledger(transactions, statements, people, identifiers)
 
 
