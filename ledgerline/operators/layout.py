@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import parse_date
 from ledgerline.functions.money import amount_side, parse_amount
+from ledgerline.functions.steps import computed
 
 SCAN = 30
 FIELDS = ("date", "value_date", "description", "reference", "debit", "credit", "balance", "amount", "side")
@@ -70,9 +71,10 @@ def positional_layout(rows: DataFrame) -> DataFrame:
     sample = filled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SCAN)
     sizes = sample.groupBy("file_id").agg(F.count("*").alias("n"), F.max(F.size("cells")).alias("width"))
     cells = sample.select("file_id", F.posexplode("cells").alias("col", "cell"))
-    text = F.lower(F.trim(F.coalesce("cell", F.lit(""))))
-    blank, numeric = text.isin(*BLANK), looks_numeric(F.col("cell"))
-    dated = parse_date(F.col("cell")).isNotNull() & ~numeric
+    # Each cell is parsed once: the expressions are long.
+    cells = computed(cells, {"blank": F.lower(F.trim(F.coalesce("cell", F.lit("")))).isin(*BLANK), "numeric": looks_numeric(F.col("cell")), "day": parse_date(F.col("cell"))})
+    blank, numeric = F.col("blank"), F.col("numeric")
+    dated = F.col("day").isNotNull() & ~numeric
     count = lambda c: F.sum(c.cast("int"))
     kinds = cells.groupBy("file_id", "col").agg(
         count(dated).alias("dates"), count(~blank).alias("filled"), count(~blank & numeric).alias("numbers"), count(~blank & dated).alias("filled_dates"),
@@ -122,31 +124,35 @@ def typed_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     cell = lambda f: F.nullif(F.trim(F.get("cells", F.col(f"{f}_idx"))), F.lit(""))
     has = lambda f: F.col(f"{f}_idx").isNotNull()
     described, referred = cell("description"), cell("reference")
-    df = df.withColumns(
+    df = computed(
+        df,
         {
             "transaction_date": parse_date(cell("date")),
             "_value": parse_date(cell("value_date")),
             "_text": F.when(has("description"), described).otherwise(referred),
             "_ref": F.when(has("description"), referred),
-        }
+        },
     )
-    # A description that is a date gives way to a reference that is none. Parsed once each: the expression is long.
-    df = df.withColumns({"_text_date": parse_date(F.col("_text")), "_ref_date": parse_date(F.col("_ref"))})
+    # A description that is a date gives way to a reference that is none.
+    df = computed(df, {"_text_date": parse_date(F.col("_text")), "_ref_date": parse_date(F.col("_ref"))})
     swap = F.coalesce(F.col("_text_date").isNotNull() & F.col("_ref_date").isNull() & (F.length("_ref") > 3), F.lit(False))
-    df = df.withColumns({"value_date": F.when(swap, F.coalesce("_value", "_text_date")).otherwise(F.col("_value")), "description": F.when(swap, F.col("_ref")).otherwise(F.col("_text")), "reference": F.when(~swap, F.col("_ref"))})
-    df = df.withColumns({f"_{f}": parse_amount(cell(f)) for f in ("amount", "debit", "credit", "balance")})
+    df = computed(df, {"value_date": F.when(swap, F.coalesce("_value", "_text_date")).otherwise(F.col("_value")), "description": F.when(swap, F.col("_ref")).otherwise(F.col("_text")), "reference": F.when(~swap, F.col("_ref"))})
+    df = computed(df, {f"_{f}": parse_amount(cell(f)) for f in ("amount", "debit", "credit", "balance")})
     amount = F.col("_amount")
     mark, upper = F.lower(cell("side")), F.upper(F.coalesce("description", F.lit("")))
     told = F.when(mark.rlike("^[dw]"), "DEBIT").when(mark.rlike("^[cr]"), "CREDIT")
     narrated = F.when(upper.rlike("WDL|WITHDRAWAL|DR/|DEBIT|PAID TO|TRANSFER TO"), "DEBIT").when(upper.rlike("DEP|CR/|CREDIT|RECEIVED FROM"), "CREDIT")
     side = F.coalesce(told, amount_side(cell("amount")), narrated, F.when(amount < 0, "SIGNED").otherwise("CREDIT"))
-    df = df.withColumns(
+    df = computed(df, {"_side": side})
+    side = F.col("_side")
+    df = computed(
+        df,
         {
             "debit": F.when(amount.isNotNull() & (side == "DEBIT"), amount).when(amount.isNotNull() & (side == "SIGNED"), -amount).otherwise(F.col("_debit")),
             "credit": F.when(amount.isNotNull() & (side == "CREDIT"), amount).otherwise(F.col("_credit")),
             "balance": F.col("_balance"),
-            "raw_text": F.array_join(F.filter(F.transform("cells", F.trim), lambda c: c != ""), " | "),
-        }
+            "raw_text": F.array_join(F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c != ""), " | "),
+        },
     )
     kept = df.filter("transaction_date is not null and (debit is not null or credit is not null or balance is not null)")
     return kept.select("file_id", "row_no", "transaction_date", "value_date", "description", "reference", "debit", "credit", "balance", "raw_text", "source")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import narration
@@ -63,6 +63,64 @@ def reconcile_warnings(spark, sf_dir):
     return said.select("file_id", F.nullif(F.array_join("warnings", ";"), F.lit("")).alias("said"))
 
 
+# --- files of real size: one for each customer --------------------------------------------------------------------
+
+
+def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement file of each customer's orders with a running balance: with a header, with swapped columns and quoted cells over two
+    lines, or without a header, by customer; some amounts are missing, and some files are no statements."""
+    rows = from_tables(spark, sf_dir).transactions
+    # Without a header, dates must be seen in half of the first rows, those before the dated ones included.
+    many = F.count("*").over(Window.partitionBy("statement_id")) >= 4
+    rows = rows.withColumn("style", F.when((F.col("statement_id") % 3 != 2) | many, F.col("statement_id") % 3).otherwise(0))
+    order = Window.partitionBy("statement_id").orderBy("transaction_date", "id")
+    zero = F.lit(0).cast("decimal(14,2)")
+    moved = F.coalesce("credit_amount", zero) - F.coalesce("debit_amount", zero)
+    rows = rows.withColumns({"n": F.row_number().over(order), "balance": (F.lit(5_000_000).cast("decimal(14,2)") + F.sum(moved).over(order)).cast("decimal(14,2)")})
+    shown = lambda c: F.when(F.col("id") % 13 == 0, "").otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    day, out, into, left = F.date_format("transaction_date", "dd-MM-yyyy"), shown("debit_amount"), shown("credit_amount"), F.col("balance").cast("string")
+    line = (
+        F.when(F.col("style") == 0, F.concat_ws(",", day, F.concat(F.lit("payee "), F.col("id")), F.col("reference_number"), out, into, left))
+        .when(F.col("style") == 1, F.concat_ws(";", day, F.concat(F.lit('"payee ""'), F.col("id"), F.lit('""; \nagain"')), F.col("reference_number"), into, out, left))
+        .otherwise(F.concat_ws(",", day, F.concat(F.lit("payee "), F.col("id")), out, into, left))
+    )
+    lines = rows.groupBy("statement_id", "style").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\r\n").alias("body"))
+    head = F.concat(F.lit("HDFC BANK statement\nA/C No: 00001234"), F.lpad(F.col("statement_id").cast("string"), 6, "0"), F.lit("\nOpening Balance: 5,000,000.00\n"))
+    titles = F.when(F.col("style") == 0, "Date,Narration,Ref No.,Withdrawal (INR),Deposit (INR),Closing Balance\n").when(F.col("style") == 1, "Txn Date;Particulars;Chq No;Deposit Amt;Withdrawal Amt;Balance\n").otherwise("")
+    text = F.when(F.col("statement_id") % 17 == 0, "not,a,statement\njust,some,text\n").otherwise(F.concat(head, titles, "body"))
+    content = F.when(F.col("statement_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), text.cast("binary"))).otherwise(text.cast("binary"))
+    files_ = lines.select(F.col("statement_id").alias("file_id"), F.concat(F.lit("statement-"), "statement_id", F.lit(".csv")).alias("name"), content.alias("content"))
+    return files_.withColumn("size", F.length("content").cast("long"))
+
+
+_STATED = """, stated AS (SELECT id, statement_id, transaction_date, debit_amount, credit_amount, CAST(5000000 + sum(coalesce(credit_amount, 0) - coalesce(debit_amount, 0)) OVER (PARTITION BY statement_id ORDER BY transaction_date, id) AS DECIMAL(14,2)) AS left_over FROM txn WHERE statement_id % 17 <> 0)"""
+
+
+@query("statement_files_rows", _STATED + " SELECT statement_id AS file_id, transaction_date, debit_amount AS debit, credit_amount AS credit, left_over AS balance, CASE WHEN statement_id % 3 = 1 THEN 'payee \"' || id || '\"; ' || chr(10) || 'again' ELSE 'payee ' || id END AS description FROM stated")
+def statement_files_rows(spark, sf_dir):
+    rows, _ = files.parsed(statement_files(spark, sf_dir))
+    return rows.select("file_id", "transaction_date", "debit", "credit", "balance", "description")
+
+
+@query("statement_files_report", """, f AS (SELECT statement_id AS file_id, count(*) AS n, count(*) FILTER (id % 13 = 0) AS lost FROM txn GROUP BY 1)
+SELECT file_id, 'statement-' || file_id || '.csv' AS name, CASE WHEN file_id % 17 <> 0 THEN 'HDFC Bank' END AS bank_name, CASE WHEN file_id % 17 <> 0 THEN 'XXXX' || right(lpad(CAST(file_id AS VARCHAR), 6, '0'), 4) END AS account,
+  CASE WHEN file_id % 17 <> 0 THEN CAST(5000000 AS DECIMAL(14,2)) END AS opening_balance, CASE WHEN file_id % 17 = 0 THEN 0 ELSE n END AS n_rows,
+  file_id % 17 <> 0 AND file_id % 3 = 2 AND n >= 4 AS positional, file_id % 17 <> 0 AND lost > 0 AS recovered, CASE WHEN file_id % 17 = 0 THEN 'columns could not be found' END AS error FROM f""")
+def statement_files_report(spark, sf_dir):
+    _, report = files.parsed(statement_files(spark, sf_dir))
+    told = lambda start: F.exists("warnings", lambda w: w.startswith(start))
+    return report.select("file_id", "name", "bank_name", "account", "opening_balance", "n_rows", told(files.POSITIONAL).alias("positional"), told("Recovered").alias("recovered"), "error")
+
+
+UPLOADS = [("a.csv", "61"), ("a.CSV", "3C61"), ("b.csv", "255044462D"), ("c.exe", "4D5A"), ("d.csv", ""), ("e.xls", "20200A3C48544D4C3E"), ("e.xls", "3C62"), ("f.xls", "D0CF11E0A1B11AE1"), ("g.xlsx", "504B0304"), ("g.pdf", "504B0304"), ("h.pdf", "25504446"), ("noext", "61")]
+
+
+@query("upload_validation", "SELECT n AS name, h AS head, kind, error FROM " + _values([(n, h, k, e) for (n, h), (k, e) in zip(UPLOADS, [("csv", None), ("csv", None), (None, "content does not match the file type"), (None, "file type not allowed"), ("csv", "file is empty"), ("html", None), (None, "content does not match the file type"), ("xls", None), ("xlsx", None), (None, "content does not match the file type"), ("pdf", None), (None, "file type not allowed")], strict=True)], "n, h, kind, error"), views=False)
+def upload_validation(spark, sf_dir):
+    sent = spark.createDataFrame(UPLOADS, "name string, head string").withColumn("content", F.unhex("head")).withColumn("size", F.length("content").cast("long"))
+    return files.validated(sent).select("name", "head", "kind", "error")
+
+
 HEADERS = ["Txn Date", "Value Dt", "Narration", "Chq./Ref.No.", "Withdrawal Amt (INR)", "Deposit Amount", "Closing Balance", "Dr/Cr", "Amount in Rs", "Branch", "", None, "WITHDRAWAL (INR)", "Balance(INR)"]
 
 
@@ -183,6 +241,18 @@ def match_decision(spark, sf_dir):
     return matching.decide(rows, scored).select("id", "status", "suggested_person_id", "confidence")
 
 
+@query("mint_people", _PAIRS.split("pu AS (")[0].rstrip().rstrip(",") + """, f AS (SELECT n.*, t.statement_id, row_number() OVER (PARTITION BY u ORDER BY t.statement_id, n.id) AS k FROM n JOIN txn t ON t.id = n.id)
+SELECT row_number() OVER (ORDER BY statement_id, id) AS id, format('P{:03d}', row_number() OVER (ORDER BY statement_id, id)) AS code, coalesce(name, 'A/C ' || acct, 'Unknown counterparty') AS canonical_name FROM f WHERE k = 1""")
+def mint_people(spark, sf_dir):
+    """People of the whole table's handles, from none at all."""
+    rows = narrations(spark, sf_dir)
+    nobody = spark.createDataFrame([], "id long, code string, canonical_name string, normalized_name string")
+    nothing = spark.createDataFrame([], "person_id long, id_type string, normalized_value string")
+    scored = spark.createDataFrame([], "id long, person_id long, codes array<string>, score double")
+    people, _ = matching.mint(rows, matching.decide(rows, scored), scored, nobody, nothing)
+    return people.select("id", "code", "canonical_name")
+
+
 FIXTURE = [
     ("2025-09-01", "UPI/KALYAN/kalyan@okaxis/12345"), ("2025-09-05", "KALYAN KUMAR / UPI / kalyan@okaxis"), ("2025-09-10", "NEFT-KALYAN KUMAR-XXXX1234"), ("2025-09-15", "PAYTM-KALYAN-XXXX1234"), ("2025-09-20", "UPI/KALYAN/kalyan@okaxis/12347"),
     ("2025-09-10", "RAVI KUMAR / ravi@okaxis"), ("2025-09-15", "RAVI PAVAN / ravipavan@ybl"), ("2025-09-25", "RAVI"),
@@ -194,7 +264,7 @@ def fixture(spark: SparkSession) -> DataFrame:
     return narration.extract(rows)
 
 
-@query("match_rounds")
+@query("match_rounds", "SELECT CAST(i AS BIGINT) AS id, status, code, CAST(c AS DOUBLE) AS confidence FROM " + _values([(1, "MATCH", "P001", 0.99), (2, "MATCH", "P001", 0.97), (3, "MATCH", "P002", 0.92), (4, "MATCH", "P002", 0.92), (5, "MATCH", "P001", 0.99), (6, "MATCH", "P003", 0.97), (7, "MATCH", "P004", 0.97), (8, "AMBIGUOUS", None, 0.3)], "i, status, code, c"), views=False)
 def match_rounds(spark, sf_dir):
     """Rounds of matching and minting from no people at all."""
     people = spark.createDataFrame([], "id long, code string, canonical_name string, normalized_name string")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import parse_date
 from ledgerline.functions.money import amount_side, parse_amount
+from ledgerline.functions.steps import computed
 from ledgerline.operators import layout, reconcile
+from ledgerline.plans.session import checkpointed
 
 MAX_BYTES = 20 << 20
 #: The extensions that uploads may have.
@@ -30,13 +32,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validated(files: DataFrame) -> DataFrame:
-    """Adds ``kind`` and ``error`` (null: acceptable): extension, size and leading bytes must agree."""
+    """Adds ``kind`` and ``error`` (null: acceptable): extension, size and leading bytes must agree. A spreadsheet name may hold an HTML table."""
     ext = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     head = F.hex(F.substring("content", 1, 8))
-    kind = F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "xlsx").when(head.startswith("D0CF11E0A1B11AE1"), "xls").when(head.startswith("3C"), "html").otherwise("csv")
-    fits = ((ext == kind) | ((ext == "xls") & (kind == "html"))) | ((ext == "csv") & (kind == "html"))
-    error = F.when(~ext.isin(*EXTENSIONS), "file type not allowed").when(F.col("size") == 0, "file is empty").when(F.col("size") > MAX_BYTES, "file is too large").when(~fits, "content does not match the file type")
-    return files.withColumns({"kind": F.when((ext == "csv"), "csv").otherwise(kind), "error": error})
+    magic = F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "xlsx").when(head.startswith("D0CF11E0A1B11AE1"), "xls")
+    markup = F.decode(F.substring("content", 1, 512), "ISO-8859-1").rlike(r"(?i)^\s*<(html|\?xml|table)")
+    kind = F.when(ext.isin("pdf", "xlsx", "xls") & (magic == ext), ext).when((ext == "xls") & magic.isNull() & markup, "html").when((ext == "csv") & magic.isNull(), "csv")
+    error = (
+        F.when(~ext.isin(*EXTENSIONS), "file type not allowed")
+        .when(F.col("size") == 0, "file is empty")
+        .when(F.col("size") > MAX_BYTES, "file is too large")
+        .when(kind.isNull(), "content does not match the file type")
+    )
+    return files.withColumns({"kind": kind, "error": error})
 
 
 def fingerprinted(files: DataFrame) -> DataFrame:
@@ -51,10 +59,16 @@ def new_uploads(uploads: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(taken, ["user_id", "sha256"], "left_anti")
 
 
+_UPPER = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+
+
 def decode(content: Column) -> Column:
-    """UTF-8 where valid, else the single-byte reading; without a byte order mark."""
-    text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
-    return F.regexp_replace(text, "^﻿", "")
+    """UTF-8 where valid, else the common Western code page, else Latin-1; without a byte order mark."""
+    latin = F.decode(content, "ISO-8859-1")
+    western = F.translate(latin, "".join(c for c, w in _UPPER if w), "".join(w for _, w in _UPPER if w))
+    unassigned = latin.rlike("[" + "".join(c for c, w in _UPPER if not w) + "]")
+    text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.when(unassigned, latin).otherwise(western))
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 def delimiter(text: Column) -> Column:
@@ -64,32 +78,53 @@ def delimiter(text: Column) -> Column:
     return F.array_max(F.array(*counted))["d"]
 
 
+#: A quoted field with whatever follows its closing quote, or a plain one; D stands for the delimiter.
+FIELD = r'[ ]*+(?:"[^"]*+(?:""[^"]*+)*+(?:"[^D\r\n]*+)?|[^"D\r\n][^D\r\n]*+)?'
+
+
 def csv_cells(files: DataFrame) -> DataFrame:
-    """``file_id, row_no, cells``: quoted cells may hold the delimiter and doubled quotes; blank lines are dropped."""
+    """``file_id, row_no, cells``: quoted cells may hold delimiters, line ends and doubled quotes; rows without a filled cell are dropped."""
     text = files.select("file_id", decode(F.col("content")).alias("text"))
-    lines = text.select("file_id", delimiter(F.col("text")).alias("d"), F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("row_no", "line")).filter(F.trim("line") != "")
-    # A cell is a quoted run or a run without the delimiter, after the line's start or a delimiter.
-    escaped = F.concat(F.lit("["), F.when(F.col("d") == "|", r"\|").otherwise(F.col("d")), F.lit("]"))
-    outside = F.concat(escaped, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    cells = F.transform(F.split("line", outside), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
-    return lines.select("file_id", "row_no", cells.alias("cells"))
+    text = computed(text, {"d": delimiter(F.col("text"))})
+    one = F.when(F.col("d") == "|", r"\|").when(F.col("d") == "\t", r"\t").otherwise(F.col("d"))
+    field = F.replace(F.lit(FIELD), F.lit("D"), one)
+    text = computed(text, {"_record": F.concat(F.lit("("), field, F.lit("(?:"), one, field, F.lit(")*+)")), "_cell": F.concat(F.lit("(?:^|"), one, F.lit(")("), field, F.lit(")"))})
+    records = F.filter(F.regexp_extract_all("text", F.col("_record"), F.lit(1)), lambda r: r.rlike(r"[^\s]"))
+    rows = text.select("file_id", "_cell", F.posexplode(records).alias("row_no", "record"))
+
+    def plain(cell: Column) -> Column:
+        inner = F.replace(F.regexp_extract(cell, r'(?s)^"([^"]*+(?:""[^"]*+)*+)', 1), F.lit('""'), F.lit('"'))
+        after = F.regexp_extract(cell, r'(?s)^"[^"]*+(?:""[^"]*+)*+"(.*)$', 1)
+        return F.when(cell.startswith('"'), F.concat(inner, after)).otherwise(cell)
+
+    cells = F.transform(F.regexp_extract_all("record", F.col("_cell"), F.lit(1)), lambda c: plain(F.trim(c)))
+    return rows.select("file_id", "row_no", cells.alias("cells")).filter(F.exists("cells", lambda c: c.rlike(r"[^\s]")))
+
+
+def unescaped(text: Column) -> Column:
+    """Entities of HTML text resolved: the common names and all numbers."""
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+
+    def resolved(so_far: Column, entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "([0-9A-Fa-f]+);", 1)
+        code = F.when(entity.rlike("^&#[xX]"), F.upper(digits)).otherwise(F.hex(digits.try_cast("long")))
+        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        return F.replace(so_far, entity, F.coalesce(char, entity))
+
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+    return F.replace(F.aggregate(numbers, text, resolved), F.lit("&amp;"), F.lit("&"))
 
 
 def html_cells(files: DataFrame) -> DataFrame:
     """``file_id, row_no, cells`` of table rows, tags and entities resolved."""
     text = files.select("file_id", decode(F.col("content")).alias("text"))
     rows = text.select("file_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "row"))
-
-    def plain(cell: Column) -> Column:
-        cell = F.regexp_replace(cell, r"(?s)<[^>]+>", "")
-        for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-            cell = F.replace(cell, F.lit(entity), F.lit(char))
-        return F.trim(cell)
-
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), plain)
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(unescaped(F.regexp_replace(c, r"(?s)<[^>]+>", ""))))
     return rows.select("file_id", "row_no", cells.alias("cells"))
 
 
+#: How text lines of statements write dates and money.
 DATE = r"\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}"
 DATE_LINE = rf"^\s*({DATE})(?:\s+({DATE}))?\s+(\S.*)$"
 MONEY = r"(?:₹|Rs\.?\s*)?-?[\d,]+\.\d{2}-?(?:\s*(?:Dr|Cr)\b)?"
@@ -154,11 +189,43 @@ def account_details(text: Column) -> tuple[Column, Column]:
     return holder, F.when(F.length(digits) >= 5, F.concat(F.lit("XXXX"), F.right(digits, F.lit(4))))
 
 
-def ledger_rows(cells: DataFrame, openings: DataFrame | None = None) -> DataFrame:
-    """Reconciled ledger rows with money, of many files at once. ``openings``: ``file_id, opening_balance``."""
-    typed = layout.typed_rows(cells, layout.layouts(cells))
+def heads(files: DataFrame) -> DataFrame:
+    """``file_id, bank_name, account_holder, account, opening_balance`` from what stands before a text file's first dated line."""
+    text = files.select("file_id", decode(F.col("content")).alias("text"))
+    before = F.regexp_extract("text", rf"(?ms)\A(.*?)^[ \t]*{DATE}\b", 1)
+    text = computed(text.select("file_id", F.left("text", F.lit(4000)).alias("_head"), before.alias("_before")), {"bank_name": bank_name(F.col("_head")), "opening_balance": opening_balance(F.col("_before"))})
+    holder, account = account_details(F.col("_head"))
+    return text.select("file_id", "bank_name", holder.alias("account_holder"), account.alias("account"), "opening_balance")
+
+
+def ledger_rows(cells: DataFrame, openings: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Reconciled ledger rows with money, of many files at once. ``openings``: ``file_id, opening_balance``; ``found``: their layouts, if known."""
+    typed = layout.typed_rows(cells, layout.layouts(cells) if found is None else found)
     if openings is None:
         typed = typed.withColumn("opening_balance", F.lit(None).cast("decimal(14,2)"))
     else:
-        typed = typed.join(openings, "file_id", "left")
+        typed = typed.join(openings.select("file_id", "opening_balance"), "file_id", "left")
     return reconcile.with_money(reconcile.reconcile(typed))
+
+
+POSITIONAL = "No header row was found; columns were taken from what the cells look like."
+NO_READER, NO_COLUMNS, NO_ROWS = "no reader for this kind of file", "columns could not be found", "no transactions found"
+
+
+def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ledger rows of all files that can be read, and a report on every file.
+
+    ``files``: ``file_id, name, content, size``. Report: ``file_id, name, kind, bank_name, account_holder, account, opening_balance,
+    n_rows, warnings, error`` (null: read). One bad file leaves the others as they are.
+    """
+    checked = validated(files)
+    good = checked.filter("error is null")
+    texts, tables = good.filter("kind = 'csv'"), good.filter("kind = 'html'")
+    cells = checkpointed(csv_cells(texts).unionByName(html_cells(tables)))
+    found, details = checkpointed(layout.layouts(cells)), checkpointed(heads(texts))
+    rows = checkpointed(ledger_rows(cells, details, found))
+    said = rows.groupBy("file_id").agg(F.count("*").alias("n_rows")).join(reconcile.warnings(rows).withColumnRenamed("warnings", "_balance"), "file_id", "left")
+    report = checked.drop("content", "size").join(details, "file_id", "left").join(found.select("file_id", "source"), "file_id", "left").join(said, "file_id", "left")
+    notes = F.concat(F.array_compact(F.array(F.when(F.col("source") == "positional", POSITIONAL))), F.coalesce("_balance", F.array().cast("array<string>")))
+    error = F.coalesce("error", F.when(~F.col("kind").isin("csv", "html"), NO_READER).when(F.col("source").isNull(), NO_COLUMNS).when(F.col("n_rows").isNull(), NO_ROWS))
+    return rows, report.select("file_id", "name", "kind", "bank_name", "account_holder", "account", "opening_balance", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), notes.alias("warnings"), error.alias("error"))

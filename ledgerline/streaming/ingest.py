@@ -16,11 +16,12 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def ingest(spark: SparkSession, path: str, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Appends the CSV files' ledger rows to a Parquet table, a folder per batch, so that a repeated batch replaces itself."""
+    """Appends the files' ledger rows and a report on each file to Parquet tables, a folder per batch, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good = files.validated(batch).filter("error is null and kind = 'csv'")
-        files.ledger_rows(files.csv_cells(good)).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        rows, report = files.parsed(batch)
+        rows.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        report.write.mode("overwrite").parquet(f"{table_path}_files/batch={batch_id}")
 
     return file_stream(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -13,6 +13,7 @@ from ledgerline.operators import filters, matching, reconcile, vectors
 from ledgerline.plans import document_queries, questions
 from ledgerline.plans.ledger import Ledger, from_tables
 from ledgerline.plans.queries import ORACLE_SQL, QUERIES
+from ledgerline.sources import files
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -227,3 +228,74 @@ def test_stream_ingest(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def sent(spark, **contents):
+    rows = [(i, name.replace("_", "."), content if isinstance(content, bytes) else content.encode()) for i, (name, content) in enumerate(contents.items())]
+    return spark.createDataFrame([(*r, len(r[2])) for r in rows], "file_id long, name string, content binary, size long")
+
+
+def test_csv_like_a_csv_reader(spark):
+    """Quoted cells against the standard library's reader."""
+    import csv
+    import io
+
+    text = 'a,"b, c",d\r\n"two\nlines","say ""hi""",x\n\n , ,\n1,,3\n"",5" pipe,z\n"open to the end, of\nfile'
+    want = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text)) if any(c.strip() for c in r)]
+    for line_end in ("\n", "\r\n"):
+        cells = files.csv_cells(sent(spark, x_csv=text.replace("\r\n", "\n").replace("\n", line_end))).orderBy("row_no").collect()
+        assert [[c.strip().replace("\r\n", "\n") for c in r.cells] for r in cells] == want
+        assert [r.row_no for r in cells] == sorted({r.row_no for r in cells})
+
+
+def test_encodings(spark):
+    cases = {"utf_csv": "\ufeff€;–".encode(), "west_csv": "€;–;é".encode("cp1252"), "latin_csv": b"\x81;\xe9"}
+    cells = {r.file_id: r.cells for r in files.csv_cells(sent(spark, **cases)).collect()}
+    assert cells == {0: ["€", "–"], 1: ["€", "–", "é"], 2: ["\x81", "é"]}
+    page = b"<table><tr><td>&#8377; 5 &#x41;&amp;#66; &lt;b&gt;</td></tr></table>"
+    assert files.html_cells(sent(spark, a_xls=page)).first().cells == ["₹ 5 A&#66; <b>"]
+
+
+def test_one_bad_file_leaves_the_others(spark):
+    header = "Date,Narration,Withdrawal (INR),Deposit (INR),Closing Balance\n"
+    good = "HDFC BANK\nOpening Balance: 20,000.00\n" + header + "01-09-2025,UPI/KALYAN,,5000.00,15000.00\n05-09-2025,SALARY,,,45000.00\n"
+    plain = "01-09-2025,UPI/KALYAN/kalyan@okaxis/12345,5000.00,,15000.00\n02-09-2025,NEFT KUMAR XXXX1234,,3000.00,18000.00\n"
+    table = "<html><table><tr><td>Date</td><td>Narration</td><td>Amount</td></tr><tr><td>01-09-2025</td><td>x &amp; y</td><td>7.50 Dr</td></tr></table></html>"
+    rows, report = files.parsed(sent(spark, good_csv=good, garbage_csv="not,a,statement\njust,some,text\n", empty_csv="", malware_exe="MZ", raw_csv=plain, page_xls=table, scan_pdf="%PDF-1.4", none_csv=header))
+    said = {r.name: r for r in report.collect()}
+    assert {n: r.error for n, r in said.items()} == {
+        "good.csv": None, "garbage.csv": files.NO_COLUMNS, "empty.csv": "file is empty", "malware.exe": "file type not allowed", "raw.csv": None, "page.xls": None, "scan.pdf": files.NO_READER, "none.csv": files.NO_ROWS,
+    }
+    assert said["good.csv"].opening_balance == Decimal("20000.00") and said["good.csv"].bank_name == "HDFC Bank" and said["raw.csv"].warnings == [files.POSITIONAL]
+    got = {(r.file_id, r.row_no): (r.debit, r.credit) for r in rows.collect()}
+    # The first row is verified against the opening balance, the second one recovered.
+    assert {v for (f, _), v in got.items() if f == 0} == {(Decimal("5000.00"), None), (None, Decimal("30000.00"))}
+    assert {v for (f, _), v in got.items() if f == 5} == {(Decimal("7.50"), None)}
+
+
+def test_reviews(spark):
+    decisions = spark.createDataFrame([(1, "AMBIGUOUS", None, 7, 0.6, ["X"]), (2, "MATCH", 5, 5, 0.9, ["Y"]), (3, "UNKNOWN", None, None, None, ["Z"]), (4, "MATCH", 5, 5, 0.9, ["Y"])], "id long, status string, person_id long, suggested_person_id long, confidence double, reason_codes array<string>")
+    asked = spark.createDataFrame([(1, "confirm", None), (2, "reject", None), (3, "confirm", None), (9, "confirm", 1)], "id long, action string, person_id long")
+    reviews = matching.confirmations(decisions, asked)
+    assert {tuple(r) for r in reviews.collect()} == {(1, 7), (2, None)}  # nothing to confirm without a suggestion
+    got = {r.id: (r.status, r.person_id, r.reason_codes) for r in matching.overlay(decisions, reviews).collect()}
+    assert got == {1: ("MATCH", 7, ["MANUAL_CONFIRM"]), 2: ("UNKNOWN", None, ["MANUAL_UNKNOWN"]), 3: ("UNKNOWN", None, ["Z"]), 4: ("MATCH", 5, ["Y"])}
+    rows = spark.createDataFrame([(1, "asha", datetime.date(2025, 1, 2)), (4, "ravi", datetime.date(2025, 1, 1)), (2, "x", None)], "id long, normalized_name string, transaction_date date")
+    known = spark.createDataFrame([(7, "UPI", "a@b")], "person_id long, id_type string, normalized_value string")
+    assert {tuple(r) for r in matching.confirmed_aliases(reviews, rows, known).collect()} == {(7, "UPI", "a@b"), (7, "NAME", "asha")}
+    assert {tuple(r) for r in matching.seen_dates(rows, matching.overlay(decisions, reviews)).collect()} == {(7, datetime.date(2025, 1, 2), datetime.date(2025, 1, 2)), (5, datetime.date(2025, 1, 1), datetime.date(2025, 1, 1))}
+
+
+def test_handles_block_by_prefix(spark):
+    """Against every pair: the same domain, or one local part begins the other and stands in the owner's handle."""
+    ours = [(i, u) for i, u in enumerate(["ab@x", "a@y", "abc@z", "q@abc", "b@c", "nodomain", "ab@zz"])]
+    theirs = [(i, v) for i, v in enumerate(["a@x", "ab@abc.ab", "abcd@z", "b@q", "nodomain1@k", "ab@x"], 100)]
+    none = F.lit(None).cast("string")
+    rows = spark.createDataFrame(ours, "id long, normalized_upi_id string").select("id", "normalized_upi_id", *[none.alias(c) for c in ("account_identifier", "phone", "email", "normalized_name")], F.array().cast("array<string>").alias("name_tokens"))
+    people = spark.createDataFrame([(i, "x", "x", "") for i, _ in theirs], "id long, code string, canonical_name string, normalized_name string")
+    ids = spark.createDataFrame([(i, "UPI", v) for i, v in theirs], "person_id long, id_type string, normalized_value string")
+    local, domain = lambda x: x.split("@")[0], lambda x: x.split("@")[-1]
+    want = {(i, p) for i, u in ours for p, v in theirs if domain(u) == domain(v) or local(u) in v and (local(u).startswith(local(v)) or local(v).startswith(local(u)))}
+    assert {tuple(r) for r in matching.candidates(rows, people, ids, None).collect()} == want
+    two = {(i, p) for i, p in want if sorted(q for j, q in want if j == i).index(p) < 2}
+    assert {tuple(r) for r in matching.candidates(rows, people, ids, 2).collect()} == two
