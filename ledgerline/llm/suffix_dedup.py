@@ -5,13 +5,15 @@ the window alone, so equal windows have equal anchors, and only some three in a
 all that windows around it can hold: up to ``window - GRAM`` bytes before it and ``window`` bytes from it on.
 
 Whole contexts. Anchors are shuffled by gram and sorted by context and document. Where an earlier document has the same context,
-all windows around the anchor repeat. (Repeats inside a slice are found before the shuffle and then travel by document, so a
-context that a third of all rows share does not meet in one task.)
+all windows around the anchor repeat. Contexts are named by 128-bit BLAKE2 digests of their bytes, which stand for the bytes themselves. (Repeats
+inside a slice are found before the shuffle and then travel by document, so a context that a third of all rows share does not
+meet in one task.) So each different context is compared once, however many copies it has; the copies' bytes, five times their
+texts as contexts overlap, are not sent.
 
 Edges. The first occurrences of different contexts of one gram are compared as suffixes: each task sorts the suffixes that start at
 the anchors (mergesort; a comparison is a binary search over prefix polynomial hashes), takes neighbours' common extensions, and so
 knows for each window around the anchor whether an earlier context holds it; equal windows are verified byte by byte. Grams
-with more than ``GROUP`` contexts are compared window by window in a grouping instead, which spreads over all tasks.
+with more than ``GROUP`` contexts are compared window by window in a grouping by such digests instead, which spreads over all tasks.
 
 Removal. The spans of each document meet its text once more, and repeats inside one document are added there.
 
@@ -37,23 +39,28 @@ GRAM = 40
 GROUP = 20_000
 #: Contexts that are sorted together, at least.
 SORTED = 4_000
-POLY_A, POLY_B = Polynomial(0x9E3779B97F4A7C15), Polynomial(0xD6E8FEB86659FD93)
-TABLE_A, TABLE_B = byte_table(3), byte_table(4)
+POLY, TABLE = Polynomial(0x9E3779B97F4A7C15), byte_table(3)
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A row of two 64-bit halves for each span: BLAKE2 of its bytes."""
+    raw, blake = data.tobytes(), hashlib.blake2b
+    return np.frombuffer(b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<u8").reshape(-1, 2)
 
 
 class Anchors:
-    """The anchors of a slice: row, place in the row, gram hash, context hash, the context's reach to both sides."""
+    """The anchors of a slice: row, place in the row, gram hash, both halves of the context's digest, the context's reach to both sides."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
         self.row = self.place = self.left = self.right = np.empty(0, np.int64)
-        self.gram = self.context = np.empty(0, np.uint64)
+        self.gram = self.context = self.context_b = np.empty(0, np.uint64)
         n = len(data) - window + 1
         if n <= 0:
             return
         rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        prefix = POLY_A.prefix(TABLE_A[data])
+        prefix = POLY.prefix(TABLE[data])
         places = np.arange(len(data) - GRAM + 1)
-        grams = mix(POLY_A.spans(prefix, places, places + GRAM))
+        grams = mix(POLY.spans(prefix, places, places + GRAM))
         chosen = minimizers(grams, window - GRAM + 1)
         chosen = chosen[rows[:n] == rows[window - 1 :]]
         at = chosen[runs_of(chosen)[0]]
@@ -61,21 +68,29 @@ class Anchors:
         begin, end = offsets[self.row], offsets[self.row + 1]
         self.place = at - begin
         self.left, self.right = np.minimum(window - GRAM, self.place), np.minimum(window, end - at)
-        other = POLY_B.prefix(TABLE_B[data])
-        shape = (self.left * 1024 + self.right).astype(np.uint64)
-        self.context = mix(POLY_B.spans(other, at - self.left, at + self.right) + shape * np.uint64(0xA0761D6478BD642F))
+        found = digests(data, at - self.left, at + self.right)
+        # Where in the context the gram stands is a part of it.
+        self.context, self.context_b = found[:, 0] + (self.left * 1024 + self.right).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), found[:, 1].copy()
         self.gram = grams[at]
 
     def repeats(self, keys: np.ndarray) -> np.ndarray:
         """For each anchor whether one before it has its gram, context and key (keys in ascending order)."""
-        order = np.lexsort((np.arange(len(keys)), keys, self.context, self.gram))
+        order = np.lexsort((np.arange(len(keys)), keys, self.context_b, self.context))
         same = np.zeros(len(keys), bool)
-        same[order[1:]] = (self.gram[order[1:]] == self.gram[order[:-1]]) & (self.context[order[1:]] == self.context[order[:-1]]) & (keys[order[1:]] == keys[order[:-1]])
+        same[order[1:]] = ~_changes(self.context[order], self.context_b[order], keys[order])[1:]
         return same
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """``gram, context, id, place, covered``: each document's first anchor of each context."""
+    """``gram, context, context_b, id, place, covered``: each document's first anchor of each context."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -84,18 +99,18 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             if not len(found.row):
                 continue
             keep = ~found.repeats(found.row)
-            doc, gram, context, place = ids[found.row[keep]], found.gram[keep], found.context[keep], found.place[keep]
+            doc, gram, context, context_b, place = ids[found.row[keep]], found.gram[keep], found.context[keep], found.context_b[keep], found.place[keep]
             # In the slice's later documents the context is known to repeat; its gram is not needed any more.
-            order = np.lexsort((doc, context, gram))
-            new = np.r_[True, (gram[order[1:]] != gram[order[:-1]]) | (context[order[1:]] != context[order[:-1]])]
+            order = np.lexsort((doc, context_b, context))
+            new = _changes(context[order], context_b[order])
             least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             covered = np.zeros(len(order), bool)
             covered[order] = doc[order] > least
             gram = np.where(covered, mix(doc.astype(np.uint64)), gram)
-            columns = [signed(gram), signed(context), doc, place.astype(np.int32), covered]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "id", "place", "covered"])
+            columns = [signed(gram), signed(context), signed(context_b), doc, place.astype(np.int32), covered]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "context_b", "id", "place", "covered"])
 
-    return docs.mapInArrow(work, "gram long, context long, id long, place int, covered boolean")
+    return docs.mapInArrow(work, "gram long, context long, context_b long, id long, place int, covered boolean")
 
 
 FULL, EDGE, HOT = 0, 1, 2
@@ -105,14 +120,14 @@ def _judge_contexts(rows: DataFrame, group: int) -> DataFrame:
     """``id, place, gram, kind``: repeated whole contexts, and the first occurrences of grams with several contexts."""
 
     def judged(columns: list[np.ndarray], hot: bool, before: tuple) -> tuple[pa.RecordBatch | None, tuple]:
-        gram, context, doc, place, covered = columns
+        gram, context, context_b, doc, place, covered = columns
         if not len(gram):
             return None, before
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]
+        new = _changes(gram, context, context_b)
         least = doc[np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))]
-        if before[:2] == (gram[0], context[0]):
+        if before[:3] == (gram[0], context[0], context_b[0]):
             head = np.cumsum(new) == 1
-            least[head] = before[2]
+            least[head] = before[3]
             new[0] = False
         full = covered | (doc > least)
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
@@ -121,15 +136,15 @@ def _judge_contexts(rows: DataFrame, group: int) -> DataFrame:
         edge = ~full & (several[which] | hot)
         kind = np.where(full, FULL, HOT if hot else EDGE).astype(np.int8)
         keep = full | edge
-        after = (gram[-1], context[-1], least[-1])
+        after = (gram[-1], context[-1], context_b[-1], least[-1])
         if not keep.any():
             return None, after
         return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep]), pa.array(gram[keep]), pa.array(kind[keep])], ["id", "place", "gram", "kind"]), after
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hot_gram, before = None, None, (None, None, None)
+        held, hot_gram, before = None, None, (None,) * 4
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "context", "id", "place", "covered")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "context", "context_b", "id", "place", "covered")]
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
             while held is not None and len(held[0]):
                 gram = held[0]
@@ -137,7 +152,7 @@ def _judge_contexts(rows: DataFrame, group: int) -> DataFrame:
                     n = len(gram) if gram[-1] == hot_gram else int(np.argmax(gram != hot_gram))
                     out, before = judged([c[:n] for c in held], True, before)
                     if n < len(gram):
-                        hot_gram, before = None, (None, None, None)
+                        hot_gram, before = None, (None,) * 4
                 else:
                     n = len(gram) if gram[0] == gram[-1] else 0
                     if n > group:
@@ -155,7 +170,7 @@ def _judge_contexts(rows: DataFrame, group: int) -> DataFrame:
             if out is not None:
                 yield out
 
-    ordered = rows.repartition("gram").sortWithinPartitions("gram", "context", "id")
+    ordered = rows.repartition("gram").sortWithinPartitions("gram", "context", "context_b", "id")
     return ordered.mapInArrow(work, "id long, place int, gram long, kind byte")
 
 
@@ -234,7 +249,7 @@ def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
-    """The same for grams with very many contexts: a row per window, grouped by two independent hashes of it."""
+    """The same for grams with very many contexts: a row per window, grouped by its digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "bytes", 256 << 10):
@@ -245,8 +260,8 @@ def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
             n = np.maximum(0, reach - low + 1)
             row, back = np.repeat(np.arange(len(n)), n), ranges(low, n)
             starts = anchors[row] - back
-            hashes = [mix(p.spans(p.prefix(t[data]), starts, starts + window)) for p, t in ((POLY_A, TABLE_A), (POLY_B, TABLE_B))]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)) for h in hashes] + [batch.column("id").take(pa.array(row)), pa.array(place[row] - back)], ["a", "b", "id", "start"])
+            halves = digests(data, starts, starts + window)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(halves[:, i].copy())) for i in (0, 1)] + [batch.column("id").take(pa.array(row)), pa.array(place[row] - back)], ["a", "b", "id", "start"])
 
     windows = contexts.select("id", "place", "reach", "bytes").mapInArrow(work, "a long, b long, id long, start long")
     first = windows.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -254,7 +269,7 @@ def _hot_spans(contexts: DataFrame, window: int) -> DataFrame:
     return again.select("id", "start", (F.col("start") + window).alias("stop"))
 
 
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _remove(docs: DataFrame, spans: DataFrame, window: int, keep_text: bool) -> DataFrame:
@@ -287,11 +302,11 @@ def _remove(docs: DataFrame, spans: DataFrame, window: int, keep_text: bool) ->
             kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             columns = [np.diff(offsets), np.diff(total[offsets]), np.diff(runs[offsets])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(c.astype(np.int64)) for c in columns), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept if keep_text else [None] * len(kept), pa.binary())],
-                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [batch.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in columns), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept if keep_text else [None] * len(kept), pa.binary())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    return docs.join(packed, "id", "left").select("id", "text", "starts", "stops").mapInArrow(work, RESULT)
+    return docs.join(packed, "id", "left").select("doc_id", "text", "starts", "stops").mapInArrow(work, RESULT)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 100, group: int = GROUP, keep_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -300,12 +315,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, group: int = GROUP, ke
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     # Ids of documents without one: above all others, by text.
     own = F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(3 << 61)
-    plain = docs.select(F.coalesce(F.col(id_column).cast("long"), own).alias("id"), text.alias("text"))
+    plain = docs.select(F.coalesce(F.col(id_column).cast("long"), own).alias("id"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
     path = shared_path(spark, "suffix-contexts")
     with tidy_shuffles(spark):
-        _judge_contexts(_anchor_rows(plain, window), group).write.parquet(path)
+        _judge_contexts(_anchor_rows(plain.select("id", "text"), window), group).write.parquet(path)
         judged = spark.read.parquet(path)
-        contexts = _contexts(plain, judged.filter(f"kind <> {FULL}"), window)
+        contexts = _contexts(plain.select("id", "text"), judged.filter(f"kind <> {FULL}"), window)
         edges = cut(_edge_spans(contexts.filter(f"kind = {EDGE}"), window))
         whole = judged.filter(f"kind = {FULL}").select("id", (F.col("place") - (window - GRAM)).cast("long").alias("start"), (F.col("place") + window).cast("long").alias("stop"))
         spans = whole.union(edges)
@@ -313,5 +328,4 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, group: int = GROUP, ke
             spans = spans.union(cut(_hot_spans(contexts.filter(f"kind = {HOT}"), window)))
         out = cut(_remove(plain, spans, window, keep_text))
     remove_path(spark, path)
-    real = F.when(F.col("id") < F.lit(3 << 61), F.col("id")).alias("doc_id")
-    return out.select(real, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
