@@ -11,6 +11,9 @@ without a shuffle: an entry with the same gram and context means that all window
 gram is the same, the digests verify window by window. When a level has ``FANOUT`` runs, they are merged (a full outer merge join
 by gram and context, again bucket by bucket) into one run of the next level, and the old ones are dropped.
 
+The index lives in a folder: its runs, and a manifest for each state (levels and settings), written whole before it takes its name. A
+later session opens the folder, appends batches and compacts; a batch that fails leaves the last state as it was.
+
 A gram that very many rows share is judged as a stream and its windows in a Spark grouping, so nothing is held whole. Repeats
 inside one slice of a task are found before the shuffle and travel by document, so copies of one text do not meet in one task.
 
@@ -22,6 +25,8 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -144,13 +149,57 @@ def text_bytes_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FingerprintIndex:
-    """The index: levels of runs, each a bucketed and sorted table of this session's catalog in the shared folder."""
+    """The index: levels of runs, each a bucketed and sorted table in the index's folder."""
 
-    def __init__(self, spark: SparkSession, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, fanout: int = FANOUT, buckets: int | None = None):
-        self.spark, self.window, self.gram, self.group, self.fanout = spark, window, gram, group, fanout
-        self.buckets = buckets or shuffle_width(spark)
+    def __init__(self, spark: SparkSession, root: str | None = None, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, fanout: int = FANOUT, buckets: int | None = None):
+        """Opens the index in the folder ``root`` with the settings it was made with, or makes one there (None: in the shared folder)."""
+        self.spark, self.root = spark, root or shared_path(spark, "fingerprint-index")
+        self.settings = {"window": window, "gram": gram, "group": group, "fanout": fanout, "buckets": buckets or shuffle_width(spark)}
         self.levels: list[list[str]] = [[]]
-        self.paths: dict[str, str] = {}
+        self.state = 0
+        if found := self._states():
+            self.state = max(found)
+            stored = json.loads(self._read(found[self.state]))
+            self.settings, self.levels = stored["settings"], stored["levels"]
+            for name in self._runs():
+                self._register(name)
+        self.window, self.gram, self.group, self.fanout, self.buckets = (self.settings[k] for k in ("window", "gram", "group", "fanout", "buckets"))
+
+    def _runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    # --- the manifest ---
+
+    def _store(self):
+        jvm = self.spark.sparkContext._jvm
+        return jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def _states(self) -> dict[int, str]:
+        store, path = self._store()
+        if not store.exists(path(self.root)):
+            return {}
+        names = [f.getPath().getName() for f in store.listStatus(path(self.root))]
+        return {int(n[9:-5]): n for n in names if re.fullmatch(r"manifest-\d+\.json", n)}
+
+    def _read(self, name: str) -> str:
+        return "".join(r.value for r in self.spark.read.text(self._path(name), wholetext=True).collect())  # one small file
+
+    def _commit(self) -> None:
+        """Names the state; the one before it goes afterwards."""
+        store, path = self._store()
+        self.state += 1
+        draft = self._path(f"draft-{uuid.uuid4().hex}")
+        out = store.create(path(draft))
+        out.write(bytearray(json.dumps({"settings": self.settings, "levels": self.levels}).encode()))
+        out.close()
+        if not store.rename(path(draft), path(self._path(f"manifest-{self.state:08d}.json"))):
+            raise RuntimeError(f"state {self.state} of the index exists: another session writes to it")
+        for k, name in self._states().items():
+            if k < self.state:
+                store.delete(path(self._path(name)), False)
 
     @contextlib.contextmanager
     def _settings(self) -> Iterator[None]:
@@ -168,19 +217,29 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
-        self.paths[name] = shared_path(self.spark, name)
-        rows.write.format("parquet").option("path", self.paths[name]).bucketBy(self.buckets, "gram").sortBy("gram").saveAsTable(name)
+        rows.write.format("parquet").option("path", self._path(name)).bucketBy(self.buckets, "gram").sortBy("gram").saveAsTable(name)
         return name
 
+    def _register(self, name: str) -> None:
+        """A table over a run's files, where this catalog has none yet."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (gram) SORTED BY (gram) INTO {self.settings['buckets']} BUCKETS LOCATION '{self._path(name)}'")
+
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        remove_path(self.spark, self.paths.pop(name))
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_path(self.spark, self._path(name))
 
     def close(self) -> None:
-        for name in [n for level in self.levels for n in level]:
-            self._drop(name)
+        """Leaves the folder as it is and takes the tables out of this session's catalog."""
+        for name in self._runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.levels = [[]]
 
+    def drop(self) -> None:
+        """Removes the index."""
+        self.close()
+        remove_path(self.spark, self.root)
+
     def _known(self, name: str) -> DataFrame:
         return self.spark.table(name).filter(f"kind <> {FULL} and not again").select("gram", "context", "digests")
 
@@ -189,47 +248,61 @@ class FingerprintIndex:
 
         Returns ``id, start, stop``: spans of words whose windows start in a document with a smaller id.
         """
-        with self._settings():
-            run = self._write(_judge(_entries(docs, self.window, self.gram), self.buckets, self.group))
-            rows = self.spark.table(run)
-            fresh = rows.filter(f"kind <> {FULL}")
-            for name in [n for level in self.levels for n in level]:
-                old = self._known(name)
-                same = old.select("gram", "context", F.lit(True).alias("hit")).hint("merge")
-                fresh = fresh.withColumnsRenamed({"hit": "hit_before", "seen": "seen_before"}).join(same, ["gram", "context"], "left")
-                fresh = fresh.join(old.select("gram").distinct().withColumn("seen", F.lit(True)).hint("merge"), "gram", "left")
-                if "hit_before" in fresh.columns:
-                    fresh = fresh.withColumns({"hit": F.coalesce("hit", "hit_before"), "seen": F.coalesce("seen", "seen_before")}).drop("hit_before", "seen_before")
-            if "hit" not in fresh.columns:
-                fresh = fresh.withColumns({"hit": F.lit(None).cast("boolean"), "seen": F.lit(None).cast("boolean")})
-            around = [(F.col("place") - (self.window - self.gram)).cast("long").alias("start"), (F.col("place") + self.window).cast("long").alias("stop")]
-            spans = [rows.filter(f"kind = {FULL}").select("id", *around), fresh.filter("hit").select("id", *around)]
-            edges = fresh.filter(f"hit is null and (kind <> {ONLY} or seen)")
-            windows = _windows(edges)
-            least = windows.groupBy("gram", "digest").agg(F.min("id").alias("least"))
-            for name in [n for level in self.levels for n in level]:
-                old = self._known(name).join(edges.select("gram").distinct().hint("merge"), "gram", "left_semi")
-                older = _windows(old.select("gram", F.lit(None).cast("long").alias("id"), F.lit(0).alias("first"), "digests"))
-                least = least.union(older.select("gram", "digest", F.lit(-(1 << 63)).alias("least")))
-            if len(self.paths) > 1:
-                least = least.groupBy("gram", "digest").agg(F.min("least").alias("least"))
-            spans.append(windows.join(least, ["gram", "digest"]).filter("id > least").select("id", "start", (F.col("start") + self.window).alias("stop")))
-            found = cut(reduce(DataFrame.union, spans))
-            self._take(run)
-        return found
+        run = None
+        try:
+            with self._settings():
+                run = self._write(_judge(_entries(docs, self.window, self.gram), self.buckets, self.group))
+                found = self._matches(run)
+                self._take(run)
+            return found
+        except BaseException:
+            if run and run not in self._runs():
+                self._drop(run)
+            raise
+
+    def _matches(self, run: str) -> DataFrame:
+        """The repeats that a new run holds of itself and of the runs before."""
+        rows = self.spark.table(run)
+        fresh = rows.filter(f"kind <> {FULL}")
+        for name in [n for level in self.levels for n in level]:
+            old = self._known(name)
+            same = old.select("gram", "context", F.lit(True).alias("hit")).hint("merge")
+            fresh = fresh.withColumnsRenamed({"hit": "hit_before", "seen": "seen_before"}).join(same, ["gram", "context"], "left")
+            fresh = fresh.join(old.select("gram").distinct().withColumn("seen", F.lit(True)).hint("merge"), "gram", "left")
+            if "hit_before" in fresh.columns:
+                fresh = fresh.withColumns({"hit": F.coalesce("hit", "hit_before"), "seen": F.coalesce("seen", "seen_before")}).drop("hit_before", "seen_before")
+        if "hit" not in fresh.columns:
+            fresh = fresh.withColumns({"hit": F.lit(None).cast("boolean"), "seen": F.lit(None).cast("boolean")})
+        around = [(F.col("place") - (self.window - self.gram)).cast("long").alias("start"), (F.col("place") + self.window).cast("long").alias("stop")]
+        spans = [rows.filter(f"kind = {FULL}").select("id", *around), fresh.filter("hit").select("id", *around)]
+        edges = fresh.filter(f"hit is null and (kind <> {ONLY} or seen)")
+        windows = _windows(edges)
+        least = windows.groupBy("gram", "digest").agg(F.min("id").alias("least"))
+        for name in [n for level in self.levels for n in level]:
+            old = self._known(name).join(edges.select("gram").distinct().hint("merge"), "gram", "left_semi")
+            older = _windows(old.select("gram", F.lit(None).cast("long").alias("id"), F.lit(0).alias("first"), "digests"))
+            least = least.union(older.select("gram", "digest", F.lit(-(1 << 63)).alias("least")))
+        if self._runs():
+            least = least.groupBy("gram", "digest").agg(F.min("least").alias("least"))
+        spans.append(windows.join(least, ["gram", "digest"]).filter("id > least").select("id", "start", (F.col("start") + self.window).alias("stop")))
+        return cut(reduce(DataFrame.union, spans))
 
     def _take(self, run: str) -> None:
-        level = 0
-        self.levels[0].append(run)
-        while len(self.levels[level]) >= self.fanout:
-            merged = self._merge(self.levels[level])
-            for name in self.levels[level]:
-                self._drop(name)
-            self.levels[level] = []
+        level, replaced = 0, []
+        levels = [list(x) for x in self.levels]
+        levels[0].append(run)
+        while len(levels[level]) >= self.fanout:
+            merged = self._merge(levels[level])
+            replaced += levels[level]
+            levels[level] = []
             level += 1
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(merged)
+            if level == len(levels):
+                levels.append([])
+            levels[level].append(merged)
+        self.levels = levels
+        self._commit()
+        for name in replaced:
+            self._drop(name)
 
     def _merge(self, names: list[str]) -> str:
         def both(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -269,9 +342,9 @@ def _remove(docs: DataFrame, spans: DataFrame, keep_text: bool) -> DataFrame:
             raw = body.tobytes()
             kept = [raw[a : max(a, b - 1)] for a, b in zip(closing[kept_before[:-1]].tolist(), closing[kept_before[1:]].tolist(), strict=True)]
             columns = [pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds])), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, pa.array([k.decode() if keep_text else None for k in kept], pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([k.decode() if keep_text else None for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return docs.join(packed, "id", "left").select("id", "text", "starts", "stops").mapInArrow(work, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return docs.join(packed, "id", "left").select("doc_id", "text", "starts", "stops").mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def remove_repeats(docs: DataFrame, *, batches: int = 3, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, keep_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -280,17 +353,18 @@ def remove_repeats(docs: DataFrame, *, batches: int = 3, window: int = WINDOW, g
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     # Ids of documents without one: above all others, by text.
     own = F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(3 << 61)
-    plain = docs.select(F.coalesce(F.col(id_column).cast("long"), own).alias("id"), text.alias("text"))
+    plain = docs.select(F.coalesce(F.col(id_column).cast("long"), own).alias("id"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
     cuts = plain.stat.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    cuts = sorted({int(c) for c in cuts})
+    cuts = sorted({max(-(1 << 63), min(int(c), (1 << 63) - 2)) for c in cuts})  # quantiles are doubles
     index = FingerprintIndex(spark, window=window, gram=gram, group=group)
     spans = []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = plain if low is None else plain.filter(F.col("id") > low)
-        part = part if high is None else part.filter(F.col("id") <= high)
-        spans.append(index.add(part))
-    index.close()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            part = plain if low is None else plain.filter(F.col("id") > low)
+            part = part if high is None else part.filter(F.col("id") <= high)
+            spans.append(index.add(part.select("id", "text")))
+    finally:
+        index.drop()
     with tidy_shuffles(spark):
         out = _remove(plain, reduce(DataFrame.union, spans), keep_text)
-    real = F.when(F.col("id") < F.lit(3 << 61), F.col("id")).alias("doc_id")
-    return out.select(real, "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))

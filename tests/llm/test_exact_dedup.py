@@ -84,6 +84,41 @@ def test_empty_tables_and_null_ids(spark):
     assert got == {(7, 0), (None, len(text)), (None, 0)}
 
 
+def test_index_over_two_sessions(spark):
+    """Opened, appended to, compacted and opened again by a later session; a batch that fails leaves the state as it was."""
+    rows = pieces(7)
+    ids = sorted(i for i, _ in rows)
+    parts = [[r for r in rows if a <= r[0] < b] for a, b in zip([0, ids[20], ids[40], ids[55]], [ids[20], ids[40], ids[55], 10**9])]
+    batch = lambda part, session: session.createDataFrame(part, "id long, text string")
+    first = substring_index.FingerprintIndex(spark, buckets=3)
+    spans = [first.add(batch(parts[0], spark)), first.add(batch(parts[1], spark))]
+    root, state = first.root, first.state
+    first.close()
+    later = spark.newSession()
+    second = substring_index.FingerprintIndex(later, root, buckets=99)
+    assert second.buckets == 3 and second.state == state and len(second._runs()) == 1
+    broken = batch(parts[2], later).selectExpr("id", "if(id >= 0, cast(raise_error('lost') as string), text) as text")
+    with pytest.raises(Exception, match="lost"):
+        second.add(broken)
+    again = substring_index.FingerprintIndex(later, root)
+    assert again.state == state and again.levels == second.levels
+    spans += [again.add(batch(p, later)) for p in parts[2:]]
+    assert again.state == state + 2
+    found = [tuple(r) for part in spans for r in part.collect()]
+    texts = {i: re.split(r"[\x20\x09-\x0D]+", t or "") for i, t in rows}
+    for i, want in brute_words(rows).items():
+        gone = {p for j, a, b in found if j == i for p in range(max(0, a), min(b, len([w for w in texts[i] if w])))}
+        assert len(gone) == want[1], i
+    again.drop()
+    assert not spark.catalog.listTables("default", "fingerprint_run_*")
+
+
+def test_large_ids_stay(spark):
+    rows = table(spark, [((3 << 61) + 5, "a b"), ((1 << 63) - 1, "c")])
+    for out in (substring_index.remove_repeats(rows), suffix_dedup.remove_repeats(rows)):
+        assert {r.doc_id for r in out.collect()} == {(3 << 61) + 5, (1 << 63) - 1}
+
+
 def test_kept_texts(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = table(spark, [(1, text), (2, "head " + text + " tail")])
