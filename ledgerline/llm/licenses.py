@@ -1,18 +1,19 @@
 """Operator 6, license scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame functions only.
 
-Every line of a text is a possible header. Its vector has a weight for each distinct word, the word's inverse document frequency over
-the whole table; equal lines are one. The templates' words are a fixed small vocabulary, so the inverted lists (word, template, weight)
+Each line, each paragraph (lines between blank ones) and the text as a whole is a possible notice: headers are lines or paragraphs, licence files
+paragraphs or whole texts. Its vector has a weight for each distinct word, the word's inverse document frequency over
+the whole table; equal notices are one. The templates' words are a fixed small vocabulary, so the inverted lists (word, template, weight)
 are small. A cosine is at most the root of the share of the template's squared weights that
-the line holds; of each template, the lightest words that together stay under the share needed cannot make a match alone, so only
-texts, and then lines, with one of the other words (however common it is) go on to
-the join of line words with these lists, whose grouped sums are the dot products. Lines that would reach the threshold if they had no
+the notice holds; of each template, the lightest words that together stay under the share needed cannot make a match alone, so only
+texts, and then notices, with one of the other words (however common it is) go on to
+the join of their words with these lists, whose grouped sums are the dot products. Notices that would reach the threshold if they had no
 further words then get the weights of these: those of common words by broadcast (at most ``COMMON`` times the mean number of distinct
 words of a text), those of the others by shuffle.
-A text's own license is that of the best
-template with a cosine of at least ``THRESHOLD`` over its lines.
+A text's own license is that of the best template with a cosine of at least ``THRESHOLD`` over its notices.
 
 A licence file (given by a condition) lends its license to its directory. Directories, not files, look for the nearest
-ancestor with a license: each distinct directory is joined by path with its own prefixes.
+ancestor with a license: each distinct directory is joined by path with its own prefixes. Files get their directory's answer by
+broadcast where the directories are few (``BROADCAST_DIRECTORIES``), else by a join salted ``SALTS`` ways, as one directory may hold most files.
 
 Nulls: a null text has no lines; a null path has no directory. Ties go to the smaller license name, then the smaller path.
 Repeated rows are each answered. An empty table gives no rows. Columns other than id, path and text are ignored.
@@ -30,7 +31,8 @@ from ledgerline.llm.common import cut, tidy_shuffles
 THRESHOLD = 0.6
 #: A word that more than one text in so many has is common.
 COMMON = 1000
-#: Common licence notices, by their customary names.
+BROADCAST_DIRECTORIES, SALTS = 100_000, 16
+#: Common licence notices and the opening parts of licence texts, by their customary names.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."),
@@ -41,6 +43,42 @@ TEMPLATES = [
     ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above "
+        "copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above "
+        "copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+        "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -51,6 +89,11 @@ def _split(text: Column) -> Column:
     return F.split(F.lower(text), "[^a-z0-9]+")
 
 
+def _notices(text: Column) -> Column:
+    """Lines, paragraphs and the text, each once."""
+    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[\s/#*;-]*\n"), F.array(text)))
+
+
 def _words(text: Column) -> Column:
     """Distinct lower-case words."""
     return F.array_remove(F.array_distinct(_split(text)), "")
@@ -91,12 +134,12 @@ def own_licenses(files: DataFrame) -> DataFrame:
     vocabulary = F.array(*map(F.lit, sorted(weights)))
     squares = F.create_map(*[F.lit(x) for w, weight in weights.items() for x in (w, weight**2)])
     needed = F.array(*map(F.lit, bearing))
-    # Texts without a bearing word end here; only the others are looked at line by line.
+    # Texts without a bearing word end here; only the others are cut into notices.
     likely = files.filter(F.arrays_overlap(_split(F.col("text")), needed))
-    lines = likely.select("key", F.explode(F.split("text", "\n")).alias("body")).filter(F.arrays_overlap(_split(F.col("body")), needed))
-    words = lines.select("key", F.sort_array(_words(F.col("body"))).alias("words"))
+    notices = likely.select("key", F.explode(_notices(F.col("text"))).alias("body")).filter(F.arrays_overlap(_split(F.col("body")), needed))
+    words = notices.select("key", F.sort_array(_words(F.col("body"))).alias("words"))
     held = cut(words.select("key", F.sha2(F.array_join("words", " "), 256).alias("line"), "words", F.array_intersect("words", vocabulary).alias("held")))
-    # Each distinct line's parts of its squared length: of the vocabulary's words, and of the others.
+    # Each distinct notice's parts of its squared length: of the vocabulary's words, and of the others.
     distinct = held.groupBy("line").agg(F.first("words").alias("words"), F.first("held").alias("held"))
     distinct = distinct.withColumn("own", F.aggregate("held", F.lit(0.0), lambda x, w: x + F.try_element_at(squares, w)))
     spread = distinct.select("line", "own", F.explode("held").alias("word"))
@@ -133,12 +176,17 @@ def scan(files: DataFrame, licence_file: Column, *, id_column: str = "doc_id", p
     lent = known.filter(F.col("license").isNotNull() & F.col("lends")).withColumn("directory", directory).filter("directory is not null")
     lent = lent.groupBy("directory").agg(F.min(F.struct((-F.col("score")).alias("less"), "license", "path")).alias("best"))
     lent = lent.select(F.col("directory").alias("ancestor"), F.col("best.license").alias("lent"), (-F.col("best.less")).alias("lent_score"))
-    places = known.select(directory.alias("directory")).filter("directory is not null").distinct()
+    places = cut(known.select(directory.alias("directory")).filter("directory is not null").distinct())
     depth = F.size(F.split("directory", "/"))
     prefixes = places.select("directory", F.explode(F.sequence(F.lit(1), depth)).alias("depth"))
     prefixes = prefixes.select("directory", "depth", F.array_join(F.slice(F.split("directory", "/"), 1, F.col("depth")), "/").alias("ancestor"))
     nearest = prefixes.join(lent, "ancestor").groupBy("directory").agg(F.max_by(F.struct("ancestor", "lent", "lent_score"), "depth").alias("near"))
-    answers = known.withColumn("directory", directory).join(nearest, "directory", "left")
+    placed = known.withColumn("directory", directory)
+    if places.count() <= BROADCAST_DIRECTORIES:
+        answers = placed.join(F.broadcast(nearest), "directory", "left")
+    else:
+        dealt = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        answers = placed.withColumn("salt", F.pmod(F.xxhash64("key", "doc_id", "path"), F.lit(SALTS)).cast("int")).join(dealt, ["directory", "salt"], "left")
     inherited = F.col("license").isNull() & F.col("near").isNotNull()
     return answers.select(
         "doc_id",

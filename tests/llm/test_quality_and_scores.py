@@ -171,7 +171,6 @@ def test_licenses(spark):
         (1, "a/b/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", "some words"), (3, "a/y.txt", "text\nLicensed under the Apache License, Version 2.0.\nmore"),
         (4, "a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."), (5, "d/z.txt", "the license of things"), (6, None, "x"), (7, "top.txt", None), (8, "a/b/q/r/w.txt", ""), (1, "a/b/LICENSE", "Released under the MIT License."),
     ]
-    rows += [(100 + i, f"m/{i}", "plain prose without notices " + "of " * i) for i in range(60)]  # so that notices are rare
     files = spark.createDataFrame([(*r, "own", 0.5) for r in rows], "doc_id long, path string, text string, license string, key double")
     found = licenses.scan(files.select("doc_id", "path", "text"), F.col("path").rlike("(LICENSE|COPYING)$")).collect()
     assert len(found) == len(rows)
@@ -191,16 +190,36 @@ def test_common_notices_and_small_tables_have_licenses(spark):
         assert got == {i: ("MIT", "own") if i % 3 == 0 else (None, None) for i in range(n)}
 
 
+def test_whole_licence_texts_and_shares_of_them(spark, monkeypatch):
+    """Notices over many lines with comment marks; found in 40 of 100 files and in 1 of 10; many directories, one of them hot."""
+    full = next(t for name, t in licenses.TEMPLATES if name == "MIT" and len(t) > 300)
+    bsd = next(t for name, t in licenses.TEMPLATES if name == "BSD-3-Clause" and len(t) > 300)
+    wrapped = lambda text, mark: "\n".join(f"{mark} " + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    header = "#!/usr/bin/x\n\n" + wrapped("Copyright 2024 Somebody. " + bsd, "#") + "\n\nimport this\n" + "code words all over " * 30
+    plain = "def f(x): return the value of x and of y under load\n" * 5
+    for n, licensed in ((100, 40), (10, 1)):
+        rows = [(i, f"hot/f{i}", f"MIT License\n\n{wrapped(full, ' *')}\n" if i < licensed else plain) for i in range(n)]
+        got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.lit(False)).collect()}
+        assert got == {i: "MIT" if i < licensed else None for i in range(n)}
+    rows = [(0, "hot/LICENSE", full), (1, "hot/sub/a.py", header)] + [(i, f"hot/d{i % 3}/f{i}", plain + str(i)) for i in range(2, 60)] + [(i, f"cold/d{i}/f", plain) for i in range(60, 70)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    want = {i: ("MIT", "inherited") if 1 < i < 60 else (None, None) for i in range(2, 70)} | {0: ("MIT", "own"), 1: ("BSD-3-Clause", "own")}
+    for bound in (licenses.BROADCAST_DIRECTORIES, 2):
+        monkeypatch.setattr(licenses, "BROADCAST_DIRECTORIES", bound)
+        assert {r.doc_id: (r.license, r.origin) for r in licenses.scan(files, F.col("path").endswith("LICENSE")).collect()} == want
+
+
 def test_license_scores_match_brute_force(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     own = {0: notice + " alpha beta gamma", 1: "beta " + notice, 2: notice + " alpha\nReleased under the MIT License. delta", 3: notice + "".join(f" solitary{k}" for k in range(12)), 4: notice + " " + notice}
     rows = [(i, "x", own.get(i, "alpha beta gamma delta the under " + f"other{i % 50}")) for i in range(3000)] + [(0, "x", own[0])]
     words = lambda text: set(re.split("[^a-z0-9]+", text.lower())) - {""}
     n = collections.Counter(w for r in rows for w in words(r[2]))
+    notices = lambda text: {*text.split("\n"), *re.split(r"\n[\s/#*;-]*\n", text), text}
     square = lambda ws: sum(math.log((1 + len(rows)) / (n[w] or 1)) ** 2 for w in ws)
     want = {}
     for i, text in own.items():
-        found = [(-round(square(words(x) & words(t)) / math.sqrt(square(words(x)) * square(words(t))), 9), name) for x in text.split("\n") for name, t in licenses.TEMPLATES]
+        found = [(-round(square(words(x) & words(t)) / math.sqrt(square(words(x)) * square(words(t))), 9), name) for x in notices(text) if words(x) for name, t in licenses.TEMPLATES]
         want[i] = min(f for f in found if -f[0] >= licenses.THRESHOLD) if min(found)[0] <= -licenses.THRESHOLD else None
     assert want[0] and want[1] and want[2] and not want[3]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.lit(False)).filter("license is not null").collect()
