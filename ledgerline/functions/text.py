@@ -115,7 +115,11 @@ def search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+#: What announces a secret.
+SECRET_MARKS = (r"password\s*[=:]\s*", r"pwd\s*[=:]\s*", r"typesafe_api_key\s*[=:]\s*", r"api[_-]?key\s*[=:]\s*", r"authorization:\s*bearer\s+")
+
+
 def redact_secrets(text: Column) -> Column:
-    for mark in (r"password\s*[=:]\s*", r"pwd\s*[=:]\s*", r"typesafe_api_key\s*[=:]\s*", r"api[_-]?key\s*[=:]\s*", r"authorization:\s*bearer\s+"):
+    for mark in SECRET_MARKS:
         text = F.regexp_replace(text, rf"(?i)({mark})\S+", "$1[REDACTED]")
     return text

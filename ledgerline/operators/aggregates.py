@@ -63,7 +63,7 @@ def monthly(rows: DataFrame) -> DataFrame:
 
 
 def by_method(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.coalesce("payment_method", F.lit("OTHER")).alias("method")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.coalesce("payment_method", F.lit("OTHER")).alias("method")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "method")
 
 
 def daily_activity(rows: DataFrame, as_of: datetime.date, days: int = 30) -> DataFrame:
@@ -76,9 +76,11 @@ def daily_activity(rows: DataFrame, as_of: datetime.date, days: int = 30) -> Dat
 
 
 def banks(ledger: Ledger, user_id: int) -> DataFrame:
-    counts = ledger.transactions.groupBy(F.col("statement_id").alias("id")).agg(F.count("*").alias("n"))
-    mine = ledger.statements.filter(F.col("user_id") == user_id).join(counts, "id", "left")
-    return mine.groupBy("bank_name").agg(F.count("*").alias("statements"), F.coalesce(F.sum("n"), F.lit(0)).alias("transactions"))
+    statements = ledger.statements.filter(F.col("user_id") == user_id)
+    own = ledger.transactions.select(F.col("statement_id").alias("id")).join(statements.select("id"), "id", "left_semi")
+    mine = statements.join(own.groupBy("id").agg(F.count("*").alias("n")), "id", "left")
+    sums = mine.groupBy("bank_name").agg(F.count("*").alias("statements"), F.coalesce(F.sum("n"), F.lit(0)).alias("transactions"))
+    return sums.orderBy(F.desc("statements"), "bank_name")
 
 
 def person_card(ledger: Ledger, rows: DataFrame) -> DataFrame:

@@ -71,6 +71,10 @@ def page(rows: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return latest_first(rows).offset(offset).limit(limit)
 
 
+#: The columns of a row that free text is looked for in.
+SEARCHED = ("counterparty_name", "normalized_counterparty_name", "upi_id", "normalized_upi_id", "reference_number", "description", "raw_text")
+
+
 def free_text(ledger: Ledger, rows: DataFrame, text: str) -> DataFrame:
     """Rows whose own texts, or whose counterparty's name, code or identifiers, contain the text (case ignored)."""
     needle = F.lit(text.lower())
@@ -79,8 +83,8 @@ def free_text(ledger: Ledger, rows: DataFrame, text: str) -> DataFrame:
     known = ledger.identifiers.filter(has("value")).select(F.col("person_id").alias("counterparty_id"))
     people = named.union(known).distinct().withColumn("_hit", F.lit(True))
     own = F.lit(False)
-    for c in ("counterparty_name", "normalized_upi_id", "reference_number", "description"):
-        own = own | has(c)
+    for c in SEARCHED:
+        own = own | has(c) if c in rows.columns else own  # a ledger may lack the raw columns
     return rows.join(people, "counterparty_id", "left").filter(own | F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, money, text
-from ledgerline.operators import aggregates, filters, matching, reconcile, vectors
+from ledgerline.operators import aggregates, bookkeeping, filters, matching, reconcile, vectors
 from ledgerline.operators.filters import TransactionFilter
 from ledgerline.plans.ledger import VIEWS_SQL, from_tables
 
@@ -52,17 +52,17 @@ def ledger_filter_search(spark, sf_dir):
     return filters.page(filters.apply(ledger.owned(USER), wanted)).select("id", "statement_id", "transaction_date", "debit_amount", "payment_method", "bank_name")
 
 
-@query("month_range_filter", f"""SELECT id, transaction_date FROM owned WHERE user_id = {USER} AND counterparty_id IS NULL
-AND (transaction_date BETWEEN DATE '1997-02-01' AND DATE '1997-02-28' OR transaction_date BETWEEN DATE '1999-02-01' AND DATE '1999-02-28')""")
+@query("month_range_filter", f"""SELECT id, transaction_date FROM owned WHERE user_id = {USER} AND counterparty_id IN (1, 2, 3, 5, 8)
+AND (transaction_date BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' OR transaction_date BETWEEN DATE '1998-01-01' AND DATE '1999-02-28')""")
 def month_range_filter(spark, sf_dir):
-    spans = [(datetime.date(y, 2, 1), datetime.date(y, 2, 28)) for y in (1997, 1999)]
-    return filters.apply(from_tables(spark, sf_dir).owned(USER), TransactionFilter(person_ids=[], month_ranges=spans)).select("id", "transaction_date")
+    spans = [(datetime.date(1996, 1, 1), datetime.date(1996, 3, 31)), (datetime.date(1998, 1, 1), datetime.date(1999, 2, 28))]
+    return filters.apply(from_tables(spark, sf_dir).owned(USER), TransactionFilter(person_ids=[1, 2, 3, 5, 8], month_ranges=spans)).select("id", "transaction_date")
 
 
 @query("free_text_search", f"""SELECT id, counterparty_id, description FROM owned WHERE user_id = {USER} AND (
 counterparty_id IN (SELECT id FROM person WHERE lower(canonical_name) LIKE '%0007%' OR lower(code) LIKE '%0007%')
 OR counterparty_id IN (SELECT person_id FROM identifier WHERE lower(value) LIKE '%0007%')
-OR lower(counterparty_name) LIKE '%0007%' OR lower(normalized_upi_id) LIKE '%0007%' OR lower(reference_number) LIKE '%0007%' OR lower(description) LIKE '%0007%')""")
+OR lower(counterparty_name) LIKE '%0007%' OR lower(normalized_counterparty_name) LIKE '%0007%' OR lower(normalized_upi_id) LIKE '%0007%' OR lower(reference_number) LIKE '%0007%' OR lower(description) LIKE '%0007%')""")
 def free_text_search(spark, sf_dir):
     ledger = from_tables(spark, sf_dir)
     return filters.free_text(ledger, ledger.owned(USER), "0007").select("id", "counterparty_id", "description")
@@ -82,7 +82,7 @@ def scope_resolution(spark, sf_dir):
 
 @query("statement_listing", f"SELECT id, bank_name, status FROM statement WHERE user_id = {USER} AND status = 'COMPLETED' ORDER BY id DESC LIMIT 20")
 def statement_listing(spark, sf_dir):
-    return from_tables(spark, sf_dir).statements.filter((F.col("user_id") == USER) & (F.col("status") == "COMPLETED")).orderBy(F.desc("id")).limit(20).select("id", "bank_name", "status")
+    return bookkeeping.statements(from_tables(spark, sf_dir), USER, "COMPLETED").select("id", "bank_name", "status")
 
 
 @query("owned_people", f"SELECT id, code FROM person p WHERE EXISTS (SELECT 1 FROM owned o WHERE o.counterparty_id = p.id AND o.user_id = {USER})")
@@ -181,11 +181,7 @@ def person_methods(spark, sf_dir):
 @query("person_latest_transactions", """SELECT counterparty_id, id, transaction_date FROM (SELECT *, row_number() OVER (PARTITION BY counterparty_id ORDER BY transaction_date DESC NULLS LAST, id DESC) AS r
 FROM txn WHERE counterparty_id IS NOT NULL) WHERE r <= 5""")
 def person_latest_transactions(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("counterparty_id").orderBy(F.desc_nulls_last("transaction_date"), F.desc("id"))
-    rows = from_tables(spark, sf_dir).transactions.filter("counterparty_id is not null")
-    return rows.withColumn("r", F.row_number().over(order)).filter("r <= 5").select("counterparty_id", "id", "transaction_date")
+    return bookkeeping.latest_per_person(from_tables(spark, sf_dir).transactions, 5).select("counterparty_id", "id", "transaction_date")
 
 
 @query("month_ranges", f"""SELECT CAST(y AS INTEGER) AS year, make_date(y, 2, 1) AS first_day, last_day(make_date(y, 2, 1)) AS last_day FROM (SELECT DISTINCT year(transaction_date) AS y FROM owned WHERE user_id = {USER} AND month(transaction_date) = 2)""")

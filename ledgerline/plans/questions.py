@@ -26,6 +26,7 @@ METHOD_PHRASES = [
 ]
 #: Month names; three letters do, and September also shortens to four.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Words of a question that name its intent.
 SENT = r"\b(send|sent|pay|paid|payout|gave|spent|spend|debit(?:ed)?)\b"
 RECEIVED = r"\b(receive|received|got|refund|credit(?:ed)?)\b"
 COUNT = r"\b(how many|count)\b"
@@ -45,6 +46,7 @@ STOPWORDS = (
     "people transfer transferred transfers purchase purchases buy bought order orders subscription subscriptions bill bills expense expenses cost costs shopping month months year years week weeks day days today "
     "yesterday tonight current previous past"
 ).split()
+#: The answers without a figure.
 INSUFFICIENT = "I couldn't determine this confidently from the available statement data."
 AMBIGUOUS = "Multiple possible matches were found. Please review."
 SEMANTIC_FLOOR = 0.35

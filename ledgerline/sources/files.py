@@ -182,10 +182,15 @@ def opening_balance(text: Column) -> Column:
     return parse_amount(F.coalesce(*found))
 
 
+#: How a statement's head names the holder and the account.
+HOLDER = r"(?i)(?:A/?C\s*(?:Holder|Name)|Name\s*of\s*(?:A/?C|Account\s*Holder)|Account\s*Holder(?:'s)?\s*Name|Name)\s*[:.\-]\s*([A-Za-z][A-Za-z .'\-]{2,60})"
+ACCOUNT = r"(?i)(?:A/?C|Account)(?:\s*(?:No|Number|Num|#))?\s*[:.\-]?\s*([Xx*]{2,}\s*\d{3,4}|\d{6,18})"
+
+
 def account_details(text: Column) -> tuple[Column, Column]:
     """Holder and masked account named in a statement's head."""
-    holder = F.nullif(F.btrim(F.regexp_extract(text, r"(?i)(?:A/?C\s*(?:Holder|Name)|Name\s*of\s*(?:A/?C|Account\s*Holder)|Account\s*Holder(?:'s)?\s*Name|Name)\s*[:.\-]\s*([A-Za-z][A-Za-z .'\-]{2,60})", 1), F.lit(" .,-")), F.lit(""))
-    digits = F.regexp_replace(F.regexp_extract(text, r"(?i)(?:A/?C|Account)(?:\s*(?:No|Number|Num|#))?\s*[:.\-]?\s*([Xx*]{2,}\s*\d{3,4}|\d{6,18})", 1), r"\D", "")
+    holder = F.nullif(F.btrim(F.regexp_extract(text, HOLDER, 1), F.lit(" .,-")), F.lit(""))
+    digits = F.regexp_replace(F.regexp_extract(text, ACCOUNT, 1), r"\D", "")
     return holder, F.when(F.length(digits) >= 5, F.concat(F.lit("XXXX"), F.right(digits, F.lit(4))))
 
 
