@@ -87,6 +87,39 @@ def test_verdicts(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0 and quality.keep(docs, labels.limit(0)).count() == sum(not r.base_failed for r in judged)
 
 
+def test_verdicts_match_brute_force(spark):
+    """Cutoffs and verdicts anew from the counts and labels: binomial sums in whole numbers, one loop after another."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs, (alpha, delta, cost) = docs.withColumn("all", F.when(F.col("doc_id") % 9 > 0, F.col("doc_id") % 2)), (0.05, 0.2, 2.0)
+    rows = [r.asDict() for r in quality.judge(docs, labels, stratum="all", alpha=alpha, delta=delta, cost=cost).collect()]
+    fit = {r.doc_id for r in labels.filter(quality._is_fit("doc_id")).select("doc_id").collect()}
+    known = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in labels.collect() if r.doc_id not in fit and r.quality is not None and r.toxic is not None}
+    share = lambda a, b: a / b if b else 0.0
+    for r in rows:
+        r["scores"] = {
+            "symbols": share(r["n_symbols"], r["word_chars"]), "capitals": share(r["n_upper"], r["word_chars"]), "exclamations": share(r["n_bangs"], r["n_words"]), "repeated_lines": share(r["n_dup_lines"], r["n_lines"]),
+            "repeated_words": share(r["n_repeat_words"], r["n_words"]), "stutter": share(r["n_stutter"], r["n_words"]), "toxic": 4 * r["n_toxic"] / (r["n_words"] + 50),
+        }
+        r["stratum"] = r["doc_id"] % 2 if r["doc_id"] % 9 else None
+    held = [r for r in rows if r["doc_id"] in known and not r["base_failed"]]
+    strata = {r["stratum"] for r in held}
+    cutoffs = {}
+    for s in strata:
+        for rule in quality.RULES:
+            own = [(known[r["doc_id"]], r["scores"][rule]) for r in held if r["stratum"] == s]
+            n, best = sum(not bad for bad, _ in own), 0.0
+            for c in quality.GRID:
+                false = sum(not bad and x > c for bad, x in own)
+                if sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(false + 1)) > delta / (len(strata) * len(quality.RULES)):
+                    break
+                if (gain := sum(bad and x > c for bad, x in own) - cost * false) > best:
+                    best, cutoffs[s, rule] = gain, c
+    assert cutoffs
+    for r in rows:
+        want = not r["base_failed"] and all(r["scores"][rule] <= cutoffs.get((r["stratum"], rule), math.inf) for rule in quality.RULES)
+        assert r["kept"] == want
+
+
 def test_false_rejection_on_unseen_labels(spark):
     """Held-out accuracy: cutoffs certified on one half hold on a fresh half, and catch most junk that the base misses."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
