@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import aggregates, bookkeeping
+from ledgerline.plans import questions
 from ledgerline.plans.ledger import from_tables
-from ledgerline.plans.queries import USER, query
+from ledgerline.plans.queries import AS_OF, USER, query
 from ledgerline.sources import files
 
 
@@ -122,3 +123,35 @@ def ingest_jobs(spark, sf_dir):
 def typed_transactions(spark, sf_dir):
     rows = from_tables(spark, sf_dir).transactions.select("id", F.col("debit_amount").alias("debit"), F.col("credit_amount").alias("credit"), "payment_method", F.when(F.col("id") % 4 == 0, F.concat(F.lit("R"), F.col("id").cast("string"))).otherwise("").alias("reference"), F.col("reference_number").alias("found_reference"))
     return bookkeeping.transactions(rows).select("id", "transaction_type", "payment_method", "reference_number")
+
+
+#: A question for each way of answering.
+QUESTIONS = [
+    "How much did I receive in total?", "Show my biggest transactions", "What is my balance?", "What is my total credit and debit?", "Who did I transfer the most money to?", "Who did I transact with in 1997?", "Show all transactions in March 1998", "How much did I send to Nobody Known?",
+]
+
+
+def _rupees(sql: str) -> str:
+    return f"'Rs ' || format('{{:,.2f}}', CAST({sql} AS DOUBLE))"
+
+
+_MINE = f"(SELECT * FROM owned WHERE user_id = {USER})"
+
+@query("answers_by_intent", f""", mine AS (SELECT *, year(transaction_date) AS y FROM {_MINE}), debits AS (SELECT * FROM mine WHERE transaction_type = 'DEBIT'),
+by_person AS (SELECT coalesce(canonical_name || ' (' || code || ')', name) AS who, d, n, c FROM (SELECT counterparty_id AS c, NULL AS name, sum(debit_amount) AS d, count(*) AS n FROM debits WHERE counterparty_id IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT NULL, normalized_counterparty_name, sum(debit_amount), count(*) FROM debits WHERE counterparty_id IS NULL GROUP BY ALL) o LEFT JOIN person p ON p.id = o.c),
+in_1997 AS (SELECT coalesce(canonical_name || ' (' || code || ')', name) AS who, n, c, coalesce(canonical_name, name) AS plain FROM (SELECT counterparty_id AS c, NULL AS name, count(*) AS n FROM mine WHERE y = 1997 AND counterparty_id IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT NULL, normalized_counterparty_name, count(*) FROM mine WHERE y = 1997 AND counterparty_id IS NULL GROUP BY ALL) o LEFT JOIN person p ON p.id = o.c)
+SELECT 0 AS n, 'counterparties — Total received: ' || {_rupees("sum(credit_amount)")} || '. (Verified from ' || count(*) || ' transactions.)' AS answer FROM mine WHERE transaction_type = 'CREDIT'
+UNION ALL SELECT 1, 'Largest debit on ' || max(transaction_date) || ': ' || {_rupees("max(debit_amount)")} || '.' FROM debits WHERE debit_amount = (SELECT max(debit_amount) FROM debits)
+UNION ALL SELECT 2, 'Closing balance on ' || transaction_date || ': ' || {_rupees("balance")} || '.' FROM (SELECT * FROM mine ORDER BY transaction_date DESC NULLS LAST, id DESC LIMIT 1)
+UNION ALL SELECT 3, 'Total debits: ' || {_rupees("sum(debit_amount)")} || ' · Total credits: ' || {_rupees("sum(credit_amount)")} || ' (verified from ' || count(*) || ' transactions).' FROM mine
+UNION ALL SELECT 4, 'Most money sent to ' || who || ': ' || {_rupees("d")} || ' across ' || n || ' transaction' || CASE WHEN n = 1 THEN '' ELSE 's' END || '.' FROM (SELECT * FROM by_person ORDER BY d DESC, c NULLS LAST, who LIMIT 1)
+UNION ALL SELECT 5, 'You transacted with ' || (SELECT count(*) FROM in_1997) || ' counterparties in 1997. Top: ' || string_agg(who || ' — ' || n || ' transaction' || CASE WHEN n = 1 THEN '' ELSE 's' END, '; ' ORDER BY n DESC, c NULLS LAST, plain) || '.' FROM (SELECT * FROM in_1997 ORDER BY n DESC, c NULLS LAST, plain LIMIT 5)
+UNION ALL SELECT 6, 'Found ' || count(*) || ' transaction' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' in March 1998.' FROM mine WHERE transaction_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'
+UNION ALL SELECT 7, 'I couldn''t determine this confidently from the available statement data.'""")
+def answers_by_intent(spark, sf_dir):
+    """The answers to a user's questions, one of each kind."""
+    ledger = from_tables(spark, sf_dir)
+    found = [(i, questions.ask(ledger, USER, q, AS_OF).text) for i, q in enumerate(QUESTIONS)]
+    return spark.createDataFrame(found, "n int, answer string")
