@@ -4,16 +4,14 @@ Anchors. Of the grams (``GRAM`` bytes) inside a window, the one with the smalles
 the window alone, so equal windows have equal anchors, and only some three in a hundred places are anchors. An anchor's context is
 all that windows around it can hold: up to ``window - GRAM`` bytes before it and ``window`` bytes from it on.
 
-Whole contexts. Anchors are shuffled by gram and sorted by context and document. Where an earlier document has the same context,
-all windows around the anchor repeat. Contexts are named by 128-bit BLAKE2 digests of their bytes, which stand for the bytes themselves. (Repeats
-inside a slice are found before the shuffle and then travel by document, so a context that a third of all rows share does not
-meet in one task.) So each different context is compared once, however many copies it has; the copies' bytes, five times their
-texts as contexts overlap, are not sent.
+Comparing. Anchors are shuffled by gram; grams that stand in one place only end there. The contexts of the others, copies included, are
+compared as suffixes: each task sorts the suffixes that start at its grams' anchors (mergesort; a comparison is a binary search over
+prefix polynomial hashes), takes neighbours' common extensions, and so knows for each window around an anchor whether an earlier
+context holds it; equal windows are verified byte by byte.
 
-Edges. The first occurrences of different contexts of one gram are compared as suffixes: each task sorts the suffixes that start at
-the anchors (mergesort; a comparison is a binary search over prefix polynomial hashes), takes neighbours' common extensions, and so
-knows for each window around the anchor whether an earlier context holds it; equal windows are verified byte by byte. Grams
-with more than ``GROUP`` contexts are compared window by window in a grouping by such digests instead, which spreads over all tasks.
+Copies inside a slice or a document are found there, by digests of the contexts and then by their bytes, and travel by document. Grams with more than
+``GROUP`` rows do not meet in one task's memory: as a stream, sorted by the 128-bit BLAKE2 digests of the contexts, copies are told by these, and the windows
+of the different contexts are compared in a grouping by such digests, which spreads over all tasks.
 
 Removal. The spans of each document meet its text once more, and repeats inside one document are added there.
 
@@ -32,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Polynomial, byte_table, cut, minimizers, mix, ranges, remove_path, runs_of, shared_path, signed, text_bytes, text_slices, tidy_shuffles
+from ledgerline.llm.common import Polynomial, byte_table, cut, minimizers, mix, ranges, remove_path, runs_of, same_spans, shared_path, signed, text_bytes, text_slices, tidy_shuffles
 from ledgerline.llm.suffix_sort import repeated_windows
 
 GRAM = 40
@@ -52,7 +50,8 @@ class Anchors:
     """The anchors of a slice: row, place in the row, gram hash, both halves of the context's digest, the context's reach to both sides."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
-        self.row = self.place = self.left = self.right = np.empty(0, np.int64)
+        self.data = data
+        self.row = self.place = self.left = self.right = self.start = np.empty(0, np.int64)
         self.gram = self.context = self.context_b = np.empty(0, np.uint64)
         n = len(data) - window + 1
         if n <= 0:
@@ -68,7 +67,8 @@ class Anchors:
         begin, end = offsets[self.row], offsets[self.row + 1]
         self.place = at - begin
         self.left, self.right = np.minimum(window - GRAM, self.place), np.minimum(window, end - at)
-        found = digests(data, at - self.left, at + self.right)
+        self.start = at - self.left
+        found = digests(data, self.start, at + self.right)
         # Where in the context the gram stands is a part of it.
         self.context, self.context_b = found[:, 0] + (self.left * 1024 + self.right).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), found[:, 1].copy()
         self.gram = grams[at]
@@ -78,8 +78,18 @@ class Anchors:
         order = np.lexsort((np.arange(len(keys)), keys, self.context_b, self.context))
         same = np.zeros(len(keys), bool)
         same[order[1:]] = ~_changes(self.context[order], self.context_b[order], keys[order])[1:]
+        again = np.flatnonzero(same[order])
+        same[order[again]] = self.equal(order[again], order[again - 1])
         return same
 
+    def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the bytes of anchors' contexts are the same."""
+        lengths = (self.left + self.right)[i]
+        if (lengths == (self.left + self.right)[j]).all() and same_spans(self.data, self.start[i], self.start[j], lengths):
+            return np.ones(len(i), bool)
+        body = lambda k: self.data[self.start[k] : self.start[k] + self.left[k] + self.right[k]].tobytes()
+        return np.array([body(a) == body(b) for a, b in zip(i, j, strict=True)], bool)
+
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
     """Where any of the columns differs from the row before."""
@@ -103,9 +113,11 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             # In the slice's later documents the context is known to repeat; its gram is not needed any more.
             order = np.lexsort((doc, context_b, context))
             new = _changes(context[order], context_b[order])
-            least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             covered = np.zeros(len(order), bool)
-            covered[order] = doc[order] > least
+            covered[order] = doc[order] > doc[first]
+            later, where = np.flatnonzero(covered[order]), np.flatnonzero(keep)
+            covered[order[later]] = found.equal(where[order[later]], where[first[later]])
             gram = np.where(covered, mix(doc.astype(np.uint64)), gram)
             columns = [signed(gram), signed(context), signed(context_b), doc, place.astype(np.int32), covered]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "context_b", "id", "place", "covered"])
@@ -117,7 +129,7 @@ FULL, EDGE, HOT = 0, 1, 2
 
 
 def _judge_contexts(rows: DataFrame, group: int) -> DataFrame:
-    """``id, place, gram, kind``: repeated whole contexts, and the first occurrences of grams with several contexts."""
+    """``id, place, gram, kind``: the rows of grams that stand in several places, to be compared, and copies that are known."""
 
     def judged(columns: list[np.ndarray], hot: bool, before: tuple) -> tuple[pa.RecordBatch | None, tuple]:
         gram, context, context_b, doc, place, covered = columns
@@ -129,13 +141,13 @@ def _judge_contexts(rows: DataFrame, group: int) -> DataFrame:
             head = np.cumsum(new) == 1
             least[head] = before[3]
             new[0] = False
-        full = covered | (doc > least)
-        new_gram = np.r_[True, gram[1:] != gram[:-1]]
-        which = np.cumsum(new_gram) - 1
-        several = np.bincount(which, weights=new & ~covered) > 1
-        edge = ~full & (several[which] | hot)
-        kind = np.where(full, FULL, HOT if hot else EDGE).astype(np.int8)
-        keep = full | edge
+        if hot:
+            full = covered | (doc > least)
+            kind, keep = np.where(full, FULL, HOT).astype(np.int8), np.ones(len(gram), bool)
+        else:
+            which = np.cumsum(_changes(gram)) - 1
+            several = np.bincount(which, weights=~covered) > 1
+            kind, keep = np.where(covered, FULL, EDGE).astype(np.int8), covered | several[which]
         after = (gram[-1], context[-1], context_b[-1], least[-1])
         if not keep.any():
             return None, after
