@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import licenses, logfreq, packing, pii, quality, reply_trees, simhash, substring_index, suffix_dedup, tiling
+from ledgerline.llm import infilling, licenses, logfreq, packing, pii, quality, reply_trees, simhash, substring_index, suffix_dedup, tiling
 from ledgerline.llm.common import prepare
 
 
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(infilling.transform(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_reply_trees": op2_reply_trees,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_tiling": op9_tiling,
     "op10_simhash": op10_simhash,
+    "op12_infilling": op12_infilling,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
@@ -113,4 +118,13 @@ kept AS (SELECT p.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_a
   FROM pieces p JOIN texts t ON t.doc_id = p.doc_id GROUP BY p.doc_id)
 SELECT t.doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(body, hx))) AS kept_sha256
 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""",
+    "op12_infilling": r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us, sha256('1:' || doc_id) AS hx FROM documents),
+hashes AS (SELECT *, len(us) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(hx, 8 * i + 1, 8) AS BIGINT)) AS h FROM texts),
+cuts AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM hashes),
+parts AS (SELECT *, array_to_string(us[1:a], '') AS p, array_to_string(us[a + 1:b], '') AS m, array_to_string(us[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256
+FROM parts""",
 }
