@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import infilling, licenses, logfreq, packing, pii, quality, reply_trees, simhash, substring_index, suffix_dedup, tiling
+from ledgerline.llm import hard_negatives, infilling, licenses, logfreq, packing, pii, quality, reply_trees, simhash, substring_index, suffix_dedup, tiling
 from ledgerline.llm.common import prepare
 
 
@@ -69,6 +69,12 @@ def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digests(infilling.transform(_table(spark, sf_dir, "documents")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.integer_vectors(rows), rows.select("vec_id").filter("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_reply_trees": op2_reply_trees,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tiling": op9_tiling,
     "op10_simhash": op10_simhash,
     "op12_infilling": op12_infilling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
@@ -127,4 +134,12 @@ parts AS (SELECT *, array_to_string(us[1:a], '') AS p, array_to_string(us[a + 1:
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256
 FROM parts""",
+    "op13_hard_negatives": """
+WITH known AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+scored AS (SELECT a.vec_id AS anchor_id, k.vec_id, a.label = k.label AS same, CAST(list_dot_product(a.v, k.v) AS BIGINT) AS score FROM known a JOIN known k ON a.vec_id <> k.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
 }
