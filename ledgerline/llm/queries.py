@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import hard_negatives, infilling, licenses, logfreq, packing, pii, quality, reply_trees, simhash, substring_index, suffix_dedup, tiling
+from ledgerline.llm import hard_negatives, infilling, licenses, logfreq, packing, pii, quality, reply_trees, set_join, simhash, substring_index, suffix_dedup, tiling
 from ledgerline.llm.common import prepare
 
 
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digests(infilling.transform(_table(spark, sf_dir, "documents")))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_tiling": op9_tiling,
     "op10_simhash": op10_simhash,
+    "op11_set_join": op11_set_join,
     "op12_infilling": op12_infilling,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -125,6 +130,18 @@ kept AS (SELECT p.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_a
   FROM pieces p JOIN texts t ON t.doc_id = p.doc_id GROUP BY p.doc_id)
 SELECT t.doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(body, hx))) AS kept_sha256
 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""",
+    "op11_set_join": r"""
+WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END) AS s FROM texts),
+classes AS (SELECT s, min(doc_id) AS least, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT least, n, unnest(s) AS token FROM classes),
+linked AS (SELECT x.least AS a, y.least AS b FROM tokens x JOIN tokens y ON x.token = y.token AND x.least <> y.least AND 10 * x.n >= 9 * y.n AND 10 * y.n >= 9 * x.n
+  GROUP BY x.least, y.least, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reached AS (SELECT least AS a, least AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, coalesce(component_id, t.doc_id) AS component_id
+FROM sets t LEFT JOIN classes c ON c.s = t.s LEFT JOIN roots r ON r.a = c.least""",
     "op12_infilling": r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us, sha256('1:' || doc_id) AS hx FROM documents),
 hashes AS (SELECT *, len(us) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(hx, 8 * i + 1, 8) AS BIGINT)) AS h FROM texts),
