@@ -8,7 +8,7 @@ components are shards: the whole sets of a shard meet, and ``set_relations`` joi
 none of them is ever a row.
 
 Hot groups: copies are one class before any shuffle of lists (each task names a class once). A list of more than ``list_size`` entries is handed on as it
-streams by and dealt to a grid of shorter ones, and so is a shard of n classes, to ``GRID`` chunks or, beyond ``GRID * shard_size``, chunks of ``shard_size``: every pair of chunks meets once, memory is bounded,
+streams by and dealt to a grid of shorter ones, and so is a shard of n classes, to ``GRID`` chunks or, beyond ``GRID * shard_tokens`` tokens, chunks of ``shard_tokens``: every pair of chunks meets once, memory is bounded,
 and no link is lost.
 The sketch has a fixed size whatever the corpus (``CELLS`` counters); it alone is broadcast, and only the order of tokens depends on it.
 
@@ -33,7 +33,11 @@ from ledgerline.llm.simhash import shingle_hashes
 
 CELLS, SEGMENT = 1 << 20, 1 << 14
 BUCKETS = 32
-LIST_SIZE, SHARD_SIZE, GRID, LEAST_CHUNK = 8192, 4096, 16, 64
+LIST_SIZE, GRID, LEAST_CHUNK = 8192, 16, 128
+#: Tokens of a shard's chunk.
+SHARD_TOKENS = 1 << 21
+#: Lists of so few entries are looked at many at a time.
+SHORT = 6
 #: Ids of texts to look at once more, eight bytes each: broadcast up to so many, joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 
@@ -119,7 +123,7 @@ def prefixes(docs: DataFrame, shingle: int, percent: int, counts: np.ndarray) ->
                 if not size or name in seen:
                     continue
                 seen.add(name)
-                first = tokens[np.lexsort((tokens, levels[_cells(tokens)]))[: prefix_length(size, percent)]]
+                first = tokens[np.argsort(levels[_cells(tokens)], kind="stable")[: prefix_length(size, percent)]]  # within a level by value, as the set is sorted
                 names.append(name)
                 marks.append(_signature(tokens))
                 parts.append(first)
@@ -159,18 +163,36 @@ def list_links(size: np.ndarray, position: np.ndarray, signature: np.ndarray, pe
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def _short_links(heads: np.ndarray, n: int, size: np.ndarray, position: np.ndarray, signature: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many lists of n entries at once, pair by pair."""
+    i, j = np.triu_indices(n, 1)
+    a, b = ((heads[:, None] + x[None, :]).ravel() for x in (i, j))
+    least = needed(size[a], size[b], percent)
+    open_ = 1 + np.minimum(size[a] - position[a], size[b] - position[b]) - 1 >= least
+    open_ &= 100 * size[a] >= percent * size[b]
+    a, b, least = a[open_], b[open_], least[open_]
+    apart = np.abs((signature[a] - signature[b]).view(np.int8).astype(np.int16)).sum(1)
+    near = apart <= size[a] + size[b] - 2 * least
+    return a[near], b[near]
+
+
 def _scan(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The links of whole lists."""
     name, place, of = (table.column(c).to_numpy() for c in ("list", "place", "class"))
     keep = np.r_[True, (name[1:] != name[:-1]) | (of[1:] != of[:-1])][: len(name)]  # other tasks may have named the class too
     name, place, of = name[keep], place[keep], of[keep]
     heads, tails = runs_of(name)
-    some = tails - heads > 1
-    if not some.any():
+    lengths = tails - heads
+    if not (lengths > 1).any():
         return of[:0], of[:0]
     size, position = place >> 32, place & 0xFFFFFFFF
     marks = np.stack([table.column(f"s{i}").to_numpy()[keep] for i in range(4)], 1).view(np.uint8)
     left, right = [], []
+    for n in range(2, SHORT + 1):
+        a, b = _short_links(heads[lengths == n], n, size, position, marks, percent)
+        left.append(of[a])
+        right.append(of[b])
+    some = lengths > SHORT
     for x, y in zip(heads[some].tolist(), tails[some].tolist(), strict=True):
         a, b = list_links(size[x:y], position[x:y], marks[x:y], percent)
         left.append(of[x + a])
@@ -231,16 +253,45 @@ def candidate_links(rows: DataFrame, percent: int, list_size: int) -> DataFrame:
     return whole.union(_lists(placed, percent, None).select("a", "b")).distinct()
 
 
-def _shards(components: DataFrame, shard_size: int) -> DataFrame:
-    """``class, shard, low, high``: where each class of a component goes; each pair of a large component's chunks is a place."""
-    sizes = components.groupBy("root").agg(F.count("*").alias("n"))
-    parts = F.greatest(F.ceil(F.col("n") / shard_size), F.least(F.lit(GRID), F.ceil(F.col("n") / LEAST_CHUNK))).cast("int")
-    placed = components.join(sizes.select("root", parts.alias("parts")), "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return placed.select(F.col("node").alias("class"), F.col("root").alias("shard"), "chunk", other.alias("other")).select("class", "shard", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+def _chunks(components: DataFrame, found: DataFrame, shard_tokens: int) -> DataFrame:
+    """``class, shard, chunk, parts``: each class's component, and its chunk where the component has many tokens or classes."""
+    sized = components.join(found.groupBy(F.col("class").alias("node")).agg(F.min("size").alias("size")), "node")
+    sums = sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    parts = F.greatest(F.ceil(F.col("tokens") / shard_tokens), F.least(F.lit(GRID), F.ceil(F.col("n") / LEAST_CHUNK))).cast("int")
+    placed = sized.join(sums.select("root", parts.alias("parts")), "root")
+    return placed.select(F.col("node").alias("class"), F.col("root").alias("shard"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("chunk"), "parts")
+
 
+def _packed(placed: DataFrame) -> DataFrame:
+    """``shard, chunk, parts, tokens, bytes, classes, sizes``: a row for each chunk. Sets that are alike compress well next to each other."""
 
-def exact_links(docs: DataFrame, found: DataFrame, candidates: DataFrame, shingle: int, percent: int, shard_size: int) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets = None, [], []
+        codec = pa.Codec("zstd")
+
+        def packed() -> pa.RecordBatch:
+            raw = b"".join(sets)
+            row = {"shard": now[0], "chunk": now[1], "parts": now[2], "tokens": codec.compress(raw, asbytes=True), "bytes": len(raw), "classes": names, "sizes": [len(s) // 8 for s in sets]}
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int32()), ("parts", pa.int32()), ("tokens", pa.binary()), ("bytes", pa.int64()), ("classes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("shard", "chunk", "parts")), strict=True)
+            for key, name, tokens in zip(keys, batch.column("class").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if key != now:
+                    if names:
+                        yield packed()
+                    now, names, sets = key, [], []
+                names.append(name)
+                sets.append(tokens)
+        if names:
+            yield packed()
+
+    dealt = placed.repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "class")
+    return dealt.select("shard", "chunk", "parts", "class", "tokens").mapInArrow(work, "shard long, chunk int, parts int, tokens binary, bytes long, classes array<long>, sizes array<long>")
+
+
+def exact_links(docs: DataFrame, found: DataFrame, candidates: DataFrame, shingle: int, percent: int, shard_tokens: int) -> DataFrame:
     """``a, b``: linked classes, as ``set_relations`` finds them in each shard."""
     components = cut(connected_components(candidates, "a", "b"))
     wanted = found.join(components.select(F.col("node").alias("class")), "class", "left_semi").groupBy("class").agg(F.min("row").alias("row")).select("row").distinct()
@@ -255,29 +306,34 @@ def exact_links(docs: DataFrame, found: DataFrame, candidates: DataFrame, shingl
     known = docs.join(wanted, "row", "left_semi").select("text").mapInArrow(sets, "class long, tokens binary")
     known = known.groupBy("class").agg(F.first("tokens").alias("tokens"))
 
+    chunks = cut(_packed(_chunks(components, found, shard_tokens).join(known, "class")))
+    # Each pair of a shard's chunks, a chunk and itself included, is a place.
+    placed = chunks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, held = None, [], []
+        codec = pa.Codec("zstd")
 
         def joined() -> Iterator[pa.RecordBatch]:
             if pairs := links(held, percent):
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in side], pa.int64()) for side in zip(*pairs, strict=True)], ["a", "b"])
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("shard", "low", "high")), strict=True)
-            for key, name, tokens in zip(keys, batch.column("class").to_pylist(), batch.column("tokens"), strict=True):
-                if key != now:
+            for shard, low, high, tokens, size, own, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (shard, low, high) != now:
                     yield from joined()
-                    now, names, held = key, [], []
-                names.append(name)
-                held.append(np.frombuffer(tokens.as_buffer(), np.uint64))
+                    now, names, held = (shard, low, high), [], []
+                names += own
+                held += np.split(np.frombuffer(codec.decompress(tokens, size, asbytes=True), np.uint64), np.cumsum(sizes)[:-1])
         yield from joined()
 
-    placed = _shards(components, shard_size).join(known, "class").repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high", "class")
-    return placed.select("shard", "low", "high", "class", "tokens").mapInArrow(work, "a long, b long")
+    placed = placed.repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high", "chunk")
+    return placed.select("shard", "low", "high", "tokens", "bytes", "classes", "sizes").mapInArrow(work, "a long, b long")
 
 
 def similar_documents(
-    docs: DataFrame, *, shingle: int = 3, percent: int = 90, list_size: int = LIST_SIZE, shard_size: int = SHARD_SIZE, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, *, shingle: int = 3, percent: int = 90, list_size: int = LIST_SIZE, shard_tokens: int = SHARD_TOKENS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document: the size of its set and the smallest id it reaches over links."""
     text, doc_id = F.coalesce(F.col(text_column).cast("string"), F.lit("")), F.col(id_column).cast("long")
@@ -286,7 +342,7 @@ def similar_documents(
         both = cut(classes(plain, shingle))
         found = both.filter("segment is null").drop("segment", "counts")
         candidates = cut(candidate_links(prefixes(plain, shingle, percent, sketch(both)), percent, list_size))
-        roots = connected_components(cut(exact_links(plain, found, candidates, shingle, percent, shard_size)), "a", "b").withColumnRenamed("node", "class")
+        roots = connected_components(cut(exact_links(plain, found, candidates, shingle, percent, shard_tokens)), "a", "b").withColumnRenamed("node", "class")
         of_class = found.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         names = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
         of_class = cut(of_class.join(names, "root").select("class", "component_id"))

@@ -61,7 +61,7 @@ def corpus(seed=5):
     return list(enumerate(texts, 7)) + [(500, None), (501, ""), (502, " \t"), (None, texts[0]), (None, "nobody else says this"), (None, None), (7, texts[0])]
 
 
-@pytest.mark.parametrize("settings", [{}, {"list_size": 6, "shard_size": 10}])
+@pytest.mark.parametrize("settings", [{}, {"list_size": 8, "shard_tokens": 2000}])
 def test_equals_all_pairs(spark, settings):
     rows = corpus()
     assert found(spark, rows, **settings) == sorted(expected(rows), key=str)
