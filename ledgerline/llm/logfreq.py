@@ -35,10 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Polynomial, byte_table, cut, key_runs, mix, runs_of, text_bytes, text_slices, tidy_shuffles, word_hashes, word_spans
+from ledgerline.llm.common import cut, key_runs, mix, runs_of, text_bytes, text_slices, tidy_shuffles, word_digests, word_spans
 
-POLY = Polynomial(0xA0761D6478BD642F)
-TABLE = byte_table(5)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 END, BEGIN = np.uint64(0x1234567), np.uint64(0x89ABCDE)
@@ -61,7 +59,7 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts, ends, rows = word_spans(data, offsets)
     bounds = np.r_[0, np.cumsum(np.bincount(rows, minlength=n) + 1)]
     tokens = np.full(bounds[-1], END, np.uint64)
-    tokens[np.arange(len(rows)) + rows] = word_hashes(data, starts, ends, POLY, TABLE)
+    tokens[np.arange(len(rows)) + rows] = word_digests(data, starts, ends)[:, 0]
     return tokens, bounds
 
 

@@ -22,6 +22,7 @@ repeated rows share a fingerprint. An empty table gives no rows. Further columns
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Polynomial, byte_table, cut, mix, signed, text_bytes, text_slices, tidy_shuffles, unused, word_hashes, word_spans
+from ledgerline.llm.common import Polynomial, cut, mix, signed, text_bytes, text_slices, tidy_shuffles, unused, word_digests, word_spans
 from ledgerline.llm.components import connected_components
 
 TREE_SIZE = 4096
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, tree_
 
 # --- near copies by similarity ------------------------------------------------------------------------------------
 
-POLY, TABLE = Polynomial(0xA24BAED4963EE407), byte_table(31)
+POLY = Polynomial(0xA24BAED4963EE407)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 #: Minimum hashes: bands, and hashes of a band.
@@ -192,7 +193,7 @@ NEAR_RADIUS = 20
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row in ascending order, and their rows. A row of fewer words has one shingle, its words."""
     starts, ends, rows = word_spans(data, offsets)
-    prefix = POLY.prefix(word_hashes(FOLD[data], starts, ends, POLY, TABLE))
+    prefix = POLY.prefix(word_digests(FOLD[data], starts, ends)[:, 0])
     counts = np.bincount(rows, minlength=len(offsets) - 1)
     at = np.flatnonzero(rows[: max(0, len(rows) - shingle + 1)] == rows[shingle - 1 :])
     few = np.flatnonzero((counts > 0) & (counts < shingle))
@@ -217,7 +218,7 @@ def _bit_majorities(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(named: DataFrame, shingle: int) -> DataFrame:
-    """``row, set_a, set_b, fp, sketch, bands`` from ``row, text``: a digest of the shingle set in two halves, SimHash, minimum hashes (a byte each), band keys."""
+    """``row, set_a, set_b, fp, sketch, bands`` from ``row, text``: the BLAKE2b digest of the shingle set in two halves, SimHash, minimum hashes (a byte each), band keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -228,7 +229,8 @@ def sketches(named: DataFrame, shingle: int) -> DataFrame:
             digests = np.zeros((2, n), np.uint64)
             least = np.zeros((n, BANDS * DEPTH), np.uint32)
             if len(some):
-                digests[0, some], digests[1, some] = np.add.reduceat(hashes, starts), np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
+                sets = zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True)
+                digests[:, some] = np.frombuffer(b"".join([hashlib.blake2b(hashes[a:b], digest_size=16).digest() for a, b in sets]), np.uint64).reshape(-1, 2).T
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
                 for i in range(BANDS * DEPTH):
                     least[some, i] = np.minimum.reduceat((short ^ FLIPS[i]) * FACTORS[i], starts)

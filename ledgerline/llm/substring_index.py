@@ -2,8 +2,8 @@
 
 A window is ``WINDOW`` consecutive words. Of the grams (``GRAM`` words) inside it, the one with the smallest hash names the window:
 equal windows have equal names, and neighbouring windows mostly share one, so an index entry stands for about a dozen windows. An
-entry is the gram's hash, the hash of its whole context (all words that windows around it can hold) and a 64-bit digest,
-by an independent hash, of each window that the gram names.
+entry is the gram's hash, the hash of its whole context (all words that windows around it can hold) and a 64-bit digest
+of each window that the gram names. Gram hashes are made of one half of the words' 128-bit XXH3 digests, context and window digests of the other half.
 
 Batches arrive in the order of ids. A batch's entries are sorted by gram and written as one immutable run, a table bucketed and
 sorted by gram, after its own repeats have been found. Runs of earlier batches are merge-joined with it, bucket by bucket and
@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import (
     Polynomial,
-    byte_table,
     cut,
     minimizers,
     mix,
@@ -52,7 +51,7 @@ from ledgerline.llm.common import (
     text_bytes,
     text_slices,
     tidy_shuffles,
-    word_hashes,
+    word_digests,
     word_spans,
 )
 from ledgerline.llm.contexts import FULL, ONLY, judge_stream
@@ -62,7 +61,6 @@ DIGEST = 8
 GROUP = 50_000
 FANOUT = 2
 POLY_A, POLY_B = Polynomial(0x9E3779B97F4A7C15), Polynomial(0xD6E8FEB86659FD93)
-TABLE_A, TABLE_B = byte_table(11), byte_table(12)
 
 
 def _entries(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -76,7 +74,7 @@ def _entries(docs: DataFrame, window: int, gram: int) -> DataFrame:
             if n <= 0:
                 continue
             ids = batch.column("id").to_numpy()
-            a, b = (p.prefix(word_hashes(data, starts, ends, p, t)) for p, t in ((POLY_A, TABLE_A), (POLY_B, TABLE_B)))
+            a, b = (p.prefix(w) for p, w in zip((POLY_A, POLY_B), word_digests(data, starts, ends).T, strict=True))
             places = np.arange(len(rows) - gram + 1)
             grams = mix(POLY_A.spans(a, places, places + gram))
             good = np.flatnonzero(rows[:n] == rows[window - 1 :])

@@ -30,12 +30,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Polynomial, byte_table, cut, mix, ranges, remove_path, shared_path, text_bytes, text_slices, word_hashes, word_spans
+from ledgerline.llm.common import Polynomial, cut, mix, ranges, remove_path, shared_path, text_bytes, text_slices, word_digests, word_spans
 
 LEAST, COVERAGE = 5, 0.6
 BLOCK_BYTES = 16 << 20
 POLY = Polynomial(0xE7037ED1A0B428DB)
-TABLE = byte_table(21)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -46,7 +45,7 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     data = FOLD[data]
     starts, ends, rows = word_spans(data, offsets, NOT_WORD)
-    return word_hashes(data, starts, ends, POLY, TABLE), np.searchsorted(rows, np.arange(len(offsets)))
+    return word_digests(data, starts, ends)[:, 0].copy(), np.searchsorted(rows, np.arange(len(offsets)))
 
 
 def _seeds(words: np.ndarray, bounds: np.ndarray, least: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,11 +165,11 @@ def tile(items: Texts, item: int, texts: Texts, row: int) -> tuple[int, int]:
     while queue and len(words) - covered >= least:
         n, i, j = heapq.heappop(queue)
         n = -n
-        used = used_item[i : i + n] | used_text[j : j + n]
+        # The words themselves, not only their rolling hash: a match that holds others is cut there.
+        used = used_item[i : i + n] | used_text[j : j + n] | (words[i : i + n] != text[j : j + n])
         if not used.any():
-            if (words[i : i + n] == text[j : j + n]).all():  # the words themselves, not only their rolling hash
-                used_item[i : i + n] = used_text[j : j + n] = True
-                covered, tiles = covered + n, tiles + 1
+            used_item[i : i + n] = used_text[j : j + n] = True
+            covered, tiles = covered + n, tiles + 1
             continue
         edges = np.diff(np.r_[True, used, True].astype(np.int8))
         for a, b in zip(np.flatnonzero(edges == -1).tolist(), np.flatnonzero(edges == 1).tolist(), strict=True):
