@@ -2,8 +2,9 @@
 
 Equal sets are one class. Every class lists the tokens of its prefix (with the similarity asked for, two linked sets share one of them);
 tokens come in the order of a counting sketch of all texts, frequent ones last, so that lists stay short. A list's entries stand by size and position,
-a probe sees only the range that these leave open, and a signature (32 counters of the set's tokens, each at most as far apart as the sets
-are) puts off what is too far away; both tests lose no link. What a list leaves connected travels on as at most one link an entry. Their
+a probe sees only the range that these leave open, and a signature (counters of the set's tokens, together at most as far apart as the sets
+are) puts off what is too far away; both tests lose no link. Every row has one of 32 counters, which tells sets of up to ``LONG`` tokens apart; larger sets
+that it leaves together meet once more with 512 counters. What a list leaves connected travels on as at most one link an entry. Their
 components are shards: the whole sets of a shard meet, and ``set_relations`` joins them exactly. So all pairs of a group are looked at in one place, by skipping, and
 none of them is ever a row.
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, mix, runs_of, signed, text_slices, tidy_shuffles
+from ledgerline.llm.common import cut, key_runs, mix, runs_of, signed, text_slices, tidy_shuffles
 from ledgerline.llm.components import connected_components
 from ledgerline.llm.set_relations import links, needed, prefix_length
 from ledgerline.llm.simhash import shingle_hashes
@@ -36,6 +37,8 @@ BUCKETS = 32
 LIST_SIZE, GRID, LEAST_CHUNK = 8192, 16, 128
 #: Tokens of a shard's chunk.
 SHARD_TOKENS = 1 << 21
+#: Sets of more tokens need the wide signature.
+LONG, WIDE = 1000, 512
 #: Lists of so few entries are looked at many at a time.
 SHORT = 6
 #: Ids of texts to look at once more, eight bytes each: broadcast up to so many, joined by shuffle beyond.
@@ -55,23 +58,23 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens.copy()) >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64)
 
 
-def classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, row, class, size, segment, counts``: a row per document, and each task's share of the sketch as rows of its own (``segment`` not null)."""
+def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``doc_id, row, class, size, wide, segment, counts``: a row per document, large sets with their wide signature, and each task's share of the sketch as rows of its own (``segment`` not null)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "row", "class", "size", "segment", "counts"]
+        names = ["doc_id", "row", "class", "size", "wide", "segment", "counts"]
         for batch in text_slices(batches):
             sets = list(token_sets(batch, shingle))
             counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array([class_name(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array([class_name(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_signature(s, WIDE).tobytes() if _large(len(s), percent) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         codec, some = pa.Codec("zstd"), [k for k in range(CELLS // SEGMENT) if counts[k * SEGMENT : (k + 1) * SEGMENT].any()]
         packed = [codec.compress(counts[k * SEGMENT : (k + 1) * SEGMENT].tobytes(), asbytes=True) for k in some]
         if some:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), pa.int64()) for _ in range(4)), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), pa.int64()) for _ in range(4)), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(work, "doc_id long, row long, class long, size long, segment int, counts binary")
+    return docs.mapInArrow(work, "doc_id long, row long, class long, size long, wide binary, segment int, counts binary")
 
 
 def sketch(found: DataFrame) -> np.ndarray:
@@ -100,9 +103,14 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(load.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def _signature(tokens: np.ndarray) -> np.ndarray:
-    """The set's tokens counted in ``BUCKETS`` counters modulo 256, as longs."""
-    return np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=BUCKETS).astype(np.uint8).view(np.int64)
+def _signature(tokens: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """The set's tokens counted in ``buckets`` (a power of two) counters modulo 256."""
+    return np.bincount((tokens >> np.uint64(65 - buckets.bit_length())).astype(np.int64), minlength=buckets).astype(np.uint8)
+
+
+def _large(size, percent: int):
+    """Whether a set of this size can be similar to one of more than ``LONG`` tokens."""
+    return 100 * size > percent * LONG
 
 
 PREFIX = "list long, place long, class long, s0 long, s1 long, s2 long, s3 long"
@@ -125,7 +133,7 @@ def prefixes(docs: DataFrame, shingle: int, percent: int, counts: np.ndarray) ->
                 seen.add(name)
                 first = tokens[np.argsort(levels[_cells(tokens)], kind="stable")[: prefix_length(size, percent)]]  # within a level by value, as the set is sorted
                 names.append(name)
-                marks.append(_signature(tokens))
+                marks.append(_signature(tokens).view(np.int64))
                 parts.append(first)
                 places.append((size << 32) + np.arange(len(first)))
             if names:
@@ -154,7 +162,7 @@ def list_links(size: np.ndarray, position: np.ndarray, signature: np.ndarray, pe
             most = own + theirs - 2 * needed(own, theirs, percent)  # tokens in which the two may differ
             open_ = 1 + np.minimum(own - place - 1, theirs - position[others] - 1) >= needed(own, theirs, percent)
             others, most = others[open_], most[open_]
-            apart = np.abs((signature[others] - signature[at]).view(np.int8).astype(np.int16)).sum(1)
+            apart = np.abs((signature[others] - signature[at]).view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
             near = others[apart <= most]
             fresh[near] = False
             queue += near.tolist()
@@ -176,81 +184,109 @@ def _short_links(heads: np.ndarray, n: int, size: np.ndarray, position: np.ndarr
     return a[near], b[near]
 
 
-def _scan(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of whole lists."""
-    name, place, of = (table.column(c).to_numpy() for c in ("list", "place", "class"))
-    keep = np.r_[True, (name[1:] != name[:-1]) | (of[1:] != of[:-1])][: len(name)]  # other tasks may have named the class too
-    name, place, of = name[keep], place[keep], of[keep]
+def _connected(name: np.ndarray, size: np.ndarray, position: np.ndarray, marks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices that connect, list by list, what isn't ruled out."""
     heads, tails = runs_of(name)
     lengths = tails - heads
-    if not (lengths > 1).any():
-        return of[:0], of[:0]
-    size, position = place >> 32, place & 0xFFFFFFFF
-    marks = np.stack([table.column(f"s{i}").to_numpy()[keep] for i in range(4)], 1).view(np.uint8)
-    left, right = [], []
-    for n in range(2, SHORT + 1):
-        a, b = _short_links(heads[lengths == n], n, size, position, marks, percent)
-        left.append(of[a])
-        right.append(of[b])
+    found = [_short_links(heads[lengths == n], n, size, position, marks, percent) for n in range(2, SHORT + 1)]
     some = lengths > SHORT
     for x, y in zip(heads[some].tolist(), tails[some].tolist(), strict=True):
         a, b = list_links(size[x:y], position[x:y], marks[x:y], percent)
-        left.append(of[x + a])
-        right.append(of[x + b])
-    return np.concatenate(left), np.concatenate(right)
+        found.append((x + a, x + b))
+    a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+    return a, b
+
+
+def _scan(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """The links of whole lists, and the rows of large sets that must meet once more."""
+    name, place, of = (table.column(c).to_numpy() for c in ("list", "place", "class"))
+    keep = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (of[1:] != of[:-1])][: len(name)])  # other tasks may have named the class too
+    marks = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], 1).view(np.uint8)
+    size, position = place >> 32, place & 0xFFFFFFFF
+
+    def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = _connected(name[rows], size[rows], position[rows], marks[rows], percent)
+        return rows[a], rows[b]
+
+    a, b = pairs(keep[size[keep] <= LONG])
+    again = np.unique(np.concatenate(pairs(keep[_large(size[keep], percent)])))
+    return of[a], of[b], table.take(pa.array(again))
 
 
 def _lists(rows: DataFrame, percent: int, list_size: int | None) -> DataFrame:
-    """``a, b`` for each link, and the rows of longer lists as they came."""
+    """``a, b`` for each link; rows of large sets to meet once more (``again``), and those of longer lists, as they came."""
+    names = ["a", "b", "again", *COLUMNS]
 
-    def linked(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _scan(pa.Table.from_batches(batches), percent)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), pa.int64()) for _ in COLUMNS)], ["a", "b", *COLUMNS])
+    def passed(table: pa.Table | pa.RecordBatch, again: bool) -> Iterator[pa.RecordBatch]:
+        for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, again)), *batch.columns], names)
 
-    def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), *batch.columns], ["a", "b", *COLUMNS])
+    def linked(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, again = _scan(pa.Table.from_batches(batches), percent)
+        if n := len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.bool_()), *(pa.nulls(n, pa.int64()) for _ in COLUMNS)], names)
+        if again.num_rows:
+            yield from passed(again, True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, n, long = None, [], 0, False  # the list that the last batch ended in
         for batch in batches:
-            names = batch.column("list").to_numpy()
-            if not len(names):
+            lists = batch.column("list").to_numpy()
+            if not len(lists):
                 continue
-            more = int(np.searchsorted(names, now, side="right")) if now is not None else 0
+            more = int(np.searchsorted(lists, now, side="right")) if now is not None else 0
             if more:
                 held.append(batch.slice(0, more))
                 n += more
                 long = long or (list_size is not None and n > list_size)
                 if long:
-                    yield from map(passed, held)
+                    for part in held:
+                        yield from passed(part, False)
                     held = []
-            if more == len(names):
+            if more == len(lists):
                 continue
             if held:
                 yield from linked(held)
-            last = int(np.searchsorted(names, names[-1]))
+            last = int(np.searchsorted(lists, lists[-1]))
             if last > more:
                 yield from linked([batch.slice(more, last - more)])
-            now, held, n, long = names[-1], [batch.slice(last)], len(names) - last, False
+            now, held, n, long = lists[-1], [batch.slice(last)], len(lists) - last, False
         if held:
             yield from linked(held)
 
     dealt = rows.select(*COLUMNS).repartition("list").sortWithinPartitions("list", "place", "class")
-    return dealt.mapInArrow(work, f"a long, b long, {PREFIX}")
+    return dealt.mapInArrow(work, f"a long, b long, again boolean, {PREFIX}")
+
+
+def _wide_links(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the same for large sets, by their wide signatures."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in key_runs(batches, "list"):
+            place, of = table.column("place").to_numpy(), table.column("class").to_numpy()
+            marks = np.stack([np.frombuffer(w.as_buffer(), np.uint8) for w in table.column("wide")])
+            a, b = list_links(place >> 32, place & 0xFFFFFFFF, marks, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(of[a]), pa.array(of[b])], ["a", "b"])
+
+    wide = found.filter("wide is not null").groupBy("class").agg(F.first("wide").alias("wide"))
+    dealt = rows.select("list", "place", "class").join(wide, "class").repartition("list").sortWithinPartitions("list", "place", "class")
+    return dealt.select("list", "place", "class", "wide").mapInArrow(work, "a long, b long")
 
 
-def candidate_links(rows: DataFrame, percent: int, list_size: int) -> DataFrame:
+def candidate_links(rows: DataFrame, found: DataFrame, percent: int, list_size: int) -> DataFrame:
     """``a, b``: at most one link for each entry of a list."""
-    found = cut(_lists(rows, percent, list_size))
-    whole, long = found.filter("a is not null").select("a", "b"), found.filter("a is null").select(*COLUMNS)
-    if long.isEmpty():
-        return whole.distinct()
-    parts = F.ceil(F.col("n") / list_size).cast("int")
-    placed = long.join(long.groupBy("list").agg(F.count("*").alias("n")).select("list", parts.alias("parts")), "list")
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.withColumn("list", F.xxhash64("list", F.least("chunk", "other"), F.greatest("chunk", "other")))
-    return whole.union(_lists(placed, percent, None).select("a", "b")).distinct()
+    met = cut(_lists(rows, percent, list_size))
+    long = met.filter("not again").select(*COLUMNS)
+    if not long.isEmpty():
+        parts = F.ceil(F.col("n") / list_size).cast("int")
+        placed = long.join(long.groupBy("list").agg(F.count("*").alias("n")).select("list", parts.alias("parts")), "list")
+        placed = placed.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        placed = placed.withColumn("list", F.xxhash64("list", F.least("chunk", "other"), F.greatest("chunk", "other")))
+        met = met.union(cut(_lists(placed, percent, None)))
+    links = met.filter("a is not null").select("a", "b")
+    return links.union(_wide_links(met.filter("again"), found, percent)).distinct()
 
 
 def _chunks(components: DataFrame, found: DataFrame, shard_tokens: int) -> DataFrame:
@@ -339,9 +375,9 @@ def similar_documents(
     text, doc_id = F.coalesce(F.col(text_column).cast("string"), F.lit("")), F.col(id_column).cast("long")
     plain = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("row"), text.cast("binary").alias("text"))
     with tidy_shuffles(docs.sparkSession):
-        both = cut(classes(plain, shingle))
+        both = cut(classes(plain, shingle, percent))
         found = both.filter("segment is null").drop("segment", "counts")
-        candidates = cut(candidate_links(prefixes(plain, shingle, percent, sketch(both)), percent, list_size))
+        candidates = cut(candidate_links(prefixes(plain, shingle, percent, sketch(both)), found, percent, list_size))
         roots = connected_components(cut(exact_links(plain, found, candidates, shingle, percent, shard_tokens)), "a", "b").withColumnRenamed("node", "class")
         of_class = found.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         names = of_class.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -55,6 +55,7 @@ def corpus(seed=5):
     passage = text(60)
     texts = [" ".join(text(rng.randint(5, 150))) for _ in range(60)]
     texts += group(rng, text(150), 90, 6) + group(rng, text(40), 25, 1) + group(rng, text(300), 30, 9)
+    texts += group(rng, text(1400), 14, 30) + group(rng, text(990), 10, 25)  # about and beyond the size that needs the wide signature
     texts += [" ".join(passage + text(rng.randint(3, 60))) for _ in range(40)] + [" ".join(text(2000))] * 2
     texts += [texts[3].upper(), texts[3] + " ", "\n".join(texts[4].split()), "one", "One", "one two", "one  two", "a b c", "x y z a b c d e f g h i", "x y z a b c d e f g h j", "é É ü", "é é ü"]
     rng.shuffle(texts)
