@@ -86,13 +86,20 @@ def candidates(narrations: DataFrame, people: DataFrame, identifiers: DataFrame,
     return _first(found, ["id"], limit)
 
 
-def evidence(narrations: DataFrame, pairs: DataFrame, people: DataFrame, identifiers: DataFrame, methods: DataFrame) -> DataFrame:
-    """``id, person_id, codes, score`` of candidate pairs with any evidence. ``methods``: ``person_id, methods`` (array)."""
-    values = lambda kind: F.array_compact(F.collect_set(F.when(F.col("id_type") == kind, F.col("normalized_value"))))
+def evidence(narrations: DataFrame, pairs: DataFrame, people: DataFrame, identifiers: DataFrame, methods: DataFrame, *, as_of: bool = False) -> DataFrame:
+    """``id, person_id, codes, score`` of candidate pairs with any evidence. ``methods``: ``person_id, methods`` (array).
+
+    ``as_of``: a narration with the number ``at`` sees only what became known before: identifiers have an ``at`` too, methods are structs ``v, at``.
+    """
+    value = F.struct(F.col("normalized_value").alias("v"), "at") if as_of else F.col("normalized_value")
+    values = lambda kind: F.array_compact(F.collect_set(F.when(F.col("id_type") == kind, value)))
     kinds = ("UPI", "ACCOUNT", "PHONE", "EMAIL", "REFERENCE")
     held = identifiers.groupBy("person_id").agg(*[values(k).alias(f"p_{k}") for k in kinds])
     person = people.select(F.col("id").alias("person_id"), F.col("normalized_name").alias("p_name"))
     df = pairs.join(narrations, "id").join(person, "person_id").join(held, "person_id", "left").join(methods, "person_id", "left")
+    if as_of:
+        known = lambda c: F.transform(F.filter(c, lambda x: x["at"] < F.col("at")), lambda x: x["v"])
+        df = df.withColumns({c: known(c) for c in ("methods", *(f"p_{k}" for k in kinds))})
     owns = lambda kind, v: F.coalesce(F.array_contains(F.col(f"p_{kind}"), F.col(v)), F.lit(False))
     exact = owns("UPI", "normalized_upi_id")
     mine = _local(F.col("normalized_upi_id"))
