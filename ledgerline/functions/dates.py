@@ -1,33 +1,89 @@
-"""Dates of statement cells, day first."""
+"""Dates of statement cells, day first, by a small grammar.
+
+A cell is cut to words, what carries no date (weekday, time of day, ordinal endings) dropped, and the classes of what is left (day or month number, month name, year)
+pick one reading; one conversion then checks the calendar. No list of formats is tried one after another.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values, in the order they are tried.
-FORMATS = (
-    "d-M-yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy", "d-MMMM yyyy", "d MMMM yyyy", "yyyy-M-d", "yyyy/M/d", "d-M-yy",
-    "d/M/yy", "d.M.yyyy", "d-MMM-yy", "d MMM yy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "M/d/yyyy",
-)
 SERIAL_FROM, SERIAL_TO = 20000, 80000
+#: Month names; any beginning of three letters or more will do.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+TIME = r"(^|[ t,])\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([ap]\.?m\.?)?\s*(z|utc|gmt|ist)?([+-]\d{2}:?\d{2})?$"
+WEEKDAY = r"^(mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(day)?[.,]*\s+"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _month(word: Column) -> Column:
+    names = [name[:n] for name in MONTHS for n in range(3, len(name) + 1)]
+    numbers = {n: 1 + next(i for i, name in enumerate(MONTHS) if name.startswith(n)) for n in names}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), word)
+
+
+def _words(text: Column) -> Column:
+    """The words that may make a date; none where digits are grouped by commas, as in amounts."""
+    plain = F.regexp_replace(F.lower(text), r"\s+", " ")
+    plain = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(plain, TIME, ""), WEEKDAY, "")), r"(\d)(st|nd|rd|th)\b", "$1")
+    return F.when(~plain.rlike(r"\d,\d"), F.filter(F.split(F.regexp_replace(plain, r"\bof\b", " "), r"[-/., ']+"), lambda w: w != ""))
+
 
+def _calendar(year: Column, month: Column, day: Column) -> Column:
+    """The date, null where the calendar has none; two digits from 69 on belong to the last century."""
+    number = year.try_cast("int")
+    full = F.when(F.length(year) == 4, number).when(number > 68, 1900 + number).otherwise(2000 + number)
+    return F.try_to_date(F.concat_ws("-", F.lpad(full.cast("string"), 4, "0"), month.cast("string"), day), "yyyy-M-d")
 
-def _one(text: Column, form: str) -> Column:
-    found = F.try_to_date(text, form)
-    if form.count("y") == 2:
-        # Two digits from 69 on belong to the last century.
-        return F.when(F.year(found) > 2068, F.add_months(found, -1200)).otherwise(found)
-    return found
+
+def _read(words: Column) -> Column:
+    """A date of three words."""
+    a, b, c = (F.get(words, F.lit(i)) for i in range(3))
+    short = lambda w: w.rlike(r"^\d{1,2}$")
+    year = lambda w: w.rlike(r"^(\d{2}|\d{4})$")
+    whole = lambda w: w.rlike(r"^\d{4}$")
+    swapped = (b.try_cast("int") > 12) & (a.try_cast("int") <= 12)
+    named_b = lambda use: _let(_month(b), use)
+    return (
+        F.when(short(a) & short(b) & year(c), _calendar(c, F.when(swapped, a).otherwise(b), F.when(swapped, b).otherwise(a)))
+        .when(whole(a) & short(b) & short(c), _calendar(a, b, c))
+        .when(short(a) & year(c), named_b(lambda m: F.when(m.isNotNull(), _calendar(c, m, a))))
+        .when(short(b) & whole(c), _let(_month(a), lambda m: F.when(m.isNotNull(), _calendar(c, m, b))))
+        .when(whole(a) & short(c), named_b(lambda m: F.when(m.isNotNull(), _calendar(a, m, c))))
+    )
+
+
+def _serial(text: Column) -> Column:
+    number = F.regexp_replace(text, ",", "").try_cast("double")
+    return _let(number, lambda n: F.when(n.between(SERIAL_FROM, SERIAL_TO) & (n == F.floor(n)), F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int"))))
 
 
 def parse_date(cell: Column) -> Column:
-    """Date or null: spreadsheet serials, ISO with a time, and the listed formats; never a guess."""
+    """Date or null: spreadsheet serials, and days with month and year in any usual order and spelling; never a guess."""
     text = F.trim(cell.cast("string"))
-    number = F.regexp_replace(text, ",", "").try_cast("double")
-    whole = number.between(SERIAL_FROM, SERIAL_TO) & (number == F.floor(number))
-    serial = F.when(whole, F.date_add(F.lit("1899-12-30").cast("date"), number.cast("int")))
-    plain = F.when(text.contains("T"), F.substring_index(text, "T", 1))
-    timed = F.when(F.size(F.split(text, " ")) > 3, F.substring_index(text, " ", 1))
-    tried = F.transform(F.array_compact(F.array(plain, text, timed)), lambda t: F.coalesce(*[_one(t, form) for form in FORMATS]))
-    return F.coalesce(serial, F.get(F.filter(tried, lambda d: d.isNotNull()), F.lit(0)))
+    likely = text.rlike(r"\d")
+    return F.when(likely & text.rlike(r"^[\d.,]+$") & ~text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{2,4}$"), _serial(text)).when(likely & (F.length(text) <= 64), _let(_words(text), lambda w: F.when(F.size(w) == 3, _read(w))))
+
+
+def parse_partial_date(cell: Column, as_of: Column) -> Column:
+    """``date, complete``: as ``parse_date``; where the year or the day is missing it is that of ``as_of``, and ``complete`` is false."""
+
+    def two(words: Column) -> Column:
+        a, b = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+        day = F.coalesce(F.when(a.rlike(r"^\d{1,2}$"), a), F.when(b.rlike(r"^\d{1,2}$"), b))
+        month = F.coalesce(_month(a), _month(b))
+        this_year = F.year(as_of).cast("string")
+        year = F.when(b.rlike(r"^\d{4}$"), b)
+        first = _calendar(year, month, F.lit("1"))
+        of_month = F.least(F.date_add(first, F.dayofmonth(as_of) - 1), F.last_day(first))
+        return F.when(month.isNotNull(), F.when(year.isNotNull(), of_month).otherwise(_calendar(this_year, month, day)))
+
+    partial = _let(_words(F.trim(cell.cast("string"))), lambda w: F.when(F.size(w) == 2, two(w)))
+    return _let(parse_date(cell), lambda d: F.struct(F.coalesce(d, partial).alias("date"), d.isNotNull().alias("complete")))

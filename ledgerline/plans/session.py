@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that the session names. A folder of this machine's own serves a local session only."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def _shared(spark: SparkSession) -> str:
+    """The shared folder that the session names. A folder of this machine's own serves a local session only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledger-checkpoints-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerline.plans.session import checkpointed
 from ledgerline.sources import files
 
 
@@ -26,6 +31,79 @@ def ingest(spark: SparkSession, path: str, table_path: str, checkpoint: str) ->
     return file_stream(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+UPLOADS = "user_id long, file_id long, name string, content binary, size long"
+
+
+def admitted(uploads: DataFrame) -> DataFrame:
+    """Uploads (``user_id, file_id, name, content, size``) of a stream with ``sha256, verdict, original``.
+
+    The state of a user's content is the id of the file that brought it. NEW: the first one; DUPLICATE: one that came later, whenever it was sent, with
+    the ``original``'s id; INVALID: name or content can't be a statement, which leaves no state behind, so such content may come again.
+    """
+    checked = files.fingerprinted(files.validated(uploads))
+    named = checked.select("user_id", "sha256", "file_id", "name", "content", "size", F.col("error").isNotNull().alias("invalid"))
+
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.get[0] if state.exists else None
+        for part in sorted(parts, key=lambda p: p["file_id"].min()):
+            part = part.sort_values("file_id")
+            verdicts, originals = [], []
+            for file_id, invalid in zip(part["file_id"].tolist(), part["invalid"].tolist(), strict=True):
+                verdicts.append("INVALID" if invalid else "DUPLICATE" if known is not None else "NEW")
+                originals.append(known if verdicts[-1] == "DUPLICATE" else None)
+                if verdicts[-1] == "NEW":
+                    known = file_id
+            yield part.drop(columns="invalid").assign(verdict=verdicts, original=pd.array(originals, dtype="Int64"))
+        if known is not None:
+            state.update((known,))
+
+    out = "user_id long, sha256 string, file_id long, name string, content binary, size long, verdict string, original long"
+    return named.groupBy("user_id", "sha256").applyInPandasWithState(judge, out, "file_id long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not have been written yet."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+REPORT = "user_id long, statement_id long, file_id long, sha256 string, name string, verdict string, n_rows long, error string"
+
+
+def ingest_once(uploads: DataFrame, table_path: str, checkpoint: str, statement: Column | None = None) -> StreamingQuery:
+    """Keeps each statement's latest file in a table, whatever is sent again; ``statement``: which statement a file is of (its own one, if not said).
+
+    Content that a user has sent before is not read again, unless every file that brought it could not be read. Ledger rows lie in a folder for each user and
+    statement, so a file for a known statement replaces that statement's rows and no others. ``{table_path}_files`` has a row for each upload, in a folder for each batch.
+    A batch that is repeated after a failure writes the same folders again: the report of its own number is left out of what it looks up.
+    """
+    of = F.col("file_id") if statement is None else statement
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = checkpointed(batch.withColumn("statement_id", of.cast("long")))
+        before = _written(spark, f"{table_path}_files", REPORT + ", batch long").filter(F.col("batch") < batch_id)
+        user_content = ["user_id", "sha256"]
+        failed = before.filter("error is not null and verdict <> 'INVALID'").select(*user_content).distinct()
+        stored = before.filter("error is null and verdict <> 'DUPLICATE'").select(*user_content).distinct()
+        again = batch.filter("verdict = 'DUPLICATE'").join(failed, user_content, "left_semi").join(stored, user_content, "left_anti")
+        again = again.groupBy(*user_content).agg(F.min("file_id").alias("file_id")).select("file_id", F.lit(True).alias("again"))
+        batch = batch.join(again, "file_id", "left").withColumn("verdict", F.when(F.col("again"), "AGAIN").otherwise(F.col("verdict"))).drop("again")
+        read = batch.filter("verdict in ('NEW', 'AGAIN')")
+        rows, report = files.parsed(read.select("file_id", "name", "content", "size"))
+        told = checkpointed(batch.drop("content", "size", "original").join(report.select("file_id", "n_rows", "error"), "file_id", "left"))
+        told = told.withColumn("error", F.when(F.col("verdict") == "INVALID", "not a statement file").otherwise(F.col("error")))
+        # Of several files for one statement in a batch the last one counts.
+        last = told.filter("verdict in ('NEW', 'AGAIN') and error is null").groupBy("user_id", "statement_id").agg(F.max("file_id").alias("file_id"))
+        placed = rows.join(last, "file_id").repartition("user_id", "statement_id")
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id", "statement_id").parquet(table_path)
+        names = [c.split()[0] for c in REPORT.split(", ")]
+        told.select(*names).write.mode("overwrite").parquet(f"{table_path}_files/batch={batch_id}")
+
+    return admitted(uploads).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def activity(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts and sums per window and kind of an event stream (``ts, event_type, value``), with late rows up to the watermark."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
