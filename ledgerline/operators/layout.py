@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.dates import parse_date
 from ledgerline.functions.money import amount_side, parse_amount
 from ledgerline.functions.steps import computed
+from ledgerline.plans.session import checkpointed
 
 SCAN = 30
 FIELDS = ("date", "value_date", "description", "reference", "debit", "credit", "balance", "amount", "side")
@@ -57,7 +58,7 @@ def header_layout(rows: DataFrame) -> DataFrame:
     """Per file the first of its leading rows that names a date and money: column of each field, and the row after it."""
     order = Window.partitionBy("file_id").orderBy("row_no")
     top = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SCAN)
-    cells = top.select("file_id", "row_no", F.posexplode("cells").alias("col", "cell")).withColumn("field", header_field(header_key(F.col("cell"))))
+    cells = computed(top.select("file_id", "row_no", F.posexplode("cells").alias("col", "cell")), {"field": header_field(header_key(F.col("cell")))})
     wide = cells.filter("field is not null").groupBy("file_id", "row_no").pivot("field", list(FIELDS)).agg(F.min("col"))
     good = wide.filter("date is not null and (debit is not null or credit is not null or amount is not null)")
     best = good.groupBy("file_id").agg(F.min_by(F.struct("row_no", *FIELDS), "row_no").alias("h"))
@@ -114,7 +115,7 @@ def positional_layout(rows: DataFrame) -> DataFrame:
 
 def layouts(rows: DataFrame) -> DataFrame:
     """Header layouts, and positional ones for the files that have none."""
-    named = header_layout(rows)
+    named = checkpointed(header_layout(rows))
     return named.unionByName(positional_layout(rows.join(named, "file_id", "left_anti")))
 
 
