@@ -116,7 +116,7 @@ def search_tokens(text: Column) -> Column:
 
 
 #: What announces a secret.
-SECRET_MARKS = (r"password\s*[=:]\s*", r"pwd\s*[=:]\s*", r"typesafe_api_key\s*[=:]\s*", r"api[_-]?key\s*[=:]\s*", r"authorization:\s*bearer\s+")
+SECRET_MARKS = (r"password\s*[=:]\s*", r"pwd\s*[=:]\s*", r"api[_-]?key\s*[=:]\s*", r"authorization:\s*bearer\s+")
 
 
 def redact_secrets(text: Column) -> Column:

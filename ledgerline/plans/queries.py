@@ -285,8 +285,8 @@ def mask_account(spark, sf_dir):
 SECRETS = ["password=abc def", "PWD : x1 and api_key=zz", "Authorization: Bearer tok123 end", "nothing", None]
 
 
-@query("redact_secrets", """SELECT v, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '(?i)(password\\s*[=:]\\s*)\\S+', '\\1[REDACTED]', 'g'), '(?i)(pwd\\s*[=:]\\s*)\\S+', '\\1[REDACTED]', 'g'),
-'(?i)(typesafe_api_key\\s*[=:]\\s*)\\S+', '\\1[REDACTED]', 'g'), '(?i)(api[_-]?key\\s*[=:]\\s*)\\S+', '\\1[REDACTED]', 'g'), '(?i)(authorization:\\s*bearer\\s+)\\S+', '\\1[REDACTED]', 'g') AS clean FROM (VALUES """ + strings(SECRETS) + ") x(v)", views=False)
+@query("redact_secrets", """SELECT v, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '(?i)(password\\s*[=:]\\s*)\\S+', '\\1[REDACTED]', 'g'), '(?i)(pwd\\s*[=:]\\s*)\\S+', '\\1[REDACTED]', 'g'),
+'(?i)(api[_-]?key\\s*[=:]\\s*)\\S+', '\\1[REDACTED]', 'g'), '(?i)(authorization:\\s*bearer\\s+)\\S+', '\\1[REDACTED]', 'g') AS clean FROM (VALUES """ + strings(SECRETS) + ") x(v)", views=False)
 def redact_secrets(spark, sf_dir):
     return column(spark, SECRETS).select("v", text.redact_secrets(F.col("v")).alias("clean"))
 
