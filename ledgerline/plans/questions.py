@@ -7,16 +7,14 @@ question without rows gets the refusal.
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass, field, replace
-from functools import reduce
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.steps import computed
 from ledgerline.functions.text import search_tokens
-from ledgerline.operators import aggregates, filters, vectors
-from ledgerline.operators.filters import METHOD_FAMILY, TransactionFilter
+from ledgerline.operators import filters
 from ledgerline.plans.ledger import Ledger
 
 #: Phrases that name a payment method, in order of precedence.
@@ -117,35 +115,6 @@ def profiles(questions: DataFrame, as_of: datetime.date, column: str = "question
     return df.select(*questions.columns, "payment_method", "month", "year", "date_from", "date_to", "intent", "direction", "person_text", "tokens")
 
 
-def resolve_people(ledger: Ledger, user_id: int, text: str, tokens: list[str]) -> DataFrame:
-    """Whom a text may mean among the user's counterparties: by exact name, else by identifier and by whole words of the name.
-
-    Without identifier hits, people with the text's first word come before those with any of its words.
-    """
-    owned = filters.owned_people(ledger, user_id)
-    name = F.coalesce("normalized_name", F.lit(""))
-    words = F.filter(F.split(name, " "), lambda w: w != "")
-    long = [t for t in tokens if len(t) >= 3]
-    near = reduce(lambda a, b: a | b, [name.contains(t) for t in long], F.lit(len(text) >= 3) & F.lit(text).contains(name) & (name != ""))
-    named = near & F.arrays_overlap(words, F.array(*map(F.lit, tokens)).cast("array<string>"))
-    shown = ledger.identifiers.filter(F.col("id_type").isin("UPI", "ACCOUNT") & F.lower("value").contains(text) & F.lit(len(text) >= 4))
-    shown = shown.select(F.col("person_id").alias("id")).distinct().withColumn("_known", F.lit(True))
-    first = F.array_contains(words, tokens[0]) if tokens else F.lit(False)
-    ranked = owned.join(shown, "id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    ranked = ranked.withColumns({"_exact": name == text, "_named": named, "_first": named & first})
-    flags = ranked.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(f"any{c}") for c in ("_exact", "_known", "_first")])
-    df = ranked.crossJoin(F.broadcast(flags))  # one row of three flags
-    chosen = F.when(F.col("any_exact"), F.col("_exact")).when(F.col("any_known"), F.col("_known") | F.col("_named")).when(F.col("any_first"), F.col("_first")).otherwise(F.col("_named"))
-    return df.filter(chosen).select("id", "code", "canonical_name", "normalized_name")
-
-
-def shared_handle(ledger: Ledger, people: DataFrame, text: str) -> DataFrame:
-    """``handle``: the one UPI local part with the text that all these people's handles share; no row otherwise."""
-    mine = ledger.identifiers.join(people.select(F.col("id").alias("person_id")), "person_id", "left_semi").filter((F.col("id_type") == "UPI") & F.lower("value").contains(text))
-    local = F.lower(F.trim(F.substring_index("value", "@", 1)))
-    return mine.agg(F.countDistinct(local).alias("n"), F.min(local).alias("handle")).filter("n = 1").select("handle")
-
-
 @dataclass
 class Answer:
     text: str
@@ -157,131 +126,21 @@ class Answer:
     rows: DataFrame | None = None
 
 
-PEOPLE_SHOWN = 20
-
-
-def _period(profile, owned: DataFrame) -> dict:
-    if profile.month and profile.year:
-        first = datetime.date(profile.year, profile.month, 1)
-        after = datetime.date(profile.year + profile.month // 12, profile.month % 12 + 1, 1)
-        return {"month_ranges": [(first, after - datetime.timedelta(days=1))]}
-    if profile.month:
-        spans = [(r.first_day, r.last_day) for r in aggregates.month_ranges(owned, profile.month).orderBy("year").collect()]  # a row per year
-        return {"month_ranges": spans or [(datetime.date(1, 1, 2), datetime.date(1, 1, 1))]}
-    if profile.year:
-        return {"date_from": datetime.date(profile.year, 1, 1), "date_to": datetime.date(profile.year, 12, 31)}
-    return {"date_from": profile.date_from, "date_to": profile.date_to}
-
-
-def _widened(owned: DataFrame, wanted: TransactionFilter, notes: list[str], extra: Column | None = None) -> tuple[DataFrame, TransactionFilter]:
-    """Rows of the filter; the method's family if the method alone has none."""
-    pick = lambda w: filters.apply(owned, w) if extra is None else filters.apply(owned, w).filter(extra)
-    rows = pick(wanted)
-    if wanted.payment_method in METHOD_FAMILY and rows.isEmpty():
-        wider = replace(wanted, payment_method=None, payment_methods=METHOD_FAMILY[wanted.payment_method])
-        if not (held := pick(wider)).isEmpty():
-            notes.append("METHOD_FILTER_WIDENED")
-            return held, wider
-    return rows, wanted
-
-
 def ask(ledger: Ledger, user_id: int, question: str, as_of: datetime.date, statement_ids: list[int] | None = None) -> Answer:
-    """The answer to one question, with the rows it rests on (lazily) and the notes that say how they were found."""
-    spark = ledger.transactions.sparkSession
-    profile = profiles(spark.createDataFrame([(question,)], "question string"), as_of).first()
-    out = Answer(INSUFFICIENT, profile.intent)
-    if statement_ids is not None:
-        out.notes.append("SCOPE_SELECTED" if statement_ids else "SCOPE_EMPTY")
-        if not statement_ids:
-            return out
-    owned = ledger.owned(user_id)
-    wanted = TransactionFilter(statement_ids=statement_ids, payment_method=profile.payment_method, direction=profile.direction, **_period(profile, owned))
-    extra, label, meant = None, profile.person_text, owned
-    if profile.person_text:
-        people = resolve_people(ledger, user_id, profile.person_text, profile.tokens)
-        # All of them count; only the names shown are capped.
-        shown = people.orderBy("id").limit(PEOPLE_SHOWN + 1).collect()
-        out.people = [f"{p.canonical_name} ({p.code})" for p in shown]
-        name = F.coalesce(F.nullif("normalized_name", F.lit("")), "canonical_name", F.lit(""))
-        names = people.agg(F.countDistinct(F.lower(F.regexp_replace(name, r"^\s+|\s+$", "")))).first()[0] if len(shown) > 1 else len(shown)
-        if names > 1:
-            if shared_handle(ledger, people, profile.person_text).isEmpty():
-                out.notes.append("MULTIPLE_PERSON_MATCHES")
-                out.resolution, out.text = "ambiguous", f"{AMBIGUOUS} Candidates: {', '.join(out.people)}."
-                return out
-            out.notes.append("SAME_UPI_RECORDS_MERGED")
-        elif len(shown) > 1:
-            out.notes.append("SAME_NAME_RECORDS_MERGED")
-        if shown:
-            out.resolution, label = "resolved", out.people[0]
-            meant = owned.join(people.select(F.col("id").alias("counterparty_id")), "counterparty_id", "left_semi").select(owned.columns)
-        else:
-            parts = [F.col(c).contains(t) for t in profile.tokens if len(t) >= 3 for c in ("normalized_counterparty_name", "normalized_upi_id")]
-            extra = reduce(lambda a, b: a | b, parts, F.lit(False))
-    rows, wanted = _widened(meant, wanted, out.notes, extra)
-    if extra is not None and not rows.isEmpty():
-        kinds = rows.agg(F.count("counterparty_id").alias("matched"), F.countDistinct("normalized_counterparty_name").alias("names")).first()
-        if not kinds.matched and kinds.names > 1:
-            out.notes.append("MULTIPLE_POSSIBLE_MATCHES")
-            out.resolution, out.text = "ambiguous", f"{AMBIGUOUS} Candidates: {label}."
-            return out
-        out.notes.append("MATCHED_BY_DESCRIPTION_TEXT")
-    if rows.isEmpty():
-        rows = _related(owned, wanted, question, 5 if profile.person_text else 8, SEMANTIC_FLOOR if profile.person_text else 0.0)
-        if not rows.isEmpty():
-            out.notes.append("SEMANTIC_RETRIEVAL")
-        out.rows = rows
+    """The answer to one question, with the rows it rests on (lazily) and the notes that say how they were found: a table of one question."""
+    from ledgerline.plans import question_table  # stands on the profiles of this module
+
+    asked = ledger.transactions.sparkSession.createDataFrame([(0, user_id, question, statement_ids)], "question_id long, user_id long, question string, statement_ids array<long>")
+    found = question_table.answer(ledger, asked, as_of)
+    got = found.answers.first()
+    out = Answer(got.answer, got.intent, got.notes, got.resolution, got.people)
+    if got.resolution == "ambiguous" or "SCOPE_EMPTY" in got.notes:
+        return out
+    if got.n:
+        out.rows = filters.latest_first(found.rows.drop("question_id"))
+        out.totals = {c: got[c] for c in ("n", "total_debit", "total_credit", "first_date", "last_date", "largest_debit")}
         return out
-    out.rows = filters.latest_first(rows)
-    out.totals = aggregates.totals(rows).first().asDict()
-    out.text = _composed(ledger, rows, profile, out.totals, label)
+    out.rows = found.related().drop("question_id")
+    if not out.rows.isEmpty():
+        out.notes.append("SEMANTIC_RETRIEVAL")
     return out
-
-
-def _related(owned: DataFrame, wanted: TransactionFilter, question: str, k: int, floor: float) -> DataFrame:
-    """Rows in the filter whose search documents are nearest to the question."""
-    rows = filters.apply(owned, wanted)
-    documents = vectors.sparse_embedding(vectors.document_content(rows), "id", "content")
-    asked = vectors.sparse_embedding(owned.sparkSession.createDataFrame([(0, question)], "id long, content string"), "id", "content")
-    return rows.join(vectors.sparse_search(documents, asked, k, floor).select("id"), "id", "left_semi")
-
-
-def _composed(ledger: Ledger, rows: DataFrame, profile, totals: dict, label: str | None) -> str:
-    n = totals["n"]
-    plural = "" if n == 1 else "s"
-    when = ""
-    if profile.month:
-        when = f" in {MONTHS[profile.month - 1].title()}" + (f" {profile.year}" if profile.year else "")
-    elif profile.year:
-        when = f" in {profile.year}"
-    rupees = lambda x: f"Rs {x or 0:,.2f}"
-    who = lambda p: f"{p.name} ({p.code})" if p.code else p.name
-    if profile.intent in ("total_sent", "total_received"):
-        word, key = ("sent", "total_debit") if profile.intent == "total_sent" else ("received", "total_credit")
-        return f"{label or 'counterparties'} — Total {word}: {rupees(totals[key])}. (Verified from {n} transaction{plural}.)"
-    if profile.intent == "count":
-        method = f" {profile.payment_method.replace('_', ' ').title()}" if profile.payment_method else ""
-        return f"{n}{method} transaction{plural}" + (f" with {label}" if profile.person_text else "") + "."
-    if profile.intent == "largest":
-        if totals["largest_debit"] is None:
-            return INSUFFICIENT
-        day = rows.filter(F.col("debit_amount") == F.lit(totals["largest_debit"])).agg(F.max("transaction_date")).first()[0]
-        return f"Largest debit{f' on {day}' if day else ''}: {rupees(totals['largest_debit'])}."
-    if profile.intent == "overall_totals":
-        return f"Total debits: {rupees(totals['total_debit'])} · Total credits: {rupees(totals['total_credit'])} (verified from {n} transaction{plural}{when})."
-    if profile.intent in ("top_counterparty", "counterparties"):
-        incoming = profile.direction == "CREDIT"
-        rank_by = "count" if profile.intent == "counterparties" else "credit" if incoming else "debit"
-        tops = aggregates.counterparties(ledger, rows, 5, rank_by).collect()
-        if not tops:
-            return INSUFFICIENT
-        if profile.intent == "top_counterparty":
-            lead = tops[0]
-            return f"Most money {'received' if incoming else 'sent'} to {who(lead)}: {rupees(lead.total_credit if incoming else lead.total_debit)} across {lead.n} transaction{'' if lead.n == 1 else 's'}."
-        distinct = rows.select("counterparty_id", F.when(F.col("counterparty_id").isNull(), F.col("normalized_counterparty_name")).alias("name")).distinct().count()
-        listed = "; ".join(f"{who(p)} — {p.n} transaction{'' if p.n == 1 else 's'}" for p in tops)
-        return f"You transacted with {distinct} counterpart{'y' if distinct == 1 else 'ies'}{when}. Top: {listed}."
-    if profile.intent == "balance":
-        last = aggregates.closing_balance(rows).first()
-        return INSUFFICIENT if last.closing_balance is None else f"Closing balance on {last.balance_date}: {rupees(last.closing_balance)}."
-    return f"Found {n} transaction{plural}" + (f" with {label}" if profile.person_text else "") + f"{when}."
