@@ -275,29 +275,6 @@ def match_rounds(spark, sf_dir):
 
 # --- questions ----------------------------------------------------------------------------------------------------
 
-#: Questions with intent, direction, method, month, year and person.
-ASKED = [
-    ("How much did I send Kalyan Kumar?", "total_sent", "DEBIT", None, None, None, "kalyan kumar"),
-    ("Show all UPI transactions with Kalyan Kumar.", "list", None, "UPI", None, None, "kalyan kumar"),
-    ("Show all transactions in September 2025", "list", None, None, 9, 2025, None),
-    ("How many transactions in 2024?", "count", None, None, None, 2024, None),
-    ("Who did I transfer the most money to?", "top_counterparty", "DEBIT", None, None, None, None),
-    ("What is my total credit and debit?", "overall_totals", None, None, None, None, None),
-    ("What is my balance?", "balance", None, None, None, None, None),
-    ("Show my biggest transactions", "largest", "DEBIT", None, None, None, None),
-    ("How much did I receive in total last month?", "total_received", "CREDIT", None, 7, 2001, None),
-    ("Who did I meet via google pay?", "counterparties", None, "GOOGLE_PAY", None, None, "meet"),
-    ('What did I give "Asha Rao" this year', "list", None, None, None, 2001, "asha rao"),
-    (None, "list", None, None, None, None, None),
-]
-
-
-@query("question_profiles", "SELECT q AS question, i AS intent, d AS direction, m AS payment_method, CAST(mo AS INTEGER) AS month, CAST(y AS INTEGER) AS year, p AS person_text FROM " + _values(ASKED, "q, i, d, m, mo, y, p"), views=False)
-def question_profiles(spark, sf_dir):
-    asked = spark.createDataFrame([(a[0],) for a in ASKED], "question string")
-    return questions.profiles(asked, AS_OF).select("question", "intent", "direction", "payment_method", "month", "year", "person_text")
-
-
 @query("answer_total_sent", f"SELECT 'Supplier#000000042 (P000042) — Total sent: Rs ' || format('{{:,.2f}}', CAST(sum(debit_amount) AS DOUBLE)) || '. (Verified from ' || count(*) || ' transaction' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || '.)' AS answer, 'resolved' AS resolution FROM owned WHERE user_id = {USER} AND counterparty_id = 42 AND transaction_type = 'DEBIT'")
 def answer_total_sent(spark, sf_dir):
     found = questions.ask(from_tables(spark, sf_dir), USER, 'How much did I send "supplier#000000042"?', AS_OF)

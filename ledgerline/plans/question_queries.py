@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.plans import question_table
+from ledgerline.plans import question_table, questions
 from ledgerline.plans.ledger import from_tables
 from ledgerline.plans.queries import AS_OF, query
 from ledgerline.plans.questions import AMBIGUOUS, INSUFFICIENT, MONTHS
@@ -80,3 +80,14 @@ def question_table_answers(spark, sf_dir):
     """A question of each customer, of sixteen kinds, answered together."""
     found = question_table.answer(from_tables(spark, sf_dir), asked(spark, sf_dir), AS_OF).answers
     return found.select("question_id", "user_id", "n", "resolution", F.array_join("notes", ",").alias("notes"), "answer")
+
+
+@query("question_profiles", f"""WITH q AS (SELECT c_custkey AS k, c_custkey % {len(WAYS)} AS w FROM customer)
+SELECT k AS question_id, ['count', 'total_sent', 'total_received', 'largest', 'total_sent', 'overall_totals', 'balance', 'top_counterparty', 'counterparties', 'list', 'count', 'count', 'total_sent', 'count', 'count', 'list'][w + 1] AS intent,
+  CASE WHEN w IN (1, 3, 4, 7, 12) THEN 'DEBIT' WHEN w = 2 THEN 'CREDIT' END AS direction, CASE w WHEN 1 THEN 'NEFT' WHEN 10 THEN 'IMPS' WHEN 14 THEN 'PAYTM' WHEN 15 THEN 'UPI' END AS payment_method,
+  CAST(CASE WHEN w IN (0, 2, 6, 8, 10) THEN k % 12 + 1 WHEN w = 9 THEN 7 END AS INTEGER) AS month, CAST(CASE WHEN w IN (0, 1, 3, 5, 6, 7, 8, 10, 13) THEN k % 7 + 1995 WHEN w = 9 THEN 2001 END AS INTEGER) AS year,
+  CASE WHEN w = 11 THEN DATE '2001-07-26' END AS date_from, CASE WHEN w = 11 THEN DATE '2001-08-01' END AS date_to,
+  CASE w WHEN 4 THEN 'supplier#' || lpad(CAST(k % 100 + 1 AS VARCHAR), 9, '0') WHEN 12 THEN 'supplier' WHEN 13 THEN 'ok1' || k % 10 WHEN 14 THEN 'payee' END AS person_text FROM q""", views=False)
+def question_profiles(spark, sf_dir):
+    """What each of these questions asks for."""
+    return questions.profiles(asked(spark, sf_dir), AS_OF).select("question_id", "intent", "direction", "payment_method", "month", "year", "date_from", "date_to", "person_text")

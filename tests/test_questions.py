@@ -51,3 +51,25 @@ def test_questions_together(spark):
 def test_no_questions(spark):
     found = question_table.answer(small_ledger(spark), table(spark, []), AS_OF)
     assert found.answers.count() == 0 and found.rows.count() == 0 and found.related().count() == 0
+
+
+#: Questions with intent, direction, method, month, year and person.
+PROFILED = [
+    ("How much did I send Kalyan Kumar?", "total_sent", "DEBIT", None, None, None, "kalyan kumar"),
+    ("Show all UPI transactions with Kalyan Kumar.", "list", None, "UPI", None, None, "kalyan kumar"),
+    ("Show all transactions in September 2025", "list", None, None, 9, 2025, None),
+    ("How many transactions in 2024?", "count", None, None, None, 2024, None),
+    ("Who did I transfer the most money to?", "top_counterparty", "DEBIT", None, None, None, None),
+    ("What is my total credit and debit?", "overall_totals", None, None, None, None, None),
+    ("What is my balance?", "balance", None, None, None, None, None),
+    ("Show my biggest transactions", "largest", "DEBIT", None, None, None, None),
+    ("How much did I receive in total last month?", "total_received", "CREDIT", None, 7, 2001, None),
+    ("Who did I meet via google pay?", "counterparties", None, "GOOGLE_PAY", None, None, "meet"),
+    ('What did I give "Asha Rao" this year', "list", None, None, None, 2001, "asha rao"),
+    (None, "list", None, None, None, None, None),
+]
+
+
+def test_profiles(spark):
+    found = questions.profiles(spark.createDataFrame([(p[0],) for p in PROFILED], "question string"), datetime.date(2001, 8, 1))
+    assert {tuple(r) for r in found.select("question", "intent", "direction", "payment_method", "month", "year", "person_text").collect()} == set(PROFILED)
