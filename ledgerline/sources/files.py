@@ -1,4 +1,4 @@
-"""Statement files as cells: CSV, HTML tables saved as spreadsheets, and text lines; validation, hashing and duplicates of uploads."""
+"""Statement files as cells: CSV, HTML tables saved as spreadsheets, workbooks, and text lines; validation, hashing and duplicates of uploads."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from ledgerline.functions.money import amount_side, parse_amount
 from ledgerline.functions.steps import computed
 from ledgerline.operators import layout, reconcile
 from ledgerline.plans.session import checkpointed
+from ledgerline.sources import workbooks
 
 MAX_BYTES = 20 << 20
 #: The extensions that uploads may have.
@@ -194,13 +195,26 @@ def account_details(text: Column) -> tuple[Column, Column]:
     return holder, F.when(F.length(digits) >= 5, F.concat(F.lit("XXXX"), F.right(digits, F.lit(4))))
 
 
+def _details(text: DataFrame, before: Column) -> DataFrame:
+    """What a head (``file_id, _head``) names, and the opening balance in the column ``before``."""
+    text = computed(text.select("file_id", "_head", before.alias("_before")), {"bank_name": bank_name(F.col("_head")), "opening_balance": opening_balance(F.col("_before"))})
+    holder, account = account_details(F.col("_head"))
+    return text.select("file_id", "bank_name", holder.alias("account_holder"), account.alias("account"), "opening_balance")
+
+
 def heads(files: DataFrame) -> DataFrame:
     """``file_id, bank_name, account_holder, account, opening_balance`` from what stands before a text file's first dated line."""
     text = files.select("file_id", decode(F.col("content")).alias("text"))
-    before = F.regexp_extract("text", rf"(?ms)\A(.*?)^[ \t]*{DATE}\b", 1)
-    text = computed(text.select("file_id", F.left("text", F.lit(4000)).alias("_head"), before.alias("_before")), {"bank_name": bank_name(F.col("_head")), "opening_balance": opening_balance(F.col("_before"))})
-    holder, account = account_details(F.col("_head"))
-    return text.select("file_id", "bank_name", holder.alias("account_holder"), account.alias("account"), "opening_balance")
+    return _details(text.withColumn("_head", F.left("text", F.lit(4000))), F.regexp_extract("text", rf"(?ms)\A(.*?)^[ \t]*{DATE}\b", 1))
+
+
+def table_heads(cells: DataFrame) -> DataFrame:
+    """The same from the first 20 rows of a file's first table (``file_id, part, row_no, cells``)."""
+    order = Window.partitionBy("file_id").orderBy("part", "row_no")
+    top = cells.withColumn("_n", F.row_number().over(order)).filter("_n <= 20")
+    held = top.groupBy("file_id").agg(F.min("part").alias("part"), F.sort_array(F.collect_list(F.struct("part", "row_no", F.array_join("cells", " ").alias("line")))).alias("_l"))
+    lines = F.transform(F.filter("_l", lambda x: x["part"] == F.col("part")), lambda x: x["line"])
+    return _details(held.select("file_id", F.array_join(lines, "\n").alias("_head")), F.col("_head"))
 
 
 def ledger_rows(cells: DataFrame, openings: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
@@ -221,16 +235,31 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ledger rows of all files that can be read, and a report on every file.
 
     ``files``: ``file_id, name, content, size``. Report: ``file_id, name, kind, bank_name, account_holder, account, opening_balance,
-    n_rows, warnings, error`` (null: read). One bad file leaves the others as they are.
+    n_rows, warnings, error`` (null: read). One bad file leaves the others as they are. Of a workbook, the first sheet with ledger rows counts.
     """
     checked = validated(files)
     good = checked.filter("error is null")
     texts, tables = good.filter("kind = 'csv'"), good.filter("kind = 'html'")
-    cells = checkpointed(csv_cells(texts).unionByName(html_cells(tables)))
-    found, details = checkpointed(layout.layouts(cells)), checkpointed(heads(texts))
-    rows = checkpointed(ledger_rows(cells, details, found))
+    sheets = checkpointed(workbooks.sheet_cells(good.filter("kind = 'xlsx'")))
+    broken = sheets.filter("error is not null").select("file_id", F.col("error").alias("_broken"))
+    whole = lambda df: df.select("file_id", F.lit(0).alias("part"), "row_no", "cells")  # noqa: E731  a file of one table
+    shown = whole(html_cells(tables)).unionByName(workbooks.readable(sheets))
+    cells = checkpointed(whole(csv_cells(texts)).unionByName(shown))
+    details = checkpointed(heads(texts).unionByName(table_heads(cells.join(texts.select("file_id"), "file_id", "left_anti"))))
+    # Layouts and running balances are those of a table: its key stands for the file's until its rows are known.
+    keyed = cells.select(F.struct("file_id", "part").alias("file_id"), "row_no", "cells")
+    found = checkpointed(layout.layouts(keyed))
+    openings = found.select("file_id", F.col("file_id.file_id").alias("_file")).join(details.select(F.col("file_id").alias("_file"), "opening_balance"), "_file", "left")
+    rows = checkpointed(ledger_rows(keyed, openings, found))
+    part = F.col("file_id.part")
+    first = rows.filter(part > 0).groupBy(F.col("file_id.file_id").alias("f")).agg(F.min(part).alias("part")).select(F.struct(F.col("f").alias("file_id"), "part").alias("file_id"))
+    rows = rows.filter(part == 0).unionByName(rows.filter(part > 0).join(first, "file_id", "left_semi"))
     said = rows.groupBy("file_id").agg(F.count("*").alias("n_rows")).join(reconcile.warnings(rows).withColumnRenamed("warnings", "_balance"), "file_id", "left")
-    report = checked.drop("content", "size").join(details, "file_id", "left").join(found.select("file_id", "source"), "file_id", "left").join(said, "file_id", "left")
+    plain = lambda df: df.withColumn("file_id", F.col("file_id.file_id"))
+    # The layout of the table that counts, else that of the first table that has one.
+    named = found.join(said.select("file_id", "n_rows"), "file_id", "left").groupBy(F.col("file_id.file_id").alias("file_id")).agg(F.min_by("source", F.struct(F.col("n_rows").isNull(), part)).alias("source"))
+    report = checked.drop("content", "size").join(details, "file_id", "left").join(named, "file_id", "left").join(plain(said), "file_id", "left").join(broken, "file_id", "left")
     notes = F.concat(F.array_compact(F.array(F.when(F.col("source") == "positional", POSITIONAL))), F.coalesce("_balance", F.array().cast("array<string>")))
-    error = F.coalesce("error", F.when(~F.col("kind").isin("csv", "html"), NO_READER).when(F.col("source").isNull(), NO_COLUMNS).when(F.col("n_rows").isNull(), NO_ROWS))
-    return rows, report.select("file_id", "name", "kind", "bank_name", "account_holder", "account", "opening_balance", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), notes.alias("warnings"), error.alias("error"))
+    read = F.col("kind").isin("csv", "html", "xlsx")
+    error = F.coalesce("error", "_broken", F.when(~read, NO_READER).when(F.col("source").isNull(), NO_COLUMNS).when(F.col("n_rows").isNull(), NO_ROWS))
+    return plain(rows), report.select("file_id", "name", "kind", "bank_name", "account_holder", "account", "opening_balance", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), notes.alias("warnings"), error.alias("error"))
