@@ -9,6 +9,7 @@ texts, and then notices, with one of the other words (however common it is) go o
 the join of their words with these lists, whose grouped sums are the dot products. Notices that would reach the threshold if they had no
 further words then get the weights of these: those of common words by broadcast (at most ``COMMON`` times the mean number of distinct
 words of a text), those of the others by shuffle.
+Header tags (``SPDX-License-Identifier``) are templates as well, of which a notice must hold every word: tags of different licenses are near to each other.
 A text's own license is that of the best template with a cosine of at least ``THRESHOLD`` over its notices.
 
 A licence file (given by a condition) lends its license to its directory. Directories, not files, look for the nearest
@@ -31,6 +32,8 @@ from ledgerline.llm.common import cut, tidy_shuffles
 THRESHOLD = 0.6
 #: A word that more than one text in so many has is common.
 COMMON = 1000
+#: Common words are broadcast up to this number; beyond it all words' weights come by shuffle.
+BROADCAST_WORDS = 1 << 20
 BROADCAST_DIRECTORIES, SALTS = 100_000, 16
 #: Common licence notices and the opening parts of licence texts, by their customary names.
 TEMPLATES = [
@@ -82,7 +85,46 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("Artistic-2.0", "This program is free software; you may redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+        "License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to "
+        "anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not "
+        "be misrepresented; you must not claim that you wrote the original software.",
+    ),
 ]
+#: Identifiers that a header tag may name.
+TAGGED = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 "
+    "CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CECILL-2.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only "
+    "LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 WTFPL Zlib"
+).split()
+TAG = "SPDX-License-Identifier: "
+#: The templates with whether a notice must hold all of a template's words: a tag that names another license is near to each of these.
+ALL_TEMPLATES = [(name, text, False) for name, text in TEMPLATES] + [(name, TAG + name, True) for name in TAGGED]
 
 
 def _split(text: Column) -> Column:
@@ -99,10 +141,13 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.array_distinct(_split(text)), "")
 
 
-def _bearing(weights: dict[str, float], templates: list[list[str]]) -> list[str]:
-    """Words of which any line within ``THRESHOLD`` of a template has at least one, whatever else it holds."""
+def _bearing(weights: dict[str, float], templates: list[tuple[list[str], bool]]) -> list[str]:
+    """Words of which any line within ``THRESHOLD`` of a template has at least one, whatever else it holds. Of a template that is needed whole, one is enough."""
     found = set()
-    for words in templates:
+    for words, whole in templates:
+        if whole:
+            found.add(max(words, key=lambda w: (weights[w], w)))
+            continue
         rest = (THRESHOLD**2 - 1e-9) * sum(weights[w] ** 2 for w in words)
         for w in sorted(words, key=lambda w: (weights[w], w)):
             rest -= weights[w] ** 2
@@ -114,16 +159,17 @@ def _bearing(weights: dict[str, float], templates: list[list[str]]) -> list[str]
 def _lists(counts: DataFrame, total: int) -> tuple[DataFrame, dict[str, float], list[str]]:
     """The inverted lists, the vocabulary's weights and its bearing words."""
     spark = counts.sparkSession
-    templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, body string")
-    listed = templates.select("template", "license", F.explode(_words(F.col("body"))).alias("word"))
-    rows = listed.groupBy("template").agg(F.collect_list("word").alias("words")).collect()  # the templates' words only
+    templates = spark.createDataFrame([(i, *t) for i, t in enumerate(ALL_TEMPLATES)], "template int, license string, body string, whole boolean")
+    needed = F.when(F.col("whole"), F.size(_words(F.col("body")))).otherwise(0).alias("needed")
+    listed = templates.select("template", "license", needed, F.explode(_words(F.col("body"))).alias("word"))
+    rows = listed.groupBy("template", "needed").agg(F.collect_list("word").alias("words")).collect()  # the templates' words only
     vocabulary = sorted({w for r in rows for w in r.words})
     weights = dict.fromkeys(vocabulary, math.log(1.0 + total))
     weights |= {r.word: math.log((1.0 + total) / r.n) for r in counts.filter(F.col("word").isin(vocabulary)).collect()}  # a row per vocabulary word
     weighed = spark.createDataFrame(list(weights.items()), "word string, weight double")
     lists = listed.join(F.broadcast(weighed), "word")
     norms = lists.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    return cut(lists.join(norms, "template")), weights, _bearing(weights, [r.words for r in rows])
+    return cut(lists.join(norms, "template")), weights, _bearing(weights, [(r.words, r.needed > 0) for r in rows])
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
@@ -143,13 +189,15 @@ def own_licenses(files: DataFrame) -> DataFrame:
     distinct = held.groupBy("line").agg(F.first("words").alias("words"), F.first("held").alias("held"))
     distinct = distinct.withColumn("own", F.aggregate("held", F.lit(0.0), lambda x, w: x + F.try_element_at(squares, w)))
     spread = distinct.select("line", "own", F.explode("held").alias("word"))
-    dots = spread.join(F.broadcast(lists), "word").groupBy("line", "own", "template", "license", "norm").agg(F.sum(F.col("weight") ** 2).alias("dot"))
+    dots = spread.join(F.broadcast(lists), "word").groupBy("line", "own", "template", "license", "norm", "needed").agg(F.sum(F.col("weight") ** 2).alias("dot"), F.count("*").alias("shared"))
     cosine = lambda other: F.col("dot") / (F.col("norm") * F.sqrt(F.col("own") + other))
-    dots = cut(dots.filter(cosine(F.lit(0.0)) >= THRESHOLD - 1e-9))
+    dots = cut(dots.filter((F.col("shared") >= F.col("needed")) & (cosine(F.lit(0.0)) >= THRESHOLD - 1e-9)))
     rest = distinct.join(dots.select("line").distinct(), "line", "left_semi").select("line", F.explode(F.array_except("words", vocabulary)).alias("word"))
     rest = cut(rest)
     square = F.log((1.0 + total) / F.col("n")) ** 2
     often = F.col("n") > total / COMMON
+    if counts.filter(often).count() > BROADCAST_WORDS:
+        often = F.lit(False)
     marked = rest.join(F.broadcast(counts.filter(often).select("word", square.alias("square"))), "word", "left")
     seldom = marked.filter("square is null").select("line", "word").join(counts.filter(~often).select("word", square.alias("square")), "word")
     others = marked.filter("square is not null").select("line", "square").union(seldom.select("line", "square")).groupBy("line").agg(F.sum("square").alias("others"))

@@ -300,3 +300,18 @@ def test_license_scores_match_brute_force(spark):
     assert len(got) == 1 + sum(w is not None for w in want.values())
     for r in got:
         assert r.license == want[r.doc_id][1] and math.isclose(r.score, -want[r.doc_id][0], abs_tol=1e-8)
+
+
+def test_header_tags_and_notices(spark, monkeypatch):
+    """Tags name their own license only; notices of one family are told apart; common words beyond the broadcast bound come by shuffle."""
+    tagged = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0-or-later", "GPL-2.0+": "GPL-2.0", "EPL-2.0": "EPL-2.0", "Unlicense": "Unlicense", "Private-7.5": None}
+    long = {name: text for name, text in licenses.TEMPLATES if len(text) > 250}
+    said = [(f"// SPDX-License-Identifier: {tag}\nint main();", name) for tag, name in tagged.items()]
+    said += [(f"Copyright 2024 Somebody\n\n{long[name]}\n\nand the rest of a file", name) for name in ("AGPL-3.0", "GPL-3.0", "LGPL-2.1", "Unlicense", "Zlib")]
+    said += [(next(t for n, t in licenses.TEMPLATES if n == name), name) for name in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Artistic-2.0", "BSL-1.0", "EPL-2.0")]
+    rows = [(i, "x", text) for i, (text, _) in enumerate(said)] + [(i, "x", f"the words of this file are for you {i}") for i in range(100, 160)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    for bound in (licenses.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(licenses, "BROADCAST_WORDS", bound)
+        got = {r.doc_id: r.license for r in licenses.scan(files, F.lit(False)).collect()}
+        assert got == {i: name for i, (_, name) in enumerate(said)} | dict.fromkeys(range(100, 160))
