@@ -107,3 +107,33 @@ def workbook_cells(spark, sf_dir):
     days = cells.filter((F.get("cells", F.lit(0)).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & ((F.col("file_id") % 3 != 1) | (F.col("part") == 1)))
     day = F.get("cells", F.lit(0))
     return days.groupBy("file_id", "part").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n"))
+
+
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_id, name, content, size``: a page of each customer's orders under a spreadsheet's name. The rows are dealt to a table with a header, one without,
+    and one whose header names other columns; every description holds a table of its own, and some cells are never closed."""
+    order = Window.partitionBy("statement_id").orderBy("transaction_date", "id")
+    zero = F.lit(0).cast("decimal(14,2)")
+    moved = F.coalesce("credit_amount", zero) - F.coalesce("debit_amount", zero)
+    rows = from_tables(spark, sf_dir).transactions.withColumns({"n": F.row_number().over(order), "balance": (F.lit(5_000_000).cast("decimal(14,2)") + F.sum(moved).over(order)).cast("decimal(14,2)")})
+    day, left = F.date_format("transaction_date", "dd-MM-yyyy"), F.col("balance").cast("string")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    said = F.concat(F.lit("payee <table><tr><td>inner</td><td>5.00</td></tr></table>&lt;"), F.col("id").cast("string"), F.lit("&gt;"))
+    cells = lambda *columns: F.concat(F.lit("<TR class=r>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in columns[:-1]], F.lit("<td><b>"), columns[-1], F.lit("</b></tr>"))
+    # Tables by the thirds of the rows, in their order.
+    rows = rows.withColumn("third", F.ntile(3).over(order))
+    line = F.when(F.col("third") == 3, cells(day, left, shown("credit_amount"), shown("debit_amount"), said)).otherwise(cells(day, said, shown("debit_amount"), shown("credit_amount"), left))
+    held = rows.groupBy("statement_id").agg(F.sort_array(F.collect_list(F.struct("n", "third", line.alias("line")))).alias("l"))
+    body = lambda k: F.array_join(F.transform(F.filter("l", lambda x: x["third"] == k), lambda x: x["line"]), "\n")
+    titles = lambda *names: F.lit("<tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>")
+    text = F.concat(
+        F.lit("<html><body><p>HDFC BANK</p><table border=1>"), titles("Date", "Narration", "Withdrawal (INR)", "Deposit (INR)", "Closing Balance"), body(1), F.lit("</table><p>next page</p><table>"), body(2),
+        F.lit("</table><table>"), titles("Txn Date", "Balance", "Deposit Amt", "Withdrawal Amt", "Particulars"), body(3), F.lit("</table></body></html>"),
+    )
+    return held.select(F.col("statement_id").alias("file_id"), F.concat(F.lit("page-"), "statement_id", F.lit(".xls")).alias("name"), text.cast("binary").alias("content")).withColumn("size", F.length("content").cast("long"))
+
+
+@query("statement_pages_rows", _STATED.replace(" WHERE statement_id % 17 <> 0", "") + " SELECT statement_id AS file_id, transaction_date, debit_amount AS debit, credit_amount AS credit, left_over AS balance, 'payee <' || id || '>' AS description FROM stated")
+def statement_pages_rows(spark, sf_dir):
+    rows, _ = files.parsed(statement_pages(spark, sf_dir))
+    return rows.select("file_id", "transaction_date", "debit", "credit", "balance", "description")

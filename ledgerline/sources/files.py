@@ -117,12 +117,30 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.aggregate(numbers, text, resolved), F.lit("&amp;"), F.lit("&"))
 
 
+#: The tags that make up tables, with what tells an opening from a closing one.
+TABLE_TAG = r"(?i)<(/?(?:table|tr|t[dh]))(?=[\s/>])[^>]*>"
+
+
 def html_cells(files: DataFrame) -> DataFrame:
-    """``file_id, row_no, cells`` of table rows, tags and entities resolved."""
-    text = files.select("file_id", decode(F.col("content")).alias("text"))
-    rows = text.select("file_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "row"))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(unescaped(F.regexp_replace(c, r"(?s)<[^>]+>", ""))))
-    return rows.select("file_id", "row_no", cells.alias("cells"))
+    """``file_id, table_no, row_no, cells`` of table rows, tags and entities resolved; rows are numbered over the whole file.
+
+    Tags are events in their order: a running sum gives the depth, and a cell belongs to the innermost table that is open there. A table inside a
+    cell is a table of its own, and the cell goes on after it. Cells and rows that are never closed end where the next one begins.
+    """
+    text = files.select("file_id", F.translate(decode(F.col("content")), "\x01\x02", "").alias("text"))
+    events = text.select("file_id", F.posexplode(F.split(F.regexp_replace("text", TABLE_TAG, "\x01$1\x02"), "\x01")).alias("pos", "event"))
+    events = events.filter("pos > 0").select("file_id", "pos", F.lower(F.substring_index("event", "\x02", 1)).alias("tag"), F.substring_index("event", "\x02", -1).alias("said"))
+    tag, file = F.col("tag"), Window.partitionBy("file_id").orderBy("pos")
+    events = events.withColumn("depth", F.sum(F.when(tag == "table", 1).when(tag == "/table", -1).otherwise(0)).over(file))
+    events = events.withColumn("table", F.coalesce(F.last(F.when(tag == "table", F.col("pos")), ignorenulls=True).over(Window.partitionBy("file_id", "depth").orderBy("pos")), F.lit(-1)))
+    inside = Window.partitionBy("file_id", "table").orderBy("pos")
+    latest = lambda *tags: F.last(F.when(tag.isin(*tags), F.col("pos")), ignorenulls=True).over(inside)
+    events = events.withColumns({"row": latest("tr"), "cell": latest("td", "th"), "end": F.coalesce(latest("/td", "/th", "tr", "/tr"), F.lit(-1))})
+    held = events.filter("row is not null and cell > row and cell > end").groupBy("file_id", "table", "row", "cell").agg(F.sort_array(F.collect_list(F.struct("pos", "said"))).alias("l"))
+    plain = F.trim(unescaped(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["said"]), ""), r"(?s)<[^>]+>", "")))
+    rows = held.select("file_id", "table", "row", "cell", plain.alias("text")).groupBy("file_id", "table", "row").agg(F.sort_array(F.collect_list(F.struct("cell", "text"))).alias("l"))
+    number = lambda order, of: (of().over(Window.partitionBy("file_id").orderBy(order)) - 1).cast("int")
+    return rows.select("file_id", number("table", F.dense_rank).alias("table_no"), number("row", F.row_number).alias("row_no"), F.transform("l", lambda x: x["text"]).alias("cells"))
 
 
 #: How text lines of statements write dates and money.
@@ -210,10 +228,10 @@ def heads(files: DataFrame) -> DataFrame:
 
 def table_heads(cells: DataFrame) -> DataFrame:
     """The same from the first 20 rows of a file's first table (``file_id, part, row_no, cells``)."""
-    order = Window.partitionBy("file_id").orderBy("part", "row_no")
-    top = cells.withColumn("_n", F.row_number().over(order)).filter("_n <= 20")
-    held = top.groupBy("file_id").agg(F.min("part").alias("part"), F.sort_array(F.collect_list(F.struct("part", "row_no", F.array_join("cells", " ").alias("line")))).alias("_l"))
-    lines = F.transform(F.filter("_l", lambda x: x["part"] == F.col("part")), lambda x: x["line"])
+    order = Window.partitionBy("file_id").orderBy("_order", "row_no")
+    top = cells.withColumn("_order", F.abs("part")).withColumn("_n", F.row_number().over(order)).filter("_n <= 20")
+    held = top.groupBy("file_id").agg(F.min("_order").alias("_order"), F.sort_array(F.collect_list(F.struct("_order", "row_no", F.array_join("cells", " ").alias("line")))).alias("_l"))
+    lines = F.transform(F.filter("_l", lambda x: x["_order"] == F.col("_order")), lambda x: x["line"])
     return _details(held.select("file_id", F.array_join(lines, "\n").alias("_head")), F.col("_head"))
 
 
@@ -227,6 +245,16 @@ def ledger_rows(cells: DataFrame, openings: DataFrame | None = None, found: Data
     return reconcile.with_money(reconcile.reconcile(typed))
 
 
+def carried(found: DataFrame, tables: DataFrame) -> DataFrame:
+    """Layouts of the tables of pages (``file_id``: file and a part below 0, -1 the first table): one without a header takes that of the last table before it that has one."""
+    order = Window.partitionBy("file_id.file_id").orderBy(F.desc("file_id.part"))
+    own = tables.select("file_id").distinct().join(found, "file_id", "left")
+    columns = [c for c in found.columns if c != "file_id"]
+    named = F.last(F.when(F.col("source") == "header", F.struct(*[F.lit(0).alias(c) if c == "first_row" else F.col(c) for c in columns])), ignorenulls=True).over(order)
+    own = own.withColumn("_l", F.when(F.col("source") == "header", F.struct(*columns)).otherwise(F.coalesce(named, F.struct(*columns))))
+    return own.select("file_id", "_l.*").filter("source is not null")
+
+
 POSITIONAL = "No header row was found; columns were taken from what the cells look like."
 NO_READER, NO_COLUMNS, NO_ROWS = "no reader for this kind of file", "columns could not be found", "no transactions found"
 
@@ -235,29 +263,33 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ledger rows of all files that can be read, and a report on every file.
 
     ``files``: ``file_id, name, content, size``. Report: ``file_id, name, kind, bank_name, account_holder, account, opening_balance,
-    n_rows, warnings, error`` (null: read). One bad file leaves the others as they are. Of a workbook, the first sheet with ledger rows counts.
+    n_rows, warnings, error`` (null: read). One bad file leaves the others as they are. Of a workbook, the first sheet with ledger rows counts;
+    the tables of a page are one statement, each with its own columns or those of the last header before it.
     """
     checked = validated(files)
     good = checked.filter("error is null")
     texts, tables = good.filter("kind = 'csv'"), good.filter("kind = 'html'")
     sheets = checkpointed(workbooks.sheet_cells(good.filter("kind = 'xlsx'")))
     broken = sheets.filter("error is not null").select("file_id", F.col("error").alias("_broken"))
-    whole = lambda df: df.select("file_id", F.lit(0).alias("part"), "row_no", "cells")  # noqa: E731  a file of one table
-    shown = whole(html_cells(tables)).unionByName(workbooks.readable(sheets))
-    cells = checkpointed(whole(csv_cells(texts)).unionByName(shown))
+    # Parts: 0 for texts, from 1 on for sheets, from -1 downwards for the tables of a page.
+    shown = html_cells(tables).select("file_id", (-1 - F.col("table_no")).alias("part"), "row_no", "cells").unionByName(workbooks.readable(sheets))
+    cells = checkpointed(csv_cells(texts).select("file_id", F.lit(0).alias("part"), "row_no", "cells").unionByName(shown))
     details = checkpointed(heads(texts).unionByName(table_heads(cells.join(texts.select("file_id"), "file_id", "left_anti"))))
     # Layouts and running balances are those of a table: its key stands for the file's until its rows are known.
     keyed = cells.select(F.struct("file_id", "part").alias("file_id"), "row_no", "cells")
-    found = checkpointed(layout.layouts(keyed))
-    openings = found.select("file_id", F.col("file_id.file_id").alias("_file")).join(details.select(F.col("file_id").alias("_file"), "opening_balance"), "_file", "left")
-    rows = checkpointed(ledger_rows(keyed, openings, found))
     part = F.col("file_id.part")
+    found = checkpointed(layout.layouts(keyed))
+    found = checkpointed(found.filter(part >= 0).unionByName(carried(found.filter(part < 0), keyed.filter(part < 0))))
+    one = F.struct(F.col("file_id.file_id").alias("file_id"), F.greatest(part, F.lit(0)).alias("part"))  # the tables of a page
+    typed = layout.typed_rows(keyed, found).withColumn("_file", F.col("file_id.file_id")).withColumn("file_id", one)
+    typed = typed.join(details.select(F.col("file_id").alias("_file"), "opening_balance"), "_file", "left").drop("_file")
+    rows = checkpointed(reconcile.with_money(reconcile.reconcile(typed)))
     first = rows.filter(part > 0).groupBy(F.col("file_id.file_id").alias("f")).agg(F.min(part).alias("part")).select(F.struct(F.col("f").alias("file_id"), "part").alias("file_id"))
     rows = rows.filter(part == 0).unionByName(rows.filter(part > 0).join(first, "file_id", "left_semi"))
     said = rows.groupBy("file_id").agg(F.count("*").alias("n_rows")).join(reconcile.warnings(rows).withColumnRenamed("warnings", "_balance"), "file_id", "left")
     plain = lambda df: df.withColumn("file_id", F.col("file_id.file_id"))
     # The layout of the table that counts, else that of the first table that has one.
-    named = found.join(said.select("file_id", "n_rows"), "file_id", "left").groupBy(F.col("file_id.file_id").alias("file_id")).agg(F.min_by("source", F.struct(F.col("n_rows").isNull(), part)).alias("source"))
+    named = found.withColumn("file_id", one).join(said.select("file_id", "n_rows"), "file_id", "left").groupBy(F.col("file_id.file_id").alias("file_id")).agg(F.min_by("source", F.struct(F.col("n_rows").isNull(), part)).alias("source"))
     report = checked.drop("content", "size").join(details, "file_id", "left").join(named, "file_id", "left").join(plain(said), "file_id", "left").join(broken, "file_id", "left")
     notes = F.concat(F.array_compact(F.array(F.when(F.col("source") == "positional", POSITIONAL))), F.coalesce("_balance", F.array().cast("array<string>")))
     read = F.col("kind").isin("csv", "html", "xlsx")

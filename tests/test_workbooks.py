@@ -80,3 +80,10 @@ def test_first_sheet_with_rows(spark):
     assert sorted((r.file_id, r.debit, r.balance) for r in rows.collect()) == [(0, Decimal(10), Decimal(90)), (1, Decimal(10), Decimal(80)), (1, Decimal(10), Decimal(90)), (4, Decimal(5), Decimal(1))]
     said = {r.name: (r.bank_name, r.n_rows, r.error) for r in report.collect()}
     assert said == {"second.xlsx": ("HDFC Bank", 1, None), "headless.xlsx": (None, 2, None), "none.xlsx": ("HDFC Bank", 0, files.NO_COLUMNS), "cut.xlsx": (None, 0, workbooks.BROKEN), "plain.csv": (None, 1, None)}
+
+
+def test_tables_inside_tables(spark):
+    page = b"<table><tr><td>a<table><TR><th>in</th><td>ner</td></tr></table>b</td><td>&lt;5</td></tr><tr><td>open<td>cells<tr><td></td></table><tr><td>outside</td></tr><table><tr><tdx>no cell</tr><tr><td/>late</table>"
+    got = {(r.table_no, r.row_no): r.cells for r in files.html_cells(table(spark, {"a.xls": page, "b.xls": b"no table"})).collect()}
+    assert sorted(got.values()) == sorted([["ab", "<5"], ["in", "ner"], ["open", "cells"], [""], ["outside"], ["late"]])
+    assert len({t for t, _ in got}) == 4 and len(got) == 6
