@@ -6,7 +6,9 @@ interval join, exact at the edges), and where it means certain people, these too
 method are conditions on the meeting. A method without rows gives way to its family: both are summed side by side and the exact one wins where it has rows.
 Sums are kept by question and counterparty first, from which totals, rankings and balances follow, and answers are composed by column expressions.
 
-Three tables are written on the way (questions with their profiles, whom they mean, sums by counterparty); nothing comes to the driver.
+A question that several ask of the same rows (the same user, text and statements) is answered once, and its answer goes to each of them.
+
+Four tables are written on the way (questions and whose answer they get, profiles, whom they mean, sums by counterparty); nothing comes to the driver.
 
 Questions have ``question_id`` (each once), ``user_id``, ``question`` and, if wanted, ``statement_ids`` (null: all statements; empty: none). A null question
 asks for a list of all rows; a user without rows, or a null user, gets the refusal. Undated rows belong to questions without a period only.
@@ -67,7 +69,7 @@ def _meant(ledger: Ledger, asked: DataFrame, owned: DataFrame) -> DataFrame:
     worded = tokens.join(words, ["user_id", "word"]).filter(near)
     worded = worded.select("question_id", "person_id", no.alias("exact"), no.alias("known"), F.lit(True).alias("named"), (F.col("word") == F.col("tokens")[0]).alias("first"))
 
-    low = ledger.identifiers.filter(F.col("id_type").isin("UPI", "ACCOUNT")).select("person_id", F.lower("value").alias("value")).filter(F.length("value") >= GRAM)
+    low = ledger.identifiers.filter(F.col("id_type").isin("UPI", "ACCOUNT")).join(known.select("person_id").distinct(), "person_id", "left_semi").select("person_id", F.lower("value").alias("value")).filter(F.length("value") >= GRAM)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("value") - (GRAM - 1)), lambda i: F.substr("value", i, F.lit(GRAM))))
     shown = low.select("person_id", "value", F.explode(grams).alias("gram"))
     texts = named.filter(F.length("person_text") >= GRAM).select("question_id", "user_id", "person_text", F.left("person_text", F.lit(GRAM)).alias("gram"))
@@ -233,10 +235,21 @@ def _related(asked: DataFrame, met: DataFrame) -> DataFrame:
     return met.drop("exact").join(near, ["question_id", "id"], "left_semi")
 
 
+def _once(asked: DataFrame) -> DataFrame:
+    """``asked`` with ``first``: the smallest id of those that ask the same; nulls are the same."""
+    key = ["user_id", "question", "statement_ids"]
+    firsts = asked.groupBy(*key).agg(F.min("question_id").alias("first")).select("first", *[F.col(c).alias(f"its_{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in key]
+    return asked.join(firsts, same).select(*asked.columns, "first")
+
+
 def answer(ledger: Ledger, asked: DataFrame, as_of: datetime.date) -> Answers:
     """All questions' answers: ``question_id, intent, resolution, notes, people, n`` and the totals, and ``answer``."""
     asked = asked if "statement_ids" in asked.columns else asked.withColumn("statement_ids", F.lit(None).cast("array<long>"))
-    asked = checkpointed(Q.profiles(asked.select("question_id", "user_id", "question", "statement_ids"), as_of))
+    named = checkpointed(_once(asked.select("question_id", "user_id", "question", "statement_ids")))
+    everyone = named.select(F.col("question_id").alias("each"), F.col("first").alias("question_id"))
+    to_all = lambda df: everyone.join(df, "question_id").drop("question_id").withColumnRenamed("each", "question_id")
+    asked = checkpointed(Q.profiles(named.filter("question_id = first").drop("first"), as_of))
     users = ledger.statements.select(F.col("id").alias("statement_id"), "user_id", "bank_name", "status")
     owned = ledger.transactions.join(users, "statement_id")
     meant = checkpointed(_meant(ledger, asked, owned))
@@ -262,4 +275,4 @@ def answer(ledger: Ledger, asked: DataFrame, as_of: datetime.date) -> Answers:
     rows = met.join(totals.filter(F.col("n") > 0).select("question_id", "exact"), ["question_id", "exact"], "left_semi").drop("exact")
     without = asked.join(totals.select("question_id"), "question_id", "left_anti").filter(F.col("kind").isin("all", "people", "text"))
     without = without.withColumn("kind", F.lit("all"))
-    return Answers(found, rows, lambda: _related(without, _meeting(without, meant, owned, ("all",), by_text=False)))
+    return Answers(to_all(found), to_all(rows), lambda: to_all(_related(without, _meeting(without, meant, owned, ("all",), by_text=False))))

@@ -73,3 +73,16 @@ PROFILED = [
 def test_profiles(spark):
     found = questions.profiles(spark.createDataFrame([(p[0],) for p in PROFILED], "question string"), datetime.date(2001, 8, 1))
     assert {tuple(r) for r in found.select("question", "intent", "direction", "payment_method", "month", "year", "person_text").collect()} == set(PROFILED)
+
+
+def test_equal_questions_are_answered_once(spark):
+    again = [(i + 100 * k, *rest) for k in (1, 2) for i, *rest in ASKED]
+    asked = table(spark, ASKED + again)
+    once = {r.question_id: r.first for r in question_table._once(asked).collect()}
+    assert once == {i + 100 * k: i for i, *_ in ASKED for k in range(3)}
+    found = question_table.answer(ledger_with_undated(spark), asked, AS_OF)
+    assert {r.question_id: r.answer for r in found.answers.collect()} == {i + 100 * k: a for i, _, _, _, a, _ in ASKED for k in range(3)}
+    held = [r.question_id for r in found.rows.collect()]
+    assert held.count(8) == held.count(108) == held.count(208) == 5
+    near = [r.question_id for r in found.related().collect()]
+    assert near.count(6) == near.count(106) and sorted(near) == sorted(i % 100 + 100 * k for i in near if i < 100 for k in range(3))
