@@ -38,12 +38,18 @@ def header_key(cell: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(cell, F.lit("")))), r"\(.*?\)", ""), "[^a-z0-9]+", "")
 
 
-def header_field(key: Column) -> Column:
-    """The field that a key names, as it is or without one of the endings."""
+def _header_names() -> dict[str, str]:
+    """The field of each key: an alias, else one with an ending, of earlier endings first."""
     names = {alias: field for field, line in ALIASES.items() for alias in line.split()}
+    ended = {alias + e: field for e in reversed(ENDINGS) for alias, field in names.items()}
+    return ended | names
+
+
+def header_field(key: Column) -> Column:
+    """The field that a key names, as it is or without one of the endings. Most cells are ruled out by their letters and length."""
+    names = _header_names()
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    shorter = [F.when(key.endswith(e) & (F.length(key) > len(e)), F.try_element_at(table, F.left(key, F.length(key) - len(e)))) for e in ENDINGS]
-    return F.coalesce(F.try_element_at(table, key), *shorter)
+    return F.when(F.length(key).between(min(map(len, names)), max(map(len, names))) & key.rlike("^[a-z]+$"), F.try_element_at(table, key))
 
 
 def looks_numeric(cell: Column) -> Column:

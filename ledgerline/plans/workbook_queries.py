@@ -5,14 +5,16 @@ from __future__ import annotations
 import datetime
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.plans.ledger import from_tables
 from ledgerline.plans.queries import query
+from ledgerline.plans.session import checkpointed, spread
 from ledgerline.sources import files, workbooks
 
 _SPACE = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -56,18 +58,23 @@ def container(sheets: list[list[list]], shared: bool = True, from_1904: bool = F
     return out.getvalue()
 
 
-def _written(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _written(s: int, rows: list[dict]) -> bytes:
     """The workbook of one statement: by its number with notes before or after it, texts shared or in place, days counted from 1900 or 1904; some are cut off."""
-    s = int(key[0])
-    money = lambda v: None if pd.isna(v) else v
-    # Columns by name: the rows of a statement in their order.
-    rows = rows.sort_values("n")
-    body = [[d, f"payee <{i}> & co", f" R{i} ", money(out), money(into), left] for d, i, out, into, left in zip(rows["transaction_date"], rows["id"], rows["debit_amount"], rows["credit_amount"], rows["balance"], strict=True)]
+    body = [[r["transaction_date"], f"payee <{r['id']}> & co", f" R{r['id']} ", r["debit_amount"], r["credit_amount"], r["balance"]] for r in rows]
     statement = [["HDFC BANK statement"], ["A/C No:", f"00001234{s:06d}"], [], list(TITLES), *body]
     notes = [["HDFC BANK", "notes of the branch"], [None, None, "nothing here"]]
     sheets = [[notes, statement], [statement, [list(TITLES), *body[:1]]], [[], statement, notes]][s % 3]
     content = container(sheets, shared=s % 2 == 0, from_1904=s % 5 == 0)
-    return pd.DataFrame({"file_id": [s], "name": [f"statement-{s}.xlsx"], "content": [content[: len(content) // 2] if s % 17 == 0 else content]})
+    return content[: len(content) // 2] if s % 17 == 0 else content
+
+
+def _workbooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A workbook of each row ``file_id, rows``, some hundreds at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            content = [_written(s, rows) for s, rows in zip(part.column("file_id").to_pylist(), part.column("rows").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("file_id"), pa.array(content, pa.binary())], ["file_id", "content"])
 
 
 def statement_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +82,12 @@ def statement_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("statement_id").orderBy("transaction_date", "id")
     zero = F.lit(0).cast("decimal(14,2)")
     moved = F.coalesce("credit_amount", zero) - F.coalesce("debit_amount", zero)
-    rows = from_tables(spark, sf_dir).transactions.select(
+    rows = spread(from_tables(spark, sf_dir).transactions, "statement_id").select(
         "statement_id", "id", "transaction_date", "debit_amount", "credit_amount", F.row_number().over(order).alias("n"), (F.lit(5_000_000).cast("decimal(14,2)") + F.sum(moved).over(order)).cast("decimal(14,2)").alias("balance")
     )
-    written = rows.groupBy("statement_id").applyInPandas(_written, "file_id long, name string, content binary")
-    return written.withColumn("size", F.length("content").cast("long"))
+    ordered = F.sort_array(F.collect_list(F.struct("n", "transaction_date", "id", "debit_amount", "credit_amount", "balance")))
+    written = rows.groupBy(F.col("statement_id").alias("file_id")).agg(ordered.alias("rows")).mapInArrow(_workbooks, "file_id long, content binary")
+    return written.select("file_id", F.concat(F.lit("statement-"), "file_id", F.lit(".xlsx")).alias("name"), "content", F.length("content").cast("long").alias("size"))
 
 
 _STATED = """, stated AS (SELECT id, statement_id, transaction_date, debit_amount, credit_amount, CAST(5000000 + sum(coalesce(credit_amount, 0) - coalesce(debit_amount, 0)) OVER (PARTITION BY statement_id ORDER BY transaction_date, id) AS DECIMAL(14,2)) AS left_over FROM txn WHERE statement_id % 17 <> 0)"""
@@ -103,7 +111,7 @@ def workbook_report(spark, sf_dir):
 @query("workbook_cells", "SELECT statement_id AS file_id, CAST(CASE WHEN statement_id % 3 = 1 THEN 1 ELSE 2 END AS INTEGER) AS part, strftime(min(transaction_date), '%Y-%m-%d') AS first_day, strftime(max(transaction_date), '%Y-%m-%d') AS last_day, count(*) AS n FROM txn WHERE statement_id % 17 <> 0 GROUP BY statement_id")
 def workbook_cells(spark, sf_dir):
     """The days of each statement's sheet as its cells show them."""
-    cells = workbooks.readable(workbooks.sheet_cells(statement_workbooks(spark, sf_dir)))
+    cells = workbooks.readable(checkpointed(workbooks.sheet_cells(statement_workbooks(spark, sf_dir))))
     days = cells.filter((F.get("cells", F.lit(0)).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & ((F.col("file_id") % 3 != 1) | (F.col("part") == 1)))
     day = F.get("cells", F.lit(0))
     return days.groupBy("file_id", "part").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n"))
@@ -115,7 +123,7 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("statement_id").orderBy("transaction_date", "id")
     zero = F.lit(0).cast("decimal(14,2)")
     moved = F.coalesce("credit_amount", zero) - F.coalesce("debit_amount", zero)
-    rows = from_tables(spark, sf_dir).transactions.withColumns({"n": F.row_number().over(order), "balance": (F.lit(5_000_000).cast("decimal(14,2)") + F.sum(moved).over(order)).cast("decimal(14,2)")})
+    rows = spread(from_tables(spark, sf_dir).transactions, "statement_id").withColumns({"n": F.row_number().over(order), "balance": (F.lit(5_000_000).cast("decimal(14,2)") + F.sum(moved).over(order)).cast("decimal(14,2)")})
     day, left = F.date_format("transaction_date", "dd-MM-yyyy"), F.col("balance").cast("string")
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     said = F.concat(F.lit("payee <table><tr><td>inner</td><td>5.00</td></tr></table>&lt;"), F.col("id").cast("string"), F.lit("&gt;"))

@@ -9,7 +9,7 @@ from ledgerline.functions.dates import parse_date
 from ledgerline.functions.money import amount_side, parse_amount
 from ledgerline.functions.steps import computed
 from ledgerline.operators import layout, reconcile
-from ledgerline.plans.session import checkpointed
+from ledgerline.plans.session import checkpointed, spread
 from ledgerline.sources import workbooks
 
 MAX_BYTES = 20 << 20
@@ -266,17 +266,18 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_rows, warnings, error`` (null: read). One bad file leaves the others as they are. Of a workbook, the first sheet with ledger rows counts;
     the tables of a page are one statement, each with its own columns or those of the last header before it.
     """
-    checked = validated(files)
+    checked = checkpointed(validated(spread(files, "file_id")))  # files may be costly to make, and each step below starts from them
     good = checked.filter("error is null")
     texts, tables = good.filter("kind = 'csv'"), good.filter("kind = 'html'")
     sheets = checkpointed(workbooks.sheet_cells(good.filter("kind = 'xlsx'")))
     broken = sheets.filter("error is not null").select("file_id", F.col("error").alias("_broken"))
     # Parts: 0 for texts, from 1 on for sheets, from -1 downwards for the tables of a page.
     shown = html_cells(tables).select("file_id", (-1 - F.col("table_no")).alias("part"), "row_no", "cells").unionByName(workbooks.readable(sheets))
-    cells = checkpointed(csv_cells(texts).select("file_id", F.lit(0).alias("part"), "row_no", "cells").unionByName(shown))
-    details = checkpointed(heads(texts).unionByName(table_heads(cells.join(texts.select("file_id"), "file_id", "left_anti"))))
+    cells = csv_cells(texts).select("file_id", F.lit(0).alias("part"), "row_no", "cells").unionByName(shown)
     # Layouts and running balances are those of a table: its key stands for the file's until its rows are known.
-    keyed = cells.select(F.struct("file_id", "part").alias("file_id"), "row_no", "cells")
+    keyed = checkpointed(spread(cells.select(F.struct("file_id", "part").alias("file_id"), "row_no", "cells"), "file_id"))
+    others = keyed.filter("file_id.part <> 0").select("file_id.*", "row_no", "cells")
+    details = checkpointed(heads(texts).unionByName(table_heads(spread(others, "file_id"))))
     part = F.col("file_id.part")
     found = checkpointed(layout.layouts(keyed))
     found = checkpointed(found.filter(part >= 0).unionByName(carried(found.filter(part < 0), keyed.filter(part < 0))))

@@ -3,7 +3,10 @@ import io
 import zipfile
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
+from ledgerline.operators import layout
+from ledgerline.plans.session import spread
 from ledgerline.plans.workbook_queries import TITLES, container
 from ledgerline.sources import files, workbooks
 
@@ -87,3 +90,43 @@ def test_tables_inside_tables(spark):
     got = {(r.table_no, r.row_no): r.cells for r in files.html_cells(table(spark, {"a.xls": page, "b.xls": b"no table"})).collect()}
     assert sorted(got.values()) == sorted([["ab", "<5"], ["in", "ner"], ["open", "cells"], [""], ["outside"], ["late"]])
     assert len({t for t, _ in got}) == 4 and len(got) == 6
+
+
+def test_many_files_in_a_batch(spark):
+    """Broken files between whole ones, and cells handed on in the middle of a file, leave the others as they are."""
+    good = container([[["x"], ["y"]]])
+    wide = container([[["z"] * 9] * 3])
+    late = changed(container([[["x"]]] * 2), "xl/worksheets/sheet2.xml", "</sheetData>", "")
+    contents = [good, late, wide, b"", good, wide]
+    batch = pa.RecordBatch.from_pydict({"file_id": list(range(6)), "content": contents})
+    for held in (1, 10, workbooks.HELD_CELLS):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(workbooks, "HELD_CELLS", held)
+            handed = list(workbooks._cells(iter([batch])))
+        rows = [r for b in handed for r in b.to_pylist()]
+        bad = {r["file_id"] for r in rows if r["error"]}
+        assert bad == {1, 3}
+        assert [(r["file_id"], r["row_no"], len(r["cells"])) for r in rows if r["file_id"] not in bad] == [(0, 0, 1), (0, 1, 1), (2, 0, 9), (2, 1, 9), (2, 2, 9), (4, 0, 1), (4, 1, 1), (5, 0, 9), (5, 1, 9), (5, 2, 9)]
+    assert len(handed) == 1
+
+
+def test_large_parts_are_read_element_by_element(monkeypatch):
+    content = container([[["x", 1.5], [], [None, "y"]]])
+    whole = workbooks.Workbook(content)
+    monkeypatch.setattr(workbooks, "MAX_TREE", 0)
+    parted = workbooks.Workbook(content)
+    assert list(whole.rows(whole.sheets[0])) == list(parted.rows(parted.sheets[0])) == [(0, ["x", "1.5"]), (1, []), (2, [None, "y"])]
+
+
+def test_work_is_dealt_to_all_cores(spark):
+    """Workbooks that take little room are not read by one task."""
+    sent = table(spark, {f"{i}.xlsx": container([[[str(i)]]]) for i in range(64)})
+    assert spread(sent, "file_id").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_header_names_by_precedence():
+    """Each key against the rule spelled out: an alias, else an alias with an ending, earlier endings first."""
+    aliases = {alias: field for field, line in layout.ALIASES.items() for alias in line.split()}
+    told = lambda key: next((aliases[k] for k in [key] + [key[: -len(e)] for e in layout.ENDINGS if key.endswith(e)] if k in aliases), None)
+    names = layout._header_names()
+    assert all(told(k) == f for k, f in names.items()) and len(names) > len(aliases) * len(layout.ENDINGS) / 2
