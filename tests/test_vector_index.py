@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from ledgerline.operators import vector_index
 from ledgerline.operators.vector_index import VectorIndex
 from pyspark.sql import functions as F
 
@@ -50,3 +51,15 @@ def test_search_equals_a_scan(spark, tmp_path):
 def test_empty(spark, tmp_path):
     index = VectorIndex.build(spark.createDataFrame([], SCHEMA), str(tmp_path / "a"), id_column="id", vector_column="vector")
     assert index.search(spark.createDataFrame([(1, [1.0])], "query long, vector array<float>"), id_column="id")[0].count() == 0
+
+
+def test_large_cells_and_many_queries_meet_in_blocks(spark, tmp_path, monkeypatch):
+    """One cell, cut into blocks of rows and of queries, with more ties than wanted in every block."""
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(60)]
+    rows += [(100 + i, 0, rows[3][2]) for i in range(60)]
+    index = VectorIndex.build(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "a"), id_column="id", vector_column="vector", centres=1)
+    queries = [(i, v) for i, _, v in rows[:50]]
+    found, looked = index.search(spark.createDataFrame(queries, "query long, vector array<float>"), id_column="id", k=5)
+    assert answered(found) == brute(rows, queries, 5) and tuple(looked.first()) == (50, 50)
