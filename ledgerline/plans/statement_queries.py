@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.dates import parse_date, parse_partial_date
 from ledgerline.plans.document_queries import statement_files
 from ledgerline.plans.queries import query
-from ledgerline.plans.session import shared_path
+from ledgerline.plans.session import checkpointed, shared_path
 from ledgerline.streaming import ingest
 
 #: Ways to write a day, by the order's number.
@@ -36,7 +36,7 @@ def date_spellings(spark, sf_dir):
 
 def upload_waves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Three waves of uploads: all statements; repeats, files that failed, and new versions of some; old content once more and further versions."""
-    files = statement_files(spark, sf_dir).select((F.col("file_id") % 5).alias("user_id"), "file_id", "name", "content", "size")
+    files = checkpointed(statement_files(spark, sf_dir)).select((F.col("file_id") % 5).alias("user_id"), "file_id", "name", "content", "size")
     version = lambda k: files.withColumn("content", F.concat(F.lit(f"Version {k}\n").cast("binary"), "content")).withColumn("size", F.length("content").cast("long"))
     sent = lambda df, k: df.withColumn("file_id", F.col("file_id") * 10 + k)
     s = F.col("file_id")
@@ -49,12 +49,12 @@ def upload_waves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 SELECT statement_id % 5 AS user_id, statement_id, statement_id * 10 + CASE WHEN statement_id % 15 = 0 THEN 5 WHEN statement_id % 5 = 0 THEN 2 ELSE 0 END AS file_id, n_rows,
   CAST(debit AS DECIMAL(24,2)) AS debit, CAST(credit AS DECIMAL(24,2)) AS credit FROM latest""")
 def statement_stream(spark, sf_dir):
-    """All waves through the stateful stream, several micro-batches; each statement's rows are those of its latest new content."""
-    sent, table = shared_path(spark, "uploads"), shared_path(spark, "statements")
+    """All waves through the stateful stream, each as it arrives; each statement's rows are those of its latest new content."""
+    sent, table, state = shared_path(spark, "uploads"), shared_path(spark, "statements"), shared_path(spark, "stream-state")
     for wave in upload_waves(spark, sf_dir):
-        wave.coalesce(1).write.mode("append").parquet(sent)  # a file for each wave, and so a micro-batch
-    stream = spark.readStream.schema(ingest.UPLOADS).option("maxFilesPerTrigger", 1).parquet(sent)
-    ingest.ingest_once(stream, table, shared_path(spark, "stream-state"), F.floor(F.col("file_id") / 10)).awaitTermination()
-    rows = spark.read.parquet(table)
+        wave.write.mode("append").parquet(sent)
+        stream = spark.readStream.schema(ingest.UPLOADS).parquet(sent)
+        ingest.ingest_once(stream, table, state, F.floor(F.col("file_id") / 10)).awaitTermination()  # the wave is a micro-batch
+    rows = ingest.statement_rows(spark, table)
     sums = rows.groupBy("user_id", "statement_id", "file_id").agg(F.count("*").alias("n_rows"), F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
     return sums.select(*(F.col(c).cast("long").alias(c) for c in ("user_id", "statement_id", "file_id")), "n_rows", *(F.col(c).cast("decimal(24,2)").alias(c) for c in ("debit", "credit")))

@@ -74,8 +74,9 @@ REPORT = "user_id long, statement_id long, file_id long, sha256 string, name str
 def ingest_once(uploads: DataFrame, table_path: str, checkpoint: str, statement: Column | None = None) -> StreamingQuery:
     """Keeps each statement's latest file in a table, whatever is sent again; ``statement``: which statement a file is of (its own one, if not said).
 
-    Content that a user has sent before is not read again, unless every file that brought it could not be read. Ledger rows lie in a folder for each user and
-    statement, so a file for a known statement replaces that statement's rows and no others. ``{table_path}_files`` has a row for each upload, in a folder for each batch.
+    Content that a user has sent before is not read again, unless every file that brought it could not be read. Ledger rows are added in a folder for each
+    batch, however many statements there are; ``statement_rows`` reads those that count, the rows of each statement's latest batch. ``{table_path}_files`` has a row
+    for each upload, in a folder for each batch.
     A batch that is repeated after a failure writes the same folders again: the report of its own number is left out of what it looks up.
     """
     of = F.col("file_id") if statement is None else statement
@@ -96,14 +97,21 @@ def ingest_once(uploads: DataFrame, table_path: str, checkpoint: str, statement:
         told = told.withColumn("error", F.when(F.col("verdict") == "INVALID", "not a statement file").otherwise(F.col("error")))
         # Of several files for one statement in a batch the last one counts.
         last = told.filter("verdict in ('NEW', 'AGAIN') and error is null").groupBy("user_id", "statement_id").agg(F.max("file_id").alias("file_id"))
-        placed = rows.join(last, "file_id").repartition("user_id", "statement_id")
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id", "statement_id").parquet(table_path)
+        rows.join(last, "file_id").write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
         names = [c.split()[0] for c in REPORT.split(", ")]
         told.select(*names).write.mode("overwrite").parquet(f"{table_path}_files/batch={batch_id}")
 
     return admitted(uploads).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def statement_rows(spark: SparkSession, table_path: str) -> DataFrame:
+    """The ledger rows of each statement's latest file in a table that ``ingest_once`` keeps."""
+    rows = spark.read.parquet(table_path)
+    latest = rows.groupBy("user_id", "statement_id").agg(F.max("batch").alias("batch"))
+    of = [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ("user_id", "statement_id", "batch")]
+    return rows.alias("r").join(latest.alias("l"), of, "left_semi").drop("batch")
+
+
 def activity(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts and sums per window and kind of an event stream (``ts, event_type, value``), with late rows up to the watermark."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
