@@ -12,9 +12,8 @@ A tree of the whole corpus would grow with it, so trees travel to the tasks of t
 a driver-held broadcast.
 
 ``keep_one`` is for near copies by similarity of shingle sets, which few bits cannot tell: texts with a Jaccard similarity of 0.8 differ in some
-ten bits. There the shards are bands of minimum hashes (similar texts share one almost surely), a shard's texts are looked up, in order
-of ids, in a BK-tree of those that no earlier one is similar to, with a wide radius and a sketch that estimates the similarity, and
-each text's best link is verified on both whole shingle sets. Links are at most one a text and shard, so large groups stay linear.
+ten bits. There the links are those of the exact join of operator 11 (``set_join``), on sets of longer shingles: large lists and shards are cut into chunks of
+which every pair meets, so no link is lost.
 
 Nulls: a null text has no words (fingerprint 0, linked like any other); a null id is never the smallest. Ties and
 repeated rows share a fingerprint. An empty table gives no rows. Further columns are not looked at.
@@ -22,7 +21,6 @@ repeated rows share a fingerprint. An empty table gives no rows. Further columns
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Polynomial, cut, mix, signed, text_bytes, text_slices, tidy_shuffles, unused, word_digests, word_spans
+from ledgerline.llm.common import cut, text_slices, tidy_shuffles, unused
 from ledgerline.llm.components import connected_components
 
 TREE_SIZE = 4096
@@ -179,176 +177,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, tree_
 
 # --- near copies by similarity ------------------------------------------------------------------------------------
 
-POLY = Polynomial(0xA24BAED4963EE407)
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
-#: Minimum hashes: bands, and hashes of a band.
-BANDS, DEPTH = 16, 5
-_DRAW = np.random.default_rng(10)
-FLIPS, FACTORS = _DRAW.integers(0, 1 << 32, BANDS * DEPTH, np.uint32), _DRAW.integers(0, 1 << 31, BANDS * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1)
-#: Differing bits that texts of the wanted similarity practically never exceed.
-NEAR_RADIUS = 20
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row in ascending order, and their rows. A row of fewer words has one shingle, its words."""
-    starts, ends, rows = word_spans(data, offsets)
-    prefix = POLY.prefix(word_digests(FOLD[data], starts, ends)[:, 0])
-    counts = np.bincount(rows, minlength=len(offsets) - 1)
-    at = np.flatnonzero(rows[: max(0, len(rows) - shingle + 1)] == rows[shingle - 1 :])
-    few = np.flatnonzero((counts > 0) & (counts < shingle))
-    first = np.searchsorted(rows, few)
-    begins, lengths = np.r_[at, first], np.r_[np.full(len(at), shingle), counts[few]]
-    hashes = mix(POLY.spans(prefix, begins, begins + lengths) + lengths.astype(np.uint64))
-    row = rows[begins]
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])][: len(row)]
-    return hashes[new], row[new]
-
-
-def _bit_majorities(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Each row's SimHash as a long."""
-    sums = np.zeros((n, 64), np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        part, own = hashes[a : a + (1 << 16)].astype("<u8"), row[a : a + (1 << 16)]
-        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        sums[own[starts]] += np.add.reduceat(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int64)
-    return np.packbits(2 * sums > np.bincount(row, minlength=n)[:, None], axis=1, bitorder="little").view("<i8").ravel()
-
-
-def sketches(named: DataFrame, shingle: int) -> DataFrame:
-    """``row, set_a, set_b, fp, sketch, bands`` from ``row, text``: the BLAKE2b digest of the shingle set in two halves, SimHash, minimum hashes (a byte each), band keys."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            n = batch.num_rows
-            hashes, row = shingle_sets(*text_bytes(batch.column("text")), shingle)
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
-            some = row[starts]
-            digests = np.zeros((2, n), np.uint64)
-            least = np.zeros((n, BANDS * DEPTH), np.uint32)
-            if len(some):
-                sets = zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True)
-                digests[:, some] = np.frombuffer(b"".join([hashlib.blake2b(hashes[a:b], digest_size=16).digest() for a, b in sets]), np.uint64).reshape(-1, 2).T
-                short = (hashes >> np.uint64(32)).astype(np.uint32)
-                for i in range(BANDS * DEPTH):
-                    least[some, i] = np.minimum.reduceat((short ^ FLIPS[i]) * FACTORS[i], starts)
-            keys = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
-            for i in range(DEPTH):
-                keys = mix(keys * np.uint64(0xE7037ED1A0B428DB) + least[:, i::DEPTH])
-            held = np.zeros(n, bool)
-            held[some] = True
-            bands = pa.ListArray.from_arrays(np.r_[0, np.cumsum(held) * BANDS].astype(np.int32), pa.array(signed(np.ascontiguousarray(keys[held])).ravel()))
-            sketch = pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary())
-            columns = [pa.array(signed(d)) for d in digests] + [pa.array(_bit_majorities(hashes, row, n)), sketch, bands]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "set_a", "set_b", "fp", "sketch", "bands"])
-
-    return named.mapInArrow(work, "row long, set_a long, set_b long, fp long, sketch binary, bands array<long>")
-
-
-class Leaders:
-    """Texts of a shard that are similar to no earlier one, in a BK-tree."""
-
-    def __init__(self, similarity: float, radius: int):
-        self.tree, self.radius, self.sketches, self.of = BKTree(), radius, {}, {}
-        # The estimate's standard error is about 0.045: look down to one error below, and lead oneself up to more than one above.
-        self.look, self.lead = (similarity - 0.05) * BANDS * DEPTH, (similarity + 0.06) * BANDS * DEPTH
-
-    def place(self, row: int, fp: int, sketch: bytes) -> tuple[int | None, int, bool]:
-        """The leader that the text is linked to, the equal minimum hashes, and whether it leads from now on."""
-        own, best, most = np.frombuffer(sketch, np.uint8), None, 0
-        for i in self.tree.within(fp, self.radius):
-            for leader, theirs in self.sketches[self.tree.values[i]]:
-                if (same := int((own == theirs).sum())) > most:
-                    best, most = leader, same
-        leads = most < self.lead
-        if leads:
-            if fp not in self.sketches:
-                self.tree.add(fp)
-            self.sketches.setdefault(fp, []).append((row, own))
-        return (best if most >= self.look else None), most, leads
-
-
-def _shard_links(placed: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """``key, chunk, row, fp, sketch, leader, same, leads`` from ``key, chunk, row, fp, sketch``: what ``Leaders`` says of each."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaders = None, None
-        for batch in batches:
-            found = []
-            for key, chunk, row, fp, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "row", "fp", "sketch")), strict=True):
-                if (key, chunk) != now:
-                    now, leaders = (key, chunk), Leaders(similarity, radius)
-                found.append(leaders.place(row, fp, sketch))
-            if found:
-                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.bool_()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "leader", "same", "leads"])
-
-    dealt = placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "row")
-    return dealt.mapInArrow(work, "key long, chunk int, row long, fp long, sketch binary, leader long, same int, leads boolean")
-
 
-def near_links(texts: DataFrame, similarity: float, radius: int = NEAR_RADIUS, shard_size: int = TREE_SIZE) -> DataFrame:
-    """``row, leader``: each text's best link to an earlier one, by the sketches. ``texts``: ``row, fp, sketch, bands``.
-
-    A shard of more than ``shard_size`` texts is cut into chunks; the leaders of its chunks meet once more.
-    """
-    keyed = texts.select("row", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunk = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / shard_size)).cast("int")
-    shared = keyed.join(sizes, "key").select("key", "row", chunk.alias("chunk"), (F.col("n") > shard_size).alias("cut"))
-    placed = shared.join(texts.select("row", "fp", "sketch"), "row")
-    columns = ("key", "chunk", "row", "fp", "sketch")
-    found = cut(_shard_links(placed.select(*columns), similarity, radius))
-    large = sizes.filter(F.col("n") > shard_size).select("key")
-    again = found.filter("leads").join(large, "key", "left_semi").withColumn("chunk", F.lit(0)).select(*columns)
-    links = found.select("row", "leader", "same").union(_shard_links(again, similarity, radius).select("row", "leader", "same")).filter("leader is not null")
-    return links.groupBy("row").agg(F.max_by("leader", F.struct("same", -F.col("leader"))).alias("leader"))
-
-
-def verified(named: DataFrame, links: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The links ``row, leader`` whose texts' whole shingle sets have the similarity."""
-    wanted = links.select("row").union(links.select(F.col("leader").alias("row"))).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            hashes, row = shingle_sets(*text_bytes(batch.column("text")), shingle)
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["row", "shingles"])
-
-    known = cut(named.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(sets, "row long, shingles binary").dropDuplicates(["row"]))
-    pairs = links.join(known, "row").join(known.select(F.col("row").alias("leader"), F.col("shingles").alias("theirs")), "leader")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("shingles"), batch.column("theirs"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("leader")], ["row", "leader"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.select("row", "leader", "shingles", "theirs").mapInArrow(compare, "row long, leader long")
-
-
-def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radius: int = NEAR_RADIUS, shard_size: int = TREE_SIZE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, shard_size: int = 2 * TREE_SIZE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, all columns, less those linked, over whatever steps, to one with a smaller id; of rows with one id, one stays.
 
-    Documents are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more; those without a word
+    Documents are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` (whole percents) or more; those without a word
     are alike. Rows without an id are told apart by their text and come after all others; rows that repeat an id must repeat its text.
+    ``shard_size``: entries of a list that are looked at together.
     """
+    from ledgerline.llm.set_join import similar_documents  # which takes its shingles from here
+
     row = unused("row", docs.columns)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     surrogate = F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(3 << 61)
     all_columns = docs.withColumn(row, F.coalesce(F.col(id_column).cast("long"), surrogate))
     named = all_columns.select(F.col(row).alias("row"), text.alias("text"))
+    found = cut(similar_documents(named, shingle=shingle, percent=round(100 * similarity), list_size=shard_size, id_column="row"))
     with tidy_shuffles(docs.sparkSession):
-        known = cut(sketches(named, shingle))
-        one = lambda c: F.first(c).alias(c)  # noqa: E731  texts of equal shingle sets have equal sketches
-        texts = cut(known.groupBy("set_a", "set_b").agg(F.min("row").alias("row"), one("fp"), one("sketch"), one("bands")).drop("set_a", "set_b"))
-        links = cut(near_links(texts, similarity, radius, shard_size))
-        links = cut(verified(named, links, similarity, shingle))
-        roots = connected_components(links, "row", "leader").filter("node <> root")
-        stay = cut(texts.select("row").join(roots.select(F.col("node").alias("row")), "row", "left_anti"))
-    return all_columns.join(stay.withColumnRenamed("row", row), row, "left_semi").dropDuplicates([row]).drop(row)
+        wordless = found.filter("n_shingles = 0").agg(F.min("doc_id").alias("doc_id")).na.drop()
+        stay = cut(found.filter("n_shingles > 0 and doc_id = component_id").select("doc_id").union(wordless).distinct())
+    return all_columns.join(stay.withColumnRenamed("doc_id", row), row, "left_semi").dropDuplicates([row]).drop(row)

@@ -307,6 +307,17 @@ def test_near_copies_are_found_and_only_these_go(spark, shard_size):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_no_near_copy_is_missed(spark):
+    """Pairs of a similarity of exactly 0.8 (40 of 50 shingles shared) and chains whose ends are linked over other texts only."""
+    rows = []
+    for k in range(300):
+        words = [f"w{k}.{i}" for i in range(49)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:-5] + [f"v{k}.{i}" for i in range(5)]))]
+    rows += [(5000 + n, " ".join([f"c{i}" for i in range(n, n + 60)])) for n in range(0, 40, 5)]
+    stay = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert stay == {10 * k for k in range(300)} | {5000}
+
+
 def test_rows_without_ids(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(None, text), (3, text), (3, text), (None, "quite another text of some words"), (None, "quite another text of some words")], "doc_id long, text string")
