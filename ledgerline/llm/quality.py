@@ -3,9 +3,9 @@
 Each rule rejects a document whose score lies above the rule's cutoff in the document's stratum; what is promised is the
 false rejection of all rules together. Labelled texts are split in two by their hash, equal texts of a stratum counting once, so
 that no text stands on both sides and rows are independent. On the one half the vocabulary is fitted (one rule scores words and word
-prefixes over-represented in documents labelled toxic, on a bounded sample: ``FIT_TOXIC``, ``FIT_CLEAN``) and, per stratum, a path is laid: a
-sequence of tighter and tighter cutoffs, each move tightening the rule that catches the most bad documents for the clean ones it costs (at most
-``FIT_PATH`` texts a stratum). On the other half the joint false rejections (clean documents above any cutoff so far) are counted along the
+prefixes over-represented in documents labelled toxic) and, per stratum, a path is laid: a
+sequence of tighter and tighter cutoffs, each move tightening the rule that catches the most bad documents for the clean ones it costs. All texts of the half
+count: a round finds the next move of every stratum from the histograms of its rules over the texts not yet rejected. On the other half the joint false rejections (clean documents above any cutoff so far) are counted along the
 path. A place of it is certified if an exact binomial tail says that a joint false rejection rate above ``alpha`` would give so few with
 probability at most ``delta / strata``. The path is tested from its mild end on and testing stops at the first failure (a fixed
 sequence, laid without a look at the half that tests it); the division is Bonferroni's correction over strata. So with probability
@@ -32,10 +32,8 @@ from pyspark.sql import types as T
 from ledgerline.llm.common import cut, text_bytes, text_slices, tidy_shuffles, unused
 from ledgerline.llm.text_features import features, lexical_units, lexicon_hits, stutters
 
-#: Bounds of the labelled sample that the vocabulary is fitted on. They bound the vocabulary too: each unit is in five toxic ones at least.
-FIT_TOXIC, FIT_CLEAN = 3000, 6000
-#: Labelled texts of a stratum that its path of cutoffs is laid on.
-FIT_PATH = 20_000
+#: Ids of labelled texts, a few bytes each: broadcast up to so many, joined by shuffle beyond.
+BROADCAST_LABELS = 200_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "n_lines", "n_stutter", "n_toxic")
 Q = "__quality"
 #: Strata (a short name and at most a number per rule each) that are broadcast; more of them are joined by shuffle.
@@ -108,11 +106,8 @@ def _distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def toxic_lexicon(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
     """Sorted hashes of the units that documents labelled toxic have and others do not."""
-
-    def sample(toxic: int, n: int) -> DataFrame:
-        return labels.filter((F.col("toxic") == toxic) & ((F.lit(toxic) == 1) | (F.col("quality") == 1))).orderBy(F.xxhash64("label_id"), "label_id").limit(n).select("label_id", "toxic")
-
-    chosen = F.broadcast(sample(1, FIT_TOXIC).union(sample(0, FIT_CLEAN)))  # at most FIT_TOXIC + FIT_CLEAN small rows
+    chosen = labels.filter("toxic = 1 or quality = 1").select("label_id", "toxic")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_LABELS else chosen
     texts = docs.select(F.col(id_column).alias("label_id"), F.col(text_column).alias("text")).join(chosen, "label_id").select("text", "toxic")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,39 +157,31 @@ def _beta(a: float, b: float, x: float) -> float:
     return out * math.exp(front) / a
 
 
-def _path(steps: np.ndarray, bad: np.ndarray, cost: float) -> list[tuple[int, int]]:
-    """Moves (rule, number of its grid cutoffs used) by which the cutoffs tighten. ``steps``: by text and rule, the grid cutoff from which on it is rejected."""
-    moves, level = [], np.zeros(len(RULES), np.int64)
-    while len(bad):
-        best = None
-        for r in range(len(RULES)):
-            caught, clean = (np.bincount(steps[x, r], minlength=len(GRID) + 1)[: len(GRID)].cumsum() for x in (bad, ~bad))
-            worth = np.where(caught > cost * clean, caught / (clean + 0.5), 0.0)
-            at = int(worth.argmax())  # the mildest of equals
-            if worth[at] > 0 and (best is None or worth[at] > best[0]):
-                best = worth[at], r, at + 1
-        if best is None:
-            break
-        _, r, level[r] = best
-        moves.append((r, int(level[r])))
-        left = steps[:, r] >= level[r]
-        steps, bad = steps[left], bad[left]
-    return moves
-
-
 def _paths(fit: DataFrame, cost: float) -> DataFrame:
-    """``stratum, path``: an array of rules and cutoffs, from mild to strict."""
+    """``stratum, path``: an array of rules and cutoffs, from mild to strict, in the order in which the cutoffs tighten."""
     above = lambda score: F.aggregate(F.array(*map(F.lit, GRID)), F.lit(0), lambda n, c: n + (score > c).cast("int"))
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64(*RULES, "bad"))
-    bounded = fit.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FIT_PATH)
     # A text with n grid cutoffs below its score is rejected from the (len - n)th of them on, counted from mild.
-    rows = bounded.select("stratum", "bad", F.array(*[F.lit(len(GRID)) - above(F.col(r)) for r in RULES]).alias("steps"))
-
-    def lay(group: pd.DataFrame) -> pd.DataFrame:
-        moves = _path(np.array(group["steps"].tolist(), np.int64).reshape(-1, len(RULES)), group["bad"].to_numpy(bool), cost)
-        return pd.DataFrame({"stratum": group["stratum"].iloc[:1], "path": [[{"rule": RULES[r], "cutoff": GRID[n - 1]} for r, n in moves]]})
-
-    return rows.groupBy("stratum").applyInPandas(lay, "stratum string, path array<struct<rule: string, cutoff: double>>").filter(F.size("path") > 0)
+    steps = F.array(*[F.lit(len(GRID)) - above(F.col(r)) for r in RULES])
+    rows = cut(fit.select("stratum", "bad", steps.alias("steps")).groupBy("stratum", "bad", "steps").agg(F.count("*").alias("n")))
+    none = F.array(*[F.lit(0)] * len(RULES))
+    now = cut(rows.select("stratum").distinct().select("stratum", none.alias("levels"), F.array().cast("array<struct<rule: string, cutoff: double>>").alias("path"), F.lit(True).alias("moved")))
+    few = now.count() <= BROADCAST_STRATA
+    so_far = Window.partitionBy("stratum", "rule").orderBy("step")  # at most a row per grid cutoff
+    while not now.filter("moved").isEmpty():
+        # Of the texts that no cutoff so far rejects, those that each cutoff of each rule would.
+        open_ = now.filter("moved").select("stratum", "levels")
+        left = rows.join(F.broadcast(open_) if few else open_, "stratum").filter(F.forall(F.zip_with("steps", "levels", lambda s, n: s >= n), lambda x: x))
+        met = left.select("stratum", "bad", "n", F.posexplode("steps").alias("rule", "step")).filter(F.col("step") < len(GRID))
+        counts = met.groupBy("stratum", "rule", "step").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("caught"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("clean"))
+        counts = counts.withColumns({c: F.sum(c).over(so_far).cast("double") for c in ("caught", "clean")}).filter(F.col("caught") > cost * F.col("clean"))
+        worth = F.col("caught") / (F.col("clean") + 0.5)
+        # The first rule and the mildest cutoff of equals.
+        best = counts.groupBy("stratum").agg(F.max_by(F.struct("rule", "step"), F.struct(worth, -F.col("rule"), -F.col("step"))).alias("m"))
+        tightened = F.transform("levels", lambda n, r: F.when(r == F.col("m.rule"), F.col("m.step") + 1).otherwise(n))
+        move = F.struct(F.element_at(F.array(*map(F.lit, RULES)), F.col("m.rule") + 1).alias("rule"), F.element_at(F.array(*map(F.lit, GRID)), F.col("m.step") + 1).alias("cutoff"))
+        met, moved = now.join(best, "stratum", "left"), F.col("m").isNotNull()
+        now = cut(met.select("stratum", F.when(moved, tightened).otherwise(F.col("levels")).alias("levels"), F.when(moved, F.concat("path", F.array(move))).otherwise(F.col("path")).alias("path"), moved.alias("moved")))
+    return now.filter(F.size("path") > 0).select("stratum", "path")
 
 
 def certified_cutoffs(fit: DataFrame, held_out: DataFrame, *, alpha: float, delta: float, cost: float) -> DataFrame:

@@ -72,6 +72,37 @@ def test_cutoffs_need_enough_evidence(spark):
     assert quality.certified_cutoffs(cutoff_rows(spark, 1000), cutoff_rows(spark, 1000, spoilt=30), **options).collect() == []
 
 
+def greedy(rows, cost):
+    """The path over all rows (``bad``, scores by rule), one move after another."""
+    moves, grid = [], np.array(quality.GRID)
+    bad, scores = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    while len(bad):
+        worths = []
+        for r in range(len(quality.RULES)):
+            caught, clean = ((scores[x, r][:, None] > grid).sum(0) for x in (bad, ~bad))
+            worths.append(np.where(caught > cost * clean, caught / (clean + 0.5), 0.0))
+        r, at = divmod(int(np.argmax(worths)), len(grid))
+        if worths[r][at] <= 0:
+            break
+        moves.append((quality.RULES[r], quality.GRID[at]))
+        left = scores[:, r] <= grid[at]
+        bad, scores = bad[left], scores[left]
+    return moves
+
+
+def test_the_path_is_laid_on_all_texts(spark):
+    """A stratum of many texts and one of few: every text counts for the moves."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for stratum, n in (("many", 24_000), ("few", 300)):
+        bad = rng.random(n) < 0.3
+        scores = rng.random((n, len(quality.RULES))) ** np.where(bad, 0.3, 5)[:, None] * (rng.random((n, len(quality.RULES))) < 0.5)
+        rows += [(stratum, bool(b), *map(float, s)) for b, s in zip(bad, scores, strict=True)]
+    table = spark.createDataFrame(rows, "stratum string, bad boolean, " + ", ".join(f"{r} double" for r in quality.RULES)).repartition(5)
+    got = {r.stratum: [(m["rule"], m["cutoff"]) for m in r.path] for r in quality._paths(table, 2.0).collect()}
+    assert got == {s: greedy([r[1:] for r in rows if r[0] == s], 2.0) for s in ("many", "few")} and len(got["many"]) > 3
+
+
 def test_the_promise_holds_for_all_rules_together(spark):
     """Many strata, each a draw of its own, with known rates: the joint false rejection of two rules stays within alpha."""
     strata, alpha = 12, 0.05
