@@ -153,6 +153,18 @@ def test_seeded_matches(spark):
     assert seeded(spark, *ravis, "SOME OBSCURE PERSON").status == "UNKNOWN"
 
 
+def test_equal_narrations_are_matched_once(spark):
+    """Many rows that say the same, but for a reference that nobody has, are one narration to match; each gets the answer."""
+    rows = spark.range(600).selectExpr("id", "1L statement_id", "cast(id as int) row_no", "cast(null as date) transaction_date", "'Ravi' name", "'ravi' normalized_name", "array('Ravi') name_tokens",
+        "case when id % 3 = 0 then 'ravi@okaxis' end normalized_upi_id", "cast(null as string) account_identifier", "concat('R', id) reference", "cast(null as string) phone", "cast(null as string) email", "'UPI' payment_method")
+    people = spark.createDataFrame([(1, "P001", "Ravi", "ravi"), (2, "P002", "Meera", "meera")], "id long, code string, canonical_name string, normalized_name string")
+    held = spark.createDataFrame([(1, "UPI", "ravi@okaxis"), (1, "REFERENCE", "R7")], "person_id long, id_type string, normalized_value string")
+    _, profiles = matching.profiled(rows, held)
+    assert profiles.count() == 3  # with the handle, without it, and the reference that somebody has
+    got = {r.id: (r.status, r.person_id, r.confidence) for r in matching.match_snapshot(rows, people, held, spark.createDataFrame([], "person_id long, methods array<string>")).collect()}
+    assert got == {i: ("MATCH", 1, 0.97 if i % 3 == 0 else 0.82 if i == 7 else 0.75) for i in range(600)}
+
+
 def small_ledger(spark):
     rows = [(1, "2025-09-01", "5000.00", None, "15000.00", "UPI", 1), (2, "2025-09-05", "3000.00", None, "12000.00", "UPI", 1), (3, "2025-09-10", None, "30250.50", "42250.50", "NEFT", 2), (4, "2025-09-25", "100.00", None, "42150.50", "PAYTM", None)]
     txn = spark.createDataFrame([(i, 1, datetime.date.fromisoformat(d), a and Decimal(a), c and Decimal(c), Decimal(b), "DEBIT" if a else "CREDIT", m, p, "Zed", "zed", "zed@x", f"REF{i}", "text", "MATCH") for i, d, a, c, b, m, p in rows],
