@@ -136,3 +136,27 @@ def test_no_rows(spark):
     values = spark.createDataFrame(OWNED, "person_id long, id_type string, normalized_value string")
     decisions, everyone, _ = replay.replay(spark.createDataFrame([], SCHEMA), persons, values)
     assert decisions.count() == 0 and everyone.count() == 2
+
+
+def test_equal_narrations_are_decided_once(spark, monkeypatch):
+    """Many rows of few kinds: a round looks at the kinds' epochs only. Rows whose own person never is among the candidates each mint; references of single rows reach their person."""
+    people, owned = [(3, "P003", "Zed", "zed")], [(3, "UPI", "zed@ybl")]
+    kinds = [dict(name="Asha Rao", account="XXXX1234"), dict(name="Asha Rao", phone="9000000001"), dict(name="Om")]
+    rows = [row(i, 1, i, **kinds[i % 3], method="NEFT", reference=f"R{i}") for i in range(120)] + [row(120 + i, 2, i, "Ravi Li", "ravi@ybl") for i in range(5)]
+    asked = []
+    plain_evidence = replay.evidence
+
+    def counted(narrations, *args, **kw):
+        asked.append(narrations.count())
+        return plain_evidence(narrations, *args, **kw)
+
+    monkeypatch.setattr(replay, "evidence", counted)
+    plain = Ledger(people, owned, 1)
+    wanted = sorted(plain.take(r) for r in rows)
+    persons = spark.createDataFrame(people, "id long, code string, canonical_name string, normalized_name string")
+    values = spark.createDataFrame(owned, "person_id long, id_type string, normalized_value string")
+    decisions, everyone, identifiers = replay.replay(spark.createDataFrame(rows, SCHEMA), persons, values, limit=1)
+    assert sorted((r.id, r.status, r.person_id, r.suggested_person_id, r.confidence, r.n_candidates, r.minted) for r in decisions.collect()) == wanted
+    assert sum(w[-1] for w in wanted) == 6
+    assert {tuple(r) for r in identifiers.filter("id_type <> 'NAME'").collect()} == {v for v in plain.values if v[1] != "NAME"}
+    assert max(asked) < 25
