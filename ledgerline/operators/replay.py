@@ -30,6 +30,7 @@ from ledgerline.functions.text import normalize_name
 from ledgerline.operators.matching import CANDIDATES, EXACT, KINDS, MEDIUM, SAYS, _domain, _first, _local, _numbered, canonical_name, decide, evidence, moments
 from ledgerline.plans.session import stored
 
+
 def _running_first(facts: DataFrame, limit: int | None) -> DataFrame:
     """``key, person_id, at``: the facts whose person is, when the fact appears, among the key's people with the ``limit`` smallest ids."""
     firsts = facts.groupBy("key", "person_id").agg(F.min("at").alias("at"))

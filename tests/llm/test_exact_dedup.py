@@ -170,3 +170,19 @@ def test_windows_that_agree_in_part_of_their_digest_differ(spark):
         rows += [(len(rows) + j, " ".join([*fixed, ends[order[k + j]]])) for j in (0, 1)]
     got = {r[0]: tuple(r)[1:4] for r in substring_index.remove_repeats(table(spark, rows), batches=1).collect()}
     assert got == brute_words(rows)
+
+
+def test_short_repeats_bring_no_contexts(spark):
+    """Strings of 60 bytes that many texts share, and no window: nothing is compared by bytes. A window that leans to either side of its gram is."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = noise(60)
+    texts = [noise(150) + common + noise(150) for _ in range(40)]
+    judged = lambda rows: suffix_dedup._judge_contexts(suffix_dedup._anchor_rows(spark.createDataFrame(rows, "id long, text string"), 100), suffix_dedup.GROUP)
+    assert judged(list(enumerate(texts))).count() == 0
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for i in range(20):
+        a = rng.randint(0, 250)
+        rows.append((100 + i, noise(rng.randint(0, 80)) + texts[i][a : a + 100 + i % 3] + noise(rng.randint(0, 80))))
+    got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()}
+    assert got == brute_bytes(rows) and sum(v[1] for v in got.values()) > 2000
