@@ -176,8 +176,8 @@ def test_short_repeats_bring_no_contexts(spark):
     """Strings of 60 bytes that many texts share, and no window: nothing is compared by bytes. A window that leans to either side of its gram is."""
     rng = random.Random(5)
     noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    common = noise(60)
-    texts = [noise(150) + common + noise(150) for _ in range(40)]
+    common = [noise(60) for _ in range(20)]
+    texts = [noise(150) + common[i % 20] + noise(150) for i in range(80)]
     judged = lambda rows: suffix_dedup._judge_contexts(suffix_dedup._anchor_rows(spark.createDataFrame(rows, "id long, text string"), 100), suffix_dedup.GROUP)
     assert judged(list(enumerate(texts))).count() == 0
     rows = [(i, t) for i, t in enumerate(texts)]
