@@ -16,6 +16,12 @@ SERIAL_FROM, SERIAL_TO = 20000, 80000
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 TIME = r"(^|[ t,])\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([ap]\.?m\.?)?\s*(z|utc|gmt|ist)?([+-]\d{2}:?\d{2})?$"
 WEEKDAY = r"^(mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(day)?[.,]*\s+"
+#: How most dates are written; these need no words.
+PLAIN, ISO = r"^\d{2}[-/.]\d{2}[-/.][1-9]\d{3}\z", r"^[1-9]\d{3}-\d{2}-\d{2}\z"
+#: No serial: a part of a day in one or two digits, as in amounts.
+BROKEN = r"\.(?:[1-9]\d?|0[1-9])\z"
+#: What no date without a time of day holds: more digits than a year has, or letters that begin neither a month nor a weekday.
+NO_DATE = rf"(?i)\d{{5}}|(?<![a-z])(?!{'|'.join(name[:3] for name in MONTHS)}|mon|tue|wed|thu|fri|sat|sun)[a-z]{{3}}"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -65,11 +71,20 @@ def _serial(text: Column) -> Column:
     return _let(number, lambda n: F.when(n.between(SERIAL_FROM, SERIAL_TO) & (n == F.floor(n)), F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int"))))
 
 
+def _spelled(text: Column) -> Column:
+    """The date of a trimmed text in any of the forms."""
+    likely = text.rlike(r"\d")
+    worded = likely & (F.length(text) <= 64) & (text.contains(":") | ~text.rlike(NO_DATE))
+    return F.when(likely & text.rlike(r"^[\d.,]+$") & ~text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{2,4}$"), F.when(~text.rlike(BROKEN), _serial(text))).when(worded, _let(_words(text), lambda w: F.when(F.size(w) == 3, _read(w))))
+
+
 def parse_date(cell: Column) -> Column:
     """Date or null: spreadsheet serials, and days with month and year in any usual order and spelling; never a guess."""
     text = F.trim(cell.cast("string"))
-    likely = text.rlike(r"\d")
-    return F.when(likely & text.rlike(r"^[\d.,]+$") & ~text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{2,4}$"), _serial(text)).when(likely & (F.length(text) <= 64), _let(_words(text), lambda w: F.when(F.size(w) == 3, _read(w))))
+    a, b, year = F.substring(text, 1, 2), F.substring(text, 4, 2), F.substring(text, 7, 4)
+    swapped = (b > "12") & (a <= "12")
+    plain = F.concat_ws("-", year, F.when(swapped, a).otherwise(b), F.when(swapped, b).otherwise(a)).try_cast("date")
+    return F.when(text.rlike(PLAIN), plain).when(text.rlike(ISO), text.try_cast("date")).otherwise(_spelled(text))
 
 
 def parse_partial_date(cell: Column, as_of: Column) -> Column:

@@ -64,7 +64,9 @@ def header_layout(rows: DataFrame) -> DataFrame:
     """Per file the first of its leading rows that names a date and money: column of each field, and the row after it."""
     order = Window.partitionBy("file_id").orderBy("row_no")
     top = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SCAN)
-    cells = computed(top.select("file_id", "row_no", F.posexplode("cells").alias("col", "cell")), {"field": header_field(header_key(F.col("cell")))})
+    # No key holds a digit, except in parentheses, which go.
+    worded = top.select("file_id", "row_no", F.posexplode("cells").alias("col", "cell")).filter((F.col("cell") != "") & (~F.col("cell").rlike(r"\d") | F.col("cell").contains("(")))
+    cells = computed(worded, {"field": header_field(header_key(F.col("cell")))})
     wide = cells.filter("field is not null").groupBy("file_id", "row_no").pivot("field", list(FIELDS)).agg(F.min("col"))
     good = wide.filter("date is not null and (debit is not null or credit is not null or amount is not null)")
     best = good.groupBy("file_id").agg(F.min_by(F.struct("row_no", *FIELDS), "row_no").alias("h"))
@@ -73,26 +75,27 @@ def header_layout(rows: DataFrame) -> DataFrame:
 
 def positional_layout(rows: DataFrame) -> DataFrame:
     """Per file without a header: dates in the first columns, money in the last ones, the longest text between."""
-    order = Window.partitionBy("file_id").orderBy("row_no")
+    file = Window.partitionBy("file_id")
     filled = rows.filter(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
-    sample = filled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SCAN)
-    sizes = sample.groupBy("file_id").agg(F.count("*").alias("n"), F.max(F.size("cells")).alias("width"))
-    cells = sample.select("file_id", F.posexplode("cells").alias("col", "cell"))
+    sample = filled.withColumn("_n", F.row_number().over(file.orderBy("row_no"))).filter(F.col("_n") <= SCAN)
+    sample = sample.withColumns({"n": F.count("*").over(file), "width": F.max(F.size("cells")).over(file)})
+    cells = sample.select("file_id", "n", "width", F.posexplode("cells").alias("col", "cell"))
     # Each cell is parsed once: the expressions are long.
     cells = computed(cells, {"blank": F.lower(F.trim(F.coalesce("cell", F.lit("")))).isin(*BLANK), "numeric": looks_numeric(F.col("cell")), "day": parse_date(F.col("cell"))})
     blank, numeric = F.col("blank"), F.col("numeric")
     dated = F.col("day").isNotNull() & ~numeric
     count = lambda c: F.sum(c.cast("int"))
-    kinds = cells.groupBy("file_id", "col").agg(
+    kinds = cells.groupBy("file_id", "n", "width", "col").agg(
         count(dated).alias("dates"), count(~blank).alias("filled"), count(~blank & numeric).alias("numbers"), count(~blank & dated).alias("filled_dates"),
         F.coalesce(F.avg(F.when(~blank, F.length("cell"))), F.lit(0.0)).alias("length"),
-    ).join(sizes, "file_id")
+    )
     enough = F.col("dates") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2))
-    dates = kinds.filter(enough & (F.col("col") <= 2)).groupBy("file_id").agg(F.collect_set("col").alias("date_cols"))
+    # Over the file's columns, not joined: a join would parse the cells again for its other side.
+    kinds = kinds.withColumn("date_cols", F.collect_set(F.when(enough & (F.col("col") <= 2), F.col("col"))).over(file))
     date = F.when(F.array_contains("date_cols", 0), 0).when(F.array_contains("date_cols", 1), 1)
-    dates = dates.withColumn("date", date).filter("date is not null")
-    dates = dates.withColumn("value_date", F.when(F.array_contains("date_cols", F.col("date") + 1), F.col("date") + 1))
-    placed = kinds.join(dates, "file_id").filter(F.col("col") > F.coalesce("value_date", "date"))
+    kinds = kinds.withColumn("date", date).filter("date is not null")
+    kinds = kinds.withColumn("value_date", F.when(F.array_contains("date_cols", F.col("date") + 1), F.col("date") + 1))
+    placed = kinds.filter(F.col("col") > F.coalesce("value_date", "date"))
     is_money = (F.col("filled") > 0) & (F.col("filled_dates") < 0.5 * F.col("filled")) & (F.col("numbers") >= 0.75 * F.col("filled"))
     gathered = placed.groupBy("file_id", "width", "date", "value_date").agg(
         F.sort_array(F.collect_list(F.when(is_money, F.col("col")))).alias("money"),
@@ -125,10 +128,12 @@ def layouts(rows: DataFrame) -> DataFrame:
     return named.unionByName(positional_layout(rows.join(named, "file_id", "left_anti")))
 
 
-def typed_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidate ledger rows: dated, with money or a balance."""
+def typed_rows(rows: DataFrame, found: DataFrame, *told: str) -> DataFrame:
+    """Candidate ledger rows: dated, with money or a balance. ``told``: further columns of ``found`` that they carry."""
     df = rows.join(found, "file_id").filter(F.col("row_no") >= F.col("first_row"))
-    cell = lambda f: F.nullif(F.trim(F.get("cells", F.col(f"{f}_idx"))), F.lit(""))
+    # Each cell is picked once: the parsers name it many times.
+    df = computed(df, {f"_{f}_cell": F.nullif(F.trim(F.get("cells", F.col(f"{f}_idx"))), F.lit("")) for f in FIELDS})
+    cell = lambda f: F.col(f"_{f}_cell")
     has = lambda f: F.col(f"{f}_idx").isNotNull()
     described, referred = cell("description"), cell("reference")
     df = computed(
@@ -147,10 +152,10 @@ def typed_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     df = computed(df, {f"_{f}": parse_amount(cell(f)) for f in ("amount", "debit", "credit", "balance")})
     amount = F.col("_amount")
     mark, upper = F.lower(cell("side")), F.upper(F.coalesce("description", F.lit("")))
-    told = F.when(mark.rlike("^[dw]"), "DEBIT").when(mark.rlike("^[cr]"), "CREDIT")
+    marked = F.when(mark.rlike("^[dw]"), "DEBIT").when(mark.rlike("^[cr]"), "CREDIT")
     narrated = F.when(upper.rlike("WDL|WITHDRAWAL|DR/|DEBIT|PAID TO|TRANSFER TO"), "DEBIT").when(upper.rlike("DEP|CR/|CREDIT|RECEIVED FROM"), "CREDIT")
-    side = F.coalesce(told, amount_side(cell("amount")), narrated, F.when(amount < 0, "SIGNED").otherwise("CREDIT"))
-    df = computed(df, {"_side": side})
+    side = F.coalesce(marked, amount_side(cell("amount")), narrated, F.when(amount < 0, "SIGNED").otherwise("CREDIT"))
+    df = computed(df, {"_side": F.when(amount.isNotNull(), side)})
     side = F.col("_side")
     df = computed(
         df,
@@ -162,4 +167,4 @@ def typed_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
         },
     )
     kept = df.filter("transaction_date is not null and (debit is not null or credit is not null or balance is not null)")
-    return kept.select("file_id", "row_no", "transaction_date", "value_date", "description", "reference", "debit", "credit", "balance", "raw_text", "source")
+    return kept.select("file_id", "row_no", "transaction_date", "value_date", "description", "reference", "debit", "credit", "balance", "raw_text", "source", *told)

@@ -208,7 +208,9 @@ ACCOUNT = r"(?i)(?:A/?C|Account)(?:\s*(?:No|Number|Num|#))?\s*[:.\-]?\s*([Xx*]{2
 
 def account_details(text: Column) -> tuple[Column, Column]:
     """Holder and masked account named in a statement's head."""
-    holder = F.nullif(F.btrim(F.regexp_extract(text, HOLDER, 1), F.lit(" .,-")), F.lit(""))
+    named = F.lower(text)  # the search goes over every place of a head, so it is left to heads with the word
+    named = named.contains("name") | named.contains("holder")
+    holder = F.when(named, F.nullif(F.btrim(F.regexp_extract(text, HOLDER, 1), F.lit(" .,-")), F.lit("")))
     digits = F.regexp_replace(F.regexp_extract(text, ACCOUNT, 1), r"\D", "")
     return holder, F.when(F.length(digits) >= 5, F.concat(F.lit("XXXX"), F.right(digits, F.lit(4))))
 
@@ -280,10 +282,12 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     details = checkpointed(heads(texts).unionByName(table_heads(spread(others, "file_id"))))
     part = F.col("file_id.part")
     found = checkpointed(layout.layouts(keyed))
-    found = checkpointed(found.filter(part >= 0).unionByName(carried(found.filter(part < 0), keyed.filter(part < 0))))
+    found = found.filter(part >= 0).unionByName(carried(found.filter(part < 0), keyed.filter(part < 0)))
+    # A file's opening balance goes with its layout, so that the rows themselves meet no second table.
+    opening = details.select(F.col("file_id").alias("_file"), "opening_balance")
+    found = checkpointed(found.withColumn("_file", F.col("file_id.file_id")).join(opening, "_file", "left").drop("_file"))
     one = F.struct(F.col("file_id.file_id").alias("file_id"), F.greatest(part, F.lit(0)).alias("part"))  # the tables of a page
-    typed = layout.typed_rows(keyed, found).withColumn("_file", F.col("file_id.file_id")).withColumn("file_id", one)
-    typed = typed.join(details.select(F.col("file_id").alias("_file"), "opening_balance"), "_file", "left").drop("_file")
+    typed = layout.typed_rows(keyed, found, "opening_balance").withColumn("file_id", one)
     rows = checkpointed(reconcile.with_money(reconcile.reconcile(typed)))
     first = rows.filter(part > 0).groupBy(F.col("file_id.file_id").alias("f")).agg(F.min(part).alias("part")).select(F.struct(F.col("f").alias("file_id"), "part").alias("file_id"))
     rows = rows.filter(part == 0).unionByName(rows.filter(part > 0).join(first, "file_id", "left_semi"))
