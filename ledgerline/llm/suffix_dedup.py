@@ -48,9 +48,10 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 class Anchors:
-    """The anchors of a slice: row, place in the row, gram hash, both halves of the context's digest, the context's reach to both sides, if asked for hashes of either side."""
+    """The anchors of a slice: row, place in the row, gram hash, both halves of the context's digest, the context's reach to both sides, if asked for hashes of either side.
+    ``within``: only those whose gram stands at another anchor of the row too, as equal contexts of a row do."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, sided: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, sided: bool = False, within: bool = False):
         self.data = data
         self.row = self.place = self.left = self.right = self.start = np.empty(0, np.int64)
         self.gram = self.context = self.context_b = self.sides = np.empty(0, np.uint64)
@@ -64,6 +65,10 @@ class Anchors:
         chosen = minimizers(grams, window - GRAM + 1)
         chosen = chosen[rows[:n] == rows[window - 1 :]]
         at = chosen[runs_of(chosen)[0]]
+        if within:
+            order = np.lexsort((grams[at], rows[at]))
+            again = ~_changes(rows[at[order]], grams[at[order]])
+            at = at[np.sort(np.r_[order[again], np.setdiff1d(order[:-1][again[1:]], order[again])])]
         self.row = rows[at]
         begin, end = offsets[self.row], offsets[self.row + 1]
         self.place = at - begin
@@ -324,7 +329,7 @@ def _remove(docs: DataFrame, spans: DataFrame, window: int, keep_text: bool) ->
             counts = pc.fill_null(pc.list_value_length(lists["starts"]), 0).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), counts)
             mark(row, *(lists[c].flatten().to_numpy().astype(np.int64) for c in ("starts", "stops")))
-            found = Anchors(data, offsets, window)
+            found = Anchors(data, offsets, window, within=True)
             again = found.repeats(found.row)  # repeats inside the document
             mark(found.row[again], found.place[again] - found.left[again], found.place[again] + found.right[again])
             gone = np.cumsum(steps[:-1]) > 0

@@ -5,9 +5,11 @@ Works on one buffer of many suffixes that belong to groups; only suffixes of a g
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
-from ledgerline.llm.common import Polynomial, byte_table
+from ledgerline.llm.common import Polynomial, byte_table, same_spans
 
 POLY = Polynomial(0x2D358DCCAA6C78A5)
 TABLE = byte_table(9)
@@ -20,6 +22,12 @@ class Suffixes:
         self.buffer, self.starts, self.lengths = buffer, starts, ends - starts
         self.prefix = POLY.prefix(TABLE[buffer])
 
+    def only(self, chosen: np.ndarray) -> Suffixes:
+        """Some of the suffixes, over the same buffer."""
+        out = copy.copy(self)
+        out.starts, out.lengths = self.starts[chosen], self.lengths[chosen]
+        return out
+
     def hashes(self, starts: np.ndarray, lengths) -> np.ndarray:
         return POLY.spans(self.prefix, starts, starts + lengths)
 
@@ -80,8 +88,33 @@ def repeated_windows(buffer: np.ndarray, anchors: np.ndarray, begins: np.ndarray
     group from the earliest on. Returns a table: row i, column o: the window that starts o before the anchor lies in the
     context and equals an earlier context's window at o.
     """
-    n, reach = len(anchors), window - gram
+    n, offsets = len(anchors), np.arange(window - gram + 1)
     suffixes = Suffixes(buffer, anchors, ends)
+    # Copies of an earlier context repeat it in all their windows, and what else repeats these repeats the first of the copies too.
+    copied = _copies(suffixes, begins, groups)
+    out = copied[:, None] & ((anchors - begins)[:, None] >= offsets) & ((ends - anchors)[:, None] >= window - offsets)
+    own = np.flatnonzero(~copied)
+    out[own] = _repeated(suffixes.only(own), anchors[own], begins[own], ends[own], groups[own], window, gram)
+    return out
+
+
+def _copies(suffixes: Suffixes, begins: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Which contexts equal an earlier one of their group, with the anchor in the same place; equal by bytes."""
+    reach, lengths = suffixes.starts - begins, suffixes.lengths
+    keys = POLY.spans(suffixes.prefix, begins, suffixes.starts + lengths) ^ (groups.astype(np.uint64) + (reach * 1024 + lengths).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    first = _first_of(keys)
+    again = np.flatnonzero(first != np.arange(len(keys)))
+    old = first[again]
+    same = (groups[again] == groups[old]) & (reach[again] == reach[old]) & (lengths[again] == lengths[old])
+    out = np.zeros(len(keys), bool)
+    if same.all() and same_spans(suffixes.buffer, begins[again], begins[old], (reach + lengths)[again]):
+        out[again] = True  # otherwise hashes collide: all are compared as different ones
+    return out
+
+
+def _repeated(suffixes: Suffixes, anchors: np.ndarray, begins: np.ndarray, ends: np.ndarray, groups: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """The same by suffix order, for contexts of which none equals another."""
+    n, reach, buffer = len(anchors), window - gram, suffixes.buffer
     edge = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     order = suffixes.order(edge, np.diff(np.r_[edge, n]))
     # Common extension with the next smaller suffix of the group.
@@ -121,5 +154,5 @@ def _first_of(keys: np.ndarray) -> np.ndarray:
 
 
 def _same_bytes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> bool:
-    places = np.arange(length)
-    return all((buffer[a[k : k + 20_000, None] + places] == buffer[b[k : k + 20_000, None] + places]).all() for k in range(0, len(a), 20_000))
+    spans = np.ndarray(len(buffer) - length + 1, f"V{length}", np.ascontiguousarray(buffer), strides=(1,))
+    return all(spans[a[k : k + 20_000]].tobytes() == spans[b[k : k + 20_000]].tobytes() for k in range(0, len(a), 20_000))
