@@ -165,6 +165,16 @@ def test_equal_narrations_are_matched_once(spark):
     assert got == {i: ("MATCH", 1, 0.97 if i % 3 == 0 else 0.82 if i == 7 else 0.75) for i in range(600)}
 
 
+def test_every_person_of_a_block_is_weighed(spark):
+    """Thirty people share a domain; the handle's owner has the largest id, the next best one stands before."""
+    people = [(i, f"Payee {i}") for i in range(1, 31)]
+    handles = [(i, "UPI", f"p{i:02d}@okaxis") for i in range(1, 29)] + [(29, "UPI", "meera.rao@okaxis"), (30, "UPI", "meera@okaxis")]
+    owner = seeded(spark, people, handles, "UPI/X/meera@okaxis")
+    assert (owner.status, owner.person_id, owner.confidence, owner.n_candidates) == ("MATCH", 30, 0.95, 30)
+    shared = seeded(spark, people, [*handles, (28, "UPI", "meera@okaxis")], "UPI/X/meera@okaxis")
+    assert (shared.status, shared.suggested_person_id) == ("AMBIGUOUS", 28)
+
+
 def small_ledger(spark):
     rows = [(1, "2025-09-01", "5000.00", None, "15000.00", "UPI", 1), (2, "2025-09-05", "3000.00", None, "12000.00", "UPI", 1), (3, "2025-09-10", None, "30250.50", "42250.50", "NEFT", 2), (4, "2025-09-25", "100.00", None, "42150.50", "PAYTM", None)]
     txn = spark.createDataFrame([(i, 1, datetime.date.fromisoformat(d), a and Decimal(a), c and Decimal(c), Decimal(b), "DEBIT" if a else "CREDIT", m, p, "Zed", "zed", "zed@x", f"REF{i}", "text", "MATCH") for i, d, a, c, b, m, p in rows],
