@@ -3,9 +3,9 @@
 Equal sets are one class. Every class lists the tokens of its prefix (with the similarity asked for, two linked sets share one of them);
 tokens come in the order of a counting sketch of all texts, frequent ones last, so that lists stay short. A list's entries stand by size and position,
 a probe sees only the range that these leave open, and a signature (counters of the set's tokens, together at most as far apart as the sets
-are) puts off what is too far away; both tests lose no link. Every row has one of 32 counters, which tells sets of up to ``LONG`` tokens apart; larger sets
-that it leaves together meet once more with 512 counters. What a list leaves connected travels on as at most one link an entry. Their
-components are shards: the whole sets of a shard meet, and ``set_relations`` joins them exactly. So all pairs of a group are looked at in one place, by skipping, and
+are) puts off what is too far away; both tests lose no link. Every row has one of 32 counters, which tells small sets apart (up to 1,000 tokens at 90 percent, 224 at 80: the
+less similar links may be, the more of a set a counter must not hold); larger sets that it leaves together meet once more with as many counters as their size needs, of which the
+larger set's are added up to the smaller one's number. What a list leaves connected travels on as at most one link an entry. Their components are shards: the whole sets of a shard meet, and ``set_relations`` joins them exactly. So all pairs of a group are looked at in one place, by skipping, and
 none of them is ever a row.
 
 Hot groups: copies are one class before any shuffle of lists (each task names a class once). A list of more than ``list_size`` entries is handed on as it
@@ -20,7 +20,7 @@ table gives no rows; further columns are not looked at. Sets are compared by 64-
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,10 @@ from ledgerline.llm.simhash import shingle_hashes
 CELLS, SEGMENT = 1 << 20, 1 << 14
 BUCKETS = 32
 LIST_SIZE, GRID, LEAST_CHUNK = 8192, 16, 128
-#: Tokens of a shard's chunk.
-SHARD_TOKENS = 1 << 21
-#: Sets of more tokens need the wide signature.
-LONG, WIDE = 1000, 512
+#: Tokens of a shard's chunk. Two chunks that meet take some 180 bytes for each of their tokens.
+SHARD_TOKENS = 1 << 19
+#: Counters of wide signatures that are compared at a time.
+COMPARED = 4 << 20
 #: Lists of so few entries are looked at many at a time.
 SHORT = 6
 #: Ids of texts to look at once more, eight bytes each: broadcast up to so many, joined by shuffle beyond.
@@ -67,7 +67,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         for batch in text_slices(batches):
             sets = list(token_sets(batch, shingle))
             counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array([class_name(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_signature(s, WIDE).tobytes() if _large(len(s), percent) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array([class_name(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_signature(s, _width(len(s), percent)).tobytes() if _large(len(s), percent) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         codec, some = pa.Codec("zstd"), [k for k in range(CELLS // SEGMENT) if counts[k * SEGMENT : (k + 1) * SEGMENT].any()]
         packed = [codec.compress(counts[k * SEGMENT : (k + 1) * SEGMENT].tobytes(), asbytes=True) for k in some]
@@ -108,9 +108,53 @@ def _signature(tokens: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(65 - buckets.bit_length())).astype(np.int64), minlength=buckets).astype(np.uint8)
 
 
+def _long(percent: int) -> int:
+    """The tokens up to which ``BUCKETS`` counters tell sets apart.
+
+    Unlike sets of s tokens differ by some ``sqrt(s * counters)`` in their counters, similar ones by ``2 * s * (100 - percent) / (100 + percent)`` at most.
+    """
+    return min(1 << 31, 1000 * BUCKETS * (100 + percent) ** 2 // max(1, 32 * 361 * (100 - percent) ** 2))
+
+
+def _width(size: int, percent: int) -> int:
+    """The counters that tell sets of this size apart, a power of two."""
+    return 1 << (max(BUCKETS, -(-BUCKETS * size // _long(percent))) - 1).bit_length()
+
+
 def _large(size, percent: int):
-    """Whether a set of this size can be similar to one of more than ``LONG`` tokens."""
-    return 100 * size > percent * LONG
+    """Whether a set of this size can be similar to one that needs a wide signature."""
+    return 100 * size > percent * _long(percent)
+
+
+def _apart(theirs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """At least so many tokens differ: the sum over the counters, whose differences are those modulo 256."""
+    return np.abs((theirs - own).view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
+
+
+def _folded(marks: np.ndarray, buckets: int) -> np.ndarray:
+    """The same signatures with fewer counters."""
+    return marks if marks.shape[1] == buckets else marks.reshape(len(marks), buckets, -1).sum(2, dtype=np.uint8)
+
+
+def _wide_apart(wide: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The distance of a member from others, in the smaller number of counters of the two."""
+    widths = np.array(list(map(len, wide)))
+    held = {int(w): np.stack([wide[i] for i in np.flatnonzero(widths == w)]) for w in np.unique(widths)}
+    place = np.empty(len(wide), np.int64)
+    for w in held:
+        place[widths == w] = np.arange(len(held[w]))
+
+    def apart(at: int, others: np.ndarray) -> np.ndarray:
+        out = np.empty(len(others), np.int64)
+        for w in np.unique(widths[others]).tolist():
+            few, step = min(w, int(widths[at])), max(1, COMPARED // w)
+            own, here = _folded(wide[at][None], few), np.flatnonzero(widths[others] == w)
+            for k in range(0, len(here), step):
+                part = here[k : k + step]
+                out[part] = _apart(_folded(held[w][place[others[part]]], few), own)
+        return out
+
+    return apart
 
 
 PREFIX = "list long, place long, class long, s0 long, s1 long, s2 long, s3 long"
@@ -144,8 +188,8 @@ def prefixes(docs: DataFrame, shingle: int, percent: int, counts: np.ndarray) ->
     return docs.select("text").mapInArrow(work, PREFIX)
 
 
-def list_links(size: np.ndarray, position: np.ndarray, signature: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one list's entries, in ascending order of size, pairs of indices that connect all those that sizes, positions and signatures don't rule out."""
+def list_links(size: np.ndarray, position: np.ndarray, apart: Callable[[int, np.ndarray], np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one list's entries, in ascending order of size, pairs of indices that connect all those that sizes, positions and signatures (how far ``apart``) don't rule out."""
     n, a, b = len(size), [], []
     fresh = np.ones(n, bool)
     for seed in range(n - 1):
@@ -162,8 +206,7 @@ def list_links(size: np.ndarray, position: np.ndarray, signature: np.ndarray, pe
             most = own + theirs - 2 * needed(own, theirs, percent)  # tokens in which the two may differ
             open_ = 1 + np.minimum(own - place - 1, theirs - position[others] - 1) >= needed(own, theirs, percent)
             others, most = others[open_], most[open_]
-            apart = np.abs((signature[others] - signature[at]).view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
-            near = others[apart <= most]
+            near = others[apart(at, others) <= most]
             fresh[near] = False
             queue += near.tolist()
             a += [at] * len(near)
@@ -191,7 +234,8 @@ def _connected(name: np.ndarray, size: np.ndarray, position: np.ndarray, marks:
     found = [_short_links(heads[lengths == n], n, size, position, marks, percent) for n in range(2, SHORT + 1)]
     some = lengths > SHORT
     for x, y in zip(heads[some].tolist(), tails[some].tolist(), strict=True):
-        a, b = list_links(size[x:y], position[x:y], marks[x:y], percent)
+        own = marks[x:y]
+        a, b = list_links(size[x:y], position[x:y], lambda at, others, own=own: _apart(own[others], own[at]), percent)
         found.append((x + a, x + b))
     a, b = (np.concatenate(side) for side in zip(*found, strict=True))
     return a, b
@@ -208,7 +252,7 @@ def _scan(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, pa.Tab
         a, b = _connected(name[rows], size[rows], position[rows], marks[rows], percent)
         return rows[a], rows[b]
 
-    a, b = pairs(keep[size[keep] <= LONG])
+    a, b = pairs(keep[size[keep] <= _long(percent)])
     again = np.unique(np.concatenate(pairs(keep[_large(size[keep], percent)])))
     return of[a], of[b], table.take(pa.array(again))
 
@@ -265,8 +309,8 @@ def _wide_links(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in key_runs(batches, "list"):
             place, of = table.column("place").to_numpy(), table.column("class").to_numpy()
-            marks = np.stack([np.frombuffer(w.as_buffer(), np.uint8) for w in table.column("wide")])
-            a, b = list_links(place >> 32, place & 0xFFFFFFFF, marks, percent)
+            wide = [np.frombuffer(w.as_buffer(), np.uint8) for w in table.column("wide")]
+            a, b = list_links(place >> 32, place & 0xFFFFFFFF, _wide_apart(wide), percent)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(of[a]), pa.array(of[b])], ["a", "b"])
 

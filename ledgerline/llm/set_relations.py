@@ -15,6 +15,8 @@ import numpy as np
 from ledgerline.llm.common import ranges, runs_of
 
 BLOCK = 32
+#: Members whose answers are kept at a time, a number for each set.
+KEPT = 64
 
 
 def needed(a, b, percent: int):
@@ -122,17 +124,20 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         others = others[fresh[others]]
         if not len(others) or not len(index.similar(seed, index.overlap(seed, others), others)):
             continue
-        # From here on by answers: those of the seed are counted, the others derived along the links.
-        stack: list[tuple[int, int | None, np.ndarray]] = [(seed, None, index.answers(seed))]
+        # From here on by answers: those of the seed are counted, the others derived along the links (or counted, where the member's before are not kept).
+        stack: list[tuple[list[int], int, np.ndarray | None]] = [([seed], seed, None)]
         while stack:
-            at, before, answers = stack.pop()
+            waiting, before, answers = stack[-1]
+            at = waiting.pop()
+            if not waiting:
+                stack.pop()
             left = np.flatnonzero(fresh)
             if not len(left):
                 break
-            if before is not None:
-                answers = index.derived(at, before, answers)
+            answers = index.answers(at) if answers is None else index.derived(at, before, answers)
             near = index.similar(at, answers[left], left)
             fresh[near] = False
             out += [(at, x) for x in near.tolist()]
-            stack += [(x, at, answers) for x in near.tolist()]
+            if len(near):
+                stack.append((near.tolist(), at, answers if len(stack) < KEPT else None))
     return out

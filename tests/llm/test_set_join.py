@@ -111,3 +111,40 @@ def test_position_blocks_lose_no_candidate_and_derived_answers_are_exact():
         assert len(index.candidates(i)) < 150
         assert (index.answers(i) == exact[i]).all() and (index.derived((i + 1) % 150, i, exact[i]) == exact[(i + 1) % 150]).all()
         assert (index.overlap(i, near) == exact[i][near]).all()
+
+
+def test_unlike_texts_of_middle_size_are_told_apart_before_the_exact_join(spark):
+    """Texts that share a passage only: as candidates they would tie their groups together, and the larger the table, the more of them."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(900)] + passage) for _ in range(28)]
+    texts += [" ".join(t.split()[5:]) for t in texts[:2]]
+    docs = spark.createDataFrame([(i, i, t.encode()) for i, t in enumerate(texts)], "doc_id long, row long, text binary")
+    both = set_join.cut(set_join.classes(docs, 5, 80))
+    kept = both.filter("segment is null").drop("segment", "counts")
+    name = {r["class"]: r["doc_id"] for r in kept.collect()}
+    got = set_join.candidate_links(set_join.prefixes(docs, 5, 80, set_join.sketch(both)), kept, 80, 8192).collect()
+    assert {tuple(sorted((name[r.a], name[r.b]))) for r in got} == {(0, 28), (1, 29)}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_wide_signatures_never_exceed_the_difference(percent):
+    rng = np.random.default_rng(percent)
+    base = np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2))
+    sets = [np.unique(np.r_[base[: int(n * f)], rng.integers(0, 1 << 63, n - int(n * f)).astype(np.uint64)]) for n in (300, 500, 1200, 2100, 5900) for f in (0.5, 0.9, 1)]
+    apart = set_join._wide_apart([set_join._signature(s, set_join._width(len(s), percent)) for s in sets])
+    for i, own in enumerate(sets):
+        assert (apart(i, np.arange(len(sets))) <= [len(np.setxor1d(own, s)) for s in sets]).all()
+
+
+def test_a_chain_with_side_sets_keeps_few_answers():
+    """Each set of the chain finds another one and a side set; as many answers as sets would be kept at once."""
+    import tracemalloc
+
+    chain = [np.arange(2 * i, 2 * i + 20, dtype=np.uint64) for i in range(1500)]
+    sets = [s for i, c in enumerate(chain) for s in (c, np.r_[c, np.uint64(10**6 + i)])]
+    tracemalloc.start()
+    got = set_relations.links(sets, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(sets) - 1 and peak < 12e6
