@@ -270,32 +270,43 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     checked = checkpointed(validated(spread(files, "file_id")))  # files may be costly to make, and each step below starts from them
     good = checked.filter("error is null")
+    kinds = {r.kind for r in good.select("kind").distinct().collect()}  # a few names; what no file needs costs no plan
     texts, tables = good.filter("kind = 'csv'"), good.filter("kind = 'html'")
-    sheets = checkpointed(workbooks.sheet_cells(good.filter("kind = 'xlsx'")))
-    broken = sheets.filter("error is not null").select("file_id", F.col("error").alias("_broken"))
     # Parts: 0 for texts, from 1 on for sheets, from -1 downwards for the tables of a page.
-    shown = html_cells(tables).select("file_id", (-1 - F.col("table_no")).alias("part"), "row_no", "cells").unionByName(workbooks.readable(sheets))
-    cells = csv_cells(texts).select("file_id", F.lit(0).alias("part"), "row_no", "cells").unionByName(shown)
+    cells = csv_cells(texts).select("file_id", F.lit(0).alias("part"), "row_no", "cells")
+    if "html" in kinds:
+        cells = cells.unionByName(html_cells(tables).select("file_id", (-1 - F.col("table_no")).alias("part"), "row_no", "cells"))
+    broken = None
+    if "xlsx" in kinds:
+        sheets = checkpointed(workbooks.sheet_cells(good.filter("kind = 'xlsx'")))
+        broken = sheets.filter("error is not null").select("file_id", F.col("error").alias("_broken"))
+        cells = cells.unionByName(workbooks.readable(sheets))
     # Layouts and running balances are those of a table: its key stands for the file's until its rows are known.
     keyed = checkpointed(spread(cells.select(F.struct("file_id", "part").alias("file_id"), "row_no", "cells"), "file_id"))
-    others = keyed.filter("file_id.part <> 0").select("file_id.*", "row_no", "cells")
-    details = checkpointed(heads(texts).unionByName(table_heads(spread(others, "file_id"))))
+    details = heads(texts)
+    if kinds & {"html", "xlsx"}:
+        others = keyed.filter("file_id.part <> 0").select("file_id.*", "row_no", "cells")
+        details = details.unionByName(table_heads(spread(others, "file_id")))
+    details = checkpointed(details)
     part = F.col("file_id.part")
     found = checkpointed(layout.layouts(keyed))
-    found = found.filter(part >= 0).unionByName(carried(found.filter(part < 0), keyed.filter(part < 0)))
+    if "html" in kinds:
+        found = found.filter(part >= 0).unionByName(carried(found.filter(part < 0), keyed.filter(part < 0)))
     # A file's opening balance goes with its layout, so that the rows themselves meet no second table.
     opening = details.select(F.col("file_id").alias("_file"), "opening_balance")
     found = checkpointed(found.withColumn("_file", F.col("file_id.file_id")).join(opening, "_file", "left").drop("_file"))
     one = F.struct(F.col("file_id.file_id").alias("file_id"), F.greatest(part, F.lit(0)).alias("part"))  # the tables of a page
     typed = layout.typed_rows(keyed, found, "opening_balance").withColumn("file_id", one)
     rows = checkpointed(reconcile.with_money(reconcile.reconcile(typed)))
-    first = rows.filter(part > 0).groupBy(F.col("file_id.file_id").alias("f")).agg(F.min(part).alias("part")).select(F.struct(F.col("f").alias("file_id"), "part").alias("file_id"))
-    rows = rows.filter(part == 0).unionByName(rows.filter(part > 0).join(first, "file_id", "left_semi"))
+    if "xlsx" in kinds:
+        first = rows.filter(part > 0).groupBy(F.col("file_id.file_id").alias("f")).agg(F.min(part).alias("part")).select(F.struct(F.col("f").alias("file_id"), "part").alias("file_id"))
+        rows = rows.filter(part == 0).unionByName(rows.filter(part > 0).join(first, "file_id", "left_semi"))
     said = rows.groupBy("file_id").agg(F.count("*").alias("n_rows")).join(reconcile.warnings(rows).withColumnRenamed("warnings", "_balance"), "file_id", "left")
     plain = lambda df: df.withColumn("file_id", F.col("file_id.file_id"))
     # The layout of the table that counts, else that of the first table that has one.
     named = found.withColumn("file_id", one).join(said.select("file_id", "n_rows"), "file_id", "left").groupBy(F.col("file_id.file_id").alias("file_id")).agg(F.min_by("source", F.struct(F.col("n_rows").isNull(), part)).alias("source"))
-    report = checked.drop("content", "size").join(details, "file_id", "left").join(named, "file_id", "left").join(plain(said), "file_id", "left").join(broken, "file_id", "left")
+    report = checked.drop("content", "size").join(details, "file_id", "left").join(named, "file_id", "left").join(plain(said), "file_id", "left")
+    report = report.join(broken, "file_id", "left") if broken is not None else report.withColumn("_broken", F.lit(None).cast("string"))
     notes = F.concat(F.array_compact(F.array(F.when(F.col("source") == "positional", POSITIONAL))), F.coalesce("_balance", F.array().cast("array<string>")))
     read = F.col("kind").isin("csv", "html", "xlsx")
     error = F.coalesce("error", "_broken", F.when(~read, NO_READER).when(F.col("source").isNull(), NO_COLUMNS).when(F.col("n_rows").isNull(), NO_ROWS))
